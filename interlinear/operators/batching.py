@@ -85,14 +85,35 @@ def batch_segments(segs: DataFrame, limit: int, unit: str = "bytes", key: str =
     return assign_batches(with_limit(segs, limit, unit), key)
 
 
-def batch_by_providers(segs: DataFrame, providers: DataFrame, key: str = "doc_id") -> DataFrame:
+MAX_LIMIT_ROWS = 256
+
+
+def limit_rows(providers) -> list[tuple[str, str, int]]:
+    """(provider, unit, limit) triples from a list or a small DataFrame.
+
+    A provider table is configuration: its size is checked before it is
+    brought to the driver, and it becomes a literal array in the plan.
+    """
+    if isinstance(providers, DataFrame):
+        rows = providers.select("provider", "limit_unit", "limit_value").limit(MAX_LIMIT_ROWS + 1).collect()
+        if len(rows) > MAX_LIMIT_ROWS:
+            raise ValueError(f"more than {MAX_LIMIT_ROWS} provider limits")
+        return [(r[0], r[1], int(r[2])) for r in rows]
+    return [(p[0], p[1], int(p[2])) for p in providers]
+
+
+def batch_by_providers(segs: DataFrame, providers, key: str = "doc_id") -> DataFrame:
     """Batch the same segments once per provider limit.
 
-    ``providers`` is a fixed handful of rows, so it is broadcast and the
-    segments are never re-extracted or shuffled per limit.
+    The limits are a literal array exploded per segment row (a narrow
+    Generate, no join), so segments are never re-extracted or shuffled per
+    limit; the fold then runs per (document, provider).
     """
-    p = F.broadcast(providers.select("provider", "limit_unit", "limit_value"))
-    return assign_batches(segs.crossJoin(p), key, ["provider"])
+    arr = F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(u).alias("limit_unit"),
+                             F.lit(v).cast("bigint").alias("limit_value")) for p, u, v in limit_rows(providers)])
+    s = segs.select("*", F.explode(arr).alias("_lim"))
+    s = s.select(*segs.columns, "_lim.provider", "_lim.limit_unit", "_lim.limit_value")
+    return assign_batches(s, key, ["provider"])
 
 
 def batch_text(batched: DataFrame, key: str = "doc_id", extra_keys: list[str] | None = None) -> DataFrame:

@@ -239,7 +239,8 @@ pseg AS (SELECT s.*, p.provider, p.limit_unit, p.limit_value FROM seg_a_len s CR
 {greedy_sql('pseg', 'limit_value', 'limit_unit', 'doc_id, provider')},
 bat AS (SELECT r.doc_id, r.provider, r.batch_no, count(*) AS n_seg,
           sum(CASE WHEN p.limit_unit = 'bytes' THEN p.n_bytes ELSE p.n_chars END) AS units,
-          max(p.limit_value) AS limit_value, any_value(p.lang) AS lang
+          max(p.limit_value) AS limit_value, any_value(p.lang) AS lang,
+          string_agg(p.text || chr(10), '' ORDER BY p.seg_no) AS text
         FROM r JOIN pseg p ON p.doc_id = r.doc_id AND p.provider = r.provider AND p.seg_no = r.seg_no
         GROUP BY r.doc_id, r.provider, r.batch_no)"""
 
@@ -269,3 +270,171 @@ def q_plan_summary(spark, sf):
     bt = bt.join(docs, "doc_id")
     return B.plan_summary(bt, provs, ["lang"]).select(
         "provider", "lang", "n_requests", "units", "max_units", "n_oversize", "qps", "min_seconds")
+
+
+# --- requests -------------------------------------------------------------
+from interlinear.functions.hashing import pad_blocks  # noqa: E402
+from interlinear.operators import requests as R  # noqa: E402
+from interlinear.operators import responses as P  # noqa: E402
+from interlinear.operators import translate as T  # noqa: E402
+
+# Demo credentials for the registered queries (never real secrets).
+DEMO = R.Credentials(
+    baidu=R.Md5FormUser(appid="demo-appid", key="demo-key", salt="0"),
+    tencent=R.SignedJsonUser(id="0", key="0", region="ap-beijing", projectid=0),
+    niutrans=R.PlainFormUser(key="demo-apikey", dict_no="dict-1", memory_no="mem-1"),
+)
+TS = 1636111645
+_DATE = R.utc_date(TS)
+_SCOPE = f"{_DATE}/{R.TC3_SERVICE}/{R.TC3_TERMINATOR}"
+_IPAD, _OPAD = pad_blocks(R.signing_key(DEMO.tencent.key, _DATE))
+UTRIM_SQL = "regexp_replace({x}, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')"
+
+
+def _provider_batches(spark, sf):
+    docs = C.lines_corpus(spark, sf).select(
+        F.struct("doc_id", "lang").alias("doc"), "text")
+    segs = M.extract_segments(docs, key="doc")
+    bt = B.batch_text(B.batch_by_providers(segs, dims.PROVIDERS, key="doc"), key="doc", extra_keys=["provider"])
+    # English documents ask for source auto-detection
+    src = F.when(F.col("doc.lang") == "en", F.lit("auto")).otherwise(F.col("doc.lang"))
+    return bt.select(F.col("doc.doc_id").alias("doc_id"), "provider", "batch_no", "text", "oversize",
+                     "n_bytes", "n_chars", src.alias("from_lang"), F.lit("zh").alias("to_lang"))
+
+
+def _requests(spark, sf):
+    return R.build_requests(_provider_batches(spark, sf), DEMO, TS)
+
+
+REQ_SQL = _provider_batches_sql() + f""",
+req AS (SELECT doc_id, provider, CAST(batch_no AS INTEGER) AS batch_no, text,
+          {UTRIM_SQL.format(x='text')} AS q,
+          CASE WHEN lang = 'en' THEN 'auto' ELSE lang END AS from_lang, 'zh' AS to_lang,
+          n_seg = 1 AND units > limit_value AS oversize FROM bat),
+reql AS (SELECT *, string_split(q, chr(10)) AS lines FROM req),
+tc AS (SELECT *, to_json({{'Source': from_lang, 'Target': to_lang, 'ProjectId': CAST(0 AS INTEGER),
+          'SourceTextList': lines}}) AS payload FROM reql WHERE provider = 'tencent'),
+tcs AS (SELECT *, sha256('{R.TC3_CANONICAL_PREFIX.replace(chr(10), "' || chr(10) || '")}' || sha256(payload)) AS creq FROM tc),
+tsig AS (SELECT *, sha256(unhex('{_OPAD.hex()}') || unhex(sha256(unhex('{_IPAD.hex()}') ||
+          encode('{R.TC3_ALGORITHM}' || chr(10) || '{TS}' || chr(10) || '{_SCOPE}' || chr(10) || creq)))) AS sign FROM tcs)"""
+
+
+@register("form_md5", REQ_SQL + """
+SELECT doc_id, batch_no, q, md5('demo-appid' || q || '0' || 'demo-key') AS sign FROM reql WHERE provider = 'baidu'""")
+def q_form_md5(spark, sf):
+    return _requests(spark, sf).filter("provider = 'baidu'").select("doc_id", "batch_no", "q", "sign")
+
+
+@register("payload_json", REQ_SQL + """
+SELECT doc_id, batch_no, payload FROM tc""")
+def q_payload_json(spark, sf):
+    return _requests(spark, sf).filter("provider = 'tencent'").select("doc_id", "batch_no", "payload")
+
+
+@register("payload_sha256", REQ_SQL + """
+SELECT doc_id, batch_no, sha256(payload) AS hashed_payload FROM tc""")
+def q_payload_sha256(spark, sf):
+    r = _requests(spark, sf).filter("provider = 'tencent'")
+    return r.select("doc_id", "batch_no", F.sha2("payload", 256).alias("hashed_payload"))
+
+
+@register("tc3_signature", REQ_SQL + """
+SELECT doc_id, batch_no, sign AS signature FROM tsig""")
+def q_tc3_signature(spark, sf):
+    r = _requests(spark, sf).filter("provider = 'tencent'")
+    return r.select("doc_id", "batch_no", F.col("sign").alias("signature"))
+
+
+@register("auth_headers", REQ_SQL + f""",
+hdr AS (SELECT doc_id, batch_no, unnest([
+    {{'header': 'authorization', 'value': '{R.TC3_ALGORITHM} Credential=0/{_SCOPE}, SignedHeaders={R.TC3_SIGNED_HEADERS}, Signature=' || sign}},
+    {{'header': 'content-type', 'value': '{R.TC3_CONTENT_TYPE}'}},
+    {{'header': 'host', 'value': '{R.TC3_HOST}'}},
+    {{'header': 'x-tc-action', 'value': '{R.TC3_ACTION}'}},
+    {{'header': 'x-tc-version', 'value': '{R.TC3_VERSION}'}},
+    {{'header': 'x-tc-region', 'value': 'ap-beijing'}},
+    {{'header': 'x-tc-timestamp', 'value': '{TS}'}}]) AS h FROM tsig)
+SELECT doc_id, batch_no, h.header AS header, h.value AS value FROM hdr""")
+def q_auth_headers(spark, sf):
+    r = _requests(spark, sf).filter("provider = 'tencent'")
+    return r.select("doc_id", "batch_no", F.explode("headers").alias("header", "value"))
+
+
+@register("form_plain", REQ_SQL + """
+SELECT doc_id, batch_no, to_json({'src_text': q, 'from': from_lang, 'to': to_lang, 'apikey': 'demo-apikey',
+  'dictNo': 'dict-1', 'memoryNo': 'mem-1'}) AS payload FROM reql WHERE provider = 'niutrans'""")
+def q_form_plain(spark, sf):
+    return _requests(spark, sf).filter("provider = 'niutrans'").select("doc_id", "batch_no", "payload")
+
+
+@register("lang_pair", REQ_SQL + """
+SELECT provider, from_lang, to_lang,
+  CASE WHEN from_lang = 'auto' AND provider = 'niutrans' THEN 'rejected' ELSE 'ready' END AS status,
+  count(*) AS n_requests FROM reql GROUP BY ALL""")
+def q_lang_pair(spark, sf):
+    r = _requests(spark, sf)
+    return r.groupBy("provider", "from_lang", "to_lang", F.col("req_status").alias("status")).agg(F.count(F.lit(1)).alias("n_requests"))
+
+
+# --- responses ------------------------------------------------------------
+def _responses(spark, sf):
+    return P.unify_responses(T.stub_service(_requests(spark, sf)))
+
+
+RESP_SQL = REQ_SQL + f""",
+codes AS (SELECT * FROM {dims.values_sql(dims.ERROR_CODES, ['provider', 'code', 'meaning'], 'ec')}),
+too_long AS (SELECT * FROM (VALUES ('baidu', '54005', 'long query request too frequent'),
+  ('tencent', 'UnsupportedOperation.TextTooLong', 'text too long'),
+  ('niutrans', '10003', 'request text too long')) AS tl(provider, code, msg)),
+resp AS (SELECT r.doc_id, r.batch_no, r.provider,
+  CASE WHEN r.oversize THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN r.oversize THEN NULL ELSE list_transform(r.lines, lambda x: '[zh] ' || x) END AS dst,
+  CASE WHEN r.oversize THEN t.code END AS error_code,
+  CASE WHEN r.oversize THEN t.msg END AS error_msg
+  FROM reql r JOIN too_long t ON t.provider = r.provider)"""
+
+
+def _parse_q(provider):
+    def q(spark, sf):
+        r = T.stub_service(_requests(spark, sf)).filter(F.col("provider") == provider)
+        fn = {"baidu": P.parse_pairs, "tencent": P.parse_list, "niutrans": P.parse_text}[provider]
+        return fn(r).select("doc_id", "batch_no", "status", "dst", "error_code", "error_msg")
+    return q
+
+
+for _name, _prov in (("parse_pairs", "baidu"), ("parse_list", "tencent"), ("parse_text", "niutrans")):
+    register(_name, RESP_SQL + f"""
+SELECT doc_id, batch_no, status, dst, error_code, error_msg FROM resp WHERE provider = '{_prov}'""")(_parse_q(_prov))
+
+
+@register("explain_error", RESP_SQL + """
+SELECT r.doc_id, r.batch_no, r.provider, r.error_code, coalesce(c.meaning, 'unknown error') AS meaning,
+  'error code: `' || r.error_code || '`' || chr(10) || 'error message: `' || r.error_msg || '`' || chr(10) ||
+  'meaning: ' || coalesce(c.meaning, 'unknown error') || chr(10) || 'returned by the ' ||
+  CASE r.provider WHEN 'baidu' THEN 'Baidu Translate API' WHEN 'tencent' THEN 'Tencent Cloud API' ELSE 'NiuTrans API' END
+  AS error_text
+FROM resp r LEFT JOIN codes c ON c.provider = r.provider AND c.code = r.error_code WHERE r.status = 'error'""")
+def q_explain_error(spark, sf):
+    e = P.format_error(P.explain_error(_responses(spark, sf), dims.error_codes(spark)))
+    return e.filter("status = 'error'").select("doc_id", "batch_no", "provider", "error_code", "meaning", "error_text")
+
+
+@register("error_summary", RESP_SQL + """
+SELECT r.provider, r.status, r.error_code, coalesce(c.meaning, 'unknown error') AS meaning, count(*) AS n
+FROM resp r LEFT JOIN codes c ON c.provider = r.provider AND c.code = r.error_code WHERE r.status <> 'ok'
+GROUP BY ALL""")
+def q_error_summary(spark, sf):
+    return P.error_summary(P.explain_error(_responses(spark, sf), dims.error_codes(spark)))
+
+
+@register("response_lines", RESP_SQL + """,
+fl AS (SELECT doc_id, batch_no, provider, CAST(unnest(range(len(dst))) AS INTEGER) AS pos, unnest(dst) AS line
+       FROM resp WHERE status = 'ok')
+SELECT doc_id, provider, batch_no, pos, line,
+  CAST(row_number() OVER (PARTITION BY doc_id, provider ORDER BY batch_no, pos) - 1 AS INTEGER) AS line_no FROM fl""")
+def q_response_lines(spark, sf):
+    r = _responses(spark, sf)
+    ok = r.filter(F.col("status") == "ok").select("doc_id", "provider", "batch_no", F.posexplode("dst").alias("pos", "line"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("doc_id", "provider").orderBy("batch_no", "pos")
+    return ok.withColumn("line_no", (F.row_number().over(w) - 1).cast("int"))
