@@ -92,6 +92,35 @@ def _apply(c: Column, rules) -> Column:
     return c
 
 
+# Cheap tests that say whether a rule group can match at all. Prose without
+# markup then skips the regex passes entirely (they are the costly part).
+_GROUPS = [
+    (lambda t: t.contains("[") | t.contains("<"), _INLINE_RULES),
+    (lambda t: t.rlike(r"\*[^\s*]"), _EMPHASIS_RULES[:1] * 2),
+    (lambda t: t.rlike(r"_[^\s_]"), _EMPHASIS_RULES[1:2] * 2),
+    (lambda t: t.contains("~~"), _EMPHASIS_RULES[2:] * 2),
+    (lambda t: t.contains("\\"), [_ESCAPE]),
+]
+
+
+def _code_parts(src: Column):
+    codes = F.regexp_extract_all(src, F.lit(CODE_SPAN), 0)
+    return F.transform(
+        codes,
+        lambda x: F.concat(
+            F.lit("`"),
+            F.regexp_replace(F.regexp_replace(x, r"^`+|`+$", ""), r"^ ([\s\S]*[^ ][\s\S]*) $", "$1"),
+            F.lit("`"),
+        ),
+    )
+
+
+def _restore(body: Column, codes: Column) -> Column:
+    pieces = F.split(body, _SENTINEL, -1)
+    return F.array_join(F.zip_with(pieces, codes, lambda p, k: F.concat(F.coalesce(p, F.lit("")),
+                                                                       F.coalesce(k, F.lit("")))), "")
+
+
 def inline_text(c) -> Column:
     """Markdown inline markup to the text a translator should see.
 
@@ -100,27 +129,43 @@ def inline_text(c) -> Column:
     references vanish, code spans are kept with one backtick on each side.
     Code spans are swapped for a sentinel first so no rule touches them, then
     put back in order with ``zip_with``.
+
+    Single-expression form; ``with_inline_text`` is the guarded, faster form
+    for DataFrames.
     """
     src = col_of(c)
-    codes = F.regexp_extract_all(src, F.lit(CODE_SPAN), 0)
-    codes = F.transform(
-        codes,
-        lambda x: F.concat(
-            F.lit("`"),
-            F.regexp_replace(F.regexp_replace(x, r"^`+|`+$", ""), r"^ ([\s\S]*[^ ][\s\S]*) $", "$1"),
-            F.lit("`"),
-        ),
-    )
+    codes = _code_parts(src)
     body = F.regexp_replace(F.regexp_replace(src, _SENTINEL, ""), CODE_SPAN, _SENTINEL)
     body = _apply(body, _INLINE_RULES)
     body = _apply(body, _EMPHASIS_RULES)
     body = _apply(body, _EMPHASIS_RULES)
     body = _apply(body, [_ESCAPE])
     body = decode_entities(body)
-    pieces = F.split(body, _SENTINEL, -1)
-    return F.when(F.size(codes) == 0, body).otherwise(
-        F.array_join(F.zip_with(pieces, codes, lambda p, k: F.concat(F.coalesce(p, F.lit("")), F.coalesce(k, F.lit("")))), "")
-    )
+    return F.when(F.size(codes) == 0, body).otherwise(_restore(body, codes))
+
+
+def with_inline_text(df, src: str, out: str):
+    """``inline_text`` as a chain of projections, each rule group guarded by a
+    cheap test so that plain prose pays a few byte searches, not ~15 regex
+    passes. Every step is its own column, so a guard never duplicates the
+    expression it guards."""
+    tmp = "__il_"
+    t = F.col(src)
+    df = df.withColumn(tmp + "has_code", t.contains("`"))
+    has_code = F.col(tmp + "has_code")
+    df = df.withColumn(tmp + "codes", F.when(has_code, _code_parts(t)))
+    df = df.withColumn(tmp + "t", F.when(has_code, F.regexp_replace(F.regexp_replace(t, _SENTINEL, ""),
+                                                                      CODE_SPAN, _SENTINEL)).otherwise(t))
+    cur = F.col(tmp + "t")
+    for i, (guard, rules) in enumerate(_GROUPS):
+        name = f"{tmp}t{i}"
+        df = df.withColumn(name, F.when(guard(cur), _apply(cur, rules)).otherwise(cur))
+        cur = F.col(name)
+    name = tmp + "ent"
+    df = df.withColumn(name, F.when(cur.rlike("&[#A-Za-z0-9]+;"), decode_entities(cur)).otherwise(cur))
+    cur = F.col(name)
+    df = df.withColumn(out, F.when(has_code, _restore(cur, F.col(tmp + "codes"))).otherwise(cur))
+    return df.drop(*[c for c in df.columns if c.startswith(tmp)])
 
 
 def link_labels(c) -> Column:

@@ -438,3 +438,119 @@ def q_response_lines(spark, sf):
     from pyspark.sql import Window
     w = Window.partitionBy("doc_id", "provider").orderBy("batch_no", "pos")
     return ok.withColumn("line_no", (F.row_number().over(w) - 1).cast("int"))
+
+
+# --- alignment and rendering ---------------------------------------------
+from interlinear.operators import align as A  # noqa: E402
+from interlinear.plans import jobs as J  # noqa: E402
+
+
+def _tencent_pipeline(spark, sf):
+    """Corpus A at the 2000-char provider limit through the stub service."""
+    segs = _segs_a(spark, sf)
+    batched = B.batch_segments(segs, 2000, "chars")
+    bt = B.batch_text(batched).withColumn("provider", F.lit("tencent")) \
+          .withColumn("from_lang", F.lit("en")).withColumn("to_lang", F.lit("zh"))
+    resp = P.unify_responses(T.stub_service(R.build_requests(bt, DEMO, TS)))
+    ok = resp.filter(F.col("status") == "ok")
+    lines = ok.select("doc_id", "batch_no", F.posexplode("dst").alias("pos", "line"))
+    return segs, batched, lines
+
+
+ALIGN_SQL = f"""WITH RECURSIVE {SEG_A}, {greedy_sql('seg_a_len', '2000', "'chars'")},
+sb AS (SELECT s.*, CAST(r.batch_no AS INTEGER) AS batch_no FROM seg_a_len s JOIN r USING (doc_id, seg_no)),
+bs AS (SELECT doc_id, batch_no, count(*) AS n_seg, sum(n_chars) AS units FROM sb GROUP BY ALL),
+sbo AS (SELECT sb.*, NOT (bs.n_seg = 1 AND bs.units > 2000) AS ok FROM sb JOIN bs USING (doc_id, batch_no)),
+okl AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) - 1 AS INTEGER) AS line_no,
+          '[zh] ' || text AS line FROM sbo WHERE ok)"""
+
+
+@register("align_positional", ALIGN_SQL + """
+SELECT s.doc_id, s.seg_no, o.line AS translation FROM sbo s LEFT JOIN okl o ON o.doc_id = s.doc_id AND o.line_no = s.seg_no""")
+def q_align_positional(spark, sf):
+    segs, batched, lines = _tencent_pipeline(spark, sf)
+    return A.align_positional(segs, T.number_lines(lines)).select("doc_id", "seg_no", "translation")
+
+
+@register("align_keyed", ALIGN_SQL + """
+SELECT doc_id, seg_no, CASE WHEN ok THEN '[zh] ' || text END AS translation FROM sbo""")
+def q_align_keyed(spark, sf):
+    segs, batched, lines = _tencent_pipeline(spark, sf)
+    return A.align_keyed(batched, lines).select("doc_id", "seg_no", "translation")
+
+
+@register("missing_translation", ALIGN_SQL + """
+SELECT doc_id, seg_no, batch_no FROM sbo WHERE NOT ok""")
+def q_missing_translation(spark, sf):
+    segs, batched, lines = _tencent_pipeline(spark, sf)
+    return A.missing_translation(A.align_keyed(batched, lines)).select("doc_id", "seg_no", "batch_no")
+
+
+@register("extra_translation", ALIGN_SQL + """
+SELECT o.doc_id, o.line_no, o.line FROM okl o ANTI JOIN sbo s ON s.doc_id = o.doc_id AND s.seg_no = o.line_no""")
+def q_extra_translation(spark, sf):
+    segs, batched, lines = _tencent_pipeline(spark, sf)
+    return A.extra_translation(segs, T.number_lines(lines)).select("doc_id", "line_no", "line")
+
+
+@register("alignment_report", ALIGN_SQL + """
+SELECT doc_id, batch_no, CAST(count(*) AS BIGINT) AS n_segments,
+  CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_lines,
+  CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra
+FROM sbo GROUP BY doc_id, batch_no""")
+def q_alignment_report(spark, sf):
+    segs, batched, lines = _tencent_pipeline(spark, sf)
+    return A.alignment_report(batched, lines)
+
+
+def _status_sql(fail_expr: str, total_expr: str) -> str:
+    return f"""CASE WHEN {fail_expr} = 0 THEN 'ok' WHEN {fail_expr} < {total_expr} THEN 'partial' ELSE 'failed' END"""
+
+
+_CHAT_OK = f"length(replace(text, {NL}, ' ')) + 1 <= 2000"
+
+
+@register("render_chat", f"""SELECT conv_id, turn,
+  '## ' || role || {NL} || {NL} || '## [zh] ' || role || {NL} || {NL} || text ||
+  CASE WHEN {_CHAT_OK} THEN {NL} || {NL} || '[zh] ' || replace(text, {NL}, ' ') ELSE '' END || {NL} AS rendered,
+  CASE WHEN {_CHAT_OK} THEN 'ok' ELSE 'partial' END AS status FROM conversations""")
+def q_render_chat(spark, sf):
+    out = J.translate_corpus(C.chat_corpus(spark, sf), J.JobConfig(materialize="none"))
+    return out.select(F.col("doc_id.conv_id").alias("conv_id"), F.col("doc_id.turn").alias("turn"), "rendered", "status")
+
+
+@register("render_table", f"""SELECT event_id AS doc_id,
+  '|event_type' || chr(9) || '[zh] event_type|user_id' || chr(9) || '[zh] user_id|' || {NL} ||
+  '| --- | ---: |' || {NL} || '|' || event_type || chr(9) || '[zh] ' || event_type || '|' ||
+  CAST(user_id AS VARCHAR) || chr(9) || '[zh] ' || CAST(user_id AS VARCHAR) || '|' || {NL} || {NL} ||
+  '```json' || {NL} || props || {NL} || '```' || {NL} || {NL} || 'Event ' || CAST(event_id AS VARCHAR) ||
+  {NL} || {NL} || '[zh] Event ' || CAST(event_id AS VARCHAR) || {NL} AS rendered FROM events""")
+def q_render_table(spark, sf):
+    out = J.translate_corpus(C.sheet_corpus(spark, sf), J.JobConfig(materialize="none"))
+    return out.select("doc_id", "rendered")
+
+
+_CORPUS_SQL = f"""WITH {SEG_A},
+p1 AS (SELECT doc_id, seg_no, text, length(text) + 1 <= 2000 AS ok FROM seg_a)"""
+
+
+@register("translate_corpus", _CORPUS_SQL + f"""
+SELECT doc_id, string_agg(text || CASE WHEN ok THEN {NL} || {NL} || '[zh] ' || text ELSE '' END, {NL} || {NL}
+  ORDER BY seg_no) AS rendered,
+  {_status_sql('sum(CASE WHEN ok THEN 0 ELSE 1 END)', 'count(*)')} AS status
+FROM p1 GROUP BY doc_id""")
+def q_translate_corpus(spark, sf):
+    out = J.translate_corpus(C.lines_corpus(spark, sf), J.JobConfig())
+    return out.select("doc_id", "rendered", "status")
+
+
+@register("retranslate", _CORPUS_SQL + f""",
+p2 AS (SELECT doc_id, seg_no * 2 AS k, text FROM p1 UNION ALL SELECT doc_id, seg_no * 2 + 1, '[zh] ' || text FROM p1 WHERE ok),
+p2o AS (SELECT *, length(text) + 1 <= 2000 AS ok FROM p2)
+SELECT doc_id, string_agg(text || CASE WHEN ok THEN {NL} || {NL} || '[zh] ' || text ELSE '' END, {NL} || {NL}
+  ORDER BY k) AS rendered,
+  {_status_sql('sum(CASE WHEN ok THEN 0 ELSE 1 END)', 'count(*)')} AS status
+FROM p2o GROUP BY doc_id""")
+def q_retranslate(spark, sf):
+    out = J.retranslate(C.lines_corpus(spark, sf), J.JobConfig())
+    return out.select("doc_id", "rendered", "status")
