@@ -554,3 +554,80 @@ FROM p2o GROUP BY doc_id""")
 def q_retranslate(spark, sf):
     out = J.retranslate(C.lines_corpus(spark, sf), J.JobConfig())
     return out.select("doc_id", "rendered", "status")
+
+
+# --- code comments and HTML ---------------------------------------------
+from interlinear.operators import comments as CM  # noqa: E402
+from interlinear.operators import html as H  # noqa: E402
+
+_SNIP = f"""sn AS (SELECT s_suppkey AS doc_id, s_name, s_nationkey,
+  '//! ' || s_name || ' module' AS c0,
+  '// nation ' || CAST(s_nationkey AS VARCHAR) AS c1,
+  '/* key ' || CAST(s_suppkey AS VARCHAR) || ' */' AS c2,
+  'fn balance() -> i64 {{' AS l1,
+  '    let x = "http://example.com/' || CAST(s_suppkey AS VARCHAR) || '"; ' AS l3a FROM supplier),
+snc AS (SELECT *, c0 || {NL} || l1 || {NL} || '    ' || c1 || {NL} || l3a || c2 || {NL} || '    x' || {NL} || '}}' || {NL} AS code
+  FROM sn)"""
+
+
+@register("code_blocks", f"""WITH {_SNIP}
+SELECT doc_id, 0 AS block_no, 'rust' AS lang, code FROM snc""")
+def q_code_blocks(spark, sf):
+    return CM.code_blocks(C.code_corpus(spark, sf))
+
+
+@register("code_comments", f"""WITH {_SNIP},
+o AS (SELECT *, strlen(c0) + 1 + strlen(l1) + 1 + 4 AS f1,
+        strlen(c0) + 1 + strlen(l1) + 1 + 4 + strlen(c1) + 1 + strlen(l3a) AS f2 FROM snc)
+SELECT doc_id, 0 AS block_no, 0 AS idx, CAST(0 AS BIGINT) AS "from", CAST(strlen(c0) AS BIGINT) AS "to",
+       '! ' || s_name || ' module' AS comment FROM o
+UNION ALL SELECT doc_id, 0, 1, CAST(f1 AS BIGINT), CAST(f1 + strlen(c1) AS BIGINT),
+       'nation ' || CAST(s_nationkey AS VARCHAR) FROM o
+UNION ALL SELECT doc_id, 0, 2, CAST(f2 AS BIGINT), CAST(f2 + strlen(c2) AS BIGINT),
+       '* key ' || CAST(doc_id AS VARCHAR) || ' */' FROM o""")
+def q_code_comments(spark, sf):
+    return CM.code_comments(CM.code_blocks(C.code_corpus(spark, sf))).select(
+        "doc_id", "block_no", F.col("idx").cast("int").alias("idx"), "from", "to", "comment")
+
+
+def _comment_translations(spark, sf):
+    blocks = CM.code_blocks(C.code_corpus(spark, sf))
+    tr = CM.code_comments(blocks).select("doc_id", "block_no", "idx", T.stub_line(F.col("comment")).alias("translation"))
+    return blocks, tr
+
+
+@register("insert_comment_translations", f"""WITH {_SNIP}
+SELECT doc_id, 0 AS block_no, 'rust' AS lang,
+  c0 || {NL} || '// [zh] ! ' || s_name || ' module' || {NL} || l1 || {NL} || '    ' || c1 || {NL} ||
+  '// [zh] nation ' || CAST(s_nationkey AS VARCHAR) || {NL} || l3a || c2 || {NL} ||
+  '// [zh] * key ' || CAST(doc_id AS VARCHAR) || ' */' || {NL} || '    x' || {NL} || '}}' || {NL} AS code_out FROM snc""")
+def q_insert_comment_translations(spark, sf):
+    blocks, tr = _comment_translations(spark, sf)
+    return CM.insert_comment_translations(blocks, tr)
+
+
+def _ent_sql(x: str) -> str:
+    from interlinear.functions.text import NAMED_ENTITIES
+    for name, value in NAMED_ENTITIES:
+        v = value.replace("'", "''")
+        x = f"replace({x}, '{name}', '{v}')"
+    return x
+
+
+@register("html_inner_text", "SELECT page_id, trim(regexp_replace(" + _ent_sql(
+    "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
+    "'(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g')")
+    + ", '\\s+', ' ', 'g')) AS text FROM pages")
+def q_html_inner_text(spark, sf):
+    from interlinear.sources.tables import load
+    return H.html_inner_text(load(spark, sf, "pages"))
+
+
+@register("html_tag_text", "SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, " + _ent_sql(
+    "regexp_replace(raw, '<[^>]*>', '', 'g')") + """ AS text FROM (
+  SELECT page_id, unnest(m) AS raw, unnest(range(1, len(m) + 1)) AS pos FROM (
+    SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+      '(?is)<p(?:\\s[^>]*)?>(.*?)</p\\s*>', 1) AS m FROM pages))""")
+def q_html_tag_text(spark, sf):
+    from interlinear.sources.tables import load
+    return H.html_tag_text(load(spark, sf, "pages"), "p")

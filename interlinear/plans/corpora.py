@@ -75,3 +75,17 @@ def tail_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "conversations")
     items = F.concat(F.lit("- "), F.replace(F.col("text"), F.lit(NL), F.lit(NL + "- ")))
     return c.select(_turn_key(), F.concat(F.lit("## "), "role", F.lit(NL + NL), items, F.lit(NL)).alias("text"))
+
+
+def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H: per supplier a paragraph and a fenced Rust snippet with a line
+    comment, a doc comment, a block comment and a string holding ``//``."""
+    s = load(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(
+        F.lit("Supplier "), "s_name", F.lit(NL + NL + "```Rust, ignored" + NL + "//! "), "s_name",
+        F.lit(" module" + NL + "fn balance() -> i64 {" + NL + "    // nation "), F.col("s_nationkey").cast("string"),
+        F.lit(NL + '    let x = "http://example.com/'), k, F.lit('"; /* key '), k,
+        F.lit(" */" + NL + "    x" + NL + "}" + NL + "```" + NL),
+    )
+    return s.select(F.col("s_suppkey").alias("doc_id"), text.alias("text"))
