@@ -631,3 +631,78 @@ def q_html_inner_text(spark, sf):
 def q_html_tag_text(spark, sf):
     from interlinear.sources.tables import load
     return H.html_tag_text(load(spark, sf, "pages"), "p")
+
+
+# --- sources, planning and sinks -----------------------------------------
+from interlinear.operators import planning as O  # noqa: E402
+from interlinear.sources import files as S  # noqa: E402
+from interlinear.sources.tables import load as _load  # noqa: E402
+
+
+def _doc_paths(spark, sf):
+    d = _load(spark, sf, "documents").select("doc_id", "source")
+    return d.select(
+        "doc_id",
+        F.concat(F.lit("/corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
+        F.concat(F.lit("/corpus/"), "source", F.lit(".d/"), F.col("doc_id").cast("string")).alias("bare_path"),
+        F.concat(F.lit("/corpus/"), "source", F.lit("/")).alias("dir"),
+        F.concat(F.lit("/corpus/"), "source", F.lit(".v1")).alias("dotted_dir"),
+        F.lit("zh").alias("to_lang"))
+
+
+@register("output_paths", """SELECT doc_id,
+  '/corpus/' || source || '/' || CAST(doc_id AS VARCHAR) || '-zh.md' AS out_path,
+  '/corpus/' || source || '.d/' || CAST(doc_id AS VARCHAR) || '-zh' AS out_bare,
+  '/corpus/' || source || '-zh' AS out_dir,
+  '/corpus/' || source || '-zh' AS out_dotted_dir,
+  '/corpus/' || source || '-zh/' || CAST(doc_id AS VARCHAR) || '.md' AS dir_out FROM documents""")
+def q_output_paths(spark, sf):
+    p = _doc_paths(spark, sf)
+    return p.select(
+        "doc_id",
+        O.output_file_path("path", "to_lang").alias("out_path"),
+        O.output_file_path("bare_path", "to_lang").alias("out_bare"),
+        O.output_dir_path("dir", "to_lang").alias("out_dir"),
+        O.output_dir_path("dotted_dir", "to_lang").alias("out_dotted_dir"),
+        O.dir_output_path(O.output_dir_path("dir", "to_lang"), "path").alias("dir_out"))
+
+
+@register("pair_inputs_outputs", """SELECT coalesce(d.doc_id, l.doc_id) AS ordinal,
+  '/corpus/' || d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.md' AS path,
+  '/out/' || CAST(l.doc_id AS VARCHAR) || '.md' AS out_path,
+  CASE WHEN d.doc_id IS NULL OR l.doc_id IS NULL THEN 'count_mismatch' ELSE 'paired' END AS status
+FROM documents d FULL OUTER JOIN labels l ON l.doc_id = d.doc_id""")
+def q_pair_inputs_outputs(spark, sf):
+    ins = _doc_paths(spark, sf).select(F.col("doc_id").alias("ordinal"), "path")
+    outs = _load(spark, sf, "labels").select(
+        F.col("doc_id").alias("ordinal"), F.concat(F.lit("/out/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("out_path"))
+    return O.pair_inputs_outputs(ins, outs).select("ordinal", "path", "out_path", "status")
+
+
+@register("skip_existing", """SELECT d.doc_id, '/corpus/' || d.source || '/' || CAST(d.doc_id AS VARCHAR) || '-zh.md' AS out_path,
+  CASE WHEN d.doc_id IN (SELECT doc_id FROM labels) THEN 'skip' ELSE 'todo' END AS status FROM documents d""")
+def q_skip_existing(spark, sf):
+    work = _doc_paths(spark, sf).select("doc_id", O.output_file_path("path", "to_lang").alias("out_path"))
+    # outputs already on disk: the labelled documents were translated before
+    existing = _load(spark, sf, "labels").join(_doc_paths(spark, sf), "doc_id").select(
+        O.output_file_path("path", "to_lang").alias("path"))
+    todo, skipped = O.skip_existing(work, existing)
+    return todo.withColumn("status", F.lit("todo")).unionByName(skipped.withColumn("status", F.lit("skip")))
+
+
+@register("inline_docs", f"""SELECT conv_id AS request_id, string_agg(text, {NL} || {NL} ORDER BY turn) AS content,
+  'query' AS doc_kind FROM conversations GROUP BY conv_id""")
+def q_inline_docs(spark, sf):
+    c = _load(spark, sf, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("pos"), "text")
+    return S.inline_docs(c)
+
+
+@register("read_files")
+def q_read_files(spark, sf):
+    """Rows-only: every driver table file read as one raw document; parquet
+    bytes are not UTF-8, so each is reported ``invalid_utf8``."""
+    import glob
+    import os
+    paths = sorted(glob.glob(os.path.join(sf, "*.parquet")))
+    return S.read_files(spark, paths).select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), "doc_kind", "status", "n_bytes")
