@@ -144,28 +144,60 @@ def inline_text(c) -> Column:
     return F.when(F.size(codes) == 0, body).otherwise(_restore(body, codes))
 
 
+def sql_str(s: str) -> str:
+    """A Python string as a Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _apply_sql(x: str, rules) -> str:
+    for pat, rep in rules:
+        x = f"regexp_replace({x}, {sql_str(pat)}, {sql_str(rep)})"
+    return x
+
+
+# SQL forms of the guards in _GROUPS (same order)
+_GUARDS_SQL = [
+    "(contains({t}, '[') or contains({t}, '<'))",
+    "({t} rlike " + sql_str(r"\*[^\s*]") + ")",
+    "({t} rlike " + sql_str(r"_[^\s_]") + ")",
+    "contains({t}, '~~')",
+    "contains({t}, " + sql_str("\\") + ")",
+]
+
+
 def with_inline_text(df, src: str, out: str):
     """``inline_text`` as a chain of projections, each rule group guarded by a
     cheap test so that plain prose pays a few byte searches, not ~15 regex
     passes. Every step is its own column, so a guard never duplicates the
-    expression it guards."""
+    expression it guards; steps are SQL expressions (one call each)."""
     tmp = "__il_"
-    t = F.col(src)
-    df = df.withColumn(tmp + "has_code", t.contains("`"))
-    has_code = F.col(tmp + "has_code")
-    df = df.withColumn(tmp + "codes", F.when(has_code, _code_parts(t)))
-    df = df.withColumn(tmp + "t", F.when(has_code, F.regexp_replace(F.regexp_replace(t, _SENTINEL, ""),
-                                                                      CODE_SPAN, _SENTINEL)).otherwise(t))
-    cur = F.col(tmp + "t")
-    for i, (guard, rules) in enumerate(_GROUPS):
+    code_parts = (f"transform(regexp_extract_all(`{src}`, {sql_str(CODE_SPAN)}, 0), x -> concat('`', "
+                  f"regexp_replace(regexp_replace(x, {sql_str('^`+|`+$')}, ''), {sql_str(r'^ ([\s\S]*[^ ][\s\S]*) $')},"
+                  f" '$1'), '`'))")
+    df = df.selectExpr("*", f"contains(`{src}`, '`') as {tmp}has_code")
+    df = df.selectExpr(
+        "*", f"case when {tmp}has_code then {code_parts} end as {tmp}codes",
+        f"case when {tmp}has_code then regexp_replace(regexp_replace(`{src}`, {sql_str(_SENTINEL)}, ''),"
+        f" {sql_str(CODE_SPAN)}, {sql_str(_SENTINEL)}) else `{src}` end as {tmp}t")
+    # Each step names its input once, through a one-element lambda, so that
+    # an optimizer rewrite substituting the previous step (e.g. a filter on
+    # the result pushed below these projections) grows the expression
+    # linearly instead of tripling it at every step.
+    cur = f"{tmp}t"
+    for i, ((_, rules), guard) in enumerate(zip(_GROUPS, _GUARDS_SQL)):
         name = f"{tmp}t{i}"
-        df = df.withColumn(name, F.when(guard(cur), _apply(cur, rules)).otherwise(cur))
-        cur = F.col(name)
-    name = tmp + "ent"
-    df = df.withColumn(name, F.when(cur.rlike("&[#A-Za-z0-9]+;"), decode_entities(cur)).otherwise(cur))
-    cur = F.col(name)
-    df = df.withColumn(out, F.when(has_code, _restore(cur, F.col(tmp + "codes"))).otherwise(cur))
-    return df.drop(*[c for c in df.columns if c.startswith(tmp)])
+        body = f"case when {guard.format(t='v')} then {_apply_sql('v', rules)} else v end"
+        df = df.selectExpr("*", f"element_at(transform(array({cur}), v -> {body}), 1) as {name}")
+        cur = name
+    ent = "v"
+    for name_, value in NAMED_ENTITIES:
+        ent = f"replace({ent}, {sql_str(name_)}, {sql_str(value)})"
+    df = df.selectExpr("*", f"element_at(transform(array({cur}), v -> case when v rlike '&[#A-Za-z0-9]+;'"
+                            f" then {ent} else v end), 1) as {tmp}ent")
+    restore = (f"array_join(zip_with(split({tmp}ent, {sql_str(_SENTINEL)}, -1), {tmp}codes,"
+               f" (p, k) -> concat(coalesce(p, ''), coalesce(k, ''))), '')")
+    keep = [f"`{c}`" for c in df.columns if not c.startswith(tmp) and c != out]
+    return df.selectExpr(*keep, f"case when {tmp}has_code then {restore} else {tmp}ent end as `{out}`")
 
 
 def link_labels(c) -> Column:

@@ -44,6 +44,15 @@ def greedy_starts(lens, limit):
     return F.aggregate(lens, init, step)["starts"]
 
 
+GREEDY_SQL = (
+    "aggregate({lens}, named_struct('acc', cast(-1 as bigint), 'starts', cast(array() as array<int>)),"
+    " (s, x) -> named_struct("
+    "'acc', case when s.acc < 0 or s.acc + x.n > {lim} then x.n else s.acc + x.n end,"
+    "'starts', case when s.acc < 0 or s.acc + x.n > {lim} then array_append(s.starts, x.seg_no) else s.starts end"
+    ")).starts"
+)
+
+
 def assign_batches(segs: DataFrame, key: str = "doc_id", extra_keys: list[str] | None = None,
                    limit_col: str = "limit_value", unit_col: str = "limit_unit") -> DataFrame:
     """Segments (with limit columns) -> segments with ``batch_no``.
@@ -53,25 +62,24 @@ def assign_batches(segs: DataFrame, key: str = "doc_id", extra_keys: list[str] |
     of markers + segments followed by a running ``last`` window numbers them.
     """
     keys = [key] + list(extra_keys or [])
-    body = segs.filter(~F.col("is_tail"))
+    kl = [f"`{c}`" for c in keys + [limit_col, unit_col]]
+    kk = ", ".join(kl)
+    body = segs.filter("not is_tail")
     cols = ["seg_no"] + [c for c in body.columns if c not in keys + [limit_col, unit_col, "seg_no"]]
     gathered = body.groupBy(*keys, limit_col, unit_col).agg(
-        F.array_sort(F.collect_list(F.struct(*cols))).alias("segs"))
-    lens = F.transform("segs", lambda x: F.struct(
-        x["seg_no"].alias("seg_no"),
-        F.when(F.col(unit_col) == "bytes", x["n_bytes"]).otherwise(x["n_chars"]).alias("n")))
-    starts = greedy_starts(lens, F.col(limit_col))
-    row_type = body.select(F.struct(*cols).alias("r")).schema["r"].dataType
-    markers = F.transform(starts, lambda s, i: F.struct(s.alias("seg_no"), F.lit(0).alias("o"), i.alias("b"),
-                                                         F.lit(None).cast(row_type).alias("r")))
-    rows = F.transform("segs", lambda x: F.struct(x["seg_no"].alias("seg_no"), F.lit(1).alias("o"),
-                                                   F.lit(None).cast("int").alias("b"), x.alias("r")))
-    both = gathered.select(*keys, limit_col, unit_col, F.explode(F.concat(markers, rows)).alias("e"))
-    w = Window.partitionBy(*keys, limit_col, unit_col).orderBy(F.col("e.seg_no"), F.col("e.o")) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("batch_no", F.last(F.col("e.b"), True).over(w).cast("int"))
-    out = both.filter(F.col("e.o") == 1)
-    return out.select(*keys, limit_col, unit_col, *[F.col("e.r")[c].alias(c) for c in cols], "batch_no")
+        F.expr(f"array_sort(collect_list(struct({', '.join(f'`{c}`' for c in cols)})))").alias("segs"))
+    lens = (f"transform(segs, x -> named_struct('seg_no', x.seg_no, 'n',"
+            f" case when `{unit_col}` = 'bytes' then x.n_bytes else x.n_chars end))")
+    starts = GREEDY_SQL.format(lens=lens, lim=f"`{limit_col}`")
+    row_type = body.select(F.struct(*cols).alias("r")).schema["r"].dataType.simpleString()
+    both = gathered.selectExpr(
+        *kl, f"explode(concat("
+            f"transform({starts}, (s, i) -> named_struct('seg_no', s, 'o', 0, 'b', i, 'r', cast(null as {row_type}))),"
+            f"transform(segs, x -> named_struct('seg_no', x.seg_no, 'o', 1, 'b', cast(null as int), 'r', x)))) as e")
+    both = both.selectExpr(
+        "*", f"cast(last(e.b, true) over (partition by {kk} order by e.seg_no, e.o"
+             " rows between unbounded preceding and current row) as int) as batch_no")
+    return both.filter("e.o = 1").selectExpr(*kl, *[f"e.r.`{c}` as `{c}`" for c in cols], "batch_no")
 
 
 def with_limit(segs: DataFrame, limit: int, unit: str) -> DataFrame:
@@ -124,20 +132,17 @@ def batch_text(batched: DataFrame, key: str = "doc_id", extra_keys: list[str] |
     """
     keys = [key] + list(extra_keys or [])
     g = batched.groupBy(*keys, "limit_unit", "limit_value", "batch_no").agg(
-        F.array_sort(F.collect_list(F.struct("seg_no", "text"))).alias("parts"),
-        F.min("seg_no").alias("first_seg"),
-        F.max("seg_no").alias("last_seg"),
-        F.count(F.lit(1)).alias("n_segments"),
-        F.sum("n_bytes").alias("n_bytes"),
-        F.sum("n_chars").alias("n_chars"),
-    )
-    units = F.when(F.col("limit_unit") == "bytes", F.col("n_bytes")).otherwise(F.col("n_chars"))
-    return g.select(
-        *keys, "limit_unit", "limit_value", "batch_no", "first_seg", "last_seg", "n_segments",
-        F.array_join(F.transform("parts", lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("text"),
-        "n_bytes", "n_chars",
-        ((F.col("n_segments") == 1) & (units > F.col("limit_value"))).alias("oversize"),
+        F.expr("array_sort(collect_list(struct(seg_no, text)))").alias("parts"),
+        F.expr("min(seg_no)").alias("first_seg"),
+        F.expr("max(seg_no)").alias("last_seg"),
+        F.expr("count(1)").alias("n_segments"),
+        F.expr("sum(n_bytes)").alias("n_bytes"),
+        F.expr("sum(n_chars)").alias("n_chars"),
     )
+    return g.selectExpr(
+        *[f"`{c}`" for c in keys], "limit_unit", "limit_value", "batch_no", "first_seg", "last_seg", "n_segments",
+        "array_join(transform(parts, x -> concat(x.text, '\\n')), '') as text", "n_bytes", "n_chars",
+        "n_segments = 1 and (case when limit_unit = 'bytes' then n_bytes else n_chars end) > limit_value as oversize")
 
 
 def whole_batches(segs: DataFrame, key: str = "doc_id") -> DataFrame:

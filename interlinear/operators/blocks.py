@@ -48,164 +48,143 @@ def distribute_docs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.repartition(key)
 
 
-def _w(key):
-    return Window.partitionBy(key).orderBy("line_no")
+def _sql_str(s: str) -> str:
+    """A Python string as a Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
                 distribute: bool = True) -> DataFrame:
     """One row per source line with its block classification.
 
-    Output columns: key, line_no, line, qdepth, body, ind, kind, level,
-    content, is_blank, in_list, list_id, loose, cont (paragraph continuation).
+    Output columns: key, line_no, qdepth, body, ind, is_blank, in_list,
+    list_id, item_ind, loose, kind, level, content.
 
     kind is one of: blank, fence, code, html, heading, setext, hr, item, text,
     footdef, linkdef, table_head, table_delim, table_row.
+
+    Written as Spark SQL expressions (one ``selectExpr`` per dependency
+    level): the same plan as the Column API, built with a handful of calls.
     """
     src = docs.select(key, text_col)
     if distribute:
         src = distribute_docs(src, key)
-    lines = src.select(
-        key, F.posexplode(F.split(F.col(text_col), r"\r?\n", -1)).alias("line_no", "line")
-    )
-    qp = F.regexp_extract("line", _QUOTE_PREFIX, 1)
-    lines = lines.select(
-        key, "line_no", "line",
-        (F.length(qp) - F.length(F.replace(qp, F.lit(">"), F.lit("")))).alias("qdepth"),
-        F.substring(F.col("line"), F.length(qp) + 1, 1 << 30).alias("body"),
-    )
-    b = F.col("body")
-    # Every block start is decided by the first non-blank character, so each
-    # block regex only runs on lines whose first character can start that
-    # block; plain prose lines pay one cheap test instead of a dozen scans.
-    lines = lines.select("*", F.substring(F.ltrim(b, F.lit(" \t")), 1, 1).alias("c0"))
-    c0 = F.col("c0")
+    k = f"`{key}`"
+    W = f"over (partition by {k} order by line_no"
+    RUN = f"{W} rows between unbounded preceding and current row)"
+    NB = f"{W})"
 
     def rx(chars, pat):
-        return F.when(c0.isin(*chars), b.rlike(pat)).otherwise(F.lit(False))
+        cs = ", ".join(_sql_str(c) for c in chars)
+        return f"(c0 in ({cs}) and body rlike {_sql_str(pat)})"
 
     digits = list("0123456789")
-    lines = lines.select(
-        "*",
-        (F.length(b) - F.length(F.ltrim(b))).alias("ind"),
-        (c0 == "").alias("is_blank"),
-        rx(["`", "~"], _FENCE).alias("fence"),
-        rx(["#"], _ATX).alias("atx"),
-        rx(["-", "*", "_"], _HR).alias("hr0"),
-        rx(["=", "-"], _SETEXT).alias("setext0"),
-        rx(["-", "*", "+"] + digits, _ITEM).alias("item0"),
-        (rx(["|", "-", ":"], _DELIM_ROW) & b.contains("|")).alias("delim0"),
-        b.contains("|").alias("pipe"),
-        (rx(["<"], _HTML_COND_1_5) | rx(["<"], _HTML_COND_6)).alias("html_a"),
-        rx(["<"], _HTML_COND_7).alias("html_b"),
-        rx(["["], _FOOTDEF).alias("footdef"),
-        rx(["["], _LINKDEF).alias("linkdef0"),
+    lines = src.selectExpr(k, f"posexplode(split(`{text_col}`, '\\r?\\n', -1)) as (line_no, line)")
+    lines = lines.selectExpr("*", f"regexp_extract(line, {_sql_str(_QUOTE_PREFIX)}, 1) as qp")
+    lines = lines.selectExpr(
+        k, "line_no", "length(qp) - length(replace(qp, '>', '')) as qdepth",
+        "substring(line, length(qp) + 1) as body")
+    # Every block start is decided by the first non-blank character, so each
+    # block regex only runs on lines whose first character can start that
+    # block; plain prose lines pay one cheap test instead of a dozen scans.
+    lines = lines.selectExpr("*", "substring(ltrim(' \t', body), 1, 1) as c0",
+                             "length(body) - length(ltrim(body)) as ind")
+    lines = lines.selectExpr(
+        k, "line_no", "qdepth", "body", "ind",
+        "c0 = '' as is_blank",
+        f"{rx(['`', '~'], _FENCE)} as fence",
+        f"{rx(['#'], _ATX)} as atx",
+        f"{rx(['-', '*', '_'], _HR)} as hr0",
+        f"{rx(['=', '-'], _SETEXT)} as setext0",
+        f"{rx(['-', '*', '+'] + digits, _ITEM)} as item0",
+        f"({rx(['|', '-', ':'], _DELIM_ROW)} and contains(body, '|')) as delim0",
+        "contains(body, '|') as pipe",
+        f"({rx(['<'], _HTML_COND_1_5)} or {rx(['<'], _HTML_COND_6)}) as html_a",
+        f"{rx(['<'], _HTML_COND_7)} as html_b",
+        f"{rx(['['], _FOOTDEF)} as footdef",
+        f"{rx(['['], _LINKDEF)} as linkdef0",
     )
-    w = _w(key)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # pass 1: fenced code parity, neighbours
-    lines = lines.select(
+    lines = lines.selectExpr(
+        "*",
+        f"sum(cast(fence as int)) {RUN} % 2 = 1 as fodd",
+        f"lag(is_blank, 1, true) {NB} as prev_blank",
+        f"lag(qdepth, 1, 0) {NB} as prev_q",
+        f"lead(delim0, 1, false) {NB} as next_delim",
+    )
+    lines = lines.selectExpr(
+        "*", "(fodd or fence) as code_f", "(atx or hr0 or fence) as structural")
+    lines = lines.selectExpr(
         "*",
-        (F.sum(F.col("fence").cast("int")).over(run) % 2 == 1).alias("fodd"),
-        F.lag("is_blank", 1, True).over(w).alias("prev_blank"),
-        F.lag("qdepth", 1, 0).over(w).alias("prev_q"),
-        F.lead("delim0", 1, False).over(w).alias("next_delim"),
+        # table header: pipes on this line, delimiter row on the next
+        "(not code_f and pipe and next_delim and not is_blank) as head",
+        "(not code_f and (html_a or (html_b and prev_blank))) as html_start",
+        "(is_blank or structural or html_a or qdepth != prev_q) as tbl_break",
+        "((not is_blank and not item0 and ind < 2 and prev_blank) or ((structural or html_a) and ind < 2)"
+        " or qdepth != prev_q) as list_break",
     )
-    code_f = F.col("fodd") | F.col("fence")
-    structural = F.col("atx") | F.col("hr0") | F.col("fence")
-    # table header: pipes on this line, delimiter row on the next
-    head = ~code_f & F.col("pipe") & F.col("next_delim") & ~F.col("is_blank")
-    html_start = ~code_f & (F.col("html_a") | (F.col("html_b") & F.col("prev_blank")))
-    tbl_break = F.col("is_blank") | structural | F.col("html_a") | (F.col("qdepth") != F.col("prev_q"))
-    list_break = (
-        (~F.col("is_blank") & ~F.col("item0") & (F.col("ind") < 2) & F.col("prev_blank"))
-        | ((structural | F.col("html_a")) & (F.col("ind") < 2))
-        | (F.col("qdepth") != F.col("prev_q"))
+    lines = lines.selectExpr(
+        "*",
+        f"last(case when head then line_no end, true) {RUN} as last_head",
+        f"last(case when tbl_break then line_no end, true) {RUN} as last_tbrk",
+        f"last(case when html_start then line_no end, true) {RUN} as last_html",
+        f"last(case when is_blank then line_no end, true) {RUN} as last_blank",
+        f"last(case when item0 and not code_f and not hr0 then line_no end, true) {RUN} as last_item",
+        f"last(case when list_break then line_no end, true) {RUN} as last_lbrk",
     )
-    lines = lines.select(
+    lines = lines.selectExpr(
         "*",
-        head.alias("head"),
-        html_start.alias("html_start"),
-        F.last(F.when(head, F.col("line_no")), True).over(run).alias("last_head"),
-        F.last(F.when(tbl_break, F.col("line_no")), True).over(run).alias("last_tbrk"),
-        F.last(F.when(html_start, F.col("line_no")), True).over(run).alias("last_html"),
-        F.last(F.when(F.col("is_blank"), F.col("line_no")), True).over(run).alias("last_blank"),
-        F.last(F.when(F.col("item0") & ~code_f & ~F.col("hr0"), F.col("line_no")), True).over(run).alias("last_item"),
-        F.last(F.when(list_break, F.col("line_no")), True).over(run).alias("last_lbrk"),
+        "(last_head is not null and (last_tbrk is null or last_head > last_tbrk)) as in_table",
+        "(not code_f and last_html is not null and (last_blank is null or last_html > last_blank)) as in_html",
+        "(last_item is not null and (last_lbrk is null or last_item > last_lbrk)) as in_list",
     )
-    in_table = F.col("last_head").isNotNull() & (F.col("last_tbrk").isNull() | (F.col("last_head") > F.col("last_tbrk")))
-    in_html = ~code_f & F.col("last_html").isNotNull() & (F.col("last_blank").isNull() | (F.col("last_html") > F.col("last_blank")))
-    in_list = F.col("last_item").isNotNull() & (F.col("last_lbrk").isNull() | (F.col("last_item") > F.col("last_lbrk")))
-    lines = lines.select("*", in_table.alias("in_table"), in_html.alias("in_html"), in_list.alias("in_list"))
     # pass 2: indented code, list identity and looseness, setext underlines
-    para_like = (~F.col("is_blank") & ~code_f & ~F.col("in_html") & ~F.col("in_table")
-                 & ~F.col("atx") & ~F.col("hr0"))
-    icode_start = (~F.col("in_list") & (F.col("ind") >= 4) & ~F.col("is_blank") & ~code_f
-                   & ~F.col("in_html") & ~F.col("in_table") & F.col("prev_blank"))
-    icode_break = ~F.col("is_blank") & (F.col("ind") < 4)
-    list_start = F.col("in_list") & ~F.coalesce(F.lag("in_list", 1).over(w), F.lit(False))
-    lines = lines.select(
+    lines = lines.selectExpr(
         "*",
-        F.lag(para_like, 1, False).over(w).alias("prev_para"),
-        F.last(F.when(icode_start, F.col("line_no")), True).over(run).alias("last_icode"),
-        F.last(F.when(icode_break, F.col("line_no")), True).over(run).alias("last_icbrk"),
-        F.sum(list_start.cast("int")).over(run).alias("list_id"),
+        f"lag(not is_blank and not code_f and not in_html and not in_table and not atx and not hr0, 1, false) {NB}"
+        " as prev_para",
+        f"last(case when not in_list and ind >= 4 and not is_blank and not code_f and not in_html and not in_table"
+        f" and prev_blank then line_no end, true) {RUN} as last_icode",
+        f"last(case when not is_blank and ind < 4 then line_no end, true) {RUN} as last_icbrk",
+        f"sum(cast(in_list and not coalesce(lag(in_list, 1) {NB}, false) as int)) {RUN} as list_id",
         # a blank line inside a list: the next non-blank line is still in it
-        (F.col("is_blank") & F.col("in_list")
-         & F.coalesce(F.first(F.when(~F.col("is_blank"), F.col("in_list")), True)
-                      .over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(False))).alias("inner_blank"),
+        f"(is_blank and in_list and coalesce(first(case when not is_blank then in_list end, true) {W}"
+        " rows between 1 following and unbounded following), false)) as inner_blank",
     )
-    in_icode = (F.col("last_icode").isNotNull()
-                & (F.col("last_icbrk").isNull() | (F.col("last_icode") > F.col("last_icbrk")))
-                & ~F.col("is_blank"))
-    lw = Window.partitionBy(key, "list_id").orderBy("line_no")
-    # marker width of the current list item: where its continuation text starts
-    item_w = F.when(F.col("item0"), F.length(F.regexp_extract("body", r"^( {0,3}([-*+]|[0-9]{1,9}[.)])[ \t]*)", 1)))
-    lines = lines.select(
+    LW = f"over (partition by {k}, list_id order by line_no"
+    item_w = _sql_str(r"^( {0,3}([-*+]|[0-9]{1,9}[.)])[ \t]*)")
+    lines = lines.selectExpr(
         "*",
-        in_icode.alias("icode"),
-        F.max(F.when(F.col("in_list"), F.col("inner_blank").cast("int")))
-         .over(lw.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("loose_i"),
-        F.when(F.col("in_list"), F.last(item_w, True).over(lw.rowsBetween(Window.unboundedPreceding, 0)))
-         .alias("item_ind"),
+        "(last_icode is not null and (last_icbrk is null or last_icode > last_icbrk) and not is_blank) as icode",
+        f"max(case when in_list then cast(inner_blank as int) end) {LW}"
+        " rows between unbounded preceding and unbounded following) as loose_i",
+        # marker width of the current list item: where its continuation text starts
+        f"case when in_list then last(case when item0 then length(regexp_extract(body, {item_w}, 1)) end, true)"
+        f" {LW} rows between unbounded preceding and current row) end as item_ind",
     )
-    setext = F.col("setext0") & F.col("prev_para") & ~F.col("in_list") & (F.col("qdepth") == F.col("prev_q"))
     kind = (
-        F.when(F.col("fence"), F.lit("fence"))
-        .when(F.col("fodd") | F.col("icode"), F.lit("code"))
-        .when(F.col("is_blank"), F.lit("blank"))
-        .when(F.col("in_html"), F.lit("html"))
-        .when(F.col("head"), F.lit("table_head"))
-        .when(F.col("in_table") & (F.col("line_no") == F.col("last_head") + 1), F.lit("table_delim"))
-        .when(F.col("in_table"), F.lit("table_row"))
-        .when(F.col("atx"), F.lit("heading"))
-        .when(setext, F.lit("setext"))
-        .when(F.col("hr0"), F.lit("hr"))
-        .when(F.col("item0"), F.lit("item"))
-        .when(F.col("footdef"), F.lit("footdef"))
-        .when(F.col("linkdef0") & (F.col("prev_blank") | ~F.col("prev_para")), F.lit("linkdef"))
-        .otherwise(F.lit("text"))
-    )
-    lines = lines.select(
-        key, "line_no", "line", "qdepth", "body", "ind", "is_blank", "in_list", "list_id", "item_ind",
-        (F.coalesce(F.col("loose_i"), F.lit(0)) == 1).alias("loose"),
-        kind.alias("kind"),
-    )
-    b = F.col("body")
-    level = (
-        F.when(F.col("kind") == "heading", F.length(F.regexp_extract(b, r"^ {0,3}(#{1,6})", 1)))
-        .when(F.col("kind") == "setext", F.when(b.contains("="), F.lit(1)).otherwise(F.lit(2)))
-        .otherwise(F.lit(0))
-    )
-    heading_text = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(b, r"^ {0,3}#{1,6}[ \t]*", ""), r"[ \t]*\{[^{}]*\}[ \t]*$", ""),
-        r"(^|[ \t]+)#+[ \t]*$", "")
-    item_text = F.regexp_replace(F.regexp_replace(b, r"^ {0,3}([-*+]|[0-9]{1,9}[.)])[ \t]*", ""), r"^\[[ xX]\][ \t]+", "")
-    content = (
-        F.when(F.col("kind") == "heading", heading_text)
-        .when(F.col("kind") == "item", item_text)
-        .when(F.col("kind") == "footdef", F.regexp_replace(b, r"^ {0,3}\[\^[^\]]+\]:[ \t]*", ""))
-        .when(F.col("kind") == "text", b)
+        "case when fence then 'fence' when fodd or icode then 'code' when is_blank then 'blank'"
+        " when in_html then 'html' when head then 'table_head'"
+        " when in_table and line_no = last_head + 1 then 'table_delim' when in_table then 'table_row'"
+        " when atx then 'heading'"
+        " when setext0 and prev_para and not in_list and qdepth = prev_q then 'setext'"
+        " when hr0 then 'hr' when item0 then 'item' when footdef then 'footdef'"
+        " when linkdef0 and (prev_blank or not prev_para) then 'linkdef' else 'text' end"
     )
-    content = F.regexp_replace(F.regexp_replace(content, r"^[ \t]+", ""), r"[ \t]+$", "")
-    return lines.select("*", level.alias("level"), content.alias("content"))
+    lines = lines.selectExpr(
+        k, "line_no", "qdepth", "body", "ind", "is_blank", "in_list", "list_id", "cast(item_ind as int) as item_ind",
+        "coalesce(loose_i, 0) = 1 as loose", f"{kind} as kind")
+    heading_text = (
+        f"regexp_replace(regexp_replace(regexp_replace(body, {_sql_str(r'^ {0,3}#{1,6}[ \t]*')}, ''),"
+        f" {_sql_str(r'[ \t]*\{[^{}]*\}[ \t]*$')}, ''), {_sql_str(r'(^|[ \t]+)#+[ \t]*$')}, '')")
+    item_text = (
+        f"regexp_replace(regexp_replace(body, {_sql_str(r'^ {0,3}([-*+]|[0-9]{1,9}[.)])[ \t]*')}, ''),"
+        f" {_sql_str(r'^\[[ xX]\][ \t]+')}, '')")
+    footdef_text = f"regexp_replace(body, {_sql_str(r'^ {0,3}\[\^[^\]]+\]:[ \t]*')}, '')"
+    content = (f"case when kind = 'heading' then {heading_text} when kind = 'item' then {item_text}"
+               f" when kind = 'footdef' then {footdef_text} when kind = 'text' then body end")
+    level = ("case when kind = 'heading' then length(regexp_extract(body, '^ {0,3}(#{1,6})', 1))"
+             " when kind = 'setext' then (case when contains(body, '=') then 1 else 2 end) else 0 end")
+    return lines.selectExpr(
+        "*", f"{level} as level",
+        f"regexp_replace(regexp_replace({content}, '^[ \\t]+', ''), '[ \\t]+$', '') as content")

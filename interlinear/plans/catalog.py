@@ -515,7 +515,7 @@ _CHAT_OK = f"length(replace(text, {NL}, ' ')) + 1 <= 2000"
   CASE WHEN {_CHAT_OK} THEN {NL} || {NL} || '[zh] ' || replace(text, {NL}, ' ') ELSE '' END || {NL} AS rendered,
   CASE WHEN {_CHAT_OK} THEN 'ok' ELSE 'partial' END AS status FROM conversations""")
 def q_render_chat(spark, sf):
-    out = J.translate_corpus(C.chat_corpus(spark, sf), J.JobConfig(materialize="none"))
+    out = J.translate_corpus(C.chat_corpus(spark, sf), J.JobConfig())
     return out.select(F.col("doc_id.conv_id").alias("conv_id"), F.col("doc_id.turn").alias("turn"), "rendered", "status")
 
 
@@ -526,7 +526,7 @@ def q_render_chat(spark, sf):
   '```json' || {NL} || props || {NL} || '```' || {NL} || {NL} || 'Event ' || CAST(event_id AS VARCHAR) ||
   {NL} || {NL} || '[zh] Event ' || CAST(event_id AS VARCHAR) || {NL} AS rendered FROM events""")
 def q_render_table(spark, sf):
-    out = J.translate_corpus(C.sheet_corpus(spark, sf), J.JobConfig(materialize="none"))
+    out = J.translate_corpus(C.sheet_corpus(spark, sf), J.JobConfig())
     return out.select("doc_id", "rendered")
 
 
