@@ -55,13 +55,16 @@ def extra_translation(segs: DataFrame, lines: DataFrame, key: str = "doc_id") ->
 
 
 def alignment_report(batched: DataFrame, resp_lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A5: per document and batch: segments, lines, missing and extra."""
+    """A5: per document and batch: segments, lines, missing and extra, and
+    the blank segments trimmed out of the request (never sent, so not missing)."""
     s = batch_line_keys(batched, key).select(key, "batch_no", "pos", F.lit(1).alias("has_seg"))
     t = resp_lines.select(key, "batch_no", "pos", F.lit(1).alias("has_line"))
     j = s.join(t, [key, "batch_no", "pos"], "full_outer")
+    seg, line, pos = F.col("has_seg").isNotNull(), F.col("has_line").isNotNull(), F.col("pos").isNotNull()
     return j.groupBy(key, "batch_no").agg(
-        F.sum(F.coalesce("has_seg", F.lit(0))).cast("bigint").alias("n_segments"),
-        F.sum(F.coalesce("has_line", F.lit(0))).cast("bigint").alias("n_lines"),
-        F.sum(F.when(F.col("has_seg").isNotNull() & F.col("has_line").isNull(), 1).otherwise(0)).cast("bigint").alias("n_missing"),
-        F.sum(F.when(F.col("has_seg").isNull() & F.col("has_line").isNotNull(), 1).otherwise(0)).cast("bigint").alias("n_extra"),
+        F.sum(F.when(seg, 1).otherwise(0)).cast("bigint").alias("n_segments"),
+        F.sum(F.when(line, 1).otherwise(0)).cast("bigint").alias("n_lines"),
+        F.sum(F.when(seg & pos & ~line, 1).otherwise(0)).cast("bigint").alias("n_missing"),
+        F.sum(F.when(~seg & line, 1).otherwise(0)).cast("bigint").alias("n_extra"),
+        F.sum(F.when(seg & ~pos, 1).otherwise(0)).cast("bigint").alias("n_trimmed"),
     )

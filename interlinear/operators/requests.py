@@ -103,6 +103,16 @@ def utc_date(timestamp: int) -> str:
     return _dt.datetime.fromtimestamp(int(timestamp), _dt.timezone.utc).strftime("%Y-%m-%d")
 
 
+def tc3_signature_expr(payload, secret: str, timestamp: int):
+    """Signature column for a payload column (canonical request -> string to
+    sign -> keyed hash with the day's signing key)."""
+    date = utc_date(timestamp)
+    scope = f"{date}/{TC3_SERVICE}/{TC3_TERMINATOR}"
+    canonical = F.concat(F.lit(TC3_CANONICAL_PREFIX), sha256_hex(payload))
+    to_sign = F.concat(F.lit(f"{TC3_ALGORITHM}\n{int(timestamp)}\n{scope}\n"), sha256_hex(canonical))
+    return hmac_sha256_hex(signing_key(secret, date), to_sign)
+
+
 def tc3_signature(reqs: DataFrame, user: SignedJsonUser, timestamp: int) -> DataFrame:
     """Canonical request, credential scope, string to sign, signature.
 

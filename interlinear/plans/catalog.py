@@ -496,7 +496,8 @@ def q_extra_translation(spark, sf):
 @register("alignment_report", ALIGN_SQL + """
 SELECT doc_id, batch_no, CAST(count(*) AS BIGINT) AS n_segments,
   CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_lines,
-  CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra
+  CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra,
+  CAST(0 AS BIGINT) AS n_trimmed
 FROM sbo GROUP BY doc_id, batch_no""")
 def q_alignment_report(spark, sf):
     segs, batched, lines = _tencent_pipeline(spark, sf)
