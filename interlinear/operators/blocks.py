@@ -147,9 +147,10 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
         f" and prev_blank then line_no end, true) {RUN} as last_icode",
         f"last(case when not is_blank and ind < 4 then line_no end, true) {RUN} as last_icbrk",
         f"sum(cast(in_list and not coalesce(lag(in_list, 1) {NB}, false) as int)) {RUN} as list_id",
-        # a blank line inside a list: the next non-blank line is still in it
-        f"(is_blank and in_list and coalesce(first(case when not is_blank then in_list end, true) {W}"
-        " rows between 1 following and unbounded following), false)) as inner_blank",
+        # a list is loose when a blank line separates its content: some list
+        # line other than its first directly follows a blank line (running
+        # frames only; a frame over all following rows would be quadratic)
+        f"(in_list and not is_blank and prev_blank and coalesce(lag(in_list, 1) {NB}, false)) as inner_blank",
     )
     LW = f"over (partition by {k}, list_id order by line_no"
     item_w = _sql_str(r"^( {0,3}([-*+]|[0-9]{1,9}[.)])[ \t]*)")

@@ -63,6 +63,17 @@ def skip_existing(work: DataFrame, existing: DataFrame, replace: bool = False,
     return todo, skipped
 
 
+def mark_existing(work: DataFrame, existing: DataFrame, replace: bool = False,
+                  out_col: str = "out_path") -> DataFrame:
+    """O5 in one pass: every work item with ``status`` 'skip' (its output
+    exists and replace is off) or 'todo' -- a left equi-join on the output
+    path against the distinct existing paths."""
+    ex = existing.select(F.col("path").alias(out_col), F.lit(True).alias("_exists")).distinct()
+    j = work.join(ex, out_col, "left")
+    skip = F.col("_exists").isNotNull() & F.lit(not replace)
+    return j.withColumn("status", F.when(skip, F.lit("skip")).otherwise(F.lit("todo"))).drop("_exists")
+
+
 def write_rendered(rendered: DataFrame, out: str, mode: str = "overwrite",
                    path_col: str = "out_path", content_col: str = "rendered") -> None:
     """Write ``(out_path, content)`` rows as a parquet table (atomic per

@@ -687,8 +687,7 @@ def q_skip_existing(spark, sf):
     # outputs already on disk: the labelled documents were translated before
     existing = _load(spark, sf, "labels").join(_doc_paths(spark, sf), "doc_id").select(
         O.output_file_path("path", "to_lang").alias("path"))
-    todo, skipped = O.skip_existing(work, existing)
-    return todo.withColumn("status", F.lit("todo")).unionByName(skipped.withColumn("status", F.lit("skip")))
+    return O.mark_existing(work, existing).select("doc_id", "out_path", "status")
 
 
 @register("inline_docs", f"""SELECT conv_id AS request_id, string_agg(text, {NL} || {NL} ORDER BY turn) AS content,
