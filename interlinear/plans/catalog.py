@@ -706,3 +706,32 @@ def q_read_files(spark, sf):
     paths = sorted(glob.glob(os.path.join(sf, "*.parquet")))
     return S.read_files(spark, paths).select(
         F.element_at(F.split("path", "/"), -1).alias("name"), "doc_kind", "status", "n_bytes")
+
+
+# --- line classification, HTML blocks, work list -------------------------
+from interlinear.operators.blocks import block_lines as _block_lines  # noqa: E402
+
+
+@register("block_lines", """SELECT event_id AS doc_id, CAST(line_no AS INTEGER) AS line_no, kind FROM events,
+  (VALUES (0, 'table_head'), (1, 'table_delim'), (2, 'table_row'), (3, 'blank'), (4, 'fence'), (5, 'code'),
+          (6, 'fence'), (7, 'blank'), (8, 'text'), (9, 'blank')) AS k(line_no, kind)""")
+def q_block_lines(spark, sf):
+    return _block_lines(C.sheet_corpus(spark, sf)).select("doc_id", "line_no", "kind")
+
+
+@register("html_blocks_dropped", """SELECT doc_id, 0 AS seg_no, 'Document ' || CAST(doc_id AS VARCHAR) AS text,
+  CAST(5 AS INTEGER) AS block_no FROM labels""")
+def q_html_blocks_dropped(spark, sf):
+    return M.extract_segments(C.html_block_corpus(spark, sf)).select("doc_id", "seg_no", "text", "block_no")
+
+
+@register("work_list", """SELECT doc_kind, count(*) AS n_docs, sum(strlen(content)) AS n_bytes FROM (
+  SELECT 'query' AS doc_kind, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id
+  UNION ALL SELECT 'table', text FROM documents) GROUP BY doc_kind""")
+def q_work_list(spark, sf):
+    inline = S.inline_docs(_load(spark, sf, "conversations").select(
+        F.col("conv_id").alias("request_id"), F.col("turn").alias("pos"), "text"))
+    table = _load(spark, sf, "documents").select(F.lit("table").alias("doc_kind"), F.col("text").alias("content"))
+    wl = S.work_list(inline, table)
+    return wl.groupBy("doc_kind").agg(F.count(F.lit(1)).alias("n_docs"),
+                                      F.sum(F.octet_length("content")).alias("n_bytes"))

@@ -89,3 +89,13 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" */" + NL + "    x" + NL + "}" + NL + "```" + NL),
     )
     return s.select(F.col("s_suppkey").alias("doc_id"), text.alias("text"))
+
+
+def html_block_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: per labelled document an HTML block (several lines) and a paragraph."""
+    lb = load(spark, sf_dir, "labels")
+    text = F.concat(
+        F.lit('<div class="label">' + NL + "quality "), F.col("quality").cast("string"),
+        F.lit(NL + "toxic "), F.col("toxic").cast("string"), F.lit(NL + "</div>" + NL + NL + "Document "),
+        F.col("doc_id").cast("string"), F.lit(NL))
+    return lb.select("doc_id", text.alias("text"))

@@ -84,3 +84,13 @@ def test_stub_service_round_trip(spark):
 def test_regions_dimension(spark):
     assert len(dims.REGIONS) == 16
     assert len(dims.ERROR_CODES) == 13 + 54 + 15
+
+
+def test_region_lookup(spark):
+    df = spark.createDataFrame([(1, "ap-seoul"), (2, None), (3, "mars-1")], "id int, region string")
+    got = {r.id: (r.region, r.region_ok) for r in R.region_lookup(df, dims.regions(spark)).collect()}
+    assert got == {1: ("ap-seoul", True), 2: ("ap-beijing", True), 3: ("mars-1", False)}
+    b = spark.createDataFrame([(1, 0, "tencent", "x\n")], "doc_id long, batch_no int, provider string, text string") \
+        .withColumn("from_lang", F.lit("en")).withColumn("to_lang", F.lit("zh"))
+    bad = R.Credentials(tencent=R.SignedJsonUser("0", "0", region="mars-1"))
+    assert R.build_requests(b, bad, TS).collect()[0].req_status == "unknown_region"
