@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from interlinear.functions.text import utrim
+from interlinear.functions.text import sql_str, utrim
+
+_UWS = r"(?U)^\s+|\s+$"
 
 
 def align_positional(segs: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -43,6 +45,42 @@ def align_keyed(batched: DataFrame, resp_lines: DataFrame, key: str = "doc_id")
     return s.join(t, [key, "batch_no", "pos"], "left")
 
 
+def align_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A2 without a join: ``resp`` rows are batches carrying their ``segs``
+    (see ``batching.batch_text``) and the parsed ``dst`` lines (null when the
+    batch failed). Blank segments at either end of a batch were trimmed out
+    of the request, so line j goes to the j-th segment from the first
+    non-blank one. One explode per batch gives every segment with its
+    ``translation`` (null for trimmed segments and failed batches)."""
+    nb = f"transform(segs, x -> regexp_replace(x.text, {sql_str(_UWS)}, '') != '')"
+    first = f"cast(array_position({nb}, true) as int)"
+    last = f"cast(size(segs) - array_position(reverse({nb}), true) + 1 as int)"
+    out = resp.selectExpr(
+        f"`{key}`", "batch_no",
+        f"explode(transform(segs, (x, i) -> named_struct('seg', x, 'translation',"
+        f" case when dst is not null and {first} > 0 and i + 1 >= {first} and i + 1 <= {last}"
+        f" then element_at(dst, i + 2 - {first}) end,"
+        f" 'pos', case when {first} > 0 and i + 1 >= {first} and i + 1 <= {last} then i + 1 - {first} end,"
+        f" 'batch_ok', dst is not null))) as e")
+    seg_cols = [f.name for f in resp.schema["segs"].dataType.elementType.fields]
+    return out.selectExpr(f"`{key}`", "batch_no", *[f"e.seg.`{c}` as `{c}`" for c in seg_cols],
+                          "cast(e.pos as int) as pos", "e.translation as translation", "false as is_tail",
+                          "e.batch_ok as batch_ok")
+
+
+def report_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A5 from batch rows: segments, lines returned, missing, extra, trimmed."""
+    nb = f"transform(segs, x -> regexp_replace(x.text, {sql_str(_UWS)}, '') != '')"
+    first = f"array_position({nb}, true)"
+    sent = f"case when {first} > 0 then size(segs) - array_position(reverse({nb}), true) + 2 - {first} else 0 end"
+    lines = "coalesce(size(dst), 0)"
+    return resp.selectExpr(
+        f"`{key}`", "batch_no", "cast(size(segs) as bigint) as n_segments", f"cast({lines} as bigint) as n_lines",
+        f"cast(greatest({sent} - {lines}, 0) as bigint) as n_missing",
+        f"cast(greatest({lines} - {sent}, 0) as bigint) as n_extra",
+        f"cast(size(segs) - {sent} as bigint) as n_trimmed")
+
+
 def missing_translation(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
     """A3: segments left with the original only."""
     return aligned.filter(F.col("translation").isNull())

@@ -131,8 +131,10 @@ def batch_text(batched: DataFrame, key: str = "doc_id", extra_keys: list[str] |
     so the collected text per group is bounded by the limit or one segment.
     """
     keys = [key] + list(extra_keys or [])
+    present = set(batched.columns)
+    meta = [c for c in ("block_no", "sub", "kind", "level", "qdepth", "item_ind") if c in present]
     g = batched.groupBy(*keys, "limit_unit", "limit_value", "batch_no").agg(
-        F.expr("array_sort(collect_list(struct(seg_no, text)))").alias("parts"),
+        F.expr(f"array_sort(collect_list(struct(seg_no, text{''.join(', ' + c for c in meta)})))").alias("parts"),
         F.expr("min(seg_no)").alias("first_seg"),
         F.expr("max(seg_no)").alias("last_seg"),
         F.expr("count(1)").alias("n_segments"),
@@ -142,15 +144,22 @@ def batch_text(batched: DataFrame, key: str = "doc_id", extra_keys: list[str] |
     return g.selectExpr(
         *[f"`{c}`" for c in keys], "limit_unit", "limit_value", "batch_no", "first_seg", "last_seg", "n_segments",
         "array_join(transform(parts, x -> concat(x.text, '\\n')), '') as text", "n_bytes", "n_chars",
-        "n_segments = 1 and (case when limit_unit = 'bytes' then n_bytes else n_chars end) > limit_value as oversize")
+        "n_segments = 1 and (case when limit_unit = 'bytes' then n_bytes else n_chars end) > limit_value as oversize",
+        # the batch's segments travel with it: keyed alignment needs no join back
+        "parts as segs")
 
 
 def whole_batches(segs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Application-level limit 0 = one request with the whole text (tail included)."""
     w = whole_text(segs, key)
-    return w.select(key, F.lit(0).alias("batch_no"), F.col("whole").alias("text"),
-                    F.octet_length("whole").cast("bigint").alias("n_bytes"),
-                    F.char_length("whole").cast("bigint").alias("n_chars"))
+    meta = [c for c in ("block_no", "sub", "kind", "level", "qdepth", "item_ind") if c in segs.columns]
+    parts = segs.filter("not is_tail").groupBy(key).agg(
+        F.expr(f"array_sort(collect_list(struct(seg_no, text{''.join(', ' + c for c in meta)})))").alias("segs"))
+    return w.join(parts, key, "left").select(
+        key, F.lit(0).alias("batch_no"), F.col("whole").alias("text"),
+        F.octet_length("whole").cast("bigint").alias("n_bytes"),
+        F.char_length("whole").cast("bigint").alias("n_chars"),
+        F.coalesce("segs", F.expr(f"array_sort(array())").cast(parts.schema["segs"].dataType)).alias("segs"))
 
 
 def plan_summary(batches: DataFrame, providers: DataFrame, group_cols: list[str]) -> DataFrame:

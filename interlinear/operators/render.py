@@ -26,17 +26,23 @@ def _prefix(qdepth, item_ind):
 
 
 def line_inserts(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per source line: rendered lines to append and cell translations."""
-    t = aligned.filter(F.col("translation").isNotNull() & ~F.col("is_tail"))
+    """Per source line: rendered lines to append, cell translations, and how
+    many of the line's segments lost their translation to a failed batch."""
+    a = aligned.filter(~F.col("is_tail"))
+    if "batch_ok" not in a.columns:
+        a = a.withColumn("batch_ok", F.col("translation").isNotNull())
+    has = F.col("translation").isNotNull()
     pre = _prefix(F.col("qdepth"), F.col("item_ind"))
     blank = F.when(F.col("qdepth") > 0, F.repeat(F.lit(">"), F.col("qdepth"))).otherwise(F.lit(""))
     head = F.concat(pre, F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("translation"))
     body = F.concat(pre, F.col("translation"))
-    add = F.when(F.col("kind") == "cell", F.array()).when(
-        F.col("kind") == "heading", F.array(blank, head)).otherwise(F.array(blank, body))
-    return t.groupBy(key, F.col("block_no").alias("line_no")).agg(
+    add = (F.when(~has | (F.col("kind") == "cell"), F.array().cast("array<string>"))
+           .when(F.col("kind") == "heading", F.array(blank, head)).otherwise(F.array(blank, body)))
+    return a.groupBy(key, F.col("block_no").alias("line_no")).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", add.alias("add")))), lambda x: x["add"])).alias("add"),
-        F.map_from_entries(F.collect_list(F.when(F.col("kind") == "cell", F.struct("sub", "translation")))).alias("cells"),
+        F.map_from_entries(F.collect_list(F.when((F.col("kind") == "cell") & has, F.struct("sub", "translation")))).alias("cells"),
+        F.count(F.lit(1)).alias("n_seg"),
+        F.sum(F.when(F.col("batch_ok"), 0).otherwise(1)).alias("n_failed"),
     )
 
 
@@ -67,6 +73,12 @@ def render(docs: DataFrame, aligned: DataFrame, key: str = "doc_id", text_col: s
     has_cells = F.col("cells").isNotNull() & (F.size(F.map_keys("cells")) > 0)
     first = F.when(has_cells, _rebuild_row(F.col("line"), F.col("cells"))).otherwise(F.col("line"))
     out = F.concat(F.array(first), F.coalesce(F.col("add"), F.array().cast("array<string>")))
-    per_line = j.select(key, "line_no", out.alias("out"))
-    doc = per_line.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "out"))).alias("ls"))
-    return doc.select(key, F.array_join(F.flatten(F.transform("ls", lambda x: x["out"])), "\n").alias("rendered"))
+    per_line = j.select(key, "line_no", out.alias("out"), "n_seg", "n_failed")
+    doc = per_line.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "out"))).alias("ls"),
+        F.sum(F.coalesce("n_seg", F.lit(0))).cast("bigint").alias("n_segments"),
+        F.sum(F.coalesce("n_failed", F.lit(0))).cast("bigint").alias("n_failed"))
+    status = (F.when(F.col("n_segments") == 0, F.lit("empty")).when(F.col("n_failed") == 0, F.lit("ok"))
+              .when(F.col("n_failed") < F.col("n_segments"), F.lit("partial")).otherwise(F.lit("failed")))
+    return doc.select(key, F.array_join(F.flatten(F.transform("ls", lambda x: x["out"])), "\n").alias("rendered"),
+                      "n_segments", "n_failed", status.alias("status"))

@@ -201,7 +201,7 @@ def q_batch_limit0(spark, sf):
 @register("batch_whole", f"""SELECT doc_id, 0 AS batch_no, text || {NL} AS text,
   CAST(strlen(text) + 1 AS BIGINT) AS n_bytes, CAST(length(text) + 1 AS BIGINT) AS n_chars FROM documents""")
 def q_batch_whole(spark, sf):
-    return B.whole_batches(_segs_a(spark, sf))
+    return B.whole_batches(_segs_a(spark, sf)).select("doc_id", "batch_no", "text", "n_bytes", "n_chars")
 
 
 BATCH_TEXT_SQL = f"""WITH RECURSIVE {SEG_A}, {greedy_sql('seg_a_len', '2000', "'chars'")}
@@ -457,6 +457,15 @@ def _tencent_pipeline(spark, sf):
     return segs, batched, lines
 
 
+def _tencent_responses(spark, sf):
+    """Same, keeping each batch row (with its segments) and its parsed lines."""
+    segs = _segs_a(spark, sf)
+    bt = B.batch_text(B.batch_segments(segs, 2000, "chars")).withColumn("provider", F.lit("tencent")) \
+          .withColumn("from_lang", F.lit("en")).withColumn("to_lang", F.lit("zh"))
+    resp = P.unify_responses(T.stub_service(R.build_requests(bt, DEMO, TS)))
+    return resp.withColumn("dst", F.when(F.col("status") == "ok", F.col("dst")))
+
+
 ALIGN_SQL = f"""WITH RECURSIVE {SEG_A}, {greedy_sql('seg_a_len', '2000', "'chars'")},
 sb AS (SELECT s.*, CAST(r.batch_no AS INTEGER) AS batch_no FROM seg_a_len s JOIN r USING (doc_id, seg_no)),
 bs AS (SELECT doc_id, batch_no, count(*) AS n_seg, sum(n_chars) AS units FROM sb GROUP BY ALL),
@@ -475,15 +484,14 @@ def q_align_positional(spark, sf):
 @register("align_keyed", ALIGN_SQL + """
 SELECT doc_id, seg_no, CASE WHEN ok THEN '[zh] ' || text END AS translation FROM sbo""")
 def q_align_keyed(spark, sf):
-    segs, batched, lines = _tencent_pipeline(spark, sf)
-    return A.align_keyed(batched, lines).select("doc_id", "seg_no", "translation")
+    return A.align_in_batches(_tencent_responses(spark, sf)).select("doc_id", "seg_no", "translation")
 
 
 @register("missing_translation", ALIGN_SQL + """
 SELECT doc_id, seg_no, batch_no FROM sbo WHERE NOT ok""")
 def q_missing_translation(spark, sf):
-    segs, batched, lines = _tencent_pipeline(spark, sf)
-    return A.missing_translation(A.align_keyed(batched, lines)).select("doc_id", "seg_no", "batch_no")
+    aligned = A.align_in_batches(_tencent_responses(spark, sf))
+    return A.missing_translation(aligned).select("doc_id", "seg_no", "batch_no")
 
 
 @register("extra_translation", ALIGN_SQL + """
@@ -500,8 +508,7 @@ SELECT doc_id, batch_no, CAST(count(*) AS BIGINT) AS n_segments,
   CAST(0 AS BIGINT) AS n_trimmed
 FROM sbo GROUP BY doc_id, batch_no""")
 def q_alignment_report(spark, sf):
-    segs, batched, lines = _tencent_pipeline(spark, sf)
-    return A.alignment_report(batched, lines)
+    return A.report_in_batches(_tencent_responses(spark, sf))
 
 
 def _status_sql(fail_expr: str, total_expr: str) -> str:

@@ -4,10 +4,12 @@ documents -> segments -> greedy batches (provider limit) -> signed requests
 -> translator -> parsed responses -> aligned segments -> rendered documents,
 with a per-document status instead of stopping the run on the first failure.
 
-The batched segments feed both the requests and the alignment, so they are
+Each batch row carries its segments, so with keyed alignment the responses
+are aligned inside the batch row and the whole job is one pipeline. Only
+positional alignment or a user translator reuses the batches; they are then
 materialised once: ``checkpoint()`` into the shared ``spark.checkpoint.dir``
-(reliable, survives executor loss, cuts the lineage), or ``persist`` when the
-caller prefers memory. Nothing passes through the driver.
+(reliable, survives executor loss, cuts the lineage), or ``persist``.
+Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ class JobConfig:
     timestamp: int = 1636111645        # request signing time, an explicit parameter
     alignment: str = "keyed"           # or "positional" (reference behaviour)
     list_mode: str = "carry"
-    materialize: str = "checkpoint"    # "checkpoint" | "persist" | "none"
+    materialize: str = "checkpoint"    # when batches are reused: "checkpoint" | "persist" | "none"
     creds: R.Credentials = field(default_factory=lambda: R.Credentials(
         baidu=R.Md5FormUser("demo-appid", "demo-key"), tencent=R.SignedJsonUser("0", "0"),
         niutrans=R.PlainFormUser("demo-apikey")))
@@ -61,52 +63,50 @@ def _materialize(df: DataFrame, how: str) -> DataFrame:
 
 def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=None,
                      key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(key, rendered, status, n_batches, n_failed)`` per document.
+    """``(key, rendered, n_segments, n_failed, status)`` per document.
 
     ``translator``: None -> deterministic stub service; a DataFrame
     ``(from_lang, to_lang, src, dst)`` -> translation-memory join; a callable
     ``(lines, from, to) -> lines`` -> run per request in ``mapInPandas``.
+
+    With keyed alignment and the stub service the plan is one pipeline: each
+    batch row carries its segments, so the response is aligned inside the
+    batch row (no join back, nothing read twice). Positional alignment and
+    user translators reuse the batches, which are then materialised once
+    (``cfg.materialize``).
     """
     cfg = cfg or JobConfig()
     unit, limit = _limit(cfg)
     segs = extract_segments(docs, key, text_col, list_mode=cfg.list_mode)
+    reuse = cfg.alignment == "positional" or translator is not None
     if limit == 0:
         # Application-level limit 0 = the whole text as one request
-        batched = segs.withColumn("batch_no", F.lit(0)).withColumn("limit_unit", F.lit(unit)) \
-                      .withColumn("limit_value", F.lit(0).cast("bigint"))
+        bt = B.whole_batches(segs, key).withColumn("oversize", F.lit(False))
+        batched = segs.filter(~F.col("is_tail")).withColumn("batch_no", F.lit(0))
     else:
         batched = B.assign_batches(B.with_limit(segs, limit, unit), key)
-    batched = _materialize(batched, cfg.materialize)
-    bt = B.batch_text(batched, key)
-    if limit == 0:
-        bt = B.whole_batches(segs, key).withColumn("oversize", F.lit(False))
+        if reuse:
+            batched = _materialize(batched, cfg.materialize)
+        bt = B.batch_text(batched, key)
     bt = bt.withColumn("provider", F.lit(cfg.provider)) \
            .withColumn("from_lang", F.lit(cfg.from_lang)).withColumn("to_lang", F.lit(cfg.to_lang))
     reqs = R.build_requests(bt, cfg.creds, cfg.timestamp)
     if translator is None:
         resp = P.unify_responses(T.stub_service(reqs))
-    elif isinstance(translator, DataFrame):
-        resp = T.via_table(reqs, translator, key)
     else:
-        resp = T.via_function(reqs, translator, key)
-    resp = resp.select(key, "batch_no", "status", "dst")
-    ok = resp.filter(F.col("status") == "ok")
-    lines = ok.select(key, "batch_no", F.posexplode("dst").alias("pos", "line"))
+        got = T.via_table(reqs, translator, key) if isinstance(translator, DataFrame) \
+            else T.via_function(reqs, translator, key)
+        resp = reqs.select(key, "batch_no", "segs").join(got.select(key, "batch_no", "status", "dst"),
+                                                          [key, "batch_no"], "left")
     if cfg.alignment == "positional":
-        numbered = T.number_lines(lines, key)
-        aligned = A.align_positional(batched, numbered, key)
+        ok = resp.filter(F.col("status") == "ok")
+        lines = ok.select(key, "batch_no", F.posexplode("dst").alias("pos", "line"))
+        aligned = A.align_positional(batched.withColumn("is_tail", F.lit(False)), T.number_lines(lines, key), key)
     else:
-        aligned = A.align_keyed(batched, lines, key)
-    rendered = render(docs, aligned, key, text_col)
-    status = resp.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_batches"),
-        F.sum(F.when(F.col("status") != "ok", 1).otherwise(0)).cast("bigint").alias("n_failed"))
-    out = rendered.join(status, key, "left")
-    st = (F.when(F.col("n_batches").isNull(), F.lit("empty"))
-          .when(F.col("n_failed") == 0, F.lit("ok"))
-          .when(F.col("n_failed") < F.col("n_batches"), F.lit("partial"))
-          .otherwise(F.lit("failed")))
-    return out.withColumn("status", st)
+        aligned = A.align_in_batches(resp.withColumn("dst", F.when(F.col("status") == "ok", F.col("dst"))), key)
+    # status comes out of the renderer's own per-document aggregation
+    # (segments whose batch failed), so the responses are consumed once
+    return render(docs, aligned, key, text_col)
 
 
 def retranslate(docs: DataFrame, cfg: JobConfig | None = None, translator=None,
