@@ -23,7 +23,7 @@ def align_positional(segs: DataFrame, lines: DataFrame, key: str = "doc_id") ->
     (see ``responses.response_lines``) -> ``translation`` per segment."""
     s = segs.filter(~F.col("is_tail"))
     t = lines.select(key, F.col("line_no").alias("seg_no"), F.col("line").alias("translation"))
-    return s.join(t, [key, "seg_no"], "left")
+    return s.join(t.hint("merge"), [key, "seg_no"], "left")
 
 
 def batch_line_keys(batched: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -42,7 +42,7 @@ def align_keyed(batched: DataFrame, resp_lines: DataFrame, key: str = "doc_id")
     """A2: join on (key, batch_no, pos); ``resp_lines(key, batch_no, pos, line)``."""
     s = batch_line_keys(batched, key)
     t = resp_lines.select(key, "batch_no", "pos", F.col("line").alias("translation"))
-    return s.join(t, [key, "batch_no", "pos"], "left")
+    return s.join(t.hint("merge"), [key, "batch_no", "pos"], "left")
 
 
 def align_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -89,7 +89,7 @@ def missing_translation(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
 def extra_translation(segs: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """A4: response lines that no segment takes (positional numbering)."""
     s = segs.filter(~F.col("is_tail")).select(key, F.col("seg_no").alias("line_no"))
-    return lines.join(s, [key, "line_no"], "left_anti")
+    return lines.join(s.hint("merge"), [key, "line_no"], "left_anti")
 
 
 def alignment_report(batched: DataFrame, resp_lines: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -97,7 +97,7 @@ def alignment_report(batched: DataFrame, resp_lines: DataFrame, key: str = "doc_
     the blank segments trimmed out of the request (never sent, so not missing)."""
     s = batch_line_keys(batched, key).select(key, "batch_no", "pos", F.lit(1).alias("has_seg"))
     t = resp_lines.select(key, "batch_no", "pos", F.lit(1).alias("has_line"))
-    j = s.join(t, [key, "batch_no", "pos"], "full_outer")
+    j = s.join(t.hint("merge"), [key, "batch_no", "pos"], "full_outer")
     seg, line, pos = F.col("has_seg").isNotNull(), F.col("has_line").isNotNull(), F.col("pos").isNotNull()
     return j.groupBy(key, "batch_no").agg(
         F.sum(F.when(seg, 1).otherwise(0)).cast("bigint").alias("n_segments"),

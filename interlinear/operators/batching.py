@@ -155,7 +155,7 @@ def whole_batches(segs: DataFrame, key: str = "doc_id") -> DataFrame:
     meta = [c for c in ("block_no", "sub", "kind", "level", "qdepth", "item_ind") if c in segs.columns]
     parts = segs.filter("not is_tail").groupBy(key).agg(
         F.expr(f"array_sort(collect_list(struct(seg_no, text{''.join(', ' + c for c in meta)})))").alias("segs"))
-    return w.join(parts, key, "left").select(
+    return w.join(parts.hint("merge"), key, "left").select(
         key, F.lit(0).alias("batch_no"), F.col("whole").alias("text"),
         F.octet_length("whole").cast("bigint").alias("n_bytes"),
         F.char_length("whole").cast("bigint").alias("n_chars"),

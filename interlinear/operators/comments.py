@@ -78,9 +78,9 @@ def insert_comment_translations(blocks: DataFrame, translated: DataFrame, key: s
     comment ends and re-joined with the inserted lines (bytes before the
     first comment end, then each comment's following slice).
     """
-    cm = code_comments(blocks, key).join(translated, [key, "block_no", "idx"], "left")
+    cm = code_comments(blocks, key).join(translated.hint("merge"), [key, "block_no", "idx"], "left")
     g = cm.groupBy(key, "block_no").agg(F.array_sort(F.collect_list(F.struct("idx", "to", "translation"))).alias("cs"))
-    j = blocks.join(g, [key, "block_no"], "left")
+    j = blocks.join(g.hint("merge"), [key, "block_no"], "left")
     raw = F.encode("code", "UTF-8")
     ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("cs", lambda x: x["to"]))
     # slice k runs from ends[k] to ends[k+1] (the last one to the end)

@@ -45,7 +45,7 @@ def pair_inputs_outputs(inputs: DataFrame, outputs: DataFrame, ordinal: str = "o
     A full outer equi-join on the ordinal; unpaired rows on either side mean
     the counts differ, reported per row as ``status='count_mismatch'``.
     """
-    j = inputs.join(outputs, ordinal, "full_outer")
+    j = inputs.join(outputs.hint("merge"), ordinal, "full_outer")
     bad = F.col("path").isNull() | F.col("out_path").isNull()
     return j.withColumn("status", F.when(bad, F.lit("count_mismatch")).otherwise(F.lit("paired")))
 
@@ -58,8 +58,8 @@ def skip_existing(work: DataFrame, existing: DataFrame, replace: bool = False,
     ex = existing.select(F.col("path").alias(out_col)).distinct()
     if replace:
         return work, work.limit(0)
-    todo = work.join(ex, out_col, "left_anti")
-    skipped = work.join(ex, out_col, "left_semi")
+    todo = work.join(ex.hint("merge"), out_col, "left_anti")
+    skipped = work.join(ex.hint("merge"), out_col, "left_semi")
     return todo, skipped
 
 
@@ -69,7 +69,7 @@ def mark_existing(work: DataFrame, existing: DataFrame, replace: bool = False,
     exists and replace is off) or 'todo' -- a left equi-join on the output
     path against the distinct existing paths."""
     ex = existing.select(F.col("path").alias(out_col), F.lit(True).alias("_exists")).distinct()
-    j = work.join(ex, out_col, "left")
+    j = work.join(ex.hint("merge"), out_col, "left")
     skip = F.col("_exists").isNotNull() & F.lit(not replace)
     return j.withColumn("status", F.when(skip, F.lit("skip")).otherwise(F.lit("todo"))).drop("_exists")
 

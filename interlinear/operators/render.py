@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from interlinear.operators.blocks import distribute_docs
+from interlinear.session import use_document_partitioning
 
 
 def _prefix(qdepth, item_ind):
@@ -64,12 +65,14 @@ def render(docs: DataFrame, aligned: DataFrame, key: str = "doc_id", text_col: s
     The per-document assembly collects one document's lines -- the same
     size as the document row it came from (plus its translation).
     """
+    use_document_partitioning(docs.sparkSession)
     src = docs.select(key, text_col)
     if distribute:
         src = distribute_docs(src, key)
     lines = src.select(key, F.posexplode(F.split(F.col(text_col), r"\r?\n", -1)).alias("line_no", "line"))
     ins = line_inserts(aligned, key)
-    j = lines.join(ins, [key, "line_no"], "left")
+    # both sides grow with the corpus: never broadcast, co-partitioned merge join
+    j = lines.join(ins.hint("merge"), [key, "line_no"], "left")
     has_cells = F.col("cells").isNotNull() & (F.size(F.map_keys("cells")) > 0)
     first = F.when(has_cells, _rebuild_row(F.col("line"), F.col("cells"))).otherwise(F.col("line"))
     out = F.concat(F.array(first), F.coalesce(F.col("add"), F.array().cast("array<string>")))

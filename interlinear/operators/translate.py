@@ -70,7 +70,7 @@ def via_table(reqs: DataFrame, translations: DataFrame, key: str = "doc_id") ->
     lines = reqs.select(key, "batch_no", "provider", "from_lang", "to_lang",
                         F.posexplode("lines").alias("pos", "src"))
     t = translations.select("from_lang", "to_lang", "src", "dst").dropDuplicates(["from_lang", "to_lang", "src"])
-    j = lines.join(t, ["from_lang", "to_lang", "src"], "left")
+    j = lines.join(t.hint("merge"), ["from_lang", "to_lang", "src"], "left")
     g = j.groupBy(key, "batch_no", "provider").agg(F.array_sort(F.collect_list(F.struct("pos", "dst"))).alias("p"))
     return g.select(key, "batch_no", "provider", F.transform("p", lambda x: x["dst"]).alias("dst"),
                     F.when(F.exists("p", lambda x: x["dst"].isNull()), F.lit("partial")).otherwise(F.lit("ok")).alias("status"))

@@ -267,7 +267,7 @@ def q_plan_summary(spark, sf):
     provs = dims.providers(spark)
     bt = B.batch_text(B.batch_by_providers(segs, provs), extra_keys=["provider"])
     docs = C.lines_corpus(spark, sf).select("doc_id", "lang")
-    bt = bt.join(docs, "doc_id")
+    bt = bt.join(docs.hint("merge"), "doc_id")
     return B.plan_summary(bt, provs, ["lang"]).select(
         "provider", "lang", "n_requests", "units", "max_units", "n_oversize", "qps", "min_seconds")
 
@@ -692,7 +692,7 @@ def q_pair_inputs_outputs(spark, sf):
 def q_skip_existing(spark, sf):
     work = _doc_paths(spark, sf).select("doc_id", O.output_file_path("path", "to_lang").alias("out_path"))
     # outputs already on disk: the labelled documents were translated before
-    existing = _load(spark, sf, "labels").join(_doc_paths(spark, sf), "doc_id").select(
+    existing = _load(spark, sf, "labels").join(_doc_paths(spark, sf).hint("merge"), "doc_id").select(
         O.output_file_path("path", "to_lang").alias("path"))
     return O.mark_existing(work, existing).select("doc_id", "out_path", "status")
 

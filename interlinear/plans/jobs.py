@@ -27,7 +27,8 @@ from interlinear.operators import responses as P
 from interlinear.operators import translate as T
 from interlinear.operators.render import render
 from interlinear.operators.segments import extract_segments
-from interlinear.session import checkpoint_dir
+from interlinear.operators.blocks import distribute_docs
+from interlinear.session import checkpoint_dir, use_document_partitioning
 
 
 @dataclass
@@ -77,7 +78,10 @@ def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=N
     """
     cfg = cfg or JobConfig()
     unit, limit = _limit(cfg)
-    segs = extract_segments(docs, key, text_col, list_mode=cfg.list_mode)
+    use_document_partitioning(docs.sparkSession)
+    # one distribution of the documents, read by segmentation and rendering
+    docs = distribute_docs(docs.select(key, text_col), key)
+    segs = extract_segments(docs, key, text_col, list_mode=cfg.list_mode, distribute=False)
     reuse = cfg.alignment == "positional" or translator is not None
     if limit == 0:
         # Application-level limit 0 = the whole text as one request
@@ -96,7 +100,7 @@ def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=N
     else:
         got = T.via_table(reqs, translator, key) if isinstance(translator, DataFrame) \
             else T.via_function(reqs, translator, key)
-        resp = reqs.select(key, "batch_no", "segs").join(got.select(key, "batch_no", "status", "dst"),
+        resp = reqs.select(key, "batch_no", "segs").join(got.select(key, "batch_no", "status", "dst").hint("merge"),
                                                           [key, "batch_no"], "left")
     if cfg.alignment == "positional":
         ok = resp.filter(F.col("status") == "ok")
@@ -106,7 +110,7 @@ def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=N
         aligned = A.align_in_batches(resp.withColumn("dst", F.when(F.col("status") == "ok", F.col("dst"))), key)
     # status comes out of the renderer's own per-document aggregation
     # (segments whose batch failed), so the responses are consumed once
-    return render(docs, aligned, key, text_col)
+    return render(docs, aligned, key, text_col, distribute=False)
 
 
 def retranslate(docs: DataFrame, cfg: JobConfig | None = None, translator=None,

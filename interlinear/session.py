@@ -19,9 +19,18 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # request signing takes key material as literals; keep it out of plans/logs
     "spark.sql.redaction.string.regex": "(?i)secret|password|token|apikey|ipad|opad",
+    # joins keyed (document, x) reuse the document partitioning instead of
+    # re-shuffling both sides on all join keys
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
+def use_document_partitioning(spark: SparkSession) -> None:
+    """Let joins on (document key, ...) keep the document hash partitioning
+    (runtime SQL setting; see ``_DEFAULTS``)."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "interlinear") -> SparkSession:
     """Return the active session, or build a local one (tests, bench)."""
