@@ -53,15 +53,16 @@ def align_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
     non-blank one. One explode per batch gives every segment with its
     ``translation`` (null for trimmed segments and failed batches)."""
     nb = f"transform(segs, x -> regexp_replace(x.text, {sql_str(_UWS)}, '') != '')"
-    first = f"cast(array_position({nb}, true) as int)"
-    last = f"cast(size(segs) - array_position(reverse({nb}), true) + 1 as int)"
-    out = resp.selectExpr(
+    # first/last non-blank position, once per batch (not once per element)
+    r = resp.selectExpr("*", f"{nb} as __nb")
+    r = r.selectExpr("*", "cast(array_position(__nb, true) as int) as __f",
+                     "cast(size(segs) - array_position(reverse(__nb), true) + 1 as int) as __l")
+    inside = "__f > 0 and i + 1 >= __f and i + 1 <= __l"
+    out = r.selectExpr(
         f"`{key}`", "batch_no",
         f"explode(transform(segs, (x, i) -> named_struct('seg', x, 'translation',"
-        f" case when dst is not null and {first} > 0 and i + 1 >= {first} and i + 1 <= {last}"
-        f" then element_at(dst, i + 2 - {first}) end,"
-        f" 'pos', case when {first} > 0 and i + 1 >= {first} and i + 1 <= {last} then i + 1 - {first} end,"
-        f" 'batch_ok', dst is not null))) as e")
+        f" case when dst is not null and {inside} then element_at(dst, i + 2 - __f) end,"
+        f" 'pos', case when {inside} then i + 1 - __f end, 'batch_ok', dst is not null))) as e")
     seg_cols = [f.name for f in resp.schema["segs"].dataType.elementType.fields]
     return out.selectExpr(f"`{key}`", "batch_no", *[f"e.seg.`{c}` as `{c}`" for c in seg_cols],
                           "cast(e.pos as int) as pos", "e.translation as translation", "false as is_tail",
