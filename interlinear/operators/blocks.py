@@ -72,6 +72,7 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     k = f"`{key}`"
     W = f"over (partition by {k} order by line_no"
     RUN = f"{W} rows between unbounded preceding and current row)"
+    PREV = f"{W} rows between unbounded preceding and 1 preceding)"
     NB = f"{W})"
 
     def rx(chars, pat):
@@ -131,12 +132,17 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
         f"last(case when is_blank then line_no end, true) {RUN} as last_blank",
         f"last(case when item0 and not code_f and not hr0 then line_no end, true) {RUN} as last_item",
         f"last(case when list_break then line_no end, true) {RUN} as last_lbrk",
+        # the same two, one row earlier: the previous line's list membership
+        # without another window operator over every line
+        f"last(case when item0 and not code_f and not hr0 then line_no end, true) {PREV} as last_item_p",
+        f"last(case when list_break then line_no end, true) {PREV} as last_lbrk_p",
     )
     lines = lines.selectExpr(
         "*",
         "(last_head is not null and (last_tbrk is null or last_head > last_tbrk)) as in_table",
         "(not code_f and last_html is not null and (last_blank is null or last_html > last_blank)) as in_html",
         "(last_item is not null and (last_lbrk is null or last_item > last_lbrk)) as in_list",
+        "(last_item_p is not null and (last_lbrk_p is null or last_item_p > last_lbrk_p)) as in_list_prev",
     )
     # pass 2: indented code, list identity and looseness, setext underlines
     lines = lines.selectExpr(
@@ -146,11 +152,11 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
         f"last(case when not in_list and ind >= 4 and not is_blank and not code_f and not in_html and not in_table"
         f" and prev_blank then line_no end, true) {RUN} as last_icode",
         f"last(case when not is_blank and ind < 4 then line_no end, true) {RUN} as last_icbrk",
-        f"sum(cast(in_list and not coalesce(lag(in_list, 1) {NB}, false) as int)) {RUN} as list_id",
+        f"sum(cast(in_list and not in_list_prev as int)) {RUN} as list_id",
         # a list is loose when a blank line separates its content: some list
         # line other than its first directly follows a blank line (running
         # frames only; a frame over all following rows would be quadratic)
-        f"(in_list and not is_blank and prev_blank and coalesce(lag(in_list, 1) {NB}, false)) as inner_blank",
+        "(in_list and not is_blank and prev_blank and in_list_prev) as inner_blank",
     )
     LW = f"over (partition by {k}, list_id order by line_no"
     item_w = _sql_str(r"^( {0,3}([-*+]|[0-9]{1,9}[.)])[ \t]*)")
