@@ -1,5 +1,6 @@
 """interlinear: a Spark-native engine that prepares Markdown/HTML corpora for
-machine translation and renders bilingual documents.
+machine translation and renders documents in which each block is followed
+by its translation.
 
 Every public operator takes DataFrames and returns DataFrames built from
 native Spark expressions, windows, joins and aggregations.

@@ -1,4 +1,4 @@
-"""Bilingual documents: each block followed by its translation.
+"""Two-language documents: each block followed by its translation.
 
 Source lines are kept verbatim (code, HTML, rules, tight lists pass through,
 A9). After the last line of a translated paragraph come a blank line and the

@@ -102,9 +102,9 @@ Footnote 1 link[^first].
 
 [^first]: Footnote **can have markup**
 
-[<img alt="github" src="https://img.shields.io/github/license/zjp-CN/bilingual?color=blue" height="20">](https://github.com/zjp-CN/bilingual)
+[<img alt="license" src="https://img.example.com/license.svg?color=blue" height="20">](https://example.com/project)
 
-[![](https://img.shields.io/crates/d/rustdx.svg?label=downloads+rustdx&style=social)](https://crates.io/crates/rustdx)
+[![](https://img.example.com/downloads.svg?label=downloads&style=social)](https://example.com/package)
 """
 LINK_SEGMENTS = [
     "link text", "link with title", "Autoconverted link https://github.com/nodeca/pica",
