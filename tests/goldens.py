@@ -1,4 +1,6 @@
-"""Golden documents typed inline (values read from the reference's tests)."""
+"""Golden documents and their expected segments, lengths,
+ranges, batches and renderings, typed inline as read from the reference's
+tests (they must equal the reference's results)."""
 
 BASE = """# level one
 one paragraph `Inline code`
