@@ -53,35 +53,46 @@ GREEDY_SQL = (
 )
 
 
-def assign_batches(segs: DataFrame, key: str = "doc_id", extra_keys: list[str] | None = None,
-                   limit_col: str = "limit_value", unit_col: str = "limit_unit") -> DataFrame:
-    """Segments (with limit columns) -> segments with ``batch_no``.
+def _gather(segs: DataFrame, keys: list[str]):
+    """Non-tail segments of each group as one sorted array ``segs``."""
+    body = segs.filter("not is_tail")
+    cols = ["seg_no"] + [c for c in body.columns if c not in keys + ["seg_no"]]
+    gathered = body.groupBy(*keys).agg(
+        F.expr(f"array_sort(collect_list(struct({', '.join(f'`{c}`' for c in cols)})))").alias("segs"))
+    return gathered, cols, body.select(F.struct(*cols).alias("r")).schema["r"].dataType.simpleString()
 
-    One pass: the document's segments are gathered into one row (bounded by
-    the document itself), the fold finds batch openings, and a single explode
-    of markers + segments followed by a running ``last`` window numbers them.
-    """
-    keys = [key] + list(extra_keys or [])
+
+def _number(gathered: DataFrame, keys: list[str], cols: list[str], row_type: str,
+            limit_col: str, unit_col: str) -> DataFrame:
+    """Fold each gathered row into batch openings and number its segments."""
     kl = [f"`{c}`" for c in keys + [limit_col, unit_col]]
     kk = ", ".join(kl)
-    body = segs.filter("not is_tail")
-    cols = ["seg_no"] + [c for c in body.columns if c not in keys + [limit_col, unit_col, "seg_no"]]
-    gathered = body.groupBy(*keys, limit_col, unit_col).agg(
-        F.expr(f"array_sort(collect_list(struct({', '.join(f'`{c}`' for c in cols)})))").alias("segs"))
     lens = (f"transform(segs, x -> named_struct('seg_no', x.seg_no, 'n',"
             f" case when `{unit_col}` = 'bytes' then x.n_bytes else x.n_chars end))")
     starts = GREEDY_SQL.format(lens=lens, lim=f"`{limit_col}`")
-    row_type = body.select(F.struct(*cols).alias("r")).schema["r"].dataType.simpleString()
     both = gathered.selectExpr(
         *kl, f"explode(concat("
-            f"transform({starts}, (s, i) -> named_struct('seg_no', s, 'o', 0, 'b', i, 'r', cast(null as {row_type}))),"
-            f"transform(segs, x -> named_struct('seg_no', x.seg_no, 'o', 1, 'b', cast(null as int), 'r', x)))) as e")
+             f"transform({starts}, (s, i) -> named_struct('seg_no', s, 'o', 0, 'b', i, 'r', cast(null as {row_type}))),"
+             f"transform(segs, x -> named_struct('seg_no', x.seg_no, 'o', 1, 'b', cast(null as int), 'r', x)))) as e")
     both = both.selectExpr(
         "*", f"cast(last(e.b, true) over (partition by {kk} order by e.seg_no, e.o"
              " rows between unbounded preceding and current row) as int) as batch_no")
     return both.filter("e.o = 1").selectExpr(*kl, *[f"e.r.`{c}` as `{c}`" for c in cols], "batch_no")
 
 
+def assign_batches(segs: DataFrame, key: str = "doc_id", extra_keys: list[str] | None = None,
+                   limit_col: str = "limit_value", unit_col: str = "limit_unit") -> DataFrame:
+    """Segments (with limit columns) -> segments with ``batch_no``.
+
+    One pass: the document's segments are gathered into one row (bounded by
+    the document itself), the fold finds batch openings, and a single explode
+    of markers + segments followed by a running ``last`` window numbers them.
+    """
+    keys = [key] + list(extra_keys or []) + [limit_col, unit_col]
+    gathered, cols, row_type = _gather(segs, keys)
+    return _number(gathered, keys[:-2], cols, row_type, limit_col, unit_col)
+
+
 def with_limit(segs: DataFrame, limit: int, unit: str) -> DataFrame:
     if unit not in ("bytes", "chars"):
         raise ValueError(f"unit must be 'bytes' or 'chars', got {unit!r}")
@@ -113,15 +124,19 @@ def limit_rows(providers) -> list[tuple[str, str, int]]:
 def batch_by_providers(segs: DataFrame, providers, key: str = "doc_id") -> DataFrame:
     """Batch the same segments once per provider limit.
 
-    The limits are a literal array exploded per segment row (a narrow
-    Generate, no join), so segments are never re-extracted or shuffled per
-    limit; the fold then runs per (document, provider).
+    Each document's segments are gathered once; the limits are a literal
+    array exploded on that gathered row (a narrow Generate, no join), and the
+    fold runs per (document, provider). Segments are never re-extracted.
     """
-    arr = F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(u).alias("limit_unit"),
-                             F.lit(v).cast("bigint").alias("limit_value")) for p, u, v in limit_rows(providers)])
-    s = segs.select("*", F.explode(arr).alias("_lim"))
-    s = s.select(*segs.columns, "_lim.provider", "_lim.limit_unit", "_lim.limit_value")
-    return assign_batches(s, key, ["provider"])
+    arr = ", ".join(f"named_struct('provider', {_q(p)}, 'limit_unit', {_q(u)}, 'limit_value', cast({int(v)} as bigint))"
+                    for p, u, v in limit_rows(providers))
+    gathered, cols, row_type = _gather(segs, [key])
+    g = gathered.selectExpr(f"`{key}`", "segs", f"inline(array({arr}))")
+    return _number(g, [key, "provider"], cols, row_type, "limit_value", "limit_unit")
+
+
+def _q(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def batch_text(batched: DataFrame, key: str = "doc_id", extra_keys: list[str] | None = None) -> DataFrame:
