@@ -263,11 +263,12 @@ summ AS (SELECT provider, lang, CAST(count(*) AS BIGINT) AS n_requests, CAST(sum
 SELECT s.*, p.qps, CAST(ceil(s.n_requests / p.qps) AS BIGINT) AS min_seconds
 FROM summ s JOIN {PROVIDERS_SQL} ON p.provider = s.provider""")
 def q_plan_summary(spark, sf):
-    segs = _segs_a(spark, sf)
+    # the language travels in the document key: no second read of documents
+    docs = C.lines_corpus(spark, sf).select(F.struct("doc_id", "lang").alias("doc"), "text")
     provs = dims.providers(spark)
-    bt = B.batch_text(B.batch_by_providers(segs, provs), extra_keys=["provider"])
-    docs = C.lines_corpus(spark, sf).select("doc_id", "lang")
-    bt = bt.join(docs.hint("merge"), "doc_id")
+    segs = M.extract_segments(docs, key="doc")
+    bt = B.batch_text(B.batch_by_providers(segs, provs, key="doc"), key="doc", extra_keys=["provider"])
+    bt = bt.withColumn("lang", F.col("doc.lang"))
     return B.plan_summary(bt, provs, ["lang"]).select(
         "provider", "lang", "n_requests", "units", "max_units", "n_oversize", "qps", "min_seconds")
 
