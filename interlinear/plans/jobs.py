@@ -107,7 +107,10 @@ def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=N
         lines = ok.select(key, "batch_no", F.posexplode("dst").alias("pos", "line"))
         aligned = A.align_positional(batched.withColumn("is_tail", F.lit(False)), T.number_lines(lines, key), key)
     else:
-        aligned = A.align_in_batches(resp.withColumn("dst", F.when(F.col("status") == "ok", F.col("dst"))), key)
+        # a partial answer (translation memory without some lines) keeps the
+        # lines it has; only failed batches lose their translations
+        aligned = A.align_in_batches(resp.withColumn(
+            "dst", F.when(F.col("status").isin("ok", "partial"), F.col("dst"))), key)
     # status comes out of the renderer's own per-document aggregation
     # (segments whose batch failed), so the responses are consumed once
     return render(docs, aligned, key, text_col, distribute=False)
