@@ -76,3 +76,13 @@ def test_whole_document_mode(spark):
     d = docs(spark, "a\n\nb\n")
     r = J.translate_corpus(d, J.JobConfig(limit=0, materialize="none")).collect()[0]
     assert r.rendered == "a\n\n[zh] a\n\nb\n\n[zh] b\n"
+
+
+def test_job_plan_has_no_broadcast_and_bounded_shuffles(spark):
+    from interlinear.plans import corpora as C
+    out = J.translate_corpus(C.sheet_corpus(spark, "/root/testdata/sf0.001"), J.JobConfig())
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    for bad in ("BroadcastHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct"):
+        assert bad not in plan
+    assert plan.count("Exchange hashpartitioning") <= 2
