@@ -67,7 +67,7 @@ _EMPHASIS_RULES = [
 _ESCAPE = (r"\\([!-/:-@\[-`{-~])", "$1")
 
 # The HTML character references decoded by name. Numeric
-# references are decoded separately below.
+# references are decoded by code point in ``with_inline_text``.
 NAMED_ENTITIES = [
     ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"),
     ("&reg;", "\u00ae"), ("&hellip;", "\u2026"), ("&mdash;", "\u2014"),
@@ -77,6 +77,10 @@ NAMED_ENTITIES = [
 ]
 
 
+# a decimal or hexadecimal numeric character reference
+NUMERIC_REF = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
 def decode_entities(c) -> Column:
     """Decode the named references above; ``&amp;`` last so that ``&amp;lt;``
     stays ``&lt;``."""
@@ -189,10 +193,23 @@ def with_inline_text(df, src: str, out: str):
         body = f"case when {guard.format(t='v')} then {_apply_sql('v', rules)} else v end"
         df = df.selectExpr("*", f"element_at(transform(array({cur}), v -> {body}), 1) as {name}")
         cur = name
+    # numeric references first (so that "&amp;#65;" stays "&#65;"): each
+    # code point -> 8 hex digits -> big-endian UTF-32 bytes
+    num = sql_str(NUMERIC_REF)
+    cp = ("cast(case when lower(substring(r, 3, 1)) = 'x' then conv(regexp_extract(r, '([0-9a-fA-F]+)', 1), 16, 10)"
+          " else regexp_extract(r, '([0-9]+)', 1) end as bigint)")
+    # invalid code points (0, surrogates, beyond U+10FFFF) read U+FFFD
+    ch = (f"case when {cp} between 1 and 1114111 and not ({cp} between 55296 and 57343)"
+          f" then decode(unhex(lpad(conv({cp}, 10, 16), 8, '0')), 'UTF-32') else {sql_str(chr(0xFFFD))} end")
+    df = df.selectExpr("*", f"element_at(transform(array({cur}), v -> case when contains(v, '&#') then"
+                            f" array_join(zip_with(split(v, {num}, -1), transform(regexp_extract_all(v, {num}, 0),"
+                            f" r -> {ch}), (p, c) -> concat(coalesce(p, ''), coalesce(c, ''))), '') else v end), 1)"
+                            f" as {tmp}ent0")
+    # then named references, "&amp;" last
     ent = "v"
     for name_, value in NAMED_ENTITIES:
         ent = f"replace({ent}, {sql_str(name_)}, {sql_str(value)})"
-    df = df.selectExpr("*", f"element_at(transform(array({cur}), v -> case when v rlike '&[#A-Za-z0-9]+;'"
+    df = df.selectExpr("*", f"element_at(transform(array({tmp}ent0), v -> case when v rlike '&[#A-Za-z0-9]+;'"
                             f" then {ent} else v end), 1) as {tmp}ent")
     restore = (f"array_join(zip_with(split({tmp}ent, {sql_str(_SENTINEL)}, -1), {tmp}codes,"
                f" (p, k) -> concat(coalesce(p, ''), coalesce(k, ''))), '')")
