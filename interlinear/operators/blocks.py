@@ -28,6 +28,8 @@ _HTML_COND_7 = (
     r"^ {0,3}(<[a-zA-Z][a-zA-Z0-9\-]*(\s+[a-zA-Z_:][a-zA-Z0-9_.:\-]*(\s*=\s*([^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>"
     r"|</[a-zA-Z][a-zA-Z0-9\-]*\s*>)\s*$"
 )
+_HTML_RAW = r"(?i)^ {0,3}<(script|pre|style|textarea)([ \t>]|$)"
+_HTML_RAW_END = r"(?i)</(script|pre|style|textarea)>"
 _QUOTE_PREFIX = r"^((?: {0,3}>[ ]?)*)"
 _FENCE = r"^ {0,3}(`{3,}[^`]*|~{3,}.*)$"
 _ATX = r"^ {0,3}#{1,6}([ \t]|$)"
@@ -101,6 +103,10 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
         f"({rx(['|', '-', ':'], _DELIM_ROW)} and contains(body, '|')) as delim0",
         "contains(body, '|') as pipe",
         f"({rx(['<'], _HTML_COND_1_5)} or {rx(['<'], _HTML_COND_6)}) as html_a",
+        f"{rx(['<'], _HTML_RAW)} as raw_start",
+        f"{rx(['<'], r'^ {0,3}<!--')} as cmt_start",
+        f"(contains(body, '</') and body rlike {_sql_str(_HTML_RAW_END)}) as raw_end",
+        "contains(body, '-->') as cmt_end",
         f"{rx(['<'], _HTML_COND_7)} as html_b",
         f"{rx(['['], _FOOTDEF)} as footdef",
         f"{rx(['['], _LINKDEF)} as linkdef0",
@@ -130,6 +136,12 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
         f"last(case when tbl_break then line_no end, true) {RUN} as last_tbrk",
         f"last(case when html_start then line_no end, true) {RUN} as last_html",
         f"last(case when is_blank then line_no end, true) {RUN} as last_blank",
+        # raw-text and comment HTML blocks run to their closing marker, across
+        # blank lines: open while no marker was seen since the start
+        f"last(case when raw_start and not code_f then line_no end, true) {RUN} as last_raw",
+        f"last(case when raw_end then line_no end, true) {PREV} as last_raw_end_p",
+        f"last(case when cmt_start and not code_f then line_no end, true) {RUN} as last_cmt",
+        f"last(case when cmt_end then line_no end, true) {PREV} as last_cmt_end_p",
         f"last(case when item0 and not code_f and not hr0 then line_no end, true) {RUN} as last_item",
         f"last(case when list_break then line_no end, true) {RUN} as last_lbrk",
         # the same two, one row earlier: the previous line's list membership
@@ -140,7 +152,9 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     lines = lines.selectExpr(
         "*",
         "(last_head is not null and (last_tbrk is null or last_head > last_tbrk)) as in_table",
-        "(not code_f and last_html is not null and (last_blank is null or last_html > last_blank)) as in_html",
+        "(not code_f and ((last_html is not null and (last_blank is null or last_html > last_blank))"
+        " or (last_raw is not null and (last_raw_end_p is null or last_raw_end_p < last_raw))"
+        " or (last_cmt is not null and (last_cmt_end_p is null or last_cmt_end_p < last_cmt)))) as in_html",
         "(last_item is not null and (last_lbrk is null or last_item > last_lbrk)) as in_list",
         "(last_item_p is not null and (last_lbrk_p is null or last_item_p > last_lbrk_p)) as in_list_prev",
     )
