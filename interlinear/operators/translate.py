@@ -97,13 +97,6 @@ def via_function(reqs: DataFrame, fn: Callable[[list[str], str, str], list[str]]
     return reqs.select(*cols).mapInPandas(run, schema)
 
 
-def distinct_lines(reqs: DataFrame) -> DataFrame:
-    """Beyond the reference: each distinct (from, to, line) once, to send a
-    translation memory only what it has not seen (join back with ``via_table``)."""
-    lines = reqs.select("from_lang", "to_lang", F.explode("lines").alias("src"))
-    return lines.dropDuplicates(["from_lang", "to_lang", "src"])
-
-
 def number_lines(resp: DataFrame, key: str = "doc_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy("batch_no", "pos")
     return resp.withColumn("line_no", (F.row_number().over(w) - 1).cast("int"))
