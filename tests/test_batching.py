@@ -64,3 +64,13 @@ def test_plan_has_one_exchange(spark):
     s = extract_segments(C.lines_corpus(spark, "/root/testdata/sf0.001"))
     plan = B.batch_text(B.batch_segments(s, 2000, "chars"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_no_per_row_following_frames(spark):
+    """Frames that start after the current row and run to the end of the
+    partition are recomputed per row (quadratic per document): none allowed."""
+    import re
+    from interlinear.plans import corpora as C
+    s = extract_segments(C.chat_corpus(spark, "/root/testdata/sf0.001"))
+    plan = B.batch_text(B.batch_segments(s, 2000, "chars"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"RowFrame, [1-9][0-9]*, unboundedfollowing", plan)
