@@ -15,7 +15,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,7 +77,7 @@ def ship(spark: SparkSession) -> None:
 def arrow_step(df: DataFrame, step: Callable, ddl: str) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(step, schema(ddl))
+    return df.mapInArrow(step, ddl)
 
 
 def utf8(column: str) -> Column:
@@ -86,10 +85,6 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))
 
 
-def schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph; returns (id, component = smallest id).
 

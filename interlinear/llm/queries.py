@@ -4,13 +4,15 @@ digest columns; the work is the operator's."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import read
+from . import packing, simhash, token_store, topk
+from .common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,8 +23,28 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/interlinear-token-store-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    token_store.write(docs, public_tokenizers.path("byte_bpe_50k.json"), path, end_id=0)
+    return token_store.read(spark, path)
+
+
 @query
 def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1).drop("ids")
+
+
+@query
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = topk.top_k(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "id % 50 = 0", k=5)
+    return best.withColumnRenamed("id", "vec_id")
