@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, simhash, token_store, topk
+from . import class_lm, decontamination, packing, simhash, token_store, topk
 from .common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = topk.top_k(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "id % 50 = 0", k=5)
     return best.withColumnRenamed("id", "vec_id")
+
+
+@query
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(read(spark, sf_dir, "documents", "doc_id", "text"))
