@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontamination, packing, simhash, token_store, topk
+from . import class_lm, decontamination, packing, repeats, simhash, token_store, topk
 from .common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1).drop("ids")
 
 
+@query
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept", "spans")
+
+
 @query
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = topk.top_k(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "id % 50 = 0", k=5)
