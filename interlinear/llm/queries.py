@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontamination, packing, repeats, simhash, token_store, topk
+from . import class_lm, decontamination, packing, repeats, simhash, surrogates, token_store, topk
 from .common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,15 @@ def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+#: stands for the secret that a deployment passes
+SURROGATE_KEY = "interlinear-example-key"
+
+
+@query
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymize(read(spark, sf_dir, "documents", "doc_id", "text"), SURROGATE_KEY)
+
+
 @query
 def op5_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(read(spark, sf_dir, "documents", "doc_id", "text"),
