@@ -74,7 +74,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def arrow_step(df: DataFrame, step: Callable, ddl: str) -> DataFrame:
+def arrow_step(df: DataFrame, step: Callable, ddl) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(step, ddl)

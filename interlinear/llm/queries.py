@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontamination, packing, repeats, simhash, surrogates, token_store, topk
+from . import class_lm, decontamination, html_blocks, packing, repeats, simhash, surrogates, token_store, topk
 from .common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1).drop("ids")
 
 
+@query
+def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept", "spans")
