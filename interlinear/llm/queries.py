@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontamination, html_blocks, packing, repeats, simhash, surrogates, token_store, topk
+from . import class_lm, cotraining, decontamination, html_blocks, packing, repeats, simhash, surrogates, token_store, topk
 from .common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,13 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path)
 
 
+@query
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    return cotraining.score(docs, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")).drop(
+        "text", "lang", "source", "n_chars")
+
+
 @query
 def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=3)
