@@ -42,6 +42,12 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` with a unique long ``row``, written once: the numbers stay the same
+    in every later scan, also when lost executors change how files are split."""
+    return materialize(df.withColumn("row", F.monotonically_increasing_id()), tag)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never a local one) for small iterative tables."""
     sc = df.sparkSession.sparkContext

@@ -18,16 +18,16 @@ nothing is hit.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_step, utf8
+from .common import arrow_step, numbered, utf8
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -35,8 +35,10 @@ SHARD_WORDS = 2_000_000
 BLOCK_BYTES = 8_000_000  # benchmark text collected at a time
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
                     for c in range(256))
-FOUND = ("row long, doc_id long, n_words long, n_hit long, items array<string>, "
-         "spans array<struct<start: long, length: long>>")
+FOUND = T.StructType([
+    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+    T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))])
 
 
 def words(text: bytes) -> list[bytes]:
@@ -118,55 +120,82 @@ def search_shard(texts: list[list[bytes]], windows: Windows) -> tuple[list[int],
 
 
 def find(docs: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
-    """One block of items against all documents (columns row, doc_id, text)."""
+    """One block of items against all documents: the columns of ``docs`` without
+    ``utf8``, its last one, and what was found in it."""
+    kept = docs.columns[:-1]
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(items)
         for b in batches:
-            texts, at = b.column(2).to_pylist(), 0
+            texts, at = b.column(len(kept)).to_pylist(), 0
             while at < len(texts):
                 shard, total, first = [], 0, at
                 while at < len(texts) and (not shard or total + len(texts[at]) // 2 <= SHARD_WORDS):
                     shard.append(words(texts[at]))
                     total += len(shard[-1])
                     at += 1
-                found = search_shard(shard, windows)
-                part = b.slice(first, len(shard))
+                hits, found, spans = search_shard(shard, windows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(t) for t in shard], pa.int64()),
-                     pa.array(found[0], pa.int64()), pa.array(found[1], pa.list_(pa.string())),
-                     pa.array(found[2], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))],
-                    names=["row", "doc_id", "n_words", "n_hit", "items", "spans"])
+                    [*b.slice(first, len(shard)).columns[:-1], pa.array([len(t) for t in shard], pa.int64()),
+                     pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())),
+                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))],
+                    names=[*kept, *FOUND.names])
 
-    return arrow_step(docs, step, FOUND)
+    return arrow_step(docs, step, T.StructType([*docs.schema.fields[:-1], *FOUND.fields]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (sorted ids), spans
-    (merged, in words) and contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                       utf8(text_col).alias("text"))
+def _search(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """All blocks of the benchmark against ``docs``, whose columns come out as
+    c0, c1, ... (no name can clash), with the found columns and contaminated."""
+    own = [f"c{n}" for n in range(len(docs.columns))]
+    rows = docs.toDF(*own).withColumn("utf8", utf8(own[docs.columns.index(text_col)]))
     queries = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
                                utf8(item_text_col).alias("text")).distinct()
     size = queries.agg(F.sum(F.length("text") + F.length("item"))).first()[0] or 0
     n_blocks = 1 + size // BLOCK_BYTES
     block = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))
-    found = None
-    for n in range(n_blocks):
-        part = find(rows, [(r.item, bytes(r.text)) for r in queries.where(block == n).collect()])
-        found = part if found is None else found.union(part)
-    if n_blocks > 1:  # the same document in several blocks: unite what they hit
-        hit = F.expr("array_distinct(flatten(transform(flatten(collect_list(spans)), "
-                     "s -> sequence(s.start, s.start + s.length - 1))))")
-        found = found.groupBy("row").agg(
-            F.any_value("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sort_array(hit).alias("hit"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        found = found.selectExpr(
-            "doc_id", "n_words", "cast(size(hit) as bigint) n_hit", "items",
-            "transform(filter(hit, (h, i) -> i = 0 or hit[i - 1] < h - 1), h -> named_struct('start', h, 'length', "
-            "size(filter(hit, (g, j) -> g >= h and j - array_position(hit, h) + 1 = g - h)) * 1L)) spans")
+    items = lambda n: [(r.item, bytes(r.text)) for r in queries.where(block == n).collect()]
+    if n_blocks == 1:
+        found = find(rows, items(0))
+    else:  # the same document in several blocks: unite what they hit, by row numbers that stay
+        rows = numbered(rows, "texts")
+        each = find(rows.select("row", "utf8"), items(0))
+        for n in range(1, n_blocks):
+            each = each.union(find(rows.select("row", "utf8"), items(n)))
+        found = rows.drop("utf8").join(each.groupBy("row").agg(
+            F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+            merged_spans(F.flatten(F.collect_list("spans"))).alias("spans")), "row").drop("row")
+        found = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.length))
     return (found.withColumn("items", F.array_sort("items"))
-            .withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words")).drop("row"))
+            .withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words")))
+
+
+def merged_spans(spans: Column) -> Column:
+    """Sorted spans with overlapping and touching ones united."""
+    one = "array<struct<start: bigint, length: bigint>>"
+    join = lambda done, s: F.when(
+        (F.size(done) > 0) & (s.start <= F.element_at(done, -1).start + F.element_at(done, -1).length),
+        F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(
+            F.element_at(done, -1).start.alias("start"),
+            (F.greatest(F.element_at(done, -1).start + F.element_at(done, -1).length, s.start + s.length)
+             - F.element_at(done, -1).start).alias("length"))))).otherwise(F.concat(done, F.array(s)))
+    return F.aggregate(F.array_sort(spans), F.array().cast(one), lambda done, s: join(done, s).cast(one))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, items (sorted ids), spans
+    (merged, in words) and contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
+    found = _search(rows, rows.columns[1], benchmark, item_col, item_text_col)
+    return found.select(F.col("c0").alias("doc_id"), "n_words", "n_hit", "items", "spans", "contaminated")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                      item_text_col: str = "text") -> DataFrame:
+    """``docs`` without its contaminated rows; what stays is unchanged."""
+    found = _search(docs, text_col, benchmark, item_col, item_text_col).where("not contaminated")
+    return found.select(*[f"c{n}" for n in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -182,7 +211,3 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
         out.append(text[done:offsets[start][0]])
         done = offsets[start + length - 1][1]
     return b"".join([*out, text[done:]])
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

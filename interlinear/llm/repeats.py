@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_step, materialize, utf8
+from .common import arrow_step, materialize, numbered, utf8
 
 LENGTH = 200
 GRAM = 48
@@ -219,8 +219,7 @@ def cut(text: bytes, spans: list[dict] | None) -> tuple[list[tuple[int, int]], b
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256,
     kept (the remaining bytes) and spans (removed runs [s, e))."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                       utf8(text_col).alias("text"))
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")), "texts")
     found = repeated_spans(rows.select("row", "text"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

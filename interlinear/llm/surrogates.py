@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, materialize
+from .common import checkpointed, materialize, numbered
 
 # Titles and given names by gender and script.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"],
@@ -214,8 +214,8 @@ def written_like(written: Column, surrogate: Column, kind: Column) -> Column:
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with its text rewritten, plus ``n_entities`` (mentions replaced)."""
-    row, names = "__row", docs.columns
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    row, names = "row", [f"c{n}" for n in range(len(docs.columns))]  # own names: none can clash
+    rows, given, text_col = numbered(docs.toDF(*names), "texts"), docs.columns, names[docs.columns.index(text_col)]
     found = materialize(rows.select(row, F.array_distinct(mentions(text_col)).alias("mentions")).where("size(mentions) > 0"), "mentions")
     each = found.select(row, F.explode("mentions").alias("mention"))
     cut = parts(checkpointed(each.select("mention").distinct()))
@@ -230,5 +230,6 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     kept, said = F.split(F.col(text_col), MENTION, -1), F.regexp_extract_all(F.col(text_col), F.lit(MENTION), F.lit(0))
     rebuilt = F.array_join(F.zip_with(kept, said, lambda k, s: F.concat(k, F.coalesce(F.element_at("__new", s), s, F.lit("")))), "")
     has = F.col("__new").isNotNull()
-    return joined.select(*[(F.when(has, rebuilt).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`")) for c in names],
-                         F.when(has, F.size(said)).otherwise(0).cast("long").alias("n_entities"))
+    text = F.when(has, rebuilt).otherwise(F.col(text_col))
+    return joined.select(*[(text if c == text_col else F.col(c)).alias(as_) for c, as_ in zip(names, given)
+                           if as_ != "n_entities"], F.when(has, F.size(said)).otherwise(0).cast("long").alias("n_entities"))

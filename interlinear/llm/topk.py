@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import numbered, ship
 
 QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 16384
@@ -79,8 +79,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256,
     (a predicate over ``id``) holds, scored by integer inner product of
     ``floor(scale * x)``."""
     ship(vectors.sparkSession)
-    rows = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-            .withColumn("row", F.monotonically_increasing_id())
+    rows = (numbered(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), "vectors")
             .where("v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
             .withColumn("v", F.expr(f"transform(v, x -> cast(floor({scale} * cast(x as double)) as bigint))")))
     asked = rows.where(is_query)
