@@ -58,15 +58,16 @@ def align_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
     r = r.selectExpr("*", "cast(array_position(__nb, true) as int) as __f",
                      "cast(size(segs) - array_position(reverse(__nb), true) + 1 as int) as __l")
     inside = "__f > 0 and i + 1 >= __f and i + 1 <= __l"
+    reason = "reason" if "reason" in resp.columns else "cast(null as string) as reason"
     out = r.selectExpr(
-        f"`{key}`", "batch_no",
+        f"`{key}`", "batch_no", reason,
         f"explode(transform(segs, (x, i) -> named_struct('seg', x, 'translation',"
-        f" case when dst is not null and {inside} then element_at(dst, i + 2 - __f) end,"
+        f" case when dst is not null and {inside} then try_element_at(dst, i + 2 - __f) end,"
         f" 'pos', case when {inside} then i + 1 - __f end, 'batch_ok', dst is not null))) as e")
     seg_cols = [f.name for f in resp.schema["segs"].dataType.elementType.fields]
     return out.selectExpr(f"`{key}`", "batch_no", *[f"e.seg.`{c}` as `{c}`" for c in seg_cols],
                           "cast(e.pos as int) as pos", "e.translation as translation", "false as is_tail",
-                          "e.batch_ok as batch_ok")
+                          "e.batch_ok as batch_ok", "reason")
 
 
 def report_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:

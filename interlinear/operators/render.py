@@ -32,6 +32,8 @@ def line_inserts(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
     a = aligned.filter(~F.col("is_tail"))
     if "batch_ok" not in a.columns:
         a = a.withColumn("batch_ok", F.col("translation").isNotNull())
+    if "reason" not in a.columns:
+        a = a.withColumn("reason", F.lit(None).cast("string"))
     has = F.col("translation").isNotNull()
     pre = _prefix(F.col("qdepth"), F.col("item_ind"))
     blank = F.when(F.col("qdepth") > 0, F.repeat(F.lit(">"), F.col("qdepth"))).otherwise(F.lit(""))
@@ -44,16 +46,22 @@ def line_inserts(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
         F.map_from_entries(F.collect_list(F.when((F.col("kind") == "cell") & has, F.struct("sub", "translation")))).alias("cells"),
         F.count(F.lit(1)).alias("n_seg"),
         F.sum(F.when(F.col("batch_ok"), 0).otherwise(1)).alias("n_failed"),
+        F.max("reason").alias("reason"),
     )
 
 
+def _cell_text(c):
+    """A translation as table cell text: pipes escaped, line breaks to spaces."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?<!\\)\|", r"\\|"), r"\r?\n", " ")
+
+
 def _rebuild_row(line, cells):
     """The row's cells (split on unescaped pipes) with translations."""
     inner = F.regexp_replace(F.regexp_replace(line, r"^[ \t]*(>[ ]?)*[ \t]*\|", ""), r"(?<!\\)\|[ \t]*$", "")
     parts = F.split(inner, r"(?<!\\)\|", -1)
     rebuilt = F.transform(parts, lambda c, i: F.concat(
         F.regexp_replace(c, r"^[ \t]+|[ \t]+$", ""),
-        F.coalesce(F.concat(F.lit("\t"), F.element_at(cells, i + 1)), F.lit(""))))
+        F.coalesce(F.concat(F.lit("\t"), _cell_text(F.element_at(cells, i + 1))), F.lit(""))))
     qp = F.regexp_extract(line, r"^((?: {0,3}>[ ]?)*)", 1)
     return F.concat(qp, F.lit("|"), F.array_join(rebuilt, "|"), F.lit("|"))
 
@@ -76,12 +84,13 @@ def render(docs: DataFrame, aligned: DataFrame, key: str = "doc_id", text_col: s
     has_cells = F.col("cells").isNotNull() & (F.size(F.map_keys("cells")) > 0)
     first = F.when(has_cells, _rebuild_row(F.col("line"), F.col("cells"))).otherwise(F.col("line"))
     out = F.concat(F.array(first), F.coalesce(F.col("add"), F.array().cast("array<string>")))
-    per_line = j.select(key, "line_no", out.alias("out"), "n_seg", "n_failed")
+    per_line = j.select(key, "line_no", out.alias("out"), "n_seg", "n_failed", "reason")
     doc = per_line.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("line_no", "out"))).alias("ls"),
         F.sum(F.coalesce("n_seg", F.lit(0))).cast("bigint").alias("n_segments"),
-        F.sum(F.coalesce("n_failed", F.lit(0))).cast("bigint").alias("n_failed"))
+        F.sum(F.coalesce("n_failed", F.lit(0))).cast("bigint").alias("n_failed"),
+        F.max("reason").alias("reason"))
     status = (F.when(F.col("n_segments") == 0, F.lit("empty")).when(F.col("n_failed") == 0, F.lit("ok"))
               .when(F.col("n_failed") < F.col("n_segments"), F.lit("partial")).otherwise(F.lit("failed")))
     return doc.select(key, F.array_join(F.flatten(F.transform("ls", lambda x: x["out"])), "\n").alias("rendered"),
-                      "n_segments", "n_failed", status.alias("status"))
+                      "n_segments", "n_failed", status.alias("status"), "reason")

@@ -1,63 +1,36 @@
 """The pluggable translate step: request lines in, one response per request.
 
-Three interchangeable translators:
+Interchangeable translators:
 
 (a) ``via_table``: left join of the request lines with a translations table
     ``(from_lang, to_lang, src, dst)`` -- a memory of earlier translations;
 (b) ``via_function``: a user function ``list[str] -> list[str]`` applied per
     request inside ``mapInPandas`` (the place to call a real service; Spark
     parallelises and retries per partition);
-(c) ``stub_service``: a deterministic service answering in each provider's
-    JSON shape (``'[zh] ' + line``), rejecting requests over the provider
-    limit with that provider's "too long" error -- used by tests and the
-    registered queries.
+(c) ``Service``: adds each provider's raw JSON response to the requests, which
+    ``responses.unify_responses`` then reads.
+
+No answer stops a run: an exception of the user function is that request's
+``error`` status with its message, an answer with another number of lines than
+the request is ``partial``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Each provider's "request text too long" error.
-TOO_LONG = {
-    "baidu": ("54005", "long query request too frequent"),
-    "tencent": ("UnsupportedOperation.TextTooLong", "text too long"),
-    "niutrans": ("10003", "request text too long"),
-}
-
-
-def stub_line(c):
-    return F.concat(F.lit("[zh] "), c)
-
-
-def stub_service(reqs: DataFrame, too_long_col: str = "oversize") -> DataFrame:
-    """(c) response ``body`` per request, in the provider's own JSON shape."""
-    p = F.col("provider")
-    dst = F.transform("lines", stub_line)
-    rid = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("batch_no").cast("string"))
-    ok_pairs = F.to_json(F.struct(F.col("from_lang").alias("from"), F.col("to_lang").alias("to"),
-                                  F.transform("lines", lambda x: F.struct(x.alias("src"), stub_line(x).alias("dst")))
-                                  .alias("trans_result")))
-    ok_list = F.to_json(F.struct(F.struct(rid.alias("RequestId"), F.col("from_lang").alias("Source"),
-                                          F.col("to_lang").alias("Target"), dst.alias("TargetTextList")).alias("Response")))
-    ok_text = F.to_json(F.struct(F.concat(F.array_join(dst, "\n"), F.lit("\n")).alias("tgt_text"),
-                                 F.col("to_lang").alias("to"), F.col("from_lang").alias("from")))
-    err_pairs = F.to_json(F.struct(F.lit(TOO_LONG["baidu"][0]).alias("error_code"),
-                                   F.lit(TOO_LONG["baidu"][1]).alias("error_msg")))
-    err_list = F.to_json(F.struct(F.struct(
-        F.struct(F.lit(TOO_LONG["tencent"][0]).alias("Code"), F.lit(TOO_LONG["tencent"][1]).alias("Message")).alias("Error"),
-        rid.alias("RequestId")).alias("Response")))
-    err_text = F.to_json(F.struct(F.col("to_lang").alias("to"), F.lit(TOO_LONG["niutrans"][0]).alias("error_code"),
-                                  F.col("from_lang").alias("from"), F.lit(TOO_LONG["niutrans"][1]).alias("error_msg"),
-                                  F.col("q").alias("src_text"), F.lit("xx").alias("apikey")))
-    bad = F.col(too_long_col)
-    body = (F.when(p == "baidu", F.when(bad, err_pairs).otherwise(ok_pairs))
-            .when(p == "tencent", F.when(bad, err_list).otherwise(ok_list))
-            .when(p == "niutrans", F.when(bad, err_text).otherwise(ok_text)))
-    return reqs.withColumn("body", body)
+
+@dataclass(frozen=True)
+class Service:
+    """A translator that answers whole requests: ``respond(requests)`` adds the
+    provider's JSON response as column ``body``."""
+
+    respond: Callable[[DataFrame], DataFrame]
 
 
 def via_table(reqs: DataFrame, translations: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -69,11 +42,13 @@ def via_table(reqs: DataFrame, translations: DataFrame, key: str = "doc_id") ->
     """
     lines = reqs.select(key, "batch_no", "provider", "from_lang", "to_lang",
                         F.posexplode("lines").alias("pos", "src"))
-    t = translations.select("from_lang", "to_lang", "src", "dst").dropDuplicates(["from_lang", "to_lang", "src"])
+    # several translations of one line: the smallest, whatever the row order
+    t = translations.groupBy("from_lang", "to_lang", "src").agg(F.min("dst").alias("dst"))
     j = lines.join(t.hint("merge"), ["from_lang", "to_lang", "src"], "left")
     g = j.groupBy(key, "batch_no", "provider").agg(F.array_sort(F.collect_list(F.struct("pos", "dst"))).alias("p"))
     return g.select(key, "batch_no", "provider", F.transform("p", lambda x: x["dst"]).alias("dst"),
-                    F.when(F.exists("p", lambda x: x["dst"].isNull()), F.lit("partial")).otherwise(F.lit("ok")).alias("status"))
+                    F.when(F.exists("p", lambda x: x["dst"].isNull()), F.lit("partial")).otherwise(F.lit("ok")).alias("status"),
+                    F.lit(None).cast("string").alias("error_msg"))
 
 
 def via_function(reqs: DataFrame, fn: Callable[[list[str], str, str], list[str]], key: str = "doc_id") -> DataFrame:
@@ -87,13 +62,22 @@ def via_function(reqs: DataFrame, fn: Callable[[list[str], str, str], list[str]]
     cols = [key, "batch_no", "provider", "from_lang", "to_lang", "lines"]
     key_type = reqs.schema[key].dataType.simpleString()
 
+    def answer(lines, from_lang, to_lang):
+        try:
+            got = [None if x is None else str(x) for x in fn(list(lines), from_lang, to_lang)]
+        except Exception as e:  # a failed call is this request's status, not the end of the run
+            return None, "error", f"{type(e).__name__}: {e}"
+        if len(got) != len(lines):
+            return got, "partial", f"{len(lines)} lines asked, {len(got)} returned"
+        return got, "ok", None
+
     def run(batches):
         for pdf in batches:
-            out = [fn(list(ls), f, t) for ls, f, t in zip(pdf["lines"], pdf["from_lang"], pdf["to_lang"])]
+            out = [answer(ls, f, t) for ls, f, t in zip(pdf["lines"], pdf["from_lang"], pdf["to_lang"])]
             yield pd.DataFrame({key: pdf[key], "batch_no": pdf["batch_no"], "provider": pdf["provider"],
-                                "dst": out, "status": ["ok"] * len(out)})
+                                **{c: [o[n] for o in out] for n, c in enumerate(("dst", "status", "error_msg"))}})
 
-    schema = f"{key} {key_type}, batch_no int, provider string, dst array<string>, status string"
+    schema = f"{key} {key_type}, batch_no int, provider string, dst array<string>, status string, error_msg string"
     return reqs.select(*cols).mapInPandas(run, schema)
 
 

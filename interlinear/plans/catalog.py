@@ -17,8 +17,11 @@ from interlinear import dims
 from interlinear.functions.text import inline_text, link_labels
 from interlinear.operators import batching as B
 from interlinear.operators import segments as M
+from interlinear.operators.translate import Service
 from interlinear.plans import corpora as C
+from interlinear.plans import stub
 
+STUB = Service(stub.stub_service)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -379,7 +382,7 @@ def q_lang_pair(spark, sf):
 
 # --- responses ------------------------------------------------------------
 def _responses(spark, sf):
-    return P.unify_responses(T.stub_service(_requests(spark, sf)))
+    return P.unify_responses(stub.stub_service(_requests(spark, sf)))
 
 
 RESP_SQL = REQ_SQL + f""",
@@ -397,7 +400,7 @@ resp AS (SELECT r.doc_id, r.batch_no, r.provider,
 
 def _parse_q(provider):
     def q(spark, sf):
-        r = T.stub_service(_requests(spark, sf)).filter(F.col("provider") == provider)
+        r = stub.stub_service(_requests(spark, sf)).filter(F.col("provider") == provider)
         fn = {"baidu": P.parse_pairs, "tencent": P.parse_list, "niutrans": P.parse_text}[provider]
         return fn(r).select("doc_id", "batch_no", "status", "dst", "error_code", "error_msg")
     return q
@@ -452,7 +455,7 @@ def _tencent_pipeline(spark, sf):
     batched = B.batch_segments(segs, 2000, "chars")
     bt = B.batch_text(batched).withColumn("provider", F.lit("tencent")) \
           .withColumn("from_lang", F.lit("en")).withColumn("to_lang", F.lit("zh"))
-    resp = P.unify_responses(T.stub_service(R.build_requests(bt, DEMO, TS)))
+    resp = P.unify_responses(stub.stub_service(R.build_requests(bt, DEMO, TS)))
     ok = resp.filter(F.col("status") == "ok")
     lines = ok.select("doc_id", "batch_no", F.posexplode("dst").alias("pos", "line"))
     return segs, batched, lines
@@ -463,7 +466,7 @@ def _tencent_responses(spark, sf):
     segs = _segs_a(spark, sf)
     bt = B.batch_text(B.batch_segments(segs, 2000, "chars")).withColumn("provider", F.lit("tencent")) \
           .withColumn("from_lang", F.lit("en")).withColumn("to_lang", F.lit("zh"))
-    resp = P.unify_responses(T.stub_service(R.build_requests(bt, DEMO, TS)))
+    resp = P.unify_responses(stub.stub_service(R.build_requests(bt, DEMO, TS)))
     return resp.withColumn("dst", F.when(F.col("status") == "ok", F.col("dst")))
 
 
@@ -524,7 +527,7 @@ _CHAT_OK = f"length(replace(text, {NL}, ' ')) + 1 <= 2000"
   CASE WHEN {_CHAT_OK} THEN {NL} || {NL} || '[zh] ' || replace(text, {NL}, ' ') ELSE '' END || {NL} AS rendered,
   CASE WHEN {_CHAT_OK} THEN 'ok' ELSE 'partial' END AS status FROM conversations""")
 def q_render_chat(spark, sf):
-    out = J.translate_corpus(C.chat_corpus(spark, sf), J.JobConfig())
+    out = J.translate_corpus(C.chat_corpus(spark, sf), J.JobConfig(), STUB)
     return out.select(F.col("doc_id.conv_id").alias("conv_id"), F.col("doc_id.turn").alias("turn"), "rendered", "status")
 
 
@@ -535,7 +538,7 @@ def q_render_chat(spark, sf):
   '```json' || {NL} || props || {NL} || '```' || {NL} || {NL} || 'Event ' || CAST(event_id AS VARCHAR) ||
   {NL} || {NL} || '[zh] Event ' || CAST(event_id AS VARCHAR) || {NL} AS rendered FROM events""")
 def q_render_table(spark, sf):
-    out = J.translate_corpus(C.sheet_corpus(spark, sf), J.JobConfig())
+    out = J.translate_corpus(C.sheet_corpus(spark, sf), J.JobConfig(), STUB)
     return out.select("doc_id", "rendered")
 
 
@@ -549,7 +552,7 @@ SELECT doc_id, string_agg(text || CASE WHEN ok THEN {NL} || {NL} || '[zh] ' || t
   {_status_sql('sum(CASE WHEN ok THEN 0 ELSE 1 END)', 'count(*)')} AS status
 FROM p1 GROUP BY doc_id""")
 def q_translate_corpus(spark, sf):
-    out = J.translate_corpus(C.lines_corpus(spark, sf), J.JobConfig())
+    out = J.translate_corpus(C.lines_corpus(spark, sf), J.JobConfig(), STUB)
     return out.select("doc_id", "rendered", "status")
 
 
@@ -561,7 +564,7 @@ SELECT doc_id, string_agg(text || CASE WHEN ok THEN {NL} || {NL} || '[zh] ' || t
   {_status_sql('sum(CASE WHEN ok THEN 0 ELSE 1 END)', 'count(*)')} AS status
 FROM p2o GROUP BY doc_id""")
 def q_retranslate(spark, sf):
-    out = J.retranslate(C.lines_corpus(spark, sf), J.JobConfig())
+    out = J.retranslate(C.lines_corpus(spark, sf), J.JobConfig(), STUB)
     return out.select("doc_id", "rendered", "status")
 
 
@@ -601,7 +604,7 @@ def q_code_comments(spark, sf):
 
 def _comment_translations(spark, sf):
     blocks = CM.code_blocks(C.code_corpus(spark, sf))
-    tr = CM.code_comments(blocks).select("doc_id", "block_no", "idx", T.stub_line(F.col("comment")).alias("translation"))
+    tr = CM.code_comments(blocks).select("doc_id", "block_no", "idx", stub.stub_line(F.col("comment")).alias("translation"))
     return blocks, tr
 
 

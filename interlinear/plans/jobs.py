@@ -62,55 +62,70 @@ def _materialize(df: DataFrame, how: str) -> DataFrame:
     return df
 
 
-def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=None,
-                     key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(key, rendered, n_segments, n_failed, status)`` per document.
+def _answers(reqs: DataFrame, translator, key: str) -> DataFrame:
+    """Requests with ``status``, ``dst`` and ``error_msg``. Only ready requests
+    reach the translator; the others fail with their reason."""
+    ready = reqs.filter(F.col("req_status") == "ready")
+    if isinstance(translator, T.Service):
+        out = P.unify_responses(translator.respond(reqs))
+        bad = F.col("req_status") != "ready"
+        return out.withColumn("dst", F.when(~bad, F.col("dst"))) \
+            .withColumn("status", F.when(bad, F.col("req_status")).otherwise(F.col("status"))) \
+            .withColumn("error_msg", F.when(bad, F.col("lang_error")).otherwise(F.col("error_msg")))
+    got = T.via_table(ready, translator, key) if isinstance(translator, DataFrame) else T.via_function(ready, translator, key)
+    got = got.select(key, "batch_no", F.col("status").alias("__s"), "dst", F.col("error_msg").alias("__m"))
+    out = reqs.select(key, "batch_no", "segs", "req_status", "lang_error").join(got.hint("merge"), [key, "batch_no"], "left")
+    return out.withColumn("status", F.coalesce("__s", "req_status")).withColumn("error_msg", F.coalesce("__m", "lang_error")) \
+        .drop("__s", "__m")
 
-    ``translator``: None -> deterministic stub service; a DataFrame
-    ``(from_lang, to_lang, src, dst)`` -> translation-memory join; a callable
-    ``(lines, from, to) -> lines`` -> run per request in ``mapInPandas``.
 
-    With keyed alignment and the stub service the plan is one pipeline: each
-    batch row carries its segments, so the response is aligned inside the
-    batch row (no join back, nothing read twice). Positional alignment and
-    user translators reuse the batches, which are then materialised once
-    (``cfg.materialize``).
+def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=None,
+                     key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(key, rendered, n_segments, n_failed, status, reason)`` per document.
+
+    ``translator`` (required): a DataFrame ``(from_lang, to_lang, src, dst)`` ->
+    translation-memory join; a callable ``(lines, from, to) -> lines`` -> run
+    per request in ``mapInPandas``; a ``translate.Service`` -> JSON responses.
+
+    Requests that their provider's rules reject are not sent; they, failed
+    calls and unreadable responses leave the original text and are counted in
+    ``n_failed`` with a ``reason``. With keyed alignment and a Service the plan
+    is one pipeline: each batch row carries its segments. Positional alignment
+    reuses the batches, which are then materialised once (``cfg.materialize``);
+    the answers of a table or function are materialised too, so that no request
+    is asked twice.
     """
+    if translator is None:
+        raise TypeError("translate_corpus needs a translator: a DataFrame, a callable or a translate.Service")
     cfg = cfg or JobConfig()
     unit, limit = _limit(cfg)
     use_document_partitioning(docs.sparkSession)
     # one distribution of the documents, read by segmentation and rendering
     docs = distribute_docs(docs.select(key, text_col), key)
     segs = extract_segments(docs, key, text_col, list_mode=cfg.list_mode, distribute=False)
-    reuse = cfg.alignment == "positional" or translator is not None
+    service = isinstance(translator, T.Service)
     if limit == 0:
         # Application-level limit 0 = the whole text as one request
         bt = B.whole_batches(segs, key).withColumn("oversize", F.lit(False))
         batched = segs.filter(~F.col("is_tail")).withColumn("batch_no", F.lit(0))
     else:
         batched = B.assign_batches(B.with_limit(segs, limit, unit), key)
-        if reuse:
+        if cfg.alignment == "positional" or not service:
             batched = _materialize(batched, cfg.materialize)
         bt = B.batch_text(batched, key)
     bt = bt.withColumn("provider", F.lit(cfg.provider)) \
            .withColumn("from_lang", F.lit(cfg.from_lang)).withColumn("to_lang", F.lit(cfg.to_lang))
-    reqs = R.build_requests(bt, cfg.creds, cfg.timestamp)
-    if translator is None:
-        resp = P.unify_responses(T.stub_service(reqs))
-    else:
-        got = T.via_table(reqs, translator, key) if isinstance(translator, DataFrame) \
-            else T.via_function(reqs, translator, key)
-        resp = reqs.select(key, "batch_no", "segs").join(got.select(key, "batch_no", "status", "dst").hint("merge"),
-                                                          [key, "batch_no"], "left")
+    resp = _answers(R.build_requests(bt, cfg.creds, cfg.timestamp), translator, key)
+    if not service:
+        resp = _materialize(resp, cfg.materialize)
+    # a partial answer keeps the lines it has; only failed batches lose theirs
+    usable = F.col("status").isin("ok", "partial")
     if cfg.alignment == "positional":
-        ok = resp.filter(F.col("status") == "ok")
-        lines = ok.select(key, "batch_no", F.posexplode("dst").alias("pos", "line"))
+        lines = resp.filter(usable).select(key, "batch_no", F.posexplode("dst").alias("pos", "line"))
         aligned = A.align_positional(batched.withColumn("is_tail", F.lit(False)), T.number_lines(lines, key), key)
     else:
-        # a partial answer (translation memory without some lines) keeps the
-        # lines it has; only failed batches lose their translations
-        aligned = A.align_in_batches(resp.withColumn(
-            "dst", F.when(F.col("status").isin("ok", "partial"), F.col("dst"))), key)
+        aligned = A.align_in_batches(resp.withColumn("dst", F.when(usable, F.col("dst")))
+                                     .withColumn("reason", F.when(~usable, F.coalesce("error_msg", "status"))), key)
     # status comes out of the renderer's own per-document aggregation
     # (segments whose batch failed), so the responses are consumed once
     return render(docs, aligned, key, text_col, distribute=False)
@@ -119,7 +134,8 @@ def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=N
 def retranslate(docs: DataFrame, cfg: JobConfig | None = None, translator=None,
                 key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Run the job on its own output (original, translation, and the
-    translation of both)."""
+    translation of both). The first pass is materialised: the second reads its
+    documents twice and must not translate them again."""
     first = translate_corpus(docs, cfg, translator, key, text_col)
-    again = first.select(key, F.col("rendered").alias(text_col))
+    again = _materialize(first.select(key, F.col("rendered").alias(text_col)), (cfg or JobConfig()).materialize)
     return translate_corpus(again, cfg, translator, key, text_col)

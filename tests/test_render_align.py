@@ -8,7 +8,11 @@ from interlinear.operators import align as A
 from interlinear.operators import batching as B
 from interlinear.operators.render import render
 from interlinear.operators.segments import extract_segments
+from interlinear.operators.translate import Service
 from interlinear.plans import jobs as J
+from interlinear.plans.stub import stub_service
+
+STUB = Service(stub_service)
 
 
 def stub_aligned(spark, text, key="doc_id"):
@@ -54,10 +58,10 @@ def test_keyed_alignment_survives_trimmed_empty_segment(spark):
 
 def test_translate_corpus_job_and_retranslate(spark):
     d = docs(spark, "# Hi\n\nHello there.\n", "plain")
-    out = {r.doc_id: r for r in J.translate_corpus(d, J.JobConfig(materialize="persist")).collect()}
+    out = {r.doc_id: r for r in J.translate_corpus(d, J.JobConfig(materialize="persist"), STUB).collect()}
     assert out[0].rendered == "# Hi\n\n# [zh] Hi\n\nHello there.\n\n[zh] Hello there.\n"
     assert out[0].status == "ok" and out[1].rendered == "plain\n\n[zh] plain"
-    again = {r.doc_id: r.rendered for r in J.retranslate(d, J.JobConfig(materialize="none")).collect()}
+    again = {r.doc_id: r.rendered for r in J.retranslate(d, J.JobConfig(materialize="none"), STUB).collect()}
     assert again[1] == "plain\n\n[zh] plain\n\n[zh] plain\n\n[zh] [zh] plain"
 
 
@@ -74,15 +78,79 @@ def test_job_with_user_function_and_table(spark):
 
 def test_whole_document_mode(spark):
     d = docs(spark, "a\n\nb\n")
-    r = J.translate_corpus(d, J.JobConfig(limit=0, materialize="none")).collect()[0]
+    r = J.translate_corpus(d, J.JobConfig(limit=0, materialize="none"), STUB).collect()[0]
     assert r.rendered == "a\n\n[zh] a\n\nb\n\n[zh] b\n"
 
 
 def test_job_plan_has_no_broadcast_and_bounded_shuffles(spark):
     from interlinear.plans import corpora as C
-    out = J.translate_corpus(C.sheet_corpus(spark, "/root/testdata/sf0.001"), J.JobConfig())
+    out = J.translate_corpus(C.sheet_corpus(spark, "/root/testdata/sf0.001"), J.JobConfig(), STUB)
     out.write.format("noop").mode("overwrite").save()
     plan = out._jdf.queryExecution().executedPlan().toString()
     for bad in ("BroadcastHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct"):
         assert bad not in plan
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_translator_failures_do_not_stop_or_falsify(spark):
+    """A failing call, a short and a long answer and a rejected language pair
+    leave originals and statuses; the rest is translated."""
+    import pytest
+    d = docs(spark, "one\n\ntwo\n", "boom\n", "three\n\nextra\n")
+
+    def fn(lines, f, t):
+        if "boom" in lines:
+            raise RuntimeError("no answer")
+        if "extra" in lines:
+            return [x.upper() for x in lines] + ["surplus"]
+        return [lines[0].upper()]
+    got = {r.doc_id: r for r in J.translate_corpus(d, J.JobConfig(materialize="none"), fn).collect()}
+    assert got[0].rendered == "one\n\nONE\n\ntwo\n" and got[0].status == "ok"
+    assert got[1].rendered == "boom\n" and got[1].status == "failed" and got[1].reason == "RuntimeError: no answer"
+    assert got[2].rendered == "three\n\nTHREE\n\nextra\n\nEXTRA\n"
+    for translator in (STUB, fn):
+        cfg = J.JobConfig(to_lang="auto", materialize="none")
+        r = J.translate_corpus(docs(spark, "one\n"), cfg, translator).collect()[0]
+        assert (r.rendered, r.status, r.reason) == ("one\n", "failed", "target language cannot be auto")
+    with pytest.raises(TypeError):
+        J.translate_corpus(d)
+
+
+def test_each_request_is_asked_once_per_pass(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def fn(lines, f, t):
+        with open(log, "a") as out:
+            out.write("call\n")
+        return [x.upper() for x in lines]
+    r = J.retranslate(docs(spark, "one\n"), J.JobConfig(), fn).collect()[0]
+    assert r.rendered == "one\n\nONE\n\nONE\n\nONE\n"
+    assert len(open(log).readlines()) == 2
+
+
+def test_cell_translation_with_a_pipe(spark):
+    d = docs(spark, "| a |\n| --- |\n| b |\n")
+    fn = lambda lines, f, t: [x + "|x\ny" for x in lines]
+    r = J.translate_corpus(d, J.JobConfig(materialize="none"), fn).collect()[0]
+    assert r.rendered == "|a\ta\\|x y|\n| --- |\n|b\tb\\|x y|\n"
+
+
+def test_translation_memory_is_deterministic_and_splits_a_hot_line(spark):
+    from interlinear.operators import translate as T
+    mem = spark.createDataFrame([("en", "zh", "one", x) for x in "cab"], "from_lang string, to_lang string, src string, dst string")
+    reqs = spark.range(3000).selectExpr("id as doc_id", "0 as batch_no", "'tencent' as provider", "'en' as from_lang",
+                                        "'zh' as to_lang", "array('one', if(id % 50 = 0, cast(id as string), 'one')) as lines")
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+           "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        out = T.via_table(reqs.repartition(16), mem)
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(r.dst[0] == "a" for r in rows) and len(rows) == 3000
+    assert "skew=true" in plan

@@ -8,7 +8,7 @@ from interlinear import dims
 from interlinear.functions.hashing import hmac_sha256_hex
 from interlinear.operators import requests as R
 from interlinear.operators import responses as P
-from interlinear.operators import translate as T
+from interlinear.plans.stub import stub_service
 
 SPACED = '{"Source": "en", "Target": "zh", "ProjectId": 0, "SourceTextList": ["hi", "there"]}'
 TS = 1636111645
@@ -77,7 +77,7 @@ def test_stub_service_round_trip(spark):
                               "doc_id long, batch_no int, provider string, text string, oversize boolean") \
         .withColumn("from_lang", F.lit("en")).withColumn("to_lang", F.lit("zh"))
     creds = R.Credentials(R.Md5FormUser("a", "k"), R.SignedJsonUser("0", "0"), R.PlainFormUser("k"))
-    out = P.unify_responses(T.stub_service(R.build_requests(b, creds, TS))).collect()
+    out = P.unify_responses(stub_service(R.build_requests(b, creds, TS))).collect()
     assert all(r.dst == ["[zh] a", "[zh] b"] for r in out)
 
 

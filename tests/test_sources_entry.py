@@ -47,12 +47,14 @@ def test_export_and_write(spark):
 
 def test_stream_dir_available_now(spark):
     from interlinear.plans import jobs as J
+    from interlinear.operators.translate import Service
+    from interlinear.plans.stub import stub_service
     from interlinear.streaming.stream_dir import translate_stream
     d, out, ck = _tmpdir(), _tmpdir(), _tmpdir()
     with open(os.path.join(d, "a.md"), "w", encoding="utf-8") as f:
         f.write("Hello\n")
     q = translate_stream(spark, d, os.path.join(out, "t"), ck,
-                         lambda b: J.translate_corpus(b, J.JobConfig(materialize="none")))
+                         lambda b: J.translate_corpus(b, J.JobConfig(materialize="none"), Service(stub_service)))
     q.awaitTermination(120)
     rows = spark.read.parquet(os.path.join(out, "t")).collect()
     assert [r.rendered for r in rows] == ["Hello\n\n[zh] Hello\n"]
