@@ -7,6 +7,9 @@ stays inside whole-stage codegen (regexp_replace, split, zip_with, ...).
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,182 +46,138 @@ def seg_chars(c) -> Column:
 # --- Markdown inline text -------------------------------------------------
 # A code span: a backtick run, content, the same run again.
 CODE_SPAN = r"(?<!`)(`+)(?!`)([\s\S]*?[^`])\1(?!`)"
-# Private-use sentinel that stands for a code span while the inline rules run.
-_SENTINEL = "\ue000"
+# What no inline rule may touch: a backslash escape or a code span.
+PROTECTED = r"\\[!-/:-@\[-`{-~]|" + CODE_SPAN
+# Private-use characters that stand for protected pieces while the rules run:
+# open + number + close; a source character equal to ``open`` becomes open + own.
+_OPEN, _OWN, _CLOSE = "\ue000", "\ue001", "\ue002"
+
+
+def _nested(open_: str, close: str, plain: str, depth: int) -> str:
+    """Balanced brackets as a regex, nested up to ``depth`` levels."""
+    inner = f"{plain}*+"
+    for _ in range(depth):
+        inner = f"(?:{plain}++|{open_}{inner}{close})*+"
+    return inner
+
+
+# CommonMark bounds nested parentheses of a link destination at 32 levels.
+_LABEL = _nested(r"\[", r"\]", r"[^\[\]]", 16)
+_DEST = r"\(\s*+(?:<[^<>\n]*>|" + _nested(r"\(", r"\)", r"[^()\s]", 32) + r")(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)"
 
 # Ordered rewrite rules (pattern, replacement). They follow the
 # CommonMark/GFM inline syntax (images, links, footnote references,
-# autolinks, raw HTML, emphasis, strikethrough, backslash escapes).
+# autolinks, raw HTML).
 _INLINE_RULES = [
-    (r"!\[([^\]]*)\]\((?:[^()\s]|\([^()]*\))*(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)", "$1"),
+    (rf"!\[({_LABEL})\]{_DEST}", "$1"),
     (r"\[\^[^\]\s]+\]", ""),
-    (r"\[([^\]]*)\]\((?:[^()\s]|\([^()]*\))*(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)", "$1"),
-    (r"\[([^\]]+)\]\[[^\]]*\]", "$1"),
+    (rf"(?<!!)\[({_LABEL})\]{_DEST}", "$1"),
+    (r"!?\[([^\]]+)\]\[[^\]]*\]", "$1"),
     (r"<([a-zA-Z][a-zA-Z0-9+.\-]{1,31}:[^<>\s]*)>", "$1"),
     (r"<([^<>\s@]+@[^<>\s@]+\.[^<>\s@]+)>", "$1"),
     (r"<!--[\s\S]*?-->", ""),
     (r"</?[a-zA-Z][a-zA-Z0-9\-]*(?:\s+[a-zA-Z_:][a-zA-Z0-9_.:\-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>", ""),
 ]
+# Innermost emphasis (no marker inside); applied until nothing changes, so
+# markers nest to any depth.
 _EMPHASIS_RULES = [
-    (r"(?<![*\\])(\*{1,3})(?=[^\s*])([\s\S]*?[^\s*\\])\1(?!\*)", "$2"),
-    (r"(?<![\p{L}\p{N}_\\])(_{1,3})(?=[^\s_])([\s\S]*?[^\s_\\])\1(?![\p{L}\p{N}_])", "$2"),
-    (r"(?<![~\\])~~(?=[^\s~])([\s\S]*?[^\s~])~~(?!~)", "$1"),
+    (r"(\*{1,3})([^\s*](?:[^*]*[^\s*])?)\1", "$2"),
+    (r"(?<![\p{L}\p{N}_])(_{1,3})([^\s_](?:(?:[^_]|(?<=[\p{L}\p{N}])_+(?=[\p{L}\p{N}]))*[^\s_])?)\1(?![\p{L}\p{N}_])", "$2"),
+    (r"(?<!~)~~(?=[^\s~])([\s\S]*?[^\s~])~~(?!~)", "$1"),
 ]
-_ESCAPE = (r"\\([!-/:-@\[-`{-~])", "$1")
-
-# The HTML character references decoded by name. Numeric
-# references are decoded by code point in ``with_inline_text``.
-NAMED_ENTITIES = [
-    ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"),
-    ("&reg;", "\u00ae"), ("&hellip;", "\u2026"), ("&mdash;", "\u2014"),
-    ("&ndash;", "\u2013"), ("&laquo;", "\u00ab"), ("&raquo;", "\u00bb"),
-    ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"),
-    ("&amp;", "&"),
-]
-
 
-# a decimal or hexadecimal numeric character reference
-NUMERIC_REF = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+def sql_str(s: str) -> str:
+    """A Python string as a Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def decode_entities(c) -> Column:
-    """Decode the named references above; ``&amp;`` last so that ``&amp;lt;``
-    stays ``&lt;``."""
-    out = col_of(c)
-    for name, value in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(value))
-    return out
+def _bound(x: str, body: str) -> str:
+    """``body`` over ``v`` with v bound to ``x`` once, so that an optimizer
+    rewrite which substitutes x grows the expression linearly."""
+    return f"element_at(transform(array({x}), v -> {body}), 1)"
 
 
-def _apply(c: Column, rules) -> Column:
+def _apply_sql(x: str, rules) -> str:
     for pat, rep in rules:
-        c = F.regexp_replace(c, pat, rep)
-    return c
-
-
-# Cheap tests that say whether a rule group can match at all. Prose without
-# markup then skips the regex passes entirely (they are the costly part).
-_GROUPS = [
-    (lambda t: t.contains("[") | t.contains("<"), _INLINE_RULES),
-    (lambda t: t.rlike(r"\*[^\s*]"), _EMPHASIS_RULES[:1] * 2),
-    (lambda t: t.rlike(r"_[^\s_]"), _EMPHASIS_RULES[1:2] * 2),
-    (lambda t: t.contains("~~"), _EMPHASIS_RULES[2:] * 2),
-    (lambda t: t.contains("\\"), [_ESCAPE]),
-]
+        x = f"regexp_replace({x}, {sql_str(pat)}, {sql_str(rep)})"
+    return x
 
 
-def _code_parts(src: Column):
-    codes = F.regexp_extract_all(src, F.lit(CODE_SPAN), 0)
-    return F.transform(
-        codes,
-        lambda x: F.concat(
-            F.lit("`"),
-            F.regexp_replace(F.regexp_replace(x, r"^`+|`+$", ""), r"^ ([\s\S]*[^ ][\s\S]*) $", "$1"),
-            F.lit("`"),
-        ),
-    )
+def _until_stable(x: str, rules, marks: str) -> str:
+    """Rules applied again while they change the text; each change removes a
+    marker, so the number of marker characters bounds the rounds (a settled
+    text passes the remaining rounds untouched)."""
+    rounds = f"length({x}) - length(regexp_replace({x}, {sql_str(marks)}, ''))"
+    return (f"aggregate(sequence(1, greatest(1, {rounds})), named_struct('t', {x}, 'd', false), (a, i) -> case when a.d then a"
+            f" else element_at(transform(array({_apply_sql('a.t', rules)}), r -> named_struct('t', r, 'd', r = a.t)), 1) end,"
+            f" a -> a.t)")
 
 
-def _restore(body: Column, codes: Column) -> Column:
-    pieces = F.split(body, _SENTINEL, -1)
-    return F.array_join(F.zip_with(pieces, codes, lambda p, k: F.concat(F.coalesce(p, F.lit("")),
-                                                                       F.coalesce(k, F.lit("")))), "")
+def decode_entities(c) -> Column:
+    """Decode numeric and named character references."""
+    return F.element_at(F.transform(F.array(col_of(c)), _decoded), 1)
+
+
+def _decoded(v: Column) -> Column:
+    """Numeric references by code point, names from the HTML5 table; each
+    reference is read once, so ``&amp;lt;`` stays ``&lt;``. Unknown names stay."""
+    ref = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    names = F.from_json(F.lit(json.dumps({k[:-1]: c for k, c in html5.items() if k.endswith(";")}, ensure_ascii=False)),
+                        "map<string,string>")
+
+    def one(r):
+        hexed = F.lower(F.substring(r, F.lit(3), F.lit(1))) == "x"
+        cp = F.when(hexed, F.conv(F.regexp_extract(r, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(
+            F.regexp_extract(r, "([0-9]+)", 1)).cast("bigint")
+        numeric = F.when(cp.between(1, 1114111) & ~cp.between(55296, 57343),
+                         F.decode(F.unhex(F.lpad(F.conv(cp.cast("string"), 10, 16), 8, "0")), "UTF-32")).otherwise(F.lit(chr(0xFFFD)))
+        named = F.coalesce(F.try_element_at(names, F.substring(r, F.lit(2), F.length(r) - 2)), r)
+        return F.when(F.substring(r, F.lit(2), F.lit(1)) == "#", numeric).otherwise(named)
+    pieces = F.zip_with(F.split(v, ref, -1), F.transform(F.regexp_extract_all(v, F.lit(ref), F.lit(0)), one),
+                        lambda p, c: F.concat(F.coalesce(p, F.lit("")), F.coalesce(c, F.lit(""))))
+    return F.when(F.contains(v, F.lit("&")), F.array_join(pieces, "")).otherwise(v)
 
 
-def inline_text(c) -> Column:
+def with_inline_text(df, src: str, out: str):
     """Markdown inline markup to the text a translator should see.
 
-    Links become their label, images their alt text, emphasis/strike markers
-    are dropped, raw HTML tags are dropped (their inner text stays), footnote
-    references vanish, code spans are kept with one backtick on each side.
-    Code spans are swapped for a sentinel first so no rule touches them, then
-    put back in order with ``zip_with``.
+    Links become their label, images their alt text, emphasis and strike
+    markers are dropped, raw HTML tags are dropped (their inner text stays),
+    footnote references vanish, code spans keep one backtick on each side,
+    backslash escapes become their character, character references are decoded.
 
-    Single-expression form; ``with_inline_text`` is the guarded, faster form
-    for DataFrames.
+    Escapes and code spans are set apart first, by number, so no rule touches
+    them and a removed one shifts no other. Each rule group is guarded by a
+    cheap test: plain prose pays a few byte searches.
     """
-    src = col_of(c)
-    codes = _code_parts(src)
-    body = F.regexp_replace(F.regexp_replace(src, _SENTINEL, ""), CODE_SPAN, _SENTINEL)
-    body = _apply(body, _INLINE_RULES)
-    body = _apply(body, _EMPHASIS_RULES)
-    body = _apply(body, _EMPHASIS_RULES)
-    body = _apply(body, [_ESCAPE])
-    body = decode_entities(body)
-    return F.when(F.size(codes) == 0, body).otherwise(_restore(body, codes))
-
-
-def sql_str(s: str) -> str:
-    """A Python string as a Spark SQL string literal."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _apply_sql(x: str, rules) -> str:
-    for pat, rep in rules:
-        x = f"regexp_replace({x}, {sql_str(pat)}, {sql_str(rep)})"
-    return x
-
-
-# SQL forms of the guards in _GROUPS (same order)
-_GUARDS_SQL = [
-    "(contains({t}, '[') or contains({t}, '<'))",
-    "({t} rlike " + sql_str(r"\*[^\s*]") + ")",
-    "({t} rlike " + sql_str(r"_[^\s_]") + ")",
-    "contains({t}, '~~')",
-    "contains({t}, " + sql_str("\\") + ")",
-]
-
-
-def with_inline_text(df, src: str, out: str):
-    """``inline_text`` as a chain of projections, each rule group guarded by a
-    cheap test so that plain prose pays a few byte searches, not ~15 regex
-    passes. Every step is its own column, so a guard never duplicates the
-    expression it guards; steps are SQL expressions (one call each)."""
-    tmp = "__il_"
-    code_parts = (f"transform(regexp_extract_all(`{src}`, {sql_str(CODE_SPAN)}, 0), x -> concat('`', "
-                  f"regexp_replace(regexp_replace(x, {sql_str('^`+|`+$')}, ''), {sql_str(r'^ ([\s\S]*[^ ][\s\S]*) $')},"
-                  f" '$1'), '`'))")
-    df = df.selectExpr("*", f"contains(`{src}`, '`') as {tmp}has_code")
-    df = df.selectExpr(
-        "*", f"case when {tmp}has_code then {code_parts} end as {tmp}codes",
-        f"case when {tmp}has_code then regexp_replace(regexp_replace(`{src}`, {sql_str(_SENTINEL)}, ''),"
-        f" {sql_str(CODE_SPAN)}, {sql_str(_SENTINEL)}) else `{src}` end as {tmp}t")
-    # Each step names its input once, through a one-element lambda, so that
-    # an optimizer rewrite substituting the previous step (e.g. a filter on
-    # the result pushed below these projections) grows the expression
-    # linearly instead of tripling it at every step.
-    cur = f"{tmp}t"
-    for i, ((_, rules), guard) in enumerate(zip(_GROUPS, _GUARDS_SQL)):
-        name = f"{tmp}t{i}"
-        body = f"case when {guard.format(t='v')} then {_apply_sql('v', rules)} else v end"
-        df = df.selectExpr("*", f"element_at(transform(array({cur}), v -> {body}), 1) as {name}")
-        cur = name
-    # numeric references first (so that "&amp;#65;" stays "&#65;"): each
-    # code point -> 8 hex digits -> big-endian UTF-32 bytes
-    num = sql_str(NUMERIC_REF)
-    cp = ("cast(case when lower(substring(r, 3, 1)) = 'x' then conv(regexp_extract(r, '([0-9a-fA-F]+)', 1), 16, 10)"
-          " else regexp_extract(r, '([0-9]+)', 1) end as bigint)")
-    # invalid code points (0, surrogates, beyond U+10FFFF) read U+FFFD
-    ch = (f"case when {cp} between 1 and 1114111 and not ({cp} between 55296 and 57343)"
-          f" then decode(unhex(lpad(conv({cp}, 10, 16), 8, '0')), 'UTF-32') else {sql_str(chr(0xFFFD))} end")
-    df = df.selectExpr("*", f"element_at(transform(array({cur}), v -> case when contains(v, '&#') then"
-                            f" array_join(zip_with(split(v, {num}, -1), transform(regexp_extract_all(v, {num}, 0),"
-                            f" r -> {ch}), (p, c) -> concat(coalesce(p, ''), coalesce(c, ''))), '') else v end), 1)"
-                            f" as {tmp}ent0")
-    # then named references, "&amp;" last
-    ent = "v"
-    for name_, value in NAMED_ENTITIES:
-        ent = f"replace({ent}, {sql_str(name_)}, {sql_str(value)})"
-    df = df.selectExpr("*", f"element_at(transform(array({tmp}ent0), v -> case when v rlike '&[#A-Za-z0-9]+;'"
-                            f" then {ent} else v end), 1) as {tmp}ent")
-    restore = (f"array_join(zip_with(split({tmp}ent, {sql_str(_SENTINEL)}, -1), {tmp}codes,"
-               f" (p, k) -> concat(coalesce(p, ''), coalesce(k, ''))), '')")
-    keep = [f"`{c}`" for c in df.columns if not c.startswith(tmp) and c != out]
-    return df.selectExpr(*keep, f"case when {tmp}has_code then {restore} else {tmp}ent end as `{out}`")
+    tmp, q = "__il_", f"`{src}`"
+    o, w, c = sql_str(_OPEN), sql_str(_OWN), sql_str(_CLOSE)
+    kept = (f"transform(regexp_extract_all({q}, {sql_str(PROTECTED)}, 0), x -> case when startswith(x, '`') then concat('`',"
+            f" regexp_replace(regexp_replace(x, '^`+|`+$', ''), {sql_str(r'^ ([\s\S]*[^ ][\s\S]*) $')}, '$1'), '`')"
+            f" else substring(x, 2) end)")
+    apart = (f"element_at(transform(array(split({q}, {sql_str(PROTECTED)}, -1)), ps -> array_join(transform(ps, (p, i) ->"
+             f" concat(replace(p, {o}, concat({o}, {w})), case when i < size(ps) - 1 then concat({o}, cast(i as string), {c})"
+             f" else '' end)), '')), 1)")
+    df = df.selectExpr("*", f"(contains({q}, '`') or contains({q}, {sql_str(chr(92))})) as {tmp}has")
+    df = df.selectExpr("*", f"case when {tmp}has then {kept} end as {tmp}kept",
+                       f"case when {tmp}has then {apart} else {q} end as {tmp}t0")
+    steps = [
+        f"case when contains(v, '[') or contains(v, '<') then {_apply_sql('v', _INLINE_RULES)} else v end",
+        f"case when v rlike {sql_str('[*_][^ *_]|~~')} then {_until_stable('v', _EMPHASIS_RULES, '[*_~]')} else v end",
+    ]
+    for i, body in enumerate(steps):
+        df = df.selectExpr("*", f"{_bound(f'{tmp}t{i}', body)} as {tmp}t{i + 1}")
+    last = f"{tmp}ref"
+    df = df.withColumn(last, decode_entities(f"{tmp}t{len(steps)}"))
+    mark = sql_str(f"{_OPEN}([0-9]+){_CLOSE}")
+    restore = (f"replace(array_join(zip_with(split({last}, {mark}, -1), regexp_extract_all({last}, {mark}, 1),"
+               f" (p, k) -> concat(coalesce(p, ''), case when k is null then '' else element_at({tmp}kept, cast(k as int) + 1) end)),"
+               f" ''), concat({o}, {w}), {o})")
+    keep = [f"`{x}`" for x in df.columns if not x.startswith(tmp) and x != out]
+    return df.selectExpr(*keep, f"case when {tmp}has then {restore} else {last} end as `{out}`")
 
 
 def link_labels(c) -> Column:
-    """Array of link and image labels in a Markdown string."""
-    return F.regexp_extract_all(
-        col_of(c), F.lit(r"!?\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\((?:[^()\s]|\([^()]*\))*(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)"), 1
-    )
+    """Array of link and image labels of a paragraph's Markdown (M17); what
+    stands in code spans is no link."""
+    return F.regexp_extract_all(F.regexp_replace(col_of(c), PROTECTED, ""), F.lit(rf"!?\[({_LABEL})\]{_DEST}"), 1)

@@ -26,24 +26,6 @@ def _unit_len(unit_col):
     return F.when(unit_col == "bytes", F.col("n_bytes")).otherwise(F.col("n_chars"))
 
 
-def greedy_starts(lens, limit):
-    """Fold an ordered ARRAY<STRUCT<seg_no, n>> into the seg_nos that open a batch.
-
-    Only batch openings are appended, so the copying cost is in the number
-    of batches, not segments.
-    """
-    init = F.struct(F.lit(-1).cast("bigint").alias("acc"), F.array().cast("array<int>").alias("starts"))
-
-    def step(s, x):
-        opens = (s["acc"] < 0) | (s["acc"] + x["n"] > limit)
-        return F.struct(
-            F.when(opens, x["n"]).otherwise(s["acc"] + x["n"]).alias("acc"),
-            F.when(opens, F.array_append(s["starts"], x["seg_no"])).otherwise(s["starts"]).alias("starts"),
-        )
-
-    return F.aggregate(lens, init, step)["starts"]
-
-
 GREEDY_SQL = (
     "aggregate({lens}, named_struct('acc', cast(-1 as bigint), 'starts', cast(array() as array<int>)),"
     " (s, x) -> named_struct("
@@ -104,33 +86,30 @@ def batch_segments(segs: DataFrame, limit: int, unit: str = "bytes", key: str =
     return assign_batches(with_limit(segs, limit, unit), key)
 
 
-MAX_LIMIT_ROWS = 256
-
-
-def limit_rows(providers) -> list[tuple[str, str, int]]:
-    """(provider, unit, limit) triples from a list or a small DataFrame.
-
-    A provider table is configuration: its size is checked before it is
-    brought to the driver, and it becomes a literal array in the plan.
-    """
-    if isinstance(providers, DataFrame):
-        rows = providers.select("provider", "limit_unit", "limit_value").limit(MAX_LIMIT_ROWS + 1).collect()
-        if len(rows) > MAX_LIMIT_ROWS:
-            raise ValueError(f"more than {MAX_LIMIT_ROWS} provider limits")
-        return [(r[0], r[1], int(r[2])) for r in rows]
-    return [(p[0], p[1], int(p[2])) for p in providers]
+LITERAL_LIMITS = 256  # provider rows that become a literal array; more are joined
 
 
 def batch_by_providers(segs: DataFrame, providers, key: str = "doc_id") -> DataFrame:
     """Batch the same segments once per provider limit.
 
-    Each document's segments are gathered once; the limits are a literal
-    array exploded on that gathered row (a narrow Generate, no join), and the
-    fold runs per (document, provider). Segments are never re-extracted.
+    ``providers``: a list of (provider, unit, limit) or a DataFrame
+    ``(provider, limit_unit, limit_value)``. A few limits become a literal
+    array on the gathered row (no join); a larger table meets the documents in
+    an equi-join on a salt, so neither side is broadcast or held on the driver.
+    Each document's segments are gathered once and never re-extracted.
     """
-    arr = ", ".join(f"named_struct('provider', {_q(p)}, 'limit_unit', {_q(u)}, 'limit_value', cast({int(v)} as bigint))"
-                    for p, u, v in limit_rows(providers))
     gathered, cols, row_type = _gather(segs, [key])
+    if isinstance(providers, DataFrame):
+        table = providers.select("provider", "limit_unit", F.col("limit_value").cast("bigint").alias("limit_value"))
+        if table.count() > LITERAL_LIMITS:
+            salts = int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            g = gathered.withColumn("__salt", F.expr(f"cast(pmod(xxhash64(`{key}`), {salts}) as int)"))
+            return _number(g.join(table.hint("merge"), "__salt").drop("__salt"), [key, "provider"], cols, row_type,
+                           "limit_value", "limit_unit")
+        providers = table.collect()
+    arr = ", ".join(f"named_struct('provider', {_q(p)}, 'limit_unit', {_q(u)}, 'limit_value', cast({int(v)} as bigint))"
+                    for p, u, v, *_ in providers)
     g = gathered.selectExpr(f"`{key}`", "segs", f"inline(array({arr}))")
     return _number(g, [key, "provider"], cols, row_type, "limit_value", "limit_unit")
 

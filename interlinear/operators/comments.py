@@ -88,7 +88,7 @@ def insert_comment_translations(blocks: DataFrame, translated: DataFrame, key: s
     slices = F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(
         F.decode(F.substring(raw, (F.element_at(ends, k + 1) + 1).cast("int"),
                              F.when(k < n, F.element_at(ends, k + 2) - F.element_at(ends, k + 1))
-                             .otherwise(F.lit(1 << 30)).cast("int")), "UTF-8").alias("s"),
+                             .otherwise(F.length(raw)).cast("int")), "UTF-8").alias("s"),
         F.when(k < n, F.concat(F.lit("\n// "), F.coalesce(F.element_at("cs", k + 1)["translation"], F.lit(""))))
         .otherwise(F.lit("")).alias("ins")))
     out = F.when(F.col("cs").isNull(), F.col("code")).otherwise(

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from interlinear import dims
-from interlinear.functions.text import inline_text, link_labels
 from interlinear.operators import batching as B
 from interlinear.operators import segments as M
 from interlinear.operators.translate import Service
@@ -113,10 +112,10 @@ def q_code_excluded(spark, sf):
 
 @register("inline_text", """SELECT p_partkey AS doc_id, 0 AS seg_no,
   p_name || ' costs `' || p_brand || '` and ' || p_type || ' ' || CAST(p_size AS VARCHAR) || ' units' AS text
-  FROM part""")
+  FROM part UNION ALL SELECT p_partkey, seg_no, '' FROM part, (VALUES (1), (2)) v(seg_no)""")
 def q_inline_text(spark, sf):
     s = M.extract_segments(C.links_corpus(spark, sf))
-    return s.filter(F.col("seg_no") == 0).select("doc_id", "seg_no", "text")
+    return s.select("doc_id", "seg_no", "text")
 
 
 @register("empty_segments", """SELECT p_partkey AS doc_id, seg_no, '' AS text, CAST(1 AS BIGINT) AS n_bytes
@@ -126,13 +125,12 @@ def q_empty_segments(spark, sf):
     return s.filter(F.col("text") == "").select("doc_id", "seg_no", "text", "n_bytes")
 
 
-@register("link_labels", """SELECT p_partkey AS doc_id, 0 AS pos, p_name AS label FROM part
-  UNION ALL SELECT p_partkey, 1, p_type FROM part""")
+@register("link_labels", """SELECT p_partkey AS doc_id, 0 AS seg_no, 0 AS pos, p_name AS label FROM part
+  UNION ALL SELECT p_partkey, 0, 1, p_type FROM part
+  UNION ALL SELECT p_partkey, 1, 0, '' FROM part
+  UNION ALL SELECT p_partkey, 2, 0, '' FROM part""")
 def q_link_labels(spark, sf):
-    d = C.links_corpus(spark, sf)
-    labels = d.select("doc_id", F.posexplode(link_labels("text")).alias("pos", "raw"))
-    labels = labels.select("doc_id", "pos", inline_text("raw").alias("label"))
-    return labels.filter(F.col("label") != "")
+    return M.link_labels(C.links_corpus(spark, sf))
 
 
 @register("tight_list_carry", f"""SELECT conv_id, turn, 0 AS seg_no, replace(text, {NL}, '') || role AS text
@@ -619,10 +617,9 @@ def q_insert_comment_translations(spark, sf):
 
 
 def _ent_sql(x: str) -> str:
-    from interlinear.functions.text import NAMED_ENTITIES
-    for name, value in NAMED_ENTITIES:
-        v = value.replace("'", "''")
-        x = f"replace({x}, '{name}', '{v}')"
+    """The references that the pages hold, the ampersand's last."""
+    for name, value in (("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&quot;", '"'), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{value}')"
     return x
 
 

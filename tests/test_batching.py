@@ -74,3 +74,13 @@ def test_no_per_row_following_frames(spark):
     s = extract_segments(C.chat_corpus(spark, "/root/testdata/sf0.001"))
     plan = B.batch_text(B.batch_segments(s, 2000, "chars"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"RowFrame, [1-9][0-9]*, unboundedfollowing", plan)
+
+
+def test_many_provider_limits_join_like_the_literal_form(spark):
+    s = extract_segments(docs(spark, "one two\n\nthree four five\n\nsix\n", "x\n"))
+    limits = [(f"p{n:04d}", "chars" if n % 2 else "bytes", n % 40) for n in range(300)]
+    table = spark.createDataFrame(limits, "provider string, limit_unit string, limit_value long")
+    cols = ["doc_id", "provider", "seg_no", "batch_no"]
+    joined = B.batch_by_providers(s, table).select(*cols).collect()
+    literal = B.batch_by_providers(s, limits).select(*cols).collect()
+    assert sorted(joined) == sorted(literal) and len(joined) == 4 * 300
