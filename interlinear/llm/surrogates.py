@@ -46,7 +46,7 @@ _GIVEN = "(?:" + "|".join(n for ns in GIVEN.values() for n in ns) + ")"
 # in this order: the first kind that matches at a place wins
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "secret": r"(?<=(?i:token|secret|passwd|password|api_key|apikey|api-key|access_key)\s{0,3}[=:]\s{0,3}[\"']?)[\w./+-]{8,}"
+    "secret": r"(?=[\w./+-]{8})(?<=[=:]\s{0,3}[\"']?)(?<=(?i:token|secret|passwd|password|api_key|apikey|api-key|access_key)\s{0,3}[=:]\s{0,3}[\"']?)[\w./+-]{8,}"
               r"|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk-[\w-]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|(?:[0-9a-f]{32,}|[0-9A-F]{32,}))\b",
     "mac": r"\b(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}\b",
     "ipv6": r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
@@ -56,17 +56,24 @@ KINDS = {
     "card": r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
              r"|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE} {_NAME}(?: {_NAME})?|{_GIVEN} {_NAME})",
+    "name": rf"(?<!\p{{L}})(?=[\p{{Lu}}г])(?:{_TITLE} {_NAME}(?: {_NAME})?|{_GIVEN} {_NAME})",
 }
-MENTION = "|".join(f"(?:{p})" for p in KINDS.values())
+#: a mention starts after a character that is no letter or digit, or at a digit, plus or bracket
+MENTION = r"(?:(?<![\p{L}\p{N}])|(?=[\d+(])(?<!\d))(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 #: cheap test that lets most clean texts skip the search
-TRIGGER = rf"[0-9@]|(?<!\p{{L}})(?:{_TITLE}|{_GIVEN}) \p{{Lu}}|eyJ|[a-fA-F]{{32}}|(?i:token|secret|passwd|password|key)\s{{0,3}}[=:]"
+TRIGGER = (rf"[0-9@]|(?=[A-Z\u0410-\u042Fг])(?<!\p{{L}})(?:{_TITLE}|{_GIVEN}) \p{{Lu}}"
+           r"|[=:](?<=(?i:token|secret|passwd|password|api_key|apikey|api-key|access_key)\s{0,3}[=:])")
+_OPEN, _CLOSE = "\ue0f0", "\ue0f1"  # private use: set around mentions, in one search
 
 
-def mentions(text: str) -> Column:
-    """All mentions of a text in order (empty for null)."""
-    return F.when(F.col(text).rlike(TRIGGER), F.regexp_extract_all(F.col(text), F.lit(MENTION), F.lit(0))) \
-        .otherwise(F.array().cast("array<string>"))
+def pieces(text: str) -> Column:
+    """A text cut at its mentions: text, mention, text, ... (null for null).
+    A text that holds one of the two marks itself is searched twice instead."""
+    c = F.col(text)
+    marked = F.split(F.regexp_replace(c, f"({MENTION})", f"{_OPEN}$1{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
+    between, said = F.split(c, MENTION, -1), F.regexp_extract_all(c, F.lit(MENTION), F.lit(0))
+    twice = F.flatten(F.zip_with(between, said, lambda b, s: F.when(s.isNull(), F.array(b)).otherwise(F.array(b, s))))
+    return F.when(~c.rlike(TRIGGER), F.array(c)).when(c.contains(_OPEN) | c.contains(_CLOSE), twice).otherwise(marked)
 
 
 def _kind(mention: Column) -> Column:
@@ -216,7 +223,8 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with its text rewritten, plus ``n_entities`` (mentions replaced)."""
     row, names = "row", [f"c{n}" for n in range(len(docs.columns))]  # own names: none can clash
     rows, given, text_col = numbered(docs.toDF(*names), "texts"), docs.columns, names[docs.columns.index(text_col)]
-    found = materialize(rows.select(row, F.array_distinct(mentions(text_col)).alias("mentions")).where("size(mentions) > 0"), "mentions")
+    found = rows.select(row, pieces(text_col).alias("p")).where("size(p) > 1")
+    found = materialize(found.select(row, F.expr("array_distinct(filter(p, (x, i) -> i % 2 = 1))").alias("mentions")), "mentions")
     each = found.select(row, F.explode("mentions").alias("mention"))
     cut = parts(checkpointed(each.select("mention").distinct()))
     chosen = assign(cut.where("type <> ''"), key).select("type", "canonical", "surrogate")
@@ -227,9 +235,9 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     maps = each.join(by_mention, "mention").groupBy(row).agg(
         F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("__new"))
     joined = rows.join(maps, row, "left")
-    kept, said = F.split(F.col(text_col), MENTION, -1), F.regexp_extract_all(F.col(text_col), F.lit(MENTION), F.lit(0))
-    rebuilt = F.array_join(F.zip_with(kept, said, lambda k, s: F.concat(k, F.coalesce(F.element_at("__new", s), s, F.lit("")))), "")
-    has = F.col("__new").isNotNull()
+    joined = joined.withColumn("__p", F.when(F.col("__new").isNotNull(), pieces(text_col)))
+    rebuilt = F.array_join(F.transform("__p", lambda x, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at("__new", x), x)).otherwise(x)), "")
+    has = F.col("__p").isNotNull()
     text = F.when(has, rebuilt).otherwise(F.col(text_col))
     return joined.select(*[(text if c == text_col else F.col(c)).alias(as_) for c, as_ in zip(names, given)
-                           if as_ != "n_entities"], F.when(has, F.size(said)).otherwise(0).cast("long").alias("n_entities"))
+                           if as_ != "n_entities"], F.when(has, (F.size("__p") - 1) / 2).otherwise(0).cast("long").alias("n_entities"))
