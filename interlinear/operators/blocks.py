@@ -4,8 +4,9 @@ Each document is one input row. The corpus is hash-distributed on the
 document key once (``distribute_docs``); every window below is partitioned by
 that key and ordered by ``line_no``, so the line explode, the classification
 windows and the later island grouping all reuse that single Exchange.
-Per-document state (fence parity, list and table regions) is expressed as
-running window aggregates rather than a per-row parser.
+Where code begins and ends (fences, indented code, also in list items and
+quotes) comes from one native fold over a document's lines; list, table and
+HTML regions are running window aggregates.
 """
 
 from __future__ import annotations
@@ -30,11 +31,16 @@ _HTML_COND_7 = (
 _HTML_RAW = r"(?i)^ {0,3}<(script|pre|style|textarea)([ \t>]|$)"
 _HTML_RAW_END = r"(?i)</(script|pre|style|textarea)>"
 _QUOTE_PREFIX = r"^((?: {0,3}>[ ]?)*)"
-_FENCE = r"^ {0,3}(`{3,}[^`]*|~{3,}.*)$"
+# a fence anywhere on the line (its indent is judged against the list item it
+# may stand in), also right after a list marker
+_FENCE = r"^[ \t]*(?:(?:[-*+]|[0-9]{1,9}[.)])[ \t]+)?(`{3,}(?=[^`]*$)|~{3,})"
+_MARKER = r"^([ \t]*(?:[-*+]|[0-9]{1,9}[.)])(?:[ \t]{1,4}(?=[^ \t])|[ \t]|$))"
 _ATX = r"^ {0,3}#{1,6}([ \t]|$)"
 _HR = r"^ {0,3}([-*_])([ \t]*\1){2,}[ \t]*$"
 _SETEXT = r"^ {0,3}(=+|-+)[ \t]*$"
 _ITEM = r"^ {0,3}([-*+]|[0-9]{1,9}[.)])([ \t]+|$)"
+# only a bullet or a one may start a list inside a paragraph
+_LATE_ITEM = r"^ {0,3}(?!0*1[.)])[0-9]{1,9}[.)]"
 _DELIM_ROW = r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$"
 _FOOTDEF = r"^ {0,3}\[\^[^\]]+\]:"
 _LINKDEF = r"^ {0,3}\[[^\]^][^\]]*\]:[ \t]*\S+([ \t]+(\"[^\"]*\"|'[^']*'|\([^)]*\)))?[ \t]*$"
@@ -54,11 +60,64 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _code_marks(text_col: str) -> tuple[str, str]:
+    """SQL for (facts per line, marks): where fenced and indented code begins
+    and ends. One native fold over a document's lines; marks are
+
+    o  opening fence    c  closing fence      x  fence ended by its container
+    i  indented code    j  end of indented code
+
+    A fence closes with the same character, at least as long, without info; or
+    with the quote or list item it stands in. Indents count from the content
+    column of the list item that is open.
+    """
+    fence, marker = _sql_str(_FENCE), _sql_str(_MARKER)
+    quoted = (f"transform(split(`{text_col}`, '\\r?\\n', -1), l -> named_struct('l', l, 'qp',"
+              f" case when contains(l, '>') then regexp_extract(l, {_sql_str(_QUOTE_PREFIX)}, 1) else '' end))")
+    bodies = (f"transform({quoted}, x -> named_struct('line', x.l, 'q', length(x.qp) - length(replace(x.qp, '>', '')),"
+              " 'b', substring(x.l, length(x.qp) + 1)))")
+    facts = (
+        f"transform({bodies}, x -> named_struct('line', x.line, 'q', x.q, 'b', x.b,"
+        " 'blank', ltrim(' \t', x.b) = '', 'ind', length(x.b) - length(ltrim(' \t', x.b)),"
+        f" 'f', case when contains(x.b, '```') or contains(x.b, '~~~') then regexp_extract(x.b, {fence}, 1) else '' end,"
+        f" 'm', case when x.b rlike '^[ \\t]*[-*+0-9]' then length(regexp_extract(x.b, {marker}, 1)) else 0 end))")
+    marks_t = "array<struct<n: int, k: string, w: int, info: string>>"
+    info = "trim(' \t', substring(x.b, locate(x.f, x.b) + length(x.f)))"
+    # d: does the open fence end here; cc: content column that holds for this line
+    ended = "s.fc != '' and (x.q < s.fq or (s.cc > 0 and not x.blank and x.ind < s.cc and x.m = 0))"
+    inside = f"(s.fc != '' and not ({ended}))"
+    closing = (f"({inside} and x.f != '' and substring(x.f, 1, 1) = s.fc and length(x.f) >= s.fl and {info} = ''"
+               " and x.m = 0 and x.ind <= s.cc + 3)")
+    cc = ("case when x.blank then s.cc when x.q != s.pq then x.m"
+          " when x.m > 0 and x.ind <= s.cc + 3 then x.m"
+          " when x.ind < s.cc and (s.pb or x.f != '') then 0 else s.cc end")
+    step = (
+        f"element_at(transform(array(named_struct('in', {inside}, 'cl', {closing}, 'en', {ended}, 'cc', {cc})), d ->"
+        " element_at(transform(array(named_struct("
+        " 'op', not d.in and x.f != '' and (x.m > 0 or (x.ind >= d.cc and x.ind <= d.cc + 3)),"
+        " 'ic', not d.in and not x.blank and x.m = 0 and x.f = '' and x.ind >= d.cc + 4 and (s.pb or s.ic))), e ->"
+        " named_struct("
+        "'fc', case when e.op then substring(x.f, 1, 1) when d.in and not d.cl then s.fc else '' end,"
+        "'fl', case when e.op then length(x.f) else s.fl end, 'fq', case when e.op then x.q else s.fq end,"
+        "'cc', case when d.in then s.cc else d.cc end, 'pq', case when x.blank then s.pq else x.q end,"
+        "'pb', x.blank and not d.in, 'ic', e.ic or (s.ic and x.blank and not d.in), 'i', s.i + 1,"
+        "'marks', case when e.op then concat(s.marks, array(named_struct('n', s.i, 'k', 'o', 'w', case when x.m > 0 then x.m else x.ind end,"
+        f" 'info', {info})))"
+        " when d.cl then concat(s.marks, array(named_struct('n', s.i, 'k', 'c', 'w', 0, 'info', '')))"
+        " when e.ic and not s.ic then concat(s.marks, array(named_struct('n', s.i, 'k', 'i', 'w', 0, 'info', '')))"
+        " when d.en then concat(s.marks, array(named_struct('n', s.i, 'k', 'x', 'w', 0, 'info', '')))"
+        " when s.ic and not x.blank and not e.ic then concat(s.marks, array(named_struct('n', s.i, 'k', 'j', 'w', 0, 'info', '')))"
+        " else s.marks end)), 1)), 1)")
+    start = (f"named_struct('fc', '', 'fl', 0, 'fq', 0, 'cc', 0, 'pq', 0, 'pb', true, 'ic', false, 'i', 0,"
+             f" 'marks', cast(array() as {marks_t}))")
+    return facts, f"aggregate(facts, {start}, (s, x) -> {step}, s -> s.marks)"
+
+
 def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
                 distribute: bool = True) -> DataFrame:
     """One row per source line with its block classification.
 
-    Output columns: key, line_no, qdepth, body, ind, is_blank, in_list,
+    Output columns: key, line_no, line, fence_ind, info, fence_no, qdepth, body, ind, is_blank, in_list,
     list_id, item_ind, loose, kind, level, content.
 
     kind is one of: blank, fence, code, html, heading, setext, hr, item, text,
@@ -81,20 +140,32 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
         return f"(c0 in ({cs}) and body rlike {_sql_str(pat)})"
 
     digits = list("0123456789")
-    lines = src.selectExpr(k, f"posexplode(split(`{text_col}`, '\\r?\\n', -1)) as (line_no, line)")
-    lines = lines.selectExpr("*", f"regexp_extract(line, {_sql_str(_QUOTE_PREFIX)}, 1) as qp")
-    lines = lines.selectExpr(
-        k, "line_no", "length(qp) - length(replace(qp, '>', '')) as qdepth",
-        "substring(line, length(qp) + 1) as body")
+    facts, marks = _code_marks(text_col)
+    docs_ = src.selectExpr(k, f"{facts} as facts")
+    docs_ = docs_.selectExpr(k, "facts", f"{marks} as marks")
+    # marks travel as extra rows before their line; one running window carries
+    # the last one to every line, then they are dropped
+    rows = docs_.selectExpr(k, "inline(concat("
+        "transform(marks, m -> named_struct('line_no', m.n, 'o', 0, 'line', '', 'q', 0, 'b', '', 'mark', m)),"
+        " transform(facts, (x, i) -> named_struct('line_no', i, 'o', 1, 'line', x.line, 'q', x.q, 'b', x.b,"
+        " 'mark', cast(null as struct<n: int, k: string, w: int, info: string>)))))")
+    MW = f"over (partition by {k} order by line_no, o rows between unbounded preceding and current row)"
+    rows = rows.selectExpr("*", f"last(mark, true) {MW} as m", f"sum(case when mark.k = 'o' then 1 else 0 end) {MW} as fences")
+    lines = rows.filter("o = 1").selectExpr(
+        k, "line_no", "line", "q as qdepth", "b as body", "coalesce(m.k, '') as mk", "coalesce(m.n, -1) as mn",
+        "coalesce(m.w, 0) as fence_ind", "case when m.k = 'o' then m.info end as info", "cast(fences as int) as fence_no")
     # Every block start is decided by the first non-blank character, so each
     # block regex only runs on lines whose first character can start that
     # block; plain prose lines pay one cheap test instead of a dozen scans.
     lines = lines.selectExpr("*", "substring(ltrim(' \t', body), 1, 1) as c0",
                              "length(body) - length(ltrim(body)) as ind")
     lines = lines.selectExpr(
-        k, "line_no", "qdepth", "body", "ind",
+        k, "line_no", "line", "qdepth", "body", "ind", "fence_ind", "info", "fence_no",
         "c0 = '' as is_blank",
-        f"{rx(['`', '~'], _FENCE)} as fence",
+        "(mk in ('o', 'c') and mn = line_no) as fence",
+        "(mk = 'o' and mn < line_no) as fodd",
+        "(mk = 'i' and c0 != '') as icode",
+        f"{rx(digits, _LATE_ITEM)} as late_item",
         f"{rx(['#'], _ATX)} as atx",
         f"{rx(['-', '*', '_'], _HR)} as hr0",
         f"{rx(['=', '-'], _SETEXT)} as setext0",
@@ -110,16 +181,18 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
         f"{rx(['['], _FOOTDEF)} as footdef",
         f"{rx(['['], _LINKDEF)} as linkdef0",
     )
-    # pass 1: fenced code parity, neighbours
+    # pass 1: neighbours
     lines = lines.selectExpr(
         "*",
-        f"sum(cast(fence as int)) {RUN} % 2 = 1 as fodd",
+        f"lag(not is_blank and not item0 and not atx and not hr0 and not fence and ind < 2, 1, false) {NB} as prev_plain",
         f"lag(is_blank, 1, true) {NB} as prev_blank",
         f"lag(qdepth, 1, 0) {NB} as prev_q",
         f"lead(delim0, 1, false) {NB} as next_delim",
     )
     lines = lines.selectExpr(
-        "*", "(fodd or fence) as code_f", "(atx or hr0 or fence) as structural")
+        *[c for c in lines.columns if c != "item0"],
+        "(item0 and not fodd and not icode and not (late_item and prev_plain and qdepth = prev_q)) as item0",
+        "(fodd or fence or icode) as code_f", "((atx or hr0 or fence) and not fodd and not icode) as structural")
     lines = lines.selectExpr(
         "*",
         # table header: pipes on this line, delimiter row on the next
@@ -154,18 +227,16 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
         "(not code_f and ((last_html is not null and (last_blank is null or last_html > last_blank))"
         " or (last_raw is not null and (last_raw_end_p is null or last_raw_end_p < last_raw))"
         " or (last_cmt is not null and (last_cmt_end_p is null or last_cmt_end_p < last_cmt)))) as in_html",
-        "(last_item is not null and (last_lbrk is null or last_item > last_lbrk)) as in_list",
-        "(last_item_p is not null and (last_lbrk_p is null or last_item_p > last_lbrk_p)) as in_list_prev",
+        "(last_item is not null and (last_lbrk is null or last_item >= last_lbrk)) as in_list",
+        "(last_item_p is not null and (last_lbrk_p is null or last_item_p >= last_lbrk_p)) as in_list_prev",
     )
-    # pass 2: indented code, list identity and looseness, setext underlines
+    # pass 2: list identity and looseness, setext underlines
     lines = lines.selectExpr(
         "*",
         f"lag(not is_blank and not code_f and not in_html and not in_table and not atx and not hr0, 1, false) {NB}"
         " as prev_para",
-        f"last(case when not in_list and ind >= 4 and not is_blank and not code_f and not in_html and not in_table"
-        f" and prev_blank then line_no end, true) {RUN} as last_icode",
-        f"last(case when not is_blank and ind < 4 then line_no end, true) {RUN} as last_icbrk",
-        f"sum(cast(in_list and not in_list_prev as int)) {RUN} as list_id",
+        # a new list also begins where the quote depth changes
+        f"sum(cast(in_list and (not in_list_prev or (item0 and qdepth != prev_q)) as int)) {RUN} as list_id",
         # a list is loose when a blank line separates its content: some list
         # line other than its first directly follows a blank line (running
         # frames only; a frame over all following rows would be quadratic)
@@ -175,7 +246,6 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     item_w = _sql_str(r"^( {0,3}([-*+]|[0-9]{1,9}[.)])[ \t]*)")
     lines = lines.selectExpr(
         "*",
-        "(last_icode is not null and (last_icbrk is null or last_icode > last_icbrk) and not is_blank) as icode",
         f"max(case when in_list then cast(inner_blank as int) end) {LW}"
         " rows between unbounded preceding and unbounded following) as loose_i",
         # marker width of the current list item: where its continuation text starts
@@ -192,7 +262,7 @@ def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
         " when linkdef0 and (prev_blank or not prev_para) then 'linkdef' else 'text' end"
     )
     lines = lines.selectExpr(
-        k, "line_no", "qdepth", "body", "ind", "is_blank", "in_list", "list_id", "cast(item_ind as int) as item_ind",
+        k, "line_no", "line", "fence_ind", "info", "fence_no", "qdepth", "body", "ind", "is_blank", "in_list", "list_id", "cast(item_ind as int) as item_ind",
         "coalesce(loose_i, 0) = 1 as loose", f"{kind} as kind")
     heading_text = (
         f"regexp_replace(regexp_replace(regexp_replace(body, {_sql_str(r'^ {0,3}#{1,6}[ \t]*')}, ''),"

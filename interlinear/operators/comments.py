@@ -6,8 +6,7 @@ comments in blocks of language c, c++, cpp or rust, with byte spans; string
 literals are consumed first so ``"http://x"`` is not a comment. C3 inserts a
 new ``// translation`` line after each comment.
 
-Blocks come from a fence-parity window over lines (keyed by document, so it
-reuses the document distribution); spans come from an explode of the
+Blocks come from the line classification (``blocks.block_lines``); spans come from an explode of the
 block's tokens and a running byte sum -- no per-row scanner.
 """
 
@@ -16,36 +15,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from interlinear.operators.blocks import distribute_docs
+from interlinear.operators.blocks import block_lines
 
 # Languages whose comments are C-family.
 C_FAMILY = ["c", "c++", "cpp", "rust"]
 
-FENCE = r"^ {0,3}(`{3,}|~{3,})(.*)$"
-# a string literal, a line comment or a block comment
-TOKEN = r"\"(?:\\.|[^\"\\\n])*\"|//[^\n]*|/\*[\s\S]*?\*/"
+# a string literal (it may span lines), a character literal, a line or block comment
+TOKEN = r"\"(?:[^\"\\]++|\\[\s\S])*+\"|'(?:\\[^\n]|[^'\\\n])'|//[^\n]*|/\*[\s\S]*?\*/"
 
 
 def code_blocks(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(key, block_no, lang, code)``; code keeps its trailing newline."""
-    src = distribute_docs(docs.select(key, text_col), key)
-    lines = src.select(key, F.posexplode(F.split(F.col(text_col), r"\r?\n", -1)).alias("line_no", "line"))
-    w = Window.partitionBy(key).orderBy("line_no")
-    is_fence = F.col("line").rlike(FENCE)
-    lines = lines.select("*", is_fence.alias("is_fence"),
-                         F.sum(is_fence.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("fc"))
-    opening = F.col("is_fence") & (F.col("fc") % 2 == 1)
-    inside = ~F.col("is_fence") & (F.col("fc") % 2 == 1)
-    info = F.when(opening, F.trim(F.regexp_extract("line", FENCE, 2)))
-    lang = F.lower(F.trim(F.split(info, ",")[0]))
-    parts = lines.filter(opening | inside).select(
-        key, ((F.col("fc") + 1) / 2).cast("int").alias("block_no"), "line_no",
-        F.when(opening, lang).alias("lang"), F.when(inside, F.concat("line", F.lit("\n"))).alias("code_line"))
-    g = parts.groupBy(key, "block_no").agg(
-        F.max("lang").alias("lang"),
-        F.array_sort(F.collect_list(F.struct("line_no", "code_line"))).alias("ls"))
+    # fenced blocks only: between their fences, without the fence's own indent
+    lines = block_lines(docs, key, text_col).filter("info is not null and kind in ('fence', 'code')")
+    g = lines.groupBy(key, "fence_no").agg(
+        F.min("info").alias("info"),
+        F.expr("array_sort(collect_list(case when kind = 'code' then struct(line_no, concat(case when ind >= fence_ind"
+               " then substring(body, fence_ind + 1) else ltrim(' \t', body) end, '\n') as code_line) end))").alias("ls"))
     code = F.array_join(F.transform("ls", lambda x: x["code_line"]), "")
-    return g.select(key, (F.col("block_no") - 1).alias("block_no"), "lang", code.alias("code"))
+    return g.select(key, (F.col("fence_no") - 1).cast("int").alias("block_no"),
+                    F.lower(F.trim(F.split("info", ",")[0])).alias("lang"), code.alias("code"))
 
 
 def code_comments(blocks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -84,17 +84,25 @@ def write_rendered(rendered: DataFrame, out: str, mode: str = "overwrite",
 def export_files(rendered: DataFrame, path_col: str = "out_path", content_col: str = "rendered") -> None:
     """O6 (file form): one UTF-8 file per document, written by the executors.
 
-    Paths must be on a filesystem every executor can write (a shared mount);
-    a re-run overwrites the same files, so retried tasks are harmless.
+    Paths are plain or ``file:`` paths on a file system that every executor
+    can write (a shared mount); any other scheme is an error, use
+    ``write_rendered`` there. Each attempt writes its own temporary file and
+    renames it, so retried and speculative tasks are harmless.
     """
     def write_part(rows):
         import os
+        import re
+        import uuid
         for r in rows:
             p, c = r[path_col], r[content_col]
             if p is None or c is None:
                 continue
+            scheme = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*):", p)
+            if scheme and scheme[1] != "file":
+                raise ValueError(f"export_files writes plain or file: paths, not {p!r}")
+            p = re.sub(r"^file:/*", "/", p)
             os.makedirs(os.path.dirname(p) or ".", exist_ok=True)
-            tmp = p + ".tmp"
+            tmp = f"{p}.{uuid.uuid4().hex}.tmp"
             with open(tmp, "w", encoding="utf-8") as f:
                 f.write(c)
             os.replace(tmp, p)

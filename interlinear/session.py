@@ -53,7 +53,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints / materialised tables.
 
     On a cluster the operator reads ``spark.checkpoint.dir`` (a shared,
-    fault-tolerant path). Only when it is unset -- local runs and tests -- a
+    fault-tolerant path). Only a local master may go without it (tests): then a
     private scratch folder is created and registered.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
@@ -63,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc_dir = spark.sparkContext.getCheckpointDir()
     if sc_dir:
         return sc_dir
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="interlinear-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

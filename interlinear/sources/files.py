@@ -3,7 +3,8 @@
 Files are read with Spark's ``binaryFile`` source (one row per file, read by
 the executors), checked for valid UTF-8 with a native expression and decoded.
 The ``text`` source with ``wholetext`` would silently turn bad bytes into
-U+FFFD, which is why it is not used for S1.
+U+FFFD, which is why it is not used for S1. Names are listed on the driver
+(they are the asked work list); contents are read by the executors.
 """
 
 from __future__ import annotations
@@ -24,23 +25,71 @@ def _decode(df: DataFrame, kind: str) -> DataFrame:
     )
 
 
+_EMPTY = "path string, doc_kind string, content string, status string, n_bytes bigint"
+
+
+def _listed(spark: SparkSession, paths: list[str], keep=lambda name: True) -> list[tuple[str, str, int]]:
+    """(asked path, file path, bytes) of files, by the Hadoop file system: also
+    hidden and empty ones, which Spark's readers leave out. A directory gives
+    its own files only. A path that is not there gives (path, None, 0)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for asked in paths:
+        path = jvm.org.apache.hadoop.fs.Path(asked)
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            out.append((asked, None, 0))
+            continue
+        for f in fs.listStatus(path):
+            if f.isFile() and keep(f.getPath().getName()):
+                out.append((asked, f.getPath().toString(), f.getLen()))
+    return out
+
+
+def _read_hidden(batches):
+    import re
+
+    import pandas as pd
+    from pyarrow import fs
+    for names in batches:
+        read = []
+        for path in names["path"]:
+            system, place = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path))
+            with system.open_input_stream(place) as f:
+                read.append(f.read())
+        yield pd.DataFrame({"path": names["path"], "content": read, "length": [len(c) for c in read]})
+
+
+def _load(spark: SparkSession, found: list[tuple[str, str, int]], kind: str) -> DataFrame:
+    """Contents of listed files. Spark's readers skip names that start with a
+    dot or an underscore; the executors read those through Arrow's file systems."""
+    full = [p for _, p, n in found if p is not None and n]
+    rest = [(a if p is None else p, "missing" if p is None else "normal") for a, p, n in found if p is None or not n]
+    empty = spark.createDataFrame([(p, kind, "" if s == "normal" else None, s, 0) for p, s in rest], _EMPTY)
+    hidden = [p for p in full if p.rsplit("/", 1)[1][:1] in "._"]
+    shown = [p for p in full if p.rsplit("/", 1)[1][:1] not in "._"]
+    out = empty
+    if shown:
+        out = out.unionByName(_decode(spark.read.format("binaryFile").load(shown), kind))
+    if hidden:
+        names = spark.createDataFrame([(p,) for p in hidden], "path string").repartition(min(len(hidden), 64))
+        out = out.unionByName(_decode(names.mapInPandas(_read_hidden, "path string, content binary, length bigint"), kind))
+    return out
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Explicit paths, any extension, each file one document."""
-    if not paths:
-        return spark.createDataFrame([], "path string, doc_kind string, content string, status string, n_bytes bigint")
-    raw = spark.read.format("binaryFile").load(paths)
-    return _decode(raw, "file")
+    """Explicit paths, any extension, each file one document: also empty
+    and hidden files. A path without a file is a row with status ``missing``."""
+    return _load(spark, _listed(spark, paths), "file") if paths else spark.createDataFrame([], _EMPTY)
 
 
-def read_dir(spark: SparkSession, dirs: list[str], glob: str = "*.md") -> DataFrame:
-    """One directory level, file names matching ``*.md`` (case-sensitive),
-    no recursion. Spark's file index skips names starting with ``_`` or ``.``
-    (and zero-byte files are not listed as documents); see README."""
+def read_dir(spark: SparkSession, dirs: list[str], extension: str = "md") -> DataFrame:
+    """One directory level, names with exactly this extension
+    (case-sensitive), no recursion; sub-folders of any name are ignored, hidden
+    and empty files are read."""
     if not dirs:
-        return spark.createDataFrame([], "path string, doc_kind string, content string, status string, n_bytes bigint")
-    raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-           .option("recursiveFileLookup", "false").load(dirs))
-    return _decode(raw, "dir")
+        return spark.createDataFrame([], _EMPTY)
+    return _load(spark, _listed(spark, dirs, lambda name: name.endswith("." + extension) and len(name) > len(extension) + 1), "dir")
 
 
 def inline_docs(items: DataFrame, request_col: str = "request_id", pos_col: str = "pos",

@@ -1,11 +1,12 @@
 """A watched folder of Markdown files translated as files arrive.
 
-Structured Streaming reads new files (``wholetext``: one row per file) and
-each micro-batch runs the batch job through ``foreachBatch``; the
-checkpoint location makes each file's output once-only across restarts.
-The work is stateless per document, so no watermark or state store is
-needed. (The streaming ``text`` source cannot validate UTF-8 the way S1
-does; invalid bytes arrive as U+FFFD.)
+Structured Streaming reads new files (``binaryFile``: one row per file, UTF-8
+checked like S1; a bad file arrives with a null text and status
+``invalid_utf8``) and each micro-batch runs the batch job through
+``foreachBatch``. An epoch writes its own partition and overwrites it when it
+is replayed after a failure, so no document is written twice. Documents are
+keyed by their path. The work is stateless per document: no watermark or state
+store is needed.
 """
 
 from __future__ import annotations
@@ -17,20 +18,29 @@ from pyspark.sql import functions as F
 
 
 def stream_documents(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
-    return (spark.readStream.format("text").option("wholetext", True)
+    ok = F.is_valid_utf8(F.col("content"))
+    return (spark.readStream.format("binaryFile")
+            .schema("path string, modificationTime timestamp, length bigint, content binary")
             .option("pathGlobFilter", glob).load(folder)
-            .select(F.input_file_name().alias("path"), F.col("value").alias("text")))
+            .select("path", F.when(ok, F.decode("content", "UTF-8")).alias("text"),
+                    F.when(ok, F.lit("normal")).otherwise(F.lit("invalid_utf8")).alias("read_status")))
 
 
 def translate_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
                      job: Callable[[DataFrame], DataFrame], available_now: bool = True):
-    """Run ``job(docs) -> DataFrame`` on every micro-batch and append its
-    result to the parquet table ``out``. Returns the started query."""
-    docs = stream_documents(spark, folder).withColumn("doc_id", F.xxhash64("path"))
+    """Run ``job(docs) -> DataFrame`` on every micro-batch (``doc_id`` is the
+    path) and write its result to partition ``epoch`` of the parquet table
+    ``out``. Returns the started query."""
+    docs = stream_documents(spark, folder).withColumn("doc_id", F.col("path"))
 
     def each(batch: DataFrame, epoch: int) -> None:
-        job(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        write_epoch(job(batch), out, epoch)
 
     w = docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def write_epoch(result: DataFrame, out: str, epoch: int) -> None:
+    """One epoch's rows as its own partition folder: a replay replaces them."""
+    result.write.mode("overwrite").parquet(f"{out.rstrip('/')}/epoch={int(epoch)}")

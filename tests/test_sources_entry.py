@@ -67,3 +67,38 @@ def test_entry_and_registry(spark):
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
     assert len(qs) >= 50
+
+
+def test_sources_lose_no_file(spark):
+    """Hidden and empty files, partition-like sub-folders and missing paths."""
+    d = _tmpdir()
+    os.makedirs(os.path.join(d, "lang=zh"))
+    for name, text in {"a.md": "A", "_x.md": "X", "empty.md": "", "lang=zh/n.md": "N", "b.MD": "B", ".md": "no"}.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    got = {os.path.basename(r.path): (r.content, r.status) for r in S.read_dir(spark, [d]).collect()}
+    assert got == {"a.md": ("A", "normal"), "_x.md": ("X", "normal"), "empty.md": ("", "normal")}
+    asked = [os.path.join(d, n) for n in ("_x.md", "empty.md", "none.md", "b.MD")]
+    got = {os.path.basename(r.path): (r.content, r.status) for r in S.read_files(spark, asked).collect()}
+    assert got == {"_x.md": ("X", "normal"), "empty.md": ("", "normal"), "none.md": (None, "missing"), "b.MD": ("B", "normal")}
+
+
+def test_export_reader_paths_and_other_schemes(spark):
+    import pytest
+    from interlinear.operators.planning import export_files
+    d = _tmpdir()
+    rows = spark.createDataFrame([(f"file:{d}/o/a.md", "one"), (f"file://{d}/o/b.md", "two")], "out_path string, rendered string")
+    export_files(rows)
+    assert sorted(os.listdir(os.path.join(d, "o"))) == ["a.md", "b.md"]
+    with pytest.raises(Exception, match="plain or file"):
+        export_files(spark.createDataFrame([("s3a://b/x.md", "x")], "out_path string, rendered string"))
+
+
+def test_replayed_epoch_replaces_its_rows(spark):
+    from interlinear.streaming.stream_dir import write_epoch
+    out = os.path.join(_tmpdir(), "t")
+    rows = spark.createDataFrame([("p", "x")], "doc_id string, rendered string")
+    write_epoch(rows, out, 0)
+    write_epoch(rows, out, 1)
+    write_epoch(rows, out, 1)
+    assert sorted(r.epoch for r in spark.read.parquet(out).collect()) == [0, 1]
