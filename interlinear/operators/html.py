@@ -1,10 +1,12 @@
-"""H1 / H2: visible text of HTML pages, as native regex expressions.
+"""H1 / H2: visible text of HTML pages, as native expressions.
 
 H1 removes comments and script elements (style elements too unless
-``keep_style``), turns every remaining tag into a space, decodes character
-references and collapses white space, so each piece of text appears once
-and script text never leaks. H2 returns the text of every element with a
-given tag name.
+``keep_style``); whichever of them begins first wins, so comment marks in a
+script and scripts in a comment do no harm. Block-level tags then become a
+space and inline tags nothing, character references are decoded and white
+space is collapsed. H2 returns the text of every element with a given tag name:
+elements that end by themselves (``p``, ``li``, ...) run to the next tag that
+closes them, others to their matching end tag, also when nested.
 """
 
 from __future__ import annotations
@@ -14,21 +16,30 @@ from pyspark.sql import functions as F
 
 from interlinear.functions.text import col_of, decode_entities
 
-COMMENT = r"(?s)<!--.*?-->"
-SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
-STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
-TAG = r"<[^>]*>"
+# the rest of a tag: quoted values may hold a closing bracket
+_REST = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>"
+_COMMENT = r"<!--[\s\S]*?-->"
+_SCRIPT = r"<script\b" + _REST + r"[\s\S]*?</script\s*>"
+_STYLE = r"<style\b" + _REST + r"[\s\S]*?</style\s*>"
+# Inline elements, whose tags do not part words.
+INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr"
+# Elements without a needed end tag, and what ends a paragraph.
+IMPLIED = set("p li dt dd td th tr option".split())
+BLOCK = ("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+         "header hr html li main menu nav ol pre section table td th tr ul")
+_INLINE_TAG = r"(?i)</?(?:" + INLINE.replace(" ", "|") + r")(?=[\s/>])" + _REST
+TAG = r"</?[a-zA-Z]" + _REST + r"|<[!?][^>]*>"
 WS = r"\s+"
 
 
+def _without_scripts(c: Column, keep_style: bool = True) -> Column:
+    return F.regexp_replace(c, "(?i)" + "|".join([_COMMENT, _SCRIPT] + ([] if keep_style else [_STYLE])), " ")
+
+
 def visible_text(c, keep_style: bool = True) -> Column:
     """H1 as a column expression."""
-    t = F.regexp_replace(col_of(c), COMMENT, "")
-    t = F.regexp_replace(t, SCRIPT, " ")
-    if not keep_style:
-        t = F.regexp_replace(t, STYLE, " ")
-    t = F.regexp_replace(t, TAG, " ")
-    t = decode_entities(t)
+    t = F.regexp_replace(_without_scripts(col_of(c), keep_style), _INLINE_TAG, "")
+    t = decode_entities(F.regexp_replace(t, TAG, " "))
     return F.trim(F.regexp_replace(t, WS, " "))
 
 
@@ -37,13 +48,23 @@ def html_inner_text(pages: DataFrame, key: str = "page_id", html_col: str = "htm
     return pages.select(key, visible_text(html_col, keep_style).alias("text"))
 
 
-def tag_pattern(tag: str) -> str:
-    return rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
-
-
 def html_tag_text(pages: DataFrame, tag: str = "p", key: str = "page_id", html_col: str = "html") -> DataFrame:
-    """H2: one row per element ``<tag>``: its position and its text."""
-    inner = F.regexp_extract_all(F.regexp_replace(col_of(html_col), COMMENT, ""), F.lit(tag_pattern(tag)), 1)
-    rows = pages.select(key, F.posexplode(inner).alias("pos", "raw"))
-    text = decode_entities(F.regexp_replace(F.col("raw"), TAG, ""))
-    return rows.select(key, "pos", text.alias("text"))
+    """H2: one row per element ``<tag>`` in page order: its position and its text."""
+    names = f"{tag}|{BLOCK.replace(' ', '|')}" if tag == "p" else tag
+    token = rf"(?i)</?(?:{names})(?=[\s/>])" + _REST
+    clean = _without_scripts(col_of(html_col))
+    cut = pages.select(key, F.split(clean, token, -1).alias("p"), F.regexp_extract_all(clean, F.lit(token), F.lit(0)).alias("t"))
+    opens = lambda x: x.rlike(rf"(?i)^<{tag}(?=[\s/>])")
+    if tag in IMPLIED:  # up to the next token
+        inner = F.transform(F.filter(F.arrays_zip(F.slice("p", 2, F.size("t")).alias("p"), "t"), lambda x: opens(x["t"])),
+                            lambda x: x["p"])
+    else:  # up to the token where the depth falls below the element's own
+        cut = cut.withColumn("d", F.aggregate("t", F.array().cast("array<int>"), lambda d, x: F.concat(d, F.array(
+            F.coalesce(F.try_element_at(d, F.lit(-1)), F.lit(0)) + F.when(x.startswith("</"), -1).otherwise(1)))))
+        end = lambda i: F.coalesce(F.try_element_at(F.filter(F.sequence(F.lit(1), F.size("t")), lambda j: (j > i) & (
+            F.element_at("d", j) < F.element_at("d", i))), F.lit(1)), F.size("t") + 1)
+        starts = F.filter(F.when(F.size("t") > 0, F.sequence(F.lit(1), F.size("t"))).otherwise(F.array().cast("array<int>")),
+                          lambda i: opens(F.element_at("t", i)))
+        inner = F.transform(starts, lambda i: F.array_join(F.slice(F.col("p"), i + 1, end(i) - i), ""))
+    rows = cut.select(key, F.posexplode(inner).alias("pos", "raw"))
+    return rows.select(key, "pos", decode_entities(F.regexp_replace("raw", TAG, "")).alias("text"))

@@ -442,6 +442,15 @@ def q_response_lines(spark, sf):
     return ok.withColumn("line_no", (F.row_number().over(w) - 1).cast("int"))
 
 
+@register("region_lookup", f"""WITH rg AS (SELECT * FROM {dims.values_sql(dims.REGIONS, ['region', 'doc'], 'rg')}),
+asked AS (SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'ap-seoul' WHEN 1 THEN 'nowhere-' || s_nationkey END AS r FROM supplier)
+SELECT s_suppkey, coalesce(r, 'ap-beijing') AS region, coalesce(r, 'ap-beijing') IN (SELECT region FROM rg) AS region_ok FROM asked""")
+def q_region_lookup(spark, sf):
+    asked = _load(spark, sf, "supplier").selectExpr(
+        "s_suppkey", "case s_nationkey % 3 when 0 then 'ap-seoul' when 1 then concat('nowhere-', s_nationkey) end as region")
+    return R.region_lookup(asked, dims.regions(spark)).select("s_suppkey", "region", "region_ok")
+
+
 # --- alignment and rendering ---------------------------------------------
 from interlinear.operators import align as A  # noqa: E402
 from interlinear.plans import jobs as J  # noqa: E402
@@ -496,6 +505,43 @@ def q_missing_translation(spark, sf):
     return A.missing_translation(aligned).select("doc_id", "seg_no", "batch_no")
 
 
+def _plain_requests(spark, sf):
+    """Corpus A at the 2000-char limit as requests (lines of each batch)."""
+    bt = B.batch_text(B.batch_segments(_segs_a(spark, sf), 2000, "chars")).withColumn("provider", F.lit("tencent")) \
+          .withColumn("from_lang", F.lit("en")).withColumn("to_lang", F.lit("zh"))
+    return R.with_query(bt)
+
+
+@register("translate_by_table", ALIGN_SQL + """, known AS (SELECT doc_id, batch_no, seg_no, text FROM sbo)
+SELECT doc_id, batch_no, list(CASE WHEN length(text) % 2 = 0 THEN '[zh] ' || text END ORDER BY seg_no) AS dst,
+  CASE WHEN bool_and(length(text) % 2 = 0) THEN 'ok' ELSE 'partial' END AS status FROM known GROUP BY doc_id, batch_no""")
+def q_translate_by_table(spark, sf):
+    """A11 (a): a translation memory that knows the lines of even length (with
+    a second, larger entry for each, which must not win)."""
+    line = F.explode(F.split("text", "\n", -1)).alias("src")
+    even = _load(spark, sf, "documents").select(line).filter("char_length(src) % 2 = 0").select(
+        F.lit("en").alias("from_lang"), F.lit("zh").alias("to_lang"), "src",
+        F.explode(F.array(F.concat(F.lit("[zh] "), "src"), F.concat(F.lit("~"), "src"))).alias("dst"))
+    return T.via_table(_plain_requests(spark, sf), even).select("doc_id", "batch_no", "dst", "status")
+
+
+def _every_third_fails(lines, from_lang, to_lang):
+    if len(lines) % 3 == 0:
+        raise RuntimeError("no answer")
+    return ["[zh] " + x for x in lines[:len(lines) - (len(lines) % 3 == 2)]]
+
+
+@register("translate_by_function", ALIGN_SQL + """, reqs AS (
+  SELECT doc_id, batch_no, list('[zh] ' || text ORDER BY seg_no) AS l FROM sbo GROUP BY doc_id, batch_no)
+SELECT doc_id, batch_no, CASE len(l) % 3 WHEN 0 THEN NULL WHEN 1 THEN l ELSE l[:-2] END AS dst,
+  CASE len(l) % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'ok' ELSE 'partial' END AS status,
+  CASE len(l) % 3 WHEN 0 THEN 'RuntimeError: no answer'
+    WHEN 2 THEN len(l) || ' lines asked, ' || (len(l) - 1) || ' returned' END AS error_msg FROM reqs""")
+def q_translate_by_function(spark, sf):
+    """A11 (b): a user function that fails for some requests and answers others short."""
+    return T.via_function(_plain_requests(spark, sf), _every_third_fails).select("doc_id", "batch_no", "dst", "status", "error_msg")
+
+
 @register("extra_translation", ALIGN_SQL + """
 SELECT o.doc_id, o.line_no, o.line FROM okl o ANTI JOIN sbo s ON s.doc_id = o.doc_id AND s.seg_no = o.line_no""")
 def q_extra_translation(spark, sf):
@@ -632,16 +678,29 @@ def q_html_inner_text(spark, sf):
     return H.html_inner_text(load(spark, sf, "pages"))
 
 
+# a paragraph of these pages runs to the next <p>, </p> or </article>
 @register("html_tag_text", "SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, " + _ent_sql(
-    "regexp_replace(raw, '<[^>]*>', '', 'g')") + """ AS text FROM (
+    "regexp_replace(regexp_replace(raw, '(?s)(</p>|</article>).*$', ''), '<[^>]*>', '', 'g')") + """ AS text FROM (
   SELECT page_id, unnest(m) AS raw, unnest(range(1, len(m) + 1)) AS pos FROM (
-    SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
-      '(?is)<p(?:\\s[^>]*)?>(.*?)</p\\s*>', 1) AS m FROM pages))""")
+    SELECT page_id, string_split(html, '<p>')[2:] AS m FROM pages))""")
 def q_html_tag_text(spark, sf):
     from interlinear.sources.tables import load
     return H.html_tag_text(load(spark, sf, "pages"), "p")
 
 
+@register("html_made_text", """SELECT s_suppkey AS page_id, s_name || ' x bold' || CAST(s_nationkey AS VARCHAR) ||
+  ' it\u2019s ' || s_name || ' end' AS text FROM supplier""")
+def q_html_made_text(spark, sf):
+    return H.html_inner_text(C.html_corpus(spark, sf), keep_style=False)
+
+
+@register("html_made_elements", """SELECT s_suppkey AS page_id, CAST(pos AS INTEGER) AS pos, CASE pos
+  WHEN 0 THEN 'x bold' || CAST(s_nationkey AS VARCHAR) || 'it\u2019s ' || s_name
+  WHEN 1 THEN s_name ELSE 'end' END AS text FROM supplier, (VALUES (0), (1), (2)) v(pos)""")
+def q_html_made_elements(spark, sf):
+    return H.html_tag_text(C.html_corpus(spark, sf), "div")
+
+
 # --- sources, planning and sinks -----------------------------------------
 from interlinear.operators import planning as O  # noqa: E402
 from interlinear.sources import files as S  # noqa: E402

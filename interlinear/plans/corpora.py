@@ -99,3 +99,14 @@ def html_block_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(NL + "toxic "), F.col("toxic").cast("string"), F.lit(NL + "</div>" + NL + NL + "Document "),
         F.col("doc_id").cast("string"), F.lit(NL))
     return lb.select("doc_id", text.alias("text"))
+
+
+def html_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H: per supplier a page with a quoted ``>``, comment marks in a script, an
+    inline tag inside a word, a numeric reference, nested and unclosed elements."""
+    s = load(spark, sf_dir, "supplier")
+    html = F.concat(
+        F.lit('<html><head><style>p > b {}</style><script>var x="<!--"; if (1 > 0) x = "</p>";</script></head><body><h1 title="a>b">'),
+        "s_name", F.lit("</h1><!-- <script> --><div class='c>d'><p>x b<b>ol</b>d"), F.col("s_nationkey").cast("string"),
+        F.lit("<p>it&#8217;s <div>"), "s_name", F.lit("</div></div><div>end"))
+    return s.select(F.col("s_suppkey").alias("page_id"), html.alias("html"))
