@@ -75,7 +75,9 @@ class PieceEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, 2 bytes an id."""
         if self.lowers:
-            texts = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
+            # ASCII letters may be lowered first, but for I with a dot above, which composes before it is lowered
+            texts = [t if "\u0307" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+                     for t in texts]
         split = [self.pieces(t) for t in texts]
         wanted: set[str] = set()
         for p in split:
