@@ -51,7 +51,8 @@ def _number(gathered: DataFrame, keys: list[str], cols: list[str], row_type: str
     kk = ", ".join(kl)
     lens = (f"transform(segs, x -> named_struct('seg_no', x.seg_no, 'n',"
             f" case when `{unit_col}` = 'bytes' then x.n_bytes else x.n_chars end))")
-    starts = GREEDY_SQL.format(lens=lens, lim=f"`{limit_col}`")
+    starts = (f"case when `{limit_col}` <= 0 then transform(segs, x -> x.seg_no) else "  # every segment opens a batch
+              + GREEDY_SQL.format(lens=lens, lim=f"`{limit_col}`") + " end")
     both = gathered.selectExpr(
         *kl, f"explode(concat("
              f"transform({starts}, (s, i) -> named_struct('seg_no', s, 'o', 0, 'b', i, 'r', cast(null as {row_type}))),"
@@ -143,6 +144,61 @@ def batch_text(batched: DataFrame, key: str = "doc_id", extra_keys: list[str] |
         "parts as segs")
 
 
+def _limits_sql(limits) -> str:
+    return "array(" + ", ".join(
+        f"named_struct('provider', {_q(p)}, 'limit_unit', {_q(u)}, 'limit_value', cast({int(v)} as bigint))"
+        for p, u, v, *_ in limits) + ")"
+
+
+def _batch_rows(segs: DataFrame, limits, key: str) -> DataFrame:
+    """Batches of every limit straight from the gathered document row: lengths
+    are folded per limit, and each batch is a slice of the row's segments. No
+    explode to segments, no window, no second grouping, and a text is copied
+    only into the batch that holds it. Below a limit of one every segment opens
+    a batch, so nothing is folded."""
+    k = f"`{key}`"
+    meta = [c for c in ("block_no", "sub", "kind", "level", "qdepth", "item_ind") if c in segs.columns]
+    gathered = segs.filter("not is_tail").groupBy(key).agg(F.expr(
+        f"array_sort(collect_list(struct(seg_no, text, n_bytes, n_chars{''.join(', ' + c for c in meta)})))").alias("segs"))
+    lens = {u: f"transform(segs, (x, i) -> named_struct('seg_no', i, 'n', x.n_{u}))" for u in ("bytes", "chars")}
+    gathered = gathered.selectExpr(k, "segs", f"{lens['bytes']} as lens_bytes", f"{lens['chars']} as lens_chars")
+    starts = ("case when p.limit_value <= 0 then sequence(0, size(segs) - 1) else "
+              + GREEDY_SQL.format(lens="(case when p.limit_unit = 'bytes' then lens_bytes else lens_chars end)", lim="p.limit_value")
+              + " end")
+    cut = (f"flatten(transform(transform({_limits_sql(limits)}, p -> named_struct('p', p, 's', {starts})),"
+           " y -> transform(y.s, (f, i) -> named_struct('p', y.p, 'b', i, 'parts',"
+           " slice(segs, f + 1, coalesce(try_element_at(y.s, i + 2), size(segs)) - f)))))")
+    rows = gathered.selectExpr(k, f"explode({cut}) as e").selectExpr(
+        k, "e.p.provider as provider", "e.p.limit_unit as limit_unit", "e.p.limit_value as limit_value", "e.b as batch_no",
+        "e.parts as segs")
+    total = lambda u: f"aggregate(segs, cast(0 as bigint), (n, x) -> n + x.n_{u}) as n_{u}"
+    rows = rows.selectExpr("*", total("bytes"), total("chars"))
+    return rows.selectExpr(
+        k, "provider", "limit_unit", "limit_value", "batch_no", "segs[0].seg_no as first_seg",
+        "element_at(segs, -1).seg_no as last_seg", "cast(size(segs) as bigint) as n_segments",
+        "array_join(transform(segs, x -> concat(x.text, '\\n')), '') as text", "n_bytes", "n_chars",
+        "size(segs) = 1 and (case when limit_unit = 'bytes' then n_bytes else n_chars end) > limit_value as oversize", "segs")
+
+
+def text_batches(segs: DataFrame, limit: int, unit: str = "bytes", key: str = "doc_id") -> DataFrame:
+    """B1/B2 with B6: one row per batch with its text (``batch_text`` of
+    ``batch_segments``, in one pass over the gathered document)."""
+    if unit not in ("bytes", "chars"):
+        raise ValueError(f"unit must be 'bytes' or 'chars', got {unit!r}")
+    return _batch_rows(segs, [("", unit, limit)], key).drop("provider")
+
+
+def text_batches_by_providers(segs: DataFrame, providers, key: str = "doc_id") -> DataFrame:
+    """B7/B8 with B6: one row per provider and batch. ``providers`` as in
+    ``batch_by_providers``; a table too long for a literal takes that way."""
+    if isinstance(providers, DataFrame):
+        rows = providers.select("provider", "limit_unit", "limit_value").limit(LITERAL_LIMITS + 1).collect()
+        if len(rows) > LITERAL_LIMITS:
+            return batch_text(batch_by_providers(segs, providers, key), key, ["provider"])
+        providers = rows
+    return _batch_rows(segs, providers, key)
+
+
 def whole_batches(segs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Application-level limit 0 = one request with the whole text (tail included)."""
     w = whole_text(segs, key)

@@ -217,7 +217,7 @@ GROUP BY r.doc_id, r.batch_no"""
 
 @register("batch_text", BATCH_TEXT_SQL)
 def q_batch_text(spark, sf):
-    bt = B.batch_text(_batched_a(spark, sf, 2000, "chars"))
+    bt = B.text_batches(_segs_a(spark, sf), 2000, "chars")
     return bt.select("doc_id", "batch_no", "first_seg", "last_seg", "n_segments", "text", "n_bytes", "n_chars", "oversize")
 
 
@@ -227,7 +227,7 @@ SELECT r.doc_id, CAST(r.batch_no AS INTEGER) AS batch_no, CAST(min(r.seg_no) AS
 FROM r JOIN seg_a_len s ON s.doc_id = r.doc_id AND s.seg_no = r.seg_no
 GROUP BY r.doc_id, r.batch_no HAVING count(*) = 1 AND sum(s.n_bytes) > 2000""")
 def q_oversize_segments(spark, sf):
-    bt = B.batch_text(_batched_a(spark, sf, 2000, "bytes"))
+    bt = B.text_batches(_segs_a(spark, sf), 2000, "bytes")
     return bt.filter("oversize").select("doc_id", "batch_no", "first_seg", "n_bytes")
 
 
@@ -251,7 +251,7 @@ SELECT provider, doc_id, CAST(count(*) AS BIGINT) AS n_batches, CAST(max(units)
 FROM bat GROUP BY provider, doc_id""")
 def q_rebatch_many_limits(spark, sf):
     segs = _segs_a(spark, sf)
-    bt = B.batch_text(B.batch_by_providers(segs, dims.providers(spark)), extra_keys=["provider"])
+    bt = B.text_batches_by_providers(segs, dims.providers(spark))
     units = F.when(F.col("limit_unit") == "bytes", F.col("n_bytes")).otherwise(F.col("n_chars"))
     return bt.groupBy("provider", "doc_id").agg(F.count(F.lit(1)).alias("n_batches"), F.max(units).alias("max_units"))
 
@@ -268,7 +268,7 @@ def q_plan_summary(spark, sf):
     docs = C.lines_corpus(spark, sf).select(F.struct("doc_id", "lang").alias("doc"), "text")
     provs = dims.providers(spark)
     segs = M.extract_segments(docs, key="doc")
-    bt = B.batch_text(B.batch_by_providers(segs, provs, key="doc"), key="doc", extra_keys=["provider"])
+    bt = B.text_batches_by_providers(segs, provs, key="doc")
     bt = bt.withColumn("lang", F.col("doc.lang"))
     return B.plan_summary(bt, provs, ["lang"]).select(
         "provider", "lang", "n_requests", "units", "max_units", "n_oversize", "qps", "min_seconds")
@@ -297,7 +297,7 @@ def _provider_batches(spark, sf):
     docs = C.lines_corpus(spark, sf).select(
         F.struct("doc_id", "lang").alias("doc"), "text")
     segs = M.extract_segments(docs, key="doc")
-    bt = B.batch_text(B.batch_by_providers(segs, dims.PROVIDERS, key="doc"), key="doc", extra_keys=["provider"])
+    bt = B.text_batches_by_providers(segs, dims.PROVIDERS, key="doc")
     # English documents ask for source auto-detection
     src = F.when(F.col("doc.lang") == "en", F.lit("auto")).otherwise(F.col("doc.lang"))
     return bt.select(F.col("doc.doc_id").alias("doc_id"), "provider", "batch_no", "text", "oversize",
@@ -471,7 +471,7 @@ def _tencent_pipeline(spark, sf):
 def _tencent_responses(spark, sf):
     """Same, keeping each batch row (with its segments) and its parsed lines."""
     segs = _segs_a(spark, sf)
-    bt = B.batch_text(B.batch_segments(segs, 2000, "chars")).withColumn("provider", F.lit("tencent")) \
+    bt = B.text_batches(segs, 2000, "chars").withColumn("provider", F.lit("tencent")) \
           .withColumn("from_lang", F.lit("en")).withColumn("to_lang", F.lit("zh"))
     resp = P.unify_responses(stub.stub_service(R.build_requests(bt, DEMO, TS)))
     return resp.withColumn("dst", F.when(F.col("status") == "ok", F.col("dst")))
@@ -507,7 +507,7 @@ def q_missing_translation(spark, sf):
 
 def _plain_requests(spark, sf):
     """Corpus A at the 2000-char limit as requests (lines of each batch)."""
-    bt = B.batch_text(B.batch_segments(_segs_a(spark, sf), 2000, "chars")).withColumn("provider", F.lit("tencent")) \
+    bt = B.text_batches(_segs_a(spark, sf), 2000, "chars").withColumn("provider", F.lit("tencent")) \
           .withColumn("from_lang", F.lit("en")).withColumn("to_lang", F.lit("zh"))
     return R.with_query(bt)
 

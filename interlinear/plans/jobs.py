@@ -109,10 +109,13 @@ def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=N
         bt = B.whole_batches(segs, key).withColumn("oversize", F.lit(False))
         batched = segs.filter(~F.col("is_tail")).withColumn("batch_no", F.lit(0))
     else:
-        batched = B.assign_batches(B.with_limit(segs, limit, unit), key)
-        if cfg.alignment == "positional" or not service:
-            batched = _materialize(batched, cfg.materialize)
-        bt = B.batch_text(batched, key)
+        bt = B.text_batches(segs, limit, unit, key)
+        batched = None
+        if cfg.alignment == "positional":  # needs the segments again: every segment with its batch
+            batched = _materialize(B.assign_batches(B.with_limit(segs, limit, unit), key), cfg.materialize)
+            bt = B.batch_text(batched, key)
+        elif not service:  # read by the translator and again with its answers
+            bt = _materialize(bt, cfg.materialize)
     bt = bt.withColumn("provider", F.lit(cfg.provider)) \
            .withColumn("from_lang", F.lit(cfg.from_lang)).withColumn("to_lang", F.lit(cfg.to_lang))
     resp = _answers(R.build_requests(bt, cfg.creds, cfg.timestamp), translator, key)

@@ -84,3 +84,15 @@ def test_many_provider_limits_join_like_the_literal_form(spark):
     joined = B.batch_by_providers(s, table).select(*cols).collect()
     literal = B.batch_by_providers(s, limits).select(*cols).collect()
     assert sorted(joined) == sorted(literal) and len(joined) == 4 * 300
+
+
+@pytest.mark.parametrize("unit", ["bytes", "chars"])
+def test_text_batches_equal_the_two_step_form(spark, unit):
+    s = extract_segments(docs(spark, G.BASE, "one two\n\nthr\u00e9e four five\n\nsix\n", "x\n", ""))
+    cols = ["doc_id", "batch_no", "first_seg", "last_seg", "n_segments", "text", "n_bytes", "n_chars", "oversize"]
+    for limit in (0, 1, 9, 16, 400):
+        two = B.batch_text(B.batch_segments(s, limit, unit)).select(*cols).collect()
+        assert sorted(B.text_batches(s, limit, unit).select(*cols).collect()) == sorted(two)
+    cols.insert(0, "provider")
+    two = B.batch_text(B.batch_by_providers(s, dims.PROVIDERS), extra_keys=["provider"]).select(*cols).collect()
+    assert sorted(B.text_batches_by_providers(s, dims.providers(spark)).select(*cols).collect()) == sorted(two)
