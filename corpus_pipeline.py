@@ -25,19 +25,27 @@ from interlinear.llm.common import materialize, numbered, read
 from interlinear.llm.queries import SURROGATE_KEY
 
 
+def _own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ..., so that no added column can clash."""
+    own = {c: f"c{n}" for n, c in enumerate(docs.columns)}
+    return docs.toDF(*own.values()), own
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = cotraining.score(docs, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
-    return scored.where("keep").select(*[f"`{c}`" for c in docs.columns])
+    rows, own = _own_names(docs)
+    labels = read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    scored = cotraining.score(rows, labels, id_col=own["doc_id"], text_col=own["text"],
+                              meta_cols=tuple(own.get(c, c) for c in ("source", "lang", "n_chars")))
+    return scored.where("keep").select(*own.values()).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    own = [f"c{n}" for n in range(len(docs.columns))]  # own names: none can clash
-    rows = numbered(docs.toDF(*own), "deduplicate")
-    key, text = own[docs.columns.index("doc_id")], own[docs.columns.index("text")]
-    groups = simhash.near_duplicates(rows, shingle=3, id_col="row", text_col=text).select(F.col("id").alias("row"), "component")
+    rows, own = _own_names(docs)
+    rows, key = numbered(rows, "deduplicate"), own["doc_id"]
+    groups = simhash.near_duplicates(rows, shingle=3, id_col="row", text_col=own["text"]).select(F.col("id").alias("row"), "component")
     first = F.min(F.struct(F.col(key).isNull().alias("late"), F.col(key).alias("key"), "row"))
     kept = groups.join(rows.select("row", key), "row").groupBy("component").agg(first.alias("first")).select("first.row")
-    return rows.join(kept, "row", "left_semi").select(*own).toDF(*docs.columns)
+    return rows.join(kept, "row", "left_semi").select(*own.values()).toDF(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +54,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymize(docs, SURROGATE_KEY).select(*[f"`{c}`" for c in docs.columns])
+    rows, own = _own_names(docs)
+    return surrogates.pseudonymize(rows, SURROGATE_KEY, own["text"]).select(*own.values()).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -266,14 +266,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str):
     return lexicon, models
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with, per target, ``<target>_text``, ``<target>_metadata`` (the
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          meta_cols: tuple[str, str, str] = ("source", "lang", "n_chars"), label_id_col: str = "doc_id") -> DataFrame:
+    """``docs`` (without columns of the names added here) with, per target, ``<target>_text``, ``<target>_metadata`` (the
     calibrated views) and ``<target>_score``, and ``keep``."""
     names = docs.columns
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"),
-                       *[(F.col(c) if c in names else F.lit(None)).cast(k).alias(c)
-                         for c, k in (("source", "string"), ("lang", "string"), ("n_chars", "long"))])
-    lexicon, models = fit(rows, labels, id_col)
+    meta = [(F.col(c) if c in names else F.lit(None)).cast(k).alias(as_) for c, as_, k in zip(
+        meta_cols, ("source", "lang", "n_chars"), ("string", "string", "long"))]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"), *meta)
+    lexicon, models = fit(rows, labels, label_id_col)
     model = docs.sparkSession.sparkContext.broadcast((lexicon, models))
     added = [f"{t}_{what}" for t in TARGETS for what in ("text", "metadata", "score")]
 
@@ -291,8 +292,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                                                  names=[*kept, *added])
 
     kept = [c for c in names if c not in added and c != "keep"]
-    extra = [utf8(text_col), *[(F.col(c) if c in names else F.lit(None)).cast(k)
-                               for c, k in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]]
+    extra = [utf8(text_col), *meta]
     wide = docs.select(*[F.col(f"`{c}`") for c in kept], *[e.alias(f"__v{n}") for n, e in enumerate(extra)])
     from pyspark.sql import types as T
 
