@@ -91,12 +91,14 @@ def format_error(explained: DataFrame) -> DataFrame:
     return explained.withColumn("error_text", msg)
 
 
-def response_lines(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+def response_lines(parsed: DataFrame, key: str = "doc_id", extra_keys: list[str] | None = None) -> DataFrame:
     """A document's responses flattened, in batch order, to one stream of
-    lines numbered ``line_no`` (what positional alignment consumes)."""
+    lines numbered ``line_no`` (what positional alignment consumes); with
+    ``extra_keys`` one stream for each of their values."""
+    keys = [key, *(extra_keys or [])]
     ok = parsed.filter(F.col("status") == "ok")
-    lines = ok.select(key, "batch_no", F.posexplode("dst").alias("pos", "line"))
-    w = Window.partitionBy(key).orderBy("batch_no", "pos")
+    lines = ok.select(*keys, "batch_no", F.posexplode("dst").alias("pos", "line"))
+    w = Window.partitionBy(*keys).orderBy("batch_no", "pos")
     return lines.withColumn("line_no", (F.row_number().over(w) - 1).cast("int"))
 
 

@@ -160,6 +160,14 @@ def q_whole_text(spark, sf):
     return M.whole_text(_segs_a(spark, sf))
 
 
+@register("corpus_totals", f"""WITH {SEG_A}
+SELECT lang, source, count(DISTINCT doc_id) AS n_docs, count(*) AS n_segments, CAST(sum(n_bytes) AS BIGINT) AS total_bytes,
+  CAST(sum(n_chars) AS BIGINT) AS total_chars FROM seg_a_len GROUP BY ROLLUP (lang, source)""")
+def q_corpus_totals(spark, sf):
+    docs = C.lines_corpus(spark, sf)
+    return M.corpus_totals(M.extract_segments(docs), docs, ["lang", "source"])
+
+
 @register("slice_by_range", f"""WITH {SEG_A}
 SELECT doc_id, seg_no, {RANGES} AS byte_start, text || {NL} AS piece, true AS matches FROM seg_a_len""")
 def q_slice_by_range(spark, sf):
@@ -435,11 +443,7 @@ fl AS (SELECT doc_id, batch_no, provider, CAST(unnest(range(len(dst))) AS INTEGE
 SELECT doc_id, provider, batch_no, pos, line,
   CAST(row_number() OVER (PARTITION BY doc_id, provider ORDER BY batch_no, pos) - 1 AS INTEGER) AS line_no FROM fl""")
 def q_response_lines(spark, sf):
-    r = _responses(spark, sf)
-    ok = r.filter(F.col("status") == "ok").select("doc_id", "provider", "batch_no", F.posexplode("dst").alias("pos", "line"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("doc_id", "provider").orderBy("batch_no", "pos")
-    return ok.withColumn("line_no", (F.row_number().over(w) - 1).cast("int"))
+    return P.response_lines(_responses(spark, sf), extra_keys=["provider"])
 
 
 @register("region_lookup", f"""WITH rg AS (SELECT * FROM {dims.values_sql(dims.REGIONS, ['region', 'doc'], 'rg')}),
