@@ -11,11 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, cotraining, decontamination, html_blocks, packing, repeats, simhash, surrogates, token_store, topk
+from . import class_lm, cotraining, decontamination, html_blocks, packing, repeats, simhash, sql, surrogates, token_store, topk
 from .common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_fm_decontamination": sql.OP5, "op9_exact_topk": sql.OP9}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
