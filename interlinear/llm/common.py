@@ -97,8 +97,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has long columns (a, b). Alternates large-star and small-star
     steps (each one grouped minimum plus one equi-join) until the edge set
     stops changing, which takes a logarithmic number of rounds. A hub's edges
-    are never gathered in one group: the minimum is partially aggregated and
-    the join back is one that adaptive execution can split. Each round is
+    are never held in one group: the minimum is partially aggregated, and in the
+    join back they stream past the hub's one row (through one task). Each round is
     checkpointed, so lineage stays short. Vertices without edges are absent.
     """
     now = checkpointed(edges.where("a <> b")

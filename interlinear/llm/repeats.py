@@ -189,8 +189,9 @@ def compare_contexts(contexts: DataFrame) -> DataFrame:
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(row, spans): byte spans [s, e) to remove, not yet merged."""
     all_tuples = materialize(tuples(rows), "anchors")
-    names = (all_tuples.groupBy("gram").agg(F.count("*").alias("copies"), (F.min("context") == F.max("context")).alias("same"))
-             .where("copies > 1").select("gram", "same"))
+    # written, so that the join is one of two plain exchanges: then a common gram's partition can be split
+    names = materialize(all_tuples.groupBy("gram").agg(F.count("*").alias("copies"), (F.min("context") == F.max("context")).alias("same"))
+                        .where("copies > 1").select("gram", "same"), "grams")
     repeated = materialize(all_tuples.join(names, "gram"), "repeated")
     whole = repeated.where("same").select("row", F.col("first").alias("s"), F.expr(f"first + n + {LENGTH - 1}").alias("e"))
     ends = repeated.where("not same")
