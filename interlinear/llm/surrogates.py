@@ -6,10 +6,13 @@ surrogate from a keyed hash:
 
 * same type and format: digits for digits, letters for letters of the same
   script and case, separators, country codes and top-level domains kept,
-  octets in range, check digits valid where they were valid;
+  octets in range, check digits valid where they were valid; letters outside
+  ``ALPHABETS`` become Latin ones;
 * given names keep gender and script;
 * the same canonical form gets the same surrogate in every document and in
-  every way of writing it (coreference);
+  every way of writing it (coreference), a compressed IPv6 address and its
+  eight groups included; a surname found in a document is replaced wherever
+  it stands as a word of its own in that document;
 * collision check: surrogates of one type are made distinct, and none equals a
   canonical form that occurs in the corpus: losers are hashed again until no
   clash is left.
@@ -40,29 +43,43 @@ ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñò
              "αβγδεζηθικλμνξοπρστυφχψω"]
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = "[0-9a-fA-F]{1,4}"
+_LABEL = r"(?i:token|secret|passwd|password|api_key|apikey|api-key|access_key)\\?[\"']?\s{0,3}[=:]"
+_QUOTE = r"\s{0,3}\\?[\"']?"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+# national numbers: trunk 0 (or 00 and a country) and 8 to 13 digits, no date; Russian 8; Spanish groups; US with or without 1
+_NO_DATE = r"(?!(?:\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}[./-]\d{1,2}[./-]\d{1,2})(?![./ -]?\d))"
+_NATIONAL = "|".join([
+    rf"{_NO_DATE}(?=\(?0(?:[() ./-]{{0,2}}\d){{7,12}}(?![() ./-]{{0,2}}\d))(?:\(0{{1,2}}[1-9]\d{{0,4}}\)|0{{1,2}}[1-9]\d{{0,4}})(?:[ ./-]{{0,2}}\(?\d{{1,8}}\)?){{1,6}}(?<=\d)",
+    r"8[ -]?(?:\(\d{3,5}\)|\d{3,5})[ -]?\d{1,3}[ -]\d{2}[ -]?\d{2}",
+    r"[6-9]\d{2}[ .-]\d{2}[ .-]\d{2}[ .-]\d{2}|[89]\d[ .-]\d{3}[ .-]\d{2}[ .-]\d{2}|[6-9]\d{2}[ -]\d{3}[ -]\d{3}",
+    r"(?:1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"])
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?"
 _GIVEN = "(?:" + "|".join(n for ns in GIVEN.values() for n in ns) + ")"
 # in this order: the first kind that matches at a place wins
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "secret": r"(?=[\w./+-]{8})(?<=[=:]\s{0,3}[\"']?)(?<=(?i:token|secret|passwd|password|api_key|apikey|api-key|access_key)\s{0,3}[=:]\s{0,3}[\"']?)[\w./+-]{8,}"
+    "secret": rf"(?=[\w./+-]{{8}})(?=[._/+-]*[A-Za-z0-9])(?<=[=:]{_QUOTE})(?<={_LABEL}{_QUOTE})[\w./+-]{{8,}}"
               r"|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk-[\w-]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|(?:[0-9a-f]{32,}|[0-9A-F]{32,}))\b",
     "mac": r"\b(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}\b",
-    "ipv6": r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
+    # compressed: only in the ranges that are dealt out, so that slices (1::2) and names (a::b) of code stay
+    "ipv6": rf"\b(?:{_HEX}:){{7}}{_HEX}\b"
+            rf"|(?<![\w:])(?!{_HEX}(?:::?{_HEX}){{7}})(?:(?:[23][0-9a-fA-F]{{3}}|[fF][c-fC-F][0-9a-fA-F]{{2}}|64:[fF]{{2}}9[bB])(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,5}})?"
+            rf"|::[fF]{{4}}:{_HEX}:{_HEX})(?!\w|:[\w:]|\.\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b(?<=\d.{0,40})",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-             r"|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+             r"|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+             rf"|(?<![\d.,+/-])(?<!\d[ ])(?:{_NATIONAL})(?![\d/-]|[.,]\d|\p{{L}})",
     "name": rf"(?<!\p{{L}})(?=[\p{{Lu}}г])(?:{_TITLE} {_NAME}(?: {_NAME})?|{_GIVEN} {_NAME})",
 }
 #: a mention starts after a character that is no letter or digit, or at a digit, plus or bracket
 MENTION = r"(?:(?<![\p{L}\p{N}])|(?=[\d+(])(?<!\d))(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
-#: cheap test that lets most clean texts skip the search
-TRIGGER = (rf"[0-9@]|(?=[A-Z\u0410-\u042Fг])(?<!\p{{L}})(?:{_TITLE}|{_GIVEN}) \p{{Lu}}"
-           r"|[=:](?<=(?i:token|secret|passwd|password|api_key|apikey|api-key|access_key)\s{0,3}[=:])")
+#: cheap test that lets most clean texts skip the search: every match of KINDS holds or follows a match of it
+TRIGGER = (rf"[0-9@]|(?=[A-Z\u0410-\u042Fг])(?<!\p{{L}})(?:{_TITLE}|{_GIVEN}) \p{{Lu}}|[=:](?<={_LABEL})"
+           r"|AKIA|gh[pousr]_|sk-|eyJ|[a-f]{32}|[A-F]{32}|(?:[a-fA-F]{2}[:-]){5}|(?:[a-fA-F]{1,4}:){7}|[fF][c-fC-F][a-fA-F]{2}:")
 _OPEN, _CLOSE = "\ue0f0", "\ue0f1"  # private use: set around mentions, in one search
 
 
@@ -98,13 +115,14 @@ def parts(found: DataFrame) -> DataFrame:
         gender = F.coalesce(gender, F.when(F.col("word").isin(names), F.lit(g)))
     by_title = F.when(m.rlike(r"\A(?:" + "|".join(TITLES["f"]) + r")\.? "), "f").otherwise("m")
     rows = found.select("mention", _kind(m).alias("kind"))
-    words = (rows.where("kind = 'name'").select("mention", F.posexplode(F.split("mention", r"(?<= )|(?= )")).alias("place", "word"))
-             .withColumn("last", F.max("place").over(_by_mention())))
+    words = (rows.where("kind = 'name'").select("mention", F.posexplode(F.split("mention", r"(?<= )|(?= )|(?=['’]s\z)")).alias("place", "word"))
+             .withColumn("own", F.col("word").rlike(r"\A['’]s\z"))
+             .withColumn("last", F.max(F.when(~F.col("own"), F.col("place"))).over(_by_mention())))
     is_title = (F.col("place") == 0) & F.col("word").rlike(rf"\A{_TITLE}\z")
     is_given = gender.isNotNull() | ((F.col("place") > 0) & (F.col("place") < F.col("last")))
     names = words.select(
         "mention", "place",
-        F.when(is_title | (F.col("word") == " "), "")
+        F.when(is_title | F.col("own") | (F.col("word") == " "), "")
         .when(is_given & (F.col("place") < F.col("last")),
               F.concat(F.lit("given:"), F.coalesce(gender, by_title), F.lit(":"), _script(F.col("word"))))
         .otherwise("surname").alias("type"), F.lower("word").alias("canonical"), F.col("word").alias("written"))
@@ -116,10 +134,23 @@ def parts(found: DataFrame) -> DataFrame:
         .when(F.col("kind") == "phone", F.concat(country, F.lit("|"), F.expr("substring(regexp_replace(mention, '[^0-9]', ''), "
               "1 + char_length(regexp_extract(mention, '^[+]([0-9]{1,3})[ .(-]', 1)))")))
         .when(F.col("kind") == "iban", F.regexp_replace(m, " ", ""))
+        .when(F.col("kind") == "ipv6", _eight_groups(m))
         .when(F.col("kind") == "secret", m).otherwise(F.lower(m)).alias("canonical"), m.alias("written"))
     return names.union(rest)
 
 
+def _halves(address: Column) -> tuple[Column, Column, Column]:
+    """Groups before and after '::', and the number of groups it stands for."""
+    side = lambda n: F.filter(F.split(F.coalesce(F.get(F.split(address, "::"), F.lit(n)), F.lit("")), ":"), lambda x: x != "")
+    return side(0), side(1), F.lit(8) - F.size(side(0)) - F.size(side(1))
+
+
+def _eight_groups(address: Column) -> Column:
+    left, right, gap = _halves(address)
+    every = F.concat(left, F.filter(F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), lambda x: gap > 0), right)
+    return F.array_join(F.transform(every, lambda x: F.lpad(F.lower(x), 4, "0")), ":")
+
+
 def _by_mention():
     from pyspark.sql import Window
 
@@ -143,7 +174,7 @@ def surrogate(key: str) -> Column:
     def letter(i: Column) -> Column:
         ch = F.substring(c, i, F.lit(1))
         low = F.lower(ch)
-        out = ch
+        out = F.when(ch.rlike(r"\p{L}"), F.when(ch == low, _pick(ALPHABETS[0], byte(i))).otherwise(F.upper(_pick(ALPHABETS[0], byte(i))))).otherwise(ch)
         for alphabet in reversed(ALPHABETS):
             new = _pick(alphabet, byte(i))
             out = F.when(F.instr(F.lit(alphabet), low) > 0, F.when(ch == low, new).otherwise(F.upper(new))).otherwise(out)
@@ -159,6 +190,9 @@ def surrogate(key: str) -> Column:
         return F.when(ch == ".", ch).when(first & three, F.lit("1")).when(first, _pick("123456789", byte(i))).otherwise(_pick(DIGITS, byte(i)))
 
     spelled = lambda start, end, one: F.array_join(F.transform(F.filter(F.sequence(F.lit(1), n + 1), lambda i: (i >= start) & (i <= end)), one), "")
+    # groups of zeros and the range (first two digits) stay
+    groups = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(39)), lambda i: F.when(
+        (i <= 2) | (F.substring(c, i - (i - 1) % 5, F.lit(4)) == "0000"), F.substring(c, i, F.lit(1))).otherwise(letter(i))), "")
     host_end = n - F.char_length(F.substring_index(c, ".", -1)) - 1
     doubled = lambda d: F.when(d > 9, d - 9).otherwise(d)
 
@@ -182,6 +216,7 @@ def surrogate(key: str) -> Column:
     return F.when(kind == "email", F.concat(spelled(F.lit(1), host_end, letter), F.substring(c, host_end + 1, n))) \
         .when(kind == "ip", spelled(F.lit(1), n, octet_digit)) \
         .when(kind == "card", card) \
+        .when(kind == "ipv6", groups) \
         .when(kind == "phone", F.concat(F.substring(c, F.lit(1), bar), spelled(bar + 1, n, letter))) \
         .when(kind == "iban", F.concat(F.substring(c, F.lit(1), F.lit(2)), spelled(F.lit(3), n, letter))) \
         .when(given.isNotNull(), given).otherwise(spelled(F.lit(1), n, letter))
@@ -215,7 +250,17 @@ def written_like(written: Column, surrogate: Column, kind: Column) -> Column:
         .otherwise(F.substring(surrogate, i, F.lit(1)))), "")
     given = F.when((written == F.upper(written)) & (F.char_length(written) > 1), F.upper(surrogate)) \
         .otherwise(F.concat(F.upper(F.substring(surrogate, F.lit(1), F.lit(1))), F.expr("substring(surrogate, 2)")))
-    return F.when(kind == "", written).when(kind.isin("ssn", "card", "phone", "iban"), filled) \
+    left, right, gap = _halves(written)
+    mine = F.split(surrogate, ":")
+    like = lambda groups, start: F.transform(groups, lambda x, i: F.when(F.char_length(x) == 4, F.get(mine, start + i)).otherwise(
+        F.regexp_replace(F.get(mine, start + i), r"\A0{1,3}", "")))
+    inner = F.array_join(F.slice(mine, F.size(left) + 1, F.greatest(gap, F.lit(0))), ":")
+    short = F.concat(F.array_join(like(left, F.lit(0)), ":"),
+                     F.when(~written.contains("::"), "").when(inner.rlike("[1-9a-f]"), F.concat(
+                         F.when(F.size(left) > 0, ":").otherwise(""), inner, F.when(F.size(right) > 0, ":").otherwise(""))).otherwise("::"),
+                     F.array_join(like(right, F.lit(8) - F.size(right)), ":"))
+    address = F.when(written.rlike("[A-F]"), F.upper(short)).otherwise(short)
+    return F.when(kind == "", written).when(kind == "ipv6", address).when(kind.isin("ssn", "card", "phone", "iban"), filled) \
         .when(kind == "secret", surrogate).when(kind.startswith("given:"), given).otherwise(cased)
 
 
@@ -228,16 +273,36 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     each = found.select(row, F.explode("mentions").alias("mention"))
     cut = parts(checkpointed(each.select("mention").distinct()))
     chosen = assign(cut.where("type <> ''"), key).select("type", "canonical", "surrogate")
-    new = cut.join(chosen, ["type", "canonical"], "left").withColumn(
-        "new", written_like(F.col("written"), F.col("surrogate"), F.col("type")))
-    by_mention = new.groupBy("mention").agg(F.array_sort(F.collect_list(F.struct("place", "new"))).alias("p")).select(
-        "mention", F.array_join(F.col("p.new"), "").alias("new"))
+    new = cut.join(chosen, ["type", "canonical"], "left")
+    like = lambda written: written_like(written, F.col("surrogate"), F.col("type"))
+    alone = F.when(F.col("type") == "surname", F.transform(F.array("written", F.upper("written")), lambda w: F.struct(
+        F.char_length(w).alias("size"), w.alias("said"), like(w).alias("new"))))
+    by_mention = new.groupBy("mention").agg(F.array_sort(F.collect_list(F.struct("place", like(F.col("written")).alias("new")))).alias("p"),
+                                            F.flatten(F.collect_list(alone)).alias("alone")).select(
+        "mention", F.array_join(F.col("p.new"), "").alias("new"), "alone")
     maps = each.join(by_mention, "mention").groupBy(row).agg(
-        F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("__new"))
+        F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("__new"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("alone")))).alias("alone"))
+    first = F.filter("alone", lambda x, i: (i == 0) | (F.get("alone", i - 1)["said"] != x["said"]))  # one new form each
+    maps = maps.withColumn("alone", first).select(
+        row, "__new", F.map_from_entries(F.transform("alone", lambda x: F.struct(x["said"], x["new"]))).alias("__alone"),
+        F.when(F.size("alone") > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.reverse(F.col("alone.said")), "|"),
+                                             F.lit(r")(?![\p{L}\p{N}])"))).alias("__names"))
     joined = rows.join(maps, row, "left")
     joined = joined.withColumn("__p", F.when(F.col("__new").isNotNull(), pieces(text_col)))
-    rebuilt = F.array_join(F.transform("__p", lambda x, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at("__new", x), x)).otherwise(x)), "")
+    cut_again = F.transform("__p", lambda x, i: F.when(i % 2 == 1, F.array(F.coalesce(F.try_element_at("__new", x), x)))
+                            .when(F.col("__names").isNull(), F.array(x)).otherwise(_renamed(x)))
+    joined = joined.withColumn("__p", cut_again)
     has = F.col("__p").isNotNull()
-    text = F.when(has, rebuilt).otherwise(F.col(text_col))
+    text = F.when(has, F.array_join(F.flatten("__p"), "")).otherwise(F.col(text_col))
+    # odd pieces are mentions, and so is every second part of the others
+    n = F.aggregate("__p", (F.size("__p") - 1) / 2, lambda a, x: a + F.floor(F.size(x) / 2))
     return joined.select(*[(text if c == text_col else F.col(c)).alias(as_) for c, as_ in zip(names, given)
-                           if as_ != "n_entities"], F.when(has, (F.size("__p") - 1) / 2).otherwise(0).cast("long").alias("n_entities"))
+                           if as_ != "n_entities"], F.when(has, n).otherwise(0).cast("long").alias("n_entities"))
+
+
+def _renamed(x: Column) -> Column:
+    """Text between mentions, cut at surnames of the document and these replaced."""
+    said = F.regexp_extract_all(x, F.col("__names"), F.lit(0))
+    return F.flatten(F.zip_with(F.split(x, F.col("__names"), -1), said, lambda b, s: F.when(s.isNull(), F.array(b)).otherwise(
+        F.array(b, F.try_element_at("__alone", s)))))
