@@ -15,7 +15,9 @@ surrogate from a keyed hash:
   it stands as a word of its own in that document;
 * collision check: surrogates of one type are made distinct, and none equals a
   canonical form that occurs in the corpus: losers are hashed again until no
-  clash is left.
+  clash is left. Given names get a letter more each time; where a form is so
+  short that its surrogates run out (``CROWDED`` attempts), they grow too, by
+  letters or digits, and IPv4 octets change their width.
 
 Null or empty text has no mention and stays as it is. Repeated rows are
 rewritten alike; null ids are kept. Other columns pass through.
@@ -39,6 +41,7 @@ GIVEN = {("f", "latin"): ["Alice", "Amélie", "Barbara", "Carmen", "Charlotte",
          ("m", "cyrillic"): ["Алексей", "Андрей", "Дмитрий", "Иван", "Михаил", "Николай", "Павел", "Сергей"]}
 # Alphabets a letter is replaced within.
 DIGITS = "0123456789"
+CROWDED = 6  # attempts in the form's own length: as many clashes in a row mean that it has too few surrogates
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýœ", "абвгдежзийклмнопрстуфхцчшщыэюя",
              "αβγδεζηθικλμνξοπρστυφχψω"]
 
@@ -161,13 +164,18 @@ def _pick(alphabet: str, byte: Column) -> Column:
     return F.substring(F.lit(alphabet), F.lit(1) + byte % len(alphabet), F.lit(1))
 
 
-def surrogate(key: str) -> Column:
+def _stream(key: str) -> Column:
+    """Hash bytes (hexadecimal) of the columns type, canonical, attempt."""
+    seed = F.concat_ws("|", F.lit(key), F.col("type"), F.col("attempt").cast("string"), F.col("canonical"))
+    blocks = F.floor((F.char_length("canonical") + 1 + F.col("attempt")) / 32).cast("int") + 1
+    return F.array_join(F.transform(F.sequence(F.lit(0), blocks), lambda b: F.sha2(F.concat_ws("#", seed, b.cast("string")), 256)), "")
+
+
+def surrogate(stream: Column) -> Column:
     """Surrogate of the columns type, canonical, attempt: a canonical form again."""
     c, kind = F.col("canonical"), F.col("type")
     n = F.char_length(c)
-    seed = F.concat_ws("|", F.lit(key), kind, F.col("attempt").cast("string"), c)
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 32).cast("int") + 1),
-                                      lambda b: F.sha2(F.concat_ws("#", seed, b.cast("string")), 256)), "")
+    more = F.greatest(F.col("attempt") - CROWDED + 1, F.lit(0))  # letters, digits that a crowded form grows by
     byte = lambda i: F.conv(F.substring(stream, F.lit(2) * i - 1, F.lit(2)), 16, 10).cast("int")
     hexadecimal = c.rlike(r"\A[0-9a-f]+\z|\A[0-9A-F]+\z") | kind.isin("mac", "ipv6")
 
@@ -192,7 +200,7 @@ def surrogate(key: str) -> Column:
     spelled = lambda start, end, one: F.array_join(F.transform(F.filter(F.sequence(F.lit(1), n + 1), lambda i: (i >= start) & (i <= end)), one), "")
     # groups of zeros and the range (first two digits) stay
     groups = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(39)), lambda i: F.when(
-        (i <= 2) | (F.substring(c, i - (i - 1) % 5, F.lit(4)) == "0000"), F.substring(c, i, F.lit(1))).otherwise(letter(i))), "")
+        (i <= 2) | (i % 5 == 0) | ((more == 0) & (F.substring(c, i - (i - 1) % 5, F.lit(4)) == "0000")), F.substring(c, i, F.lit(1))).otherwise(letter(i))), "")
     host_end = n - F.char_length(F.substring_index(c, ".", -1)) - 1
     doubled = lambda d: F.when(d > 9, d - 9).otherwise(d)
 
@@ -206,36 +214,48 @@ def surrogate(key: str) -> Column:
     body = spelled(F.lit(1), n - 1, letter)
     card = F.when(luhn(c, 0) % 10 == 0, F.concat(body, ((F.lit(10) - luhn(body, 1) % 10) % 10).cast("string"))) \
         .otherwise(spelled(F.lit(1), n, letter))
+    def tail(alphabet: str, start: Column, size: Column) -> Column:
+        """``size`` letters from the bytes after ``start``."""
+        return F.array_join(F.transform(F.filter(F.sequence(F.lit(0), size), lambda i: i > 0), lambda i: _pick(alphabet, byte(start + i))), "")
+
+    grown = F.when(_script(c) == "cyrillic", tail(ALPHABETS[2], n, more)).when(_script(c) == "greek", tail(ALPHABETS[3], n, more)) \
+        .when(hexadecimal & (kind == "secret"), tail("0123456789abcdef", n, more)).otherwise(tail(ALPHABETS[0], n, more))
+    any_octet = F.array_join(F.transform(F.array(*[F.lit(i) for i in (1, 2, 3, 4)]), lambda i: byte(i).cast("string")), ".")
     given = F.lit(None).cast("string")
     for (g, script), names in GIVEN.items():
         chosen = F.element_at(F.array(*[F.lit(x.lower()) for x in names]), F.lit(1) + byte(F.lit(1)) % len(names))
-        extra = _pick(ALPHABETS[0] if script == "latin" else ALPHABETS[2], byte(F.lit(2)))
+        letters = tail(ALPHABETS[0] if script == "latin" else ALPHABETS[2], F.lit(1), F.col("attempt"))
         given = F.when(kind == f"given:{g}:{script}",
-                       F.concat(chosen, F.array_join(F.array_repeat(extra, F.col("attempt")), ""))).otherwise(given)
+                       F.concat(chosen, letters)).otherwise(given)
     bar = F.instr(c, "|")
-    return F.when(kind == "email", F.concat(spelled(F.lit(1), host_end, letter), F.substring(c, host_end + 1, n))) \
-        .when(kind == "ip", spelled(F.lit(1), n, octet_digit)) \
+    return F.when(kind == "email", F.concat(grown, spelled(F.lit(1), host_end, letter), F.substring(c, host_end + 1, n))) \
+        .when(kind == "ip", F.when(more > 0, any_octet).otherwise(spelled(F.lit(1), n, octet_digit))) \
         .when(kind == "card", card) \
         .when(kind == "ipv6", groups) \
-        .when(kind == "phone", F.concat(F.substring(c, F.lit(1), bar), spelled(bar + 1, n, letter))) \
+        .when(kind == "phone", F.concat(F.substring(c, F.lit(1), bar), spelled(bar + 1, n, letter), tail(DIGITS, n, more))) \
         .when(kind == "iban", F.concat(F.substring(c, F.lit(1), F.lit(2)), spelled(F.lit(3), n, letter))) \
-        .when(given.isNotNull(), given).otherwise(spelled(F.lit(1), n, letter))
-
-
-def assign(entities: DataFrame, key: str, most: int = 50) -> DataFrame:
-    """(type, canonical, attempt, surrogate): distinct per type, none a form that occurs."""
-    now = entities.select("type", "canonical").distinct().withColumn("attempt", F.lit(0))
-    for _ in range(most):
-        table = checkpointed(now.withColumn("surrogate", surrogate(key)))
+        .when(given.isNotNull(), given).when(kind.isin("ssn", "mac"), spelled(F.lit(1), n, letter)) \
+        .otherwise(F.concat(spelled(F.lit(1), n, letter), grown))
+
+
+def assign(entities: DataFrame, key: str) -> DataFrame:
+    """(type, canonical, attempt, surrogate): distinct per type, none a form that occurs.
+    Surrogates grow with the attempts, so free ones outnumber the losers in the end."""
+    wide = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes but much to compute: dealt out, or it is coalesced to one task
+    lost = entities.select("type", "canonical").distinct().withColumn("attempt", F.lit(0)).repartition(wide, "type", "canonical")
+    table = None
+    while True:
+        streams = checkpointed(lost.withColumn("stream", _stream(key)))  # written, or each letter would hash again
+        hashed = streams.withColumn("surrogate", surrogate(F.col("stream"))).drop("stream")
+        table = checkpointed(hashed if table is None else table.join(lost, ["type", "canonical"], "left_anti").union(hashed))
         kept = table.groupBy("type", "surrogate").agg(F.min("canonical").alias("kept"))
         real = table.select("type", F.col("canonical").alias("surrogate")).withColumn("real", F.lit(True))
         judged = table.join(kept, ["type", "surrogate"]).join(real, ["type", "surrogate"], "left")
-        lost = checkpointed(judged.where("canonical <> kept or real").select("type", "canonical").distinct())
+        lost = checkpointed(judged.where("canonical <> kept or real").select("type", "canonical", (F.col("attempt") + 1).alias("attempt"))
+                            .repartition(wide, "type", "canonical"))
         if lost.isEmpty():
             return table
-        now = (table.join(lost.withColumn("lost", F.lit(1)), ["type", "canonical"], "left")
-               .select("type", "canonical", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt")))
-    raise ValueError(f"surrogates still clash after {most} rounds")
 
 
 def written_like(written: Column, surrogate: Column, kind: Column) -> Column:
@@ -248,6 +268,11 @@ def written_like(written: Column, surrogate: Column, kind: Column) -> Column:
     cased = F.array_join(F.transform(every, lambda i: F.when(
         F.substring(written, i, F.lit(1)) != F.lower(F.substring(written, i, F.lit(1))), F.upper(F.substring(surrogate, i, F.lit(1))))
         .otherwise(F.substring(surrogate, i, F.lit(1)))), "")
+    capitals = (written == F.upper(written)) & (written != F.lower(written)) & (F.char_length(written) > 1)
+    beyond = F.substring(surrogate, F.char_length(written) + 1, F.char_length(surrogate))  # what it has grown by
+    cased = F.when(kind == "ip", surrogate).when((kind == "email") & (beyond != ""), F.when(capitals, F.upper(surrogate)).otherwise(surrogate)) \
+        .otherwise(F.concat(cased, F.when(capitals, F.upper(beyond)).otherwise(beyond)))
+    filled = F.concat(filled, F.substring(flat, F.char_length(F.regexp_replace(written, "[^0-9A-Za-z]", "")) + 1, F.char_length(flat)))
     given = F.when((written == F.upper(written)) & (F.char_length(written) > 1), F.upper(surrogate)) \
         .otherwise(F.concat(F.upper(F.substring(surrogate, F.lit(1), F.lit(1))), F.expr("substring(surrogate, 2)")))
     left, right, gap = _halves(written)

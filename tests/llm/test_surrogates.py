@@ -50,3 +50,24 @@ def test_one_surrogate_for_every_way_of_writing(spark):
     short, full, middle = (got[n].text for n in (3, 4, 5))
     groups = [g.lstrip("0") or "0" for g in full.lower().split(":")]
     assert short == f"{groups[0]}:{groups[1]}::{groups[7]}" and middle == f"{groups[0]}:{groups[1]}:0:0::{groups[7]}" and short != "2001:db8::1"
+
+
+def test_crowded_forms_settle(spark):
+    """More forms than a fixed length has surrogates: given names, short surnames, addresses, mail, phones."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    forms = [("given:m:latin", f"x{i}") for i in range(30_000)] + [("given:f:cyrillic", f"я{i}") for i in range(12_500)]
+    forms += [("surname", a + b) for a in letters for b in letters] + [("surname", "ab'-"), ("secret", "________")]
+    forms += [("ip", f"{i // 1000 % 10}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}") for i in range(4_000)]
+    forms += [("email", f"{a}@{b}.de") for a in letters for b in letters] + [("phone", f"49|{i:04}") for i in range(6_000)]
+    table = surrogates.assign(spark.createDataFrame(forms, "type string, canonical string"), "key").collect()
+    new, real = {(r.type, r.surrogate) for r in table}, set(forms)
+    assert len(table) == len(new) == len(real) and not new & real
+    assert all(0 <= int(o) <= 255 for r in table if r.type == "ip" for o in r.surrogate.split("."))
+
+
+def test_grown_surrogates_are_written_whole(spark):
+    rows = [("surname", "li", "Li", "abcde", "Abcde"), ("surname", "li", "LI", "abcde", "ABCDE"), ("ip", "1.1.1.1", "1.1.1.1", "10.20.30.40", "10.20.30.40"),
+            ("email", "a@b.de", "A@b.de", "xya@c.de", "xya@c.de"), ("phone", "49|1234", "+49 12 34", "49|567890", "+49 56 7890")]
+    got = spark.createDataFrame(rows, "type string, canonical string, written string, surrogate string, want string").select(
+        "want", surrogates.written_like(F.col("written"), F.col("surrogate"), F.col("type")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
