@@ -22,6 +22,3 @@ def spark():
     yield s
     s.stop()
 
-
-def docs(spark, *texts, key="doc_id"):
-    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], f"{key} long, text string")

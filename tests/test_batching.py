@@ -2,7 +2,7 @@
 
 import goldens as G
 import pytest
-from conftest import docs
+from made import docs
 
 from interlinear import dims
 from interlinear.operators import batching as B

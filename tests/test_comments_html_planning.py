@@ -1,6 +1,6 @@
 """Code comments (C1-C3), HTML text (H1-H2), output planning."""
 
-from conftest import docs
+from made import docs
 from pyspark.sql import functions as F
 
 from interlinear.operators import comments as CM

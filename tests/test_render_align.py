@@ -1,7 +1,7 @@
 """Alignment and rendering."""
 
 import goldens as G
-from conftest import docs
+from made import docs
 from pyspark.sql import functions as F
 
 from interlinear.operators import align as A
