@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, cotraining, decontamination, html_blocks, packing, repeats, simhash, sql, surrogates, token_store, topk
+from . import (class_lm, cotraining, decontamination, exact_dedup, html_blocks, merkle, packing, repeats, simhash, spelling, sql, surrogates,
+               token_store, topk)
 from .common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +88,21 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", merkle.UPPER, merkle.LOWER)
+    return merkle.manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), tampered={"text": lowered}, where=third)
+
+
+@query
+def op13_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(read(spark, sf_dir, "documents", "doc_id", "text"))
