@@ -16,7 +16,8 @@ from . import (class_lm, cotraining, decontamination, exact_dedup, html_blocks,
 from .common import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op5_fm_decontamination": sql.OP5, "op9_exact_topk": sql.OP9}
+ORACLES: dict[str, str] = {"op5_fm_decontamination": sql.OP5, "op9_exact_topk": sql.OP9, "op11_spelling_variants": sql.OP11,
+                            "op12_merkle_manifest": sql.OP12, "op13_extendible_dedup": sql.OP13}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -15,9 +15,10 @@ first state, one replaced or inserted letter takes it to its second one, where
 both acceptors must read the same rest. The edit is placed at the first letter
 that differs, so each pair of words is accepted once.
 
-A partition of more than ``most`` words is split exactly: words that agree in
-the next letter form smaller partitions, and pairs whose edit is that letter
-meet by the rest behind it (such a group has one word a letter at most).
+A partition of more than ``most`` words is split exactly where its words begin
+to differ: words that agree in the next letter form smaller partitions, and
+pairs whose edit is that letter meet by the rest behind it (such a group has
+one word a letter at most).
 
 Forms and roots: the near word of largest count that has ``ratio`` times the
 word's count; roots follow forms by doubling, a logarithmic number of joins.
@@ -90,7 +91,7 @@ class Acceptor:
     def __init__(self):
         self.arcs: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.last, self.open = "", [[]]
+        self.last, self.open = None, [[]]
 
     def _state(self, arcs: tuple) -> int:
         if arcs not in self.number:
@@ -105,7 +106,7 @@ class Acceptor:
             self.open[-1].append((self.last[len(self.open) - 1], state))
 
     def add(self, word: str) -> None:
-        same, end = 0, min(len(word), len(self.last))
+        same, end = 0, min(len(word), len(self.last or ""))
         while same < end and word[same] == self.last[same]:
             same += 1
         self._close(same)
@@ -113,7 +114,7 @@ class Acceptor:
         self.last = word
 
     def initial(self) -> int | None:
-        if not self.last:
+        if self.last is None:
             return None
         self._close(0)
         return self._state(tuple(self.open[0]))
@@ -176,6 +177,15 @@ def partitioned(vocabulary: DataFrame) -> DataFrame:
         "side", "t", "substring(w, 1, cast(k as int)) as start", "w", "n")
 
 
+def _branching(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``start`` prolonged by the letters that all words of its
+    partition share: no pair has its edit there."""
+    ends = rows.groupBy(*_KEY).agg(F.min("w").alias("low"), F.max("w").alias("high"))
+    first = "array_position(zip_with(split(low, ''), split(high, ''), (a, b) -> a <=> b), false)"
+    common = ends.selectExpr(*_KEY, f"left(low, cast(if({first} = 0, char_length(low), {first} - 1) as int)) as common")
+    return rows.join(common, _KEY).selectExpr("side", "t", "common as start", "w", "n")
+
+
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Oversized partitions: (the same words under one more letter, the pairs
     whose edit is the letter behind ``start``)."""
@@ -184,10 +194,10 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     behind = rows.selectExpr(*_KEY, "w", "n", f"inline(array(named_struct('c', substring(w, {k} + 1, 1), 'y', substring(w, {k} + 2)),"
                              f" named_struct('c', '', 'y', substring(w, {k} + 1))))")
     # replaced: both words leave t - 1 letters; inserted: the longer one leaves the whole shorter one
-    behind = behind.where(f"(c <> '' and char_length(w) = t) or (c <> '' and char_length(w) = t + 1) or (c = '' and char_length(w) = t)")
+    behind = behind.where("c <> '' or char_length(w) = t").distinct()
     met = behind.groupBy(*_KEY, "y").agg(F.expr("array_sort(collect_list(struct(c, w, n)))").alias("m")).where("size(m) > 1")
     pairs = met.selectExpr("side", "t", "start", "y", "explode(flatten(transform(m, (a, i) -> transform(slice(m, i + 2, size(m)), b -> struct(a, b))))) as p")
-    pairs = pairs.where("p.a.c <> '' or p.b.c <> substring(y, 1, 1)").selectExpr(
+    pairs = pairs.where("if(p.a.c = '', p.b.c <> '' and p.b.c <> substring(y, 1, 1), char_length(p.a.w) = t)").selectExpr(
         "side", "t", "p.a.w as u", "p.b.w as v", "p.a.n as nu", "p.b.n as nv")
     return later, pairs
 
@@ -203,7 +213,7 @@ def near_words(vocabulary: DataFrame, most: int = MOST) -> DataFrame:
             small.append(rows)
             break
         small.append(rows.join(hot, _KEY, "left_anti"))
-        later, pairs = _split(rows.join(hot, _KEY, "left_semi"))
+        later, pairs = _split(_branching(rows.join(hot, _KEY, "left_semi")))
         found.append(materialize(pairs, "spelling-pairs"))
         rows = materialize(later, "spelling-parts")
 
