@@ -43,14 +43,37 @@ def seg_chars(c) -> Column:
     return (F.char_length(col_of(c)) + F.lit(1)).cast("bigint")
 
 
+# --- SQL building blocks ---------------------------------------------------
+
+def sql_str(s: str) -> str:
+    """A Python string as a Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value`` once, so that an optimizer
+    rewrite which substitutes the value grows the expression linearly."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def struct_of(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
 # --- Markdown inline text -------------------------------------------------
+# Private-use characters stand for pieces that no rule may touch (open, number,
+# close; a source character equal to ``open`` becomes open + own), for the ends
+# of a link, for markup that was dropped and for the end of a carried paragraph.
+_OPEN, _OWN, _CLOSE, _LINK, _LINKED, _GONE, CARRY = (chr(0xE000 + n) for n in range(7))
+
 # A code span: a backtick run, content, the same run again.
-CODE_SPAN = r"(?<!`)(`+)(?!`)([\s\S]*?[^`])\1(?!`)"
-# What no inline rule may touch: a backslash escape or a code span.
-PROTECTED = r"\\[!-/:-@\[-`{-~]|" + CODE_SPAN
-# Private-use characters that stand for protected pieces while the rules run:
-# open + number + close; a source character equal to ``open`` becomes open + own.
-_OPEN, _OWN, _CLOSE = "\ue000", "\ue001", "\ue002"
+CODE_SPAN = r"(?<!`)(`+)(?!`)([^" + CARRY + r"]*?[^`" + CARRY + r"])\1(?!`)"
+_AUTOLINK = r"<([a-zA-Z][a-zA-Z0-9+.\-]{1,31}:[^<>\s]*|[^<>\s@]+@[^<>\s@]+\.[^<>\s@]+)>"
+TAG = (r"<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<!\[CDATA\[[\s\S]*?\]\]>|<![A-Za-z][^>]*>|"
+        r"</?[a-zA-Z][a-zA-Z0-9\-]*(?:\s+[a-zA-Z_:][a-zA-Z0-9_.:\-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>")
+_FOOTNOTE = r"\[\^[^\]\s]+\]"
+# What no later rule may touch: escapes, code spans, autolinks, raw HTML, footnote references.
+PROTECTED = r"\\[!-/:-@\[-`{-~]|" + f"{CODE_SPAN}|{_AUTOLINK}|{TAG}|{_FOOTNOTE}"
 
 
 def _nested(open_: str, close: str, plain: str, depth: int) -> str:
@@ -62,55 +85,14 @@ def _nested(open_: str, close: str, plain: str, depth: int) -> str:
 
 
 # CommonMark bounds nested parentheses of a link destination at 32 levels.
-_LABEL = _nested(r"\[", r"\]", r"[^\[\]]", 16)
-_DEST = r"\(\s*+(?:<[^<>\n]*>|" + _nested(r"\(", r"\)", r"[^()\s]", 32) + r")(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)"
-
-# Ordered rewrite rules (pattern, replacement). They follow the
-# CommonMark/GFM inline syntax (images, links, footnote references,
-# autolinks, raw HTML).
-_INLINE_RULES = [
-    (rf"!\[({_LABEL})\]{_DEST}", "$1"),
-    (r"\[\^[^\]\s]+\]", ""),
-    (rf"(?<!!)\[({_LABEL})\]{_DEST}", "$1"),
-    (r"!?\[([^\]]+)\]\[[^\]]*\]", "$1"),
-    (r"<([a-zA-Z][a-zA-Z0-9+.\-]{1,31}:[^<>\s]*)>", "$1"),
-    (r"<([^<>\s@]+@[^<>\s@]+\.[^<>\s@]+)>", "$1"),
-    (r"<!--[\s\S]*?-->", ""),
-    (r"</?[a-zA-Z][a-zA-Z0-9\-]*(?:\s+[a-zA-Z_:][a-zA-Z0-9_.:\-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>", ""),
-]
-# Innermost emphasis (no marker inside); applied until nothing changes, so
-# markers nest to any depth.
-_EMPHASIS_RULES = [
-    (r"(\*{1,3})([^\s*](?:[^*]*[^\s*])?)\1", "$2"),
-    (r"(?<![\p{L}\p{N}_])(_{1,3})([^\s_](?:(?:[^_]|(?<=[\p{L}\p{N}])_+(?=[\p{L}\p{N}]))*[^\s_])?)\1(?![\p{L}\p{N}_])", "$2"),
-    (r"(?<!~)~~(?=[^\s~])([\s\S]*?[^\s~])~~(?!~)", "$1"),
-]
-
-def sql_str(s: str) -> str:
-    """A Python string as a Spark SQL string literal."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _bound(x: str, body: str) -> str:
-    """``body`` over ``v`` with v bound to ``x`` once, so that an optimizer
-    rewrite which substitutes x grows the expression linearly."""
-    return f"element_at(transform(array({x}), v -> {body}), 1)"
-
-
-def _apply_sql(x: str, rules) -> str:
-    for pat, rep in rules:
-        x = f"regexp_replace({x}, {sql_str(pat)}, {sql_str(rep)})"
-    return x
+DEST = r"\(\s*+(?:<[^<>\n]*>|" + _nested(r"\(", r"\)", r"[^()\s]", 32) + r")(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)"
+_BRACKET = rf"!?\[|\](?=({DEST})?)(?=(\[[^\[\]]{{0,999}}\])?)|{CARRY}"
+_CHUNK = 256
 
 
-def _until_stable(x: str, rules, marks: str) -> str:
-    """Rules applied again while they change the text; each change removes a
-    marker, so the number of marker characters bounds the rounds (a settled
-    text passes the remaining rounds untouched)."""
-    rounds = f"length({x}) - length(regexp_replace({x}, {sql_str(marks)}, ''))"
-    return (f"aggregate(sequence(1, greatest(1, {rounds})), named_struct('t', {x}, 'd', false), (a, i) -> case when a.d then a"
-            f" else element_at(transform(array({_apply_sql('a.t', rules)}), r -> named_struct('t', r, 'd', r = a.t)), 1) end,"
-            f" a -> a.t)")
+def label_key(x: str) -> str:
+    """Link labels match without case, outer white space, runs of it and escapes."""
+    return f"lower(trim(regexp_replace(regexp_replace({x}, {sql_str(r'\\(?=[!-/:-@\[-`{-~])')}, ''), {sql_str(r'\s+')}, ' ')))"
 
 
 def decode_entities(c) -> Column:
@@ -118,12 +100,21 @@ def decode_entities(c) -> Column:
     return F.element_at(F.transform(F.array(col_of(c)), _decoded), 1)
 
 
+def _names() -> Column:
+    """Named references as a map by first letter of maps, so that a look-up
+    reads one letter's names and not all of them."""
+    by: dict[str, dict[str, str]] = {}
+    for name, char in html5.items():
+        if name.endswith(";"):
+            by.setdefault(name[:2], {})[name[:-1]] = char
+    return F.from_json(F.lit(json.dumps(by, ensure_ascii=False)), "map<string,map<string,string>>")
+
+
 def _decoded(v: Column) -> Column:
     """Numeric references by code point, names from the HTML5 table; each
     reference is read once, so ``&amp;lt;`` stays ``&lt;``. Unknown names stay."""
     ref = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-    names = F.from_json(F.lit(json.dumps({k[:-1]: c for k, c in html5.items() if k.endswith(";")}, ensure_ascii=False)),
-                        "map<string,string>")
+    names = _names()
 
     def one(r):
         hexed = F.lower(F.substring(r, F.lit(3), F.lit(1))) == "x"
@@ -131,53 +122,201 @@ def _decoded(v: Column) -> Column:
             F.regexp_extract(r, "([0-9]+)", 1)).cast("bigint")
         numeric = F.when(cp.between(1, 1114111) & ~cp.between(55296, 57343),
                          F.decode(F.unhex(F.lpad(F.conv(cp.cast("string"), 10, 16), 8, "0")), "UTF-32")).otherwise(F.lit(chr(0xFFFD)))
-        named = F.coalesce(F.try_element_at(names, F.substring(r, F.lit(2), F.length(r) - 2)), r)
+        own = F.try_element_at(names, F.substring(r, F.lit(2), F.lit(2)))
+        named = F.coalesce(F.try_element_at(own, F.substring(r, F.lit(2), F.length(r) - 2)), r)
         return F.when(F.substring(r, F.lit(2), F.lit(1)) == "#", numeric).otherwise(named)
     pieces = F.zip_with(F.split(v, ref, -1), F.transform(F.regexp_extract_all(v, F.lit(ref), F.lit(0)), one),
                         lambda p, c: F.concat(F.coalesce(p, F.lit("")), F.coalesce(c, F.lit(""))))
     return F.when(F.contains(v, F.lit("&")), F.array_join(pieces, "")).otherwise(v)
 
 
-def with_inline_text(df, src: str, out: str):
+def _restored(x: str, kept: str) -> str:
+    """``x`` with its protected pieces put back."""
+    mark = sql_str(f"{_OPEN}([0-9]+){_CLOSE}")
+    return (f"replace(array_join(zip_with(split({x}, {mark}, -1), regexp_extract_all({x}, {mark}, 1),"
+            f" (p, k) -> concat(coalesce(p, ''), case when k is null then '' else element_at({kept}, cast(k as int) + 1) end)),"
+            f" ''), {sql_str(_OPEN + _OWN)}, {sql_str(_OPEN)})")
+
+
+def _append(s: str, item: str) -> dict[str, str]:
+    """Fields ``full`` and ``cur`` of state ``s`` with one record more: records go
+    to chunks, so n of them copy about n * sqrt(n) references."""
+    return {"full": f"if(size({s}.cur) >= {_CHUNK}, array_append({s}.full, {s}.cur), {s}.full)",
+            "cur": f"if(size({s}.cur) >= {_CHUNK}, {item}, concat({s}.cur, {item}))"}
+
+
+def _links(t: str, refs: str, kept: str) -> str:
+    """Brackets to links: one fold over the brackets with a stack of the open
+    ones. A closing bracket makes a link if a destination follows, or a label
+    (or its own text, where none follows) that the document defines. Link ends
+    become marks and what follows the text of a link is dropped."""
+    b, rec = sql_str(_BRACKET), "array<struct<j: int, act: int, cut: int>>"
+    marks = (f"zip_with(regexp_extract_all({t}, {b}, 0), zip_with(regexp_extract_all({t}, {b}, 1), regexp_extract_all({t}, {b}, 2),"
+             " (d, l) -> named_struct('d', d, 'l', l)), (m, x) -> named_struct('m', m, 'd', x.d, 'l', x.l))")
+    r = lambda j, act, cut="0": f"named_struct('j', {j}, 'act', {act}, 'cut', {cut})"
+    piece = "length(element_at(ps, x.j + 2))"  # the text behind mark j (from 0)
+    top = "element_at(s.bs, -1)"
+    inner = (f"array_join(zip_with(slice(ps, {top}.j + 2, x.j - {top}.j), slice(ms, {top}.j + 2, x.j - {top}.j),"
+             " (p, m) -> concat(p, m.m)), '')")
+    own = f"substring({inner}, 1, length({inner}) - 1)"  # without the closing bracket itself
+    own = let("n", inner, "substring(n, 1, length(n) - 1)")
+    own = f"if(x.j - {top}.j > 999, '', {let('n', own, f'if(contains(n, {sql_str(_OPEN)}), {_restored('n', kept)}, n)')})"
+    defined = lambda x: f"array_contains({refs}, {label_key(x)})"
+    # -1: no link; else the length of what is dropped behind it
+    found = (f"case when x.m.d != '' then length(x.m.d) when {refs} is null then -1"
+             f" when x.m.l in ('', '[]') then if({defined(own)}, length(x.m.l), -1)"
+             f" when {defined('substring(x.m.l, 2, length(x.m.l) - 2)')} then length(x.m.l) else -1 end")
+
+    def state(bs="s.bs", dead="s.dead", skip="0", new=None):
+        add = _append("s", new) if new else {"full": "s.full", "cur": "s.cur"}
+        return struct_of(bs=bs, dead=dead, skip=skip, **add)
+
+    pop = "slice(s.bs, 1, size(s.bs) - 1)"
+    literal = state(bs=pop, dead="least(s.dead, size(s.bs) - 1)", new=f"array({r(f'{top}.j', 0)}, {r('x.j', 0)})")
+    linked = state(bs=pop, dead=f"if({top}.img, least(s.dead, size(s.bs) - 1), size(s.bs) - 1)", skip=f"greatest(0, k - {piece})",
+                   new=f"array({r(f'{top}.j', 1)}, {r('x.j', 2, f'least(k, {piece})')})")
+    step = (
+        f"case when s.skip > 0 then {state(skip=f'greatest(0, s.skip - length(x.m.m) - {piece})', new=f'array({r('x.j', 3, f'greatest(0, least(s.skip - length(x.m.m), {piece}))')})')}"
+        f" when x.m.m = {sql_str(CARRY)} then {state(bs='slice(s.bs, 1, 0)', dead='0', new=f'concat(transform(s.bs, e -> {r('e.j', 0)}), array({r('x.j', 0)}))')}"
+        f" when x.m.m != ']' then {state(bs="array_append(s.bs, named_struct('j', x.j, 'img', x.m.m = '!['))")}"
+        f" when size(s.bs) = 0 then {state(new=f'array({r('x.j', 0)})')}"
+        f" when not {top}.img and size(s.bs) <= s.dead then {literal}"
+        f" else {let('k', found, f'if(k < 0, {literal}, {linked})')} end")
+    start = struct_of(bs="cast(array() as array<struct<j: int, img: boolean>>)", dead="0", skip="0",
+                      full=f"cast(array() as array<{rec}>)", cur=f"cast(array() as {rec})")
+    ends = f"aggregate(transform(ms, (m, j) -> named_struct('j', j, 'm', m)), {start}, (s, x) -> {step}, s -> array_sort(concat(flatten(array_append(s.full, s.cur)), transform(s.bs, e -> {r('e.j', 0)}))))"
+    built = ("array_join(transform(ps, (p, j) -> concat(if(j = 0, p, substring(p, element_at(rs, j).cut + 1)), if(j >= size(ms), '',"
+             f" case element_at(rs, j + 1).act when 0 then element_at(ms, j + 1).m when 1 then {sql_str(_LINK)} when 2 then {sql_str(_LINKED)} else '' end))), '')")
+    return let("ps", f"split({t}, {b}, -1)", let("ms", marks, let("rs", ends, built)))
+
+
+def _emphasis(t: str) -> str:
+    """Matched emphasis and strike markers dropped: one fold over the delimiter
+    runs with a stack of those that may open, by flanking and the rule of three;
+    a link's text is a level of its own. A run that no later one could close
+    is never pushed, and matched ones leave, so the work is linear in the text."""
+    d = sql_str(rf"\*+|_+|~+|[{_LINK}{_LINKED}{CARRY}]")
+    rec, run = "array<struct<j: int, n: int>>", "array<struct<j: int, c: string, n: int, orig: int, both: boolean>>"
+    punct = rf"[\p{{P}}\p{{S}}{_OPEN}-{_GONE}]"
+    space = rf"^[\s\p{{Z}}{CARRY}]?$"
+    before = "if(element_at(ps, j + 1) != '', right(element_at(ps, j + 1), 1), if(j = 0, '', right(element_at(ds, j), 1)))"
+    behind = "if(element_at(ps, j + 2) != '', left(element_at(ps, j + 2), 1), if(j + 1 >= size(ds), '', left(element_at(ds, j + 2), 1)))"
+    flanks = let("g", struct_of(b=before, a=behind), let("f", struct_of(
+        wb=f"g.b rlike {sql_str(space)}", wa=f"g.a rlike {sql_str(space)}", pb=f"g.b rlike {sql_str(punct)}", pa=f"g.a rlike {sql_str(punct)}"),
+        let("h", struct_of(l="(not f.wa and (not f.pa or f.wb or f.pb))", r="(not f.wb and (not f.pb or f.wa or f.pa))", pb="f.pb", pa="f.pa"), struct_of(
+            j="j", c="left(m, 1)", n="length(m)",
+            o="case left(m, 1) when '*' then h.l when '_' then h.l and (not h.r or h.pb) when '~' then h.l and length(m) = 2 else false end",
+            cl="case left(m, 1) when '*' then h.r when '_' then h.r and (not h.l or h.pa) when '~' then h.r and length(m) = 2 else false end"))))
+    last = lambda c: f"coalesce(array_max(transform(filter(rs, x -> x.cl and x.c = '{c}'), x -> x.j)), -1)"
+    lit = lambda e: f"named_struct('j', {e}.j, 'n', {e}.n)"
+    floor = "if(size(s.fl) = 0, 0, element_at(s.fl, -1))"
+    fits = ("(e.c = x.c and (e.c != '~' or e.n = x.n) and not ((e.both or (x.o and x.cl)) and (e.orig + x.n) % 3 = 0"
+            " and not (e.orig % 3 = 0 and x.n % 3 = 0)))")
+    # the opener nearest to the top, -1 if none is left
+    at = f"coalesce(array_max(filter(sequence(q.lo + 1, size(q.st)), i -> {let('e', 'element_at(q.st, i)', fits)})), -1)"
+    taken = let("i", f"if(q.rem = 0 or size(q.st) <= q.lo, -1, {at})", "if(i < 0, named_struct('st', q.st, 'rem', q.rem, 'out', q.out, 'lo', q.lo, 'go', false), " + let(
+        "e", "element_at(q.st, i)", struct_of(
+            st=f"concat(slice(q.st, 1, i - 1), if(e.n > q.rem, array(named_struct('j', e.j, 'c', e.c, 'n', e.n - q.rem, 'orig', e.orig, 'both', e.both)), cast(array() as {run})))",
+            rem="greatest(0, q.rem - e.n)",
+            out=f"concat(q.out, transform(slice(q.st, i + 1, size(q.st)), o -> {lit('o')}), if(e.n > q.rem, cast(array() as {rec}), array(named_struct('j', e.j, 'n', 0))))",
+            lo="q.lo", go="true")) + ")")
+    closed = (f"if(x.cl and exists(s.st, e -> e.c = x.c), aggregate(sequence(1, greatest(1, size(s.st) - {floor})),"
+              f" named_struct('st', s.st, 'rem', x.n, 'out', cast(array() as {rec}), 'lo', {floor}, 'go', true), (q, i) -> if(q.go, {taken}, q)),"
+              f" named_struct('st', s.st, 'rem', x.n, 'out', cast(array() as {rec}), 'lo', 0, 'go', false))")
+    opens = "(r.rem > 0 and x.o and x.j < case x.c when '*' then lc.a when '_' then lc.u else lc.t end)"
+    final = lambda n: f"named_struct('j', x.j, 'n', {n})"
+
+    def state(st, new, fl="s.fl"):
+        return struct_of(st=st, fl=fl, **_append("s", new))
+
+    end_link = f"transform(slice(s.st, {floor} + 1, size(s.st)), e -> {lit('e')})"
+    step = (
+        f"case x.c when {sql_str(_LINK)} then {state('s.st', f'array({final(0)})', 'array_append(s.fl, size(s.st))')}"
+        f" when {sql_str(_LINKED)} then {state(f'slice(s.st, 1, {floor})', f'concat({end_link}, array({final(0)}))', 'slice(s.fl, 1, greatest(0, size(s.fl) - 1))')}"
+        f" when {sql_str(CARRY)} then {state('slice(s.st, 1, 0)', f'concat(transform(s.st, e -> {lit('e')}), array({final(1)}))', 'slice(s.fl, 1, 0)')}"
+        " else " + let("r", closed, state(
+            f"if({opens}, array_append(r.st, named_struct('j', x.j, 'c', x.c, 'n', r.rem, 'orig', x.n, 'both', x.o and x.cl)), r.st)",
+            f"concat(r.out, if({opens}, cast(array() as {rec}), array({final('r.rem')})))")) + " end")
+    start = struct_of(st=f"cast(array() as {run})", fl="cast(array() as array<int>)", full=f"cast(array() as array<{rec}>)", cur=f"cast(array() as {rec})")
+    left = f"aggregate(rs, {start}, (s, x) -> {step}, s -> array_sort(concat(flatten(array_append(s.full, s.cur)), transform(s.st, e -> {lit('e')}))))"
+    built = ("array_join(transform(ps, (p, j) -> if(j >= size(ds), p, concat(p, if(element_at(os, j + 1).n > 0,"
+             f" repeat(left(element_at(ds, j + 1), 1), element_at(os, j + 1).n), if(left(element_at(ds, j + 1), 1) in ({sql_str(_LINK)}, {sql_str(_LINKED)}),"
+             f" element_at(ds, j + 1), {sql_str(_GONE)}))))), '')")
+    return let("ps", f"split({t}, {d}, -1)", let("ds", f"regexp_extract_all({t}, {d}, 0)", let(
+        "rs", f"transform(ds, (m, j) -> {flanks})", let("lc", struct_of(a=last("*"), u=last("_"), t=last("~")), let("os", left, built)))))
+
+
+def with_inline_marks(df, src: str, out: str, kept: str, refs: str | None = None):
+    """``out``: the Markdown of ``src`` with its markup read. Protected pieces
+    are numbers into the array column ``kept``; links stand between link marks,
+    and a mark is left where markup was dropped."""
+    q, has = f"`{src}`", f"__has_{kept}"
+    labels = f"`{refs}`" if refs else "cast(null as array<string>)"
+    inner = f"regexp_replace(regexp_replace(x, '^`+|`+$', ''), {sql_str(r'^ ([\s\S]*[^ ][\s\S]*) $')}, '$1')"
+    pieces = (f"transform(regexp_extract_all({q}, {sql_str(PROTECTED)}, 0), x -> case when startswith(x, '`') then concat('`', {inner}, '`')"
+              f" when startswith(x, {sql_str(chr(92))}) then substring(x, 2) when x rlike {sql_str('^' + _AUTOLINK + '$')} then substring(x, 2, length(x) - 2) else '' end)")
+    apart = let("ps", f"split({q}, {sql_str(PROTECTED)}, -1)",
+                f"array_join(transform(ps, (p, i) -> concat(replace(p, {sql_str(_OPEN)}, {sql_str(_OPEN + _OWN)}),"
+                f" case when i < size(ps) - 1 then concat({sql_str(_OPEN)}, cast(i as string), {sql_str(_CLOSE)}) else '' end)), '')")
+    df = df.selectExpr("*", f"{q} rlike {sql_str(r'[`<\\' + _OPEN + r']|\[\^')} as {has}")
+    df = df.selectExpr("*", f"case when {has} then {pieces} end as {kept}", f"case when {has} then {apart} else {q} end as __t0")
+    df = df.selectExpr("*", f"if(contains(__t0, '['), {_links('__t0', labels, kept)}, __t0) as __t1")
+    df = df.selectExpr("*", f"if(__t1 rlike '[*_]|~~', {_emphasis('__t1')}, __t1) as __t2")
+    keep = [f"`{c}`" for c in df.columns if c not in ("__t0", "__t1", "__t2", has, out)]
+    return df.selectExpr(*keep, f"__t2 as `{out}`")
+
+
+_MARKS = f"[{_LINK}-{CARRY}]"
+
+
+def with_inline_text(df, src: str, out: str, refs: str | None = None):
     """Markdown inline markup to the text a translator should see.
 
-    Links become their label, images their alt text, emphasis and strike
-    markers are dropped, raw HTML tags are dropped (their inner text stays),
-    footnote references vanish, code spans keep one backtick on each side,
-    backslash escapes become their character, character references are decoded.
+    Links become their label (also reference links that ``refs``, a column of
+    defined labels, knows), images their alt text, emphasis and strike markers
+    are dropped, raw HTML tags are dropped (their inner text stays), footnote
+    references vanish, code spans keep one backtick on each side, backslash
+    escapes become their character, character references are decoded.
 
-    Escapes and code spans are set apart first, by number, so no rule touches
-    them and a removed one shifts no other. Each rule group is guarded by a
-    cheap test: plain prose pays a few byte searches.
+    Escapes, code spans, autolinks and tags are set apart first, by number, so
+    no rule touches them. Each step is guarded by a cheap test: plain prose
+    pays a few byte searches.
     """
-    tmp, q = "__il_", f"`{src}`"
-    o, w, c = sql_str(_OPEN), sql_str(_OWN), sql_str(_CLOSE)
-    kept = (f"transform(regexp_extract_all({q}, {sql_str(PROTECTED)}, 0), x -> case when startswith(x, '`') then concat('`',"
-            f" regexp_replace(regexp_replace(x, '^`+|`+$', ''), {sql_str(r'^ ([\s\S]*[^ ][\s\S]*) $')}, '$1'), '`')"
-            f" else substring(x, 2) end)")
-    apart = (f"element_at(transform(array(split({q}, {sql_str(PROTECTED)}, -1)), ps -> array_join(transform(ps, (p, i) ->"
-             f" concat(replace(p, {o}, concat({o}, {w})), case when i < size(ps) - 1 then concat({o}, cast(i as string), {c})"
-             f" else '' end)), '')), 1)")
-    df = df.selectExpr("*", f"(contains({q}, '`') or contains({q}, {sql_str(chr(92))})) as {tmp}has")
-    df = df.selectExpr("*", f"case when {tmp}has then {kept} end as {tmp}kept",
-                       f"case when {tmp}has then {apart} else {q} end as {tmp}t0")
-    steps = [
-        f"case when contains(v, '[') or contains(v, '<') then {_apply_sql('v', _INLINE_RULES)} else v end",
-        f"case when v rlike {sql_str('[*_][^ *_]|~~')} then {_until_stable('v', _EMPHASIS_RULES, '[*_~]')} else v end",
-    ]
-    for i, body in enumerate(steps):
-        df = df.selectExpr("*", f"{_bound(f'{tmp}t{i}', body)} as {tmp}t{i + 1}")
-    last = f"{tmp}ref"
-    df = df.withColumn(last, decode_entities(f"{tmp}t{len(steps)}"))
-    mark = sql_str(f"{_OPEN}([0-9]+){_CLOSE}")
-    restore = (f"replace(array_join(zip_with(split({last}, {mark}, -1), regexp_extract_all({last}, {mark}, 1),"
-               f" (p, k) -> concat(coalesce(p, ''), case when k is null then '' else element_at({tmp}kept, cast(k as int) + 1) end)),"
-               f" ''), concat({o}, {w}), {o})")
-    keep = [f"`{x}`" for x in df.columns if not x.startswith(tmp) and x != out]
-    return df.selectExpr(*keep, f"case when {tmp}has then {restore} else {last} end as `{out}`")
-
-
-def link_labels(c) -> Column:
-    """Array of link and image labels of a paragraph's Markdown (M17); what
-    stands in code spans is no link."""
-    return F.regexp_extract_all(F.regexp_replace(col_of(c), PROTECTED, ""), F.lit(rf"!?\[({_LABEL})\]{_DEST}"), 1)
+    df = with_inline_marks(df, src, "__marked", "__kept", refs)
+    df = df.selectExpr("*", f"if(__marked rlike {sql_str(_MARKS)}, regexp_replace(__marked, {sql_str(_MARKS)}, ''), __marked) as __bare")
+    df = df.withColumn("__ref", decode_entities("__bare"))
+    keep = [f"`{c}`" for c in df.columns if c not in ("__marked", "__kept", "__bare", "__ref", out)]
+    return df.selectExpr(*keep, f"case when __kept is null then __ref else {_restored('__ref', '__kept')} end as `{out}`")
+
+
+def with_inline_events(df, src: str, out: str, refs: str | None = None):
+    """``out``: ordered array of (code, text) events of ``src``: a code span is
+    one event, and so is every run of text between pieces of markup (emphasis
+    and link ends, code, tags, escapes, character references)."""
+    df = with_inline_marks(df, src, "__marked", "__kept", refs)
+    # an escaped character begins a new run of text
+    token = sql_str(rf"{_OPEN}([0-9]+){_CLOSE}[^{_OPEN}{_LINK}-{CARRY}&]*|&[A-Za-z0-9#]+;|[^{_OPEN}{_LINK}-{CARRY}&]+(?:&(?![A-Za-z0-9#]+;)[^{_OPEN}{_LINK}-{CARRY}&]*)*|&|{_OPEN}{_OWN}")
+    parts = f"regexp_extract_all(__marked, {token}, 0)"
+    number = f"cast(regexp_extract(x, {sql_str(f'^{_OPEN}([0-9]+){_CLOSE}')}, 1) as int)"
+    rest = f"regexp_replace(x, {sql_str(f'^{_OPEN}[0-9]+{_CLOSE}')}, '')"
+    is_own = f"x rlike {sql_str(f'^{_OPEN}[0-9]')}"
+    piece = f"element_at(__kept, {number} + 1)"
+    one = (f"case when not ({is_own}) then array(named_struct('code', false, 'raw', x)) when startswith({piece}, '`') and length({piece}) > 1 then"
+           f" array(named_struct('code', true, 'raw', {piece}), named_struct('code', false, 'raw', {rest}))"
+           f" when length({piece}) = 1 then array(named_struct('code', false, 'raw', concat({piece}, {rest})))"
+           f" else array(named_struct('code', false, 'raw', {piece}), named_struct('code', false, 'raw', {rest})) end")
+    df = df.selectExpr("*", f"case when `{src}` is null then null when __kept is null and not __marked rlike {sql_str(rf'[&{_LINK}-{CARRY}]')}"
+                            f" then array(named_struct('code', false, 'raw', __marked)) else filter(flatten(transform({parts}, x -> {one})), e -> e.raw != '') end as __events")
+    text = F.transform("__events", lambda e: F.struct(e["code"].alias("code"), e["raw"].alias("src"), F.when(e["code"], e["raw"]).otherwise(
+        decode_entities(F.replace(e["raw"], F.lit(_OPEN + _OWN), F.lit(_OPEN)))).alias("text")))
+    keep = [c for c in df.columns if c not in ("__marked", "__kept", "__events", out)]
+    return df.select(*[F.col(f"`{c}`") for c in keep], text.alias(out))
+
+
+def link_labels(marked: str, kept: str) -> str:
+    """SQL: the texts between link marks (M17), outermost links and images, as
+    Markdown without its links."""
+    inside = _nested(_LINK, _LINKED, f"[^{_LINK}{_LINKED}]", 16)
+    found = f"regexp_extract_all({marked}, {sql_str(f'{_LINK}({inside}){_LINKED}')}, 1)"
+    plain = f"regexp_replace(l, {sql_str(_MARKS)}, '')"
+    return f"transform({found}, l -> " + let("u", plain, f"if({kept} is null, u, {_restored('u', kept)})") + ")"

@@ -127,7 +127,7 @@ def batch_text(batched: DataFrame, key: str = "doc_id", extra_keys: list[str] |
     """
     keys = [key] + list(extra_keys or [])
     present = set(batched.columns)
-    meta = [c for c in ("block_no", "sub", "kind", "level", "qdepth", "item_ind") if c in present]
+    meta = [c for c in ("block_no", "sub", "piece", "kind", "level", "qdepth", "prefix", "src") if c in present]
     g = batched.groupBy(*keys, "limit_unit", "limit_value", "batch_no").agg(
         F.expr(f"array_sort(collect_list(struct(seg_no, text{''.join(', ' + c for c in meta)})))").alias("parts"),
         F.expr("min(seg_no)").alias("first_seg"),
@@ -157,7 +157,7 @@ def _batch_rows(segs: DataFrame, limits, key: str) -> DataFrame:
     only into the batch that holds it. Below a limit of one every segment opens
     a batch, so nothing is folded."""
     k = f"`{key}`"
-    meta = [c for c in ("block_no", "sub", "kind", "level", "qdepth", "item_ind") if c in segs.columns]
+    meta = [c for c in ("block_no", "sub", "piece", "kind", "level", "qdepth", "prefix", "src") if c in segs.columns]
     gathered = segs.filter("not is_tail").groupBy(key).agg(F.expr(
         f"array_sort(collect_list(struct(seg_no, text, n_bytes, n_chars{''.join(', ' + c for c in meta)})))").alias("segs"))
     lens = {u: f"transform(segs, (x, i) -> named_struct('seg_no', i, 'n', x.n_{u}))" for u in ("bytes", "chars")}
@@ -202,7 +202,7 @@ def text_batches_by_providers(segs: DataFrame, providers, key: str = "doc_id") -
 def whole_batches(segs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Application-level limit 0 = one request with the whole text (tail included)."""
     w = whole_text(segs, key)
-    meta = [c for c in ("block_no", "sub", "kind", "level", "qdepth", "item_ind") if c in segs.columns]
+    meta = [c for c in ("block_no", "sub", "piece", "kind", "level", "qdepth", "prefix", "src") if c in segs.columns]
     parts = segs.filter("not is_tail").groupBy(key).agg(
         F.expr(f"array_sort(collect_list(struct(seg_no, text{''.join(', ' + c for c in meta)})))").alias("segs"))
     return w.join(parts.hint("merge"), key, "left").select(

@@ -1,18 +1,24 @@
 """M1 / M4 / M7: split documents into lines and classify each line's block role.
 
-Each document is one input row. The corpus is hash-distributed on the
-document key once (``distribute_docs``); every window below is partitioned by
-that key and ordered by ``line_no``, so the line explode, the classification
-windows and the later island grouping all reuse that single Exchange.
-Where code begins and ends (fences, indented code, also in list items and
-quotes) comes from one native fold over a document's lines; list, table and
-HTML regions are running window aggregates.
+Each document is one input row, and all block structure comes from one native
+fold over its lines whose state is the stack of open containers (quotes and
+list items), the open leaf (paragraph, fence, HTML block, table) and the ids of
+the lists found loose. So quotes in items, items in quotes, nested lists, lazy
+lines and code in containers need no window: the line explode is narrow, and
+the corpus is hash-distributed on the document key once (``distribute_docs``)
+for the island grouping that follows.
+
+The fold appends its line records to chunks, so a document of n lines copies
+about n * sqrt(n) references instead of n * n. Documents without any line that
+could start a block but a paragraph skip it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from interlinear.functions.text import label_key, let, sql_str as _sql_str, struct_of
+
 # CommonMark HTML block start condition 6 tag names.
 HTML_BLOCK_TAGS = (
     "address article aside base basefont blockquote body caption center col colgroup dd "
@@ -22,28 +28,41 @@ HTML_BLOCK_TAGS = (
     "thead title tr track ul"
 ).split()
 
-_HTML_COND_1_5 = r"^ {0,3}(<(script|pre|style|textarea)([ \t>]|$)|<!--|<\?|<![A-Za-z]|<!\[CDATA\[)"
-_HTML_COND_6 = r"(?i)^ {0,3}</?(" + "|".join(HTML_BLOCK_TAGS) + r")([ \t>]|/>|$)"
+# What starts an HTML block and what ends it; the last two end at a blank line.
+_HTML_KINDS = [
+    (r"(?i)^ {0,3}<(script|pre|style|textarea)([ \t>]|$)", r"(?i)</(script|pre|style|textarea)>"),
+    (r"^ {0,3}<!--", "-->"),
+    (r"^ {0,3}<\?", r"\?>"),
+    (r"^ {0,3}<!\[CDATA\[", r"\]\]>"),
+    (r"^ {0,3}<![A-Za-z]", ">"),
+    (r"(?i)^ {0,3}</?(" + "|".join(HTML_BLOCK_TAGS) + r")([ \t>]|/>|$)", "blank"),
+]
+# the seventh kind, any whole tag on a line of its own, does not end a paragraph
 _HTML_COND_7 = (
     r"^ {0,3}(<[a-zA-Z][a-zA-Z0-9\-]*(\s+[a-zA-Z_:][a-zA-Z0-9_.:\-]*(\s*=\s*([^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>"
     r"|</[a-zA-Z][a-zA-Z0-9\-]*\s*>)\s*$"
 )
-_HTML_RAW = r"(?i)^ {0,3}<(script|pre|style|textarea)([ \t>]|$)"
-_HTML_RAW_END = r"(?i)</(script|pre|style|textarea)>"
-_QUOTE_PREFIX = r"^((?: {0,3}>[ ]?)*)"
-# a fence anywhere on the line (its indent is judged against the list item it
-# may stand in), also right after a list marker
-_FENCE = r"^[ \t]*(?:(?:[-*+]|[0-9]{1,9}[.)])[ \t]+)?(`{3,}(?=[^`]*$)|~{3,})"
-_MARKER = r"^([ \t]*(?:[-*+]|[0-9]{1,9}[.)])(?:[ \t]{1,4}(?=[^ \t])|[ \t]|$))"
+_FENCE = r"^ {0,3}(`{3,}(?=[^`]*$)|~{3,})"
 _ATX = r"^ {0,3}#{1,6}([ \t]|$)"
 _HR = r"^ {0,3}([-*_])([ \t]*\1){2,}[ \t]*$"
 _SETEXT = r"^ {0,3}(=+|-+)[ \t]*$"
-_ITEM = r"^ {0,3}([-*+]|[0-9]{1,9}[.)])([ \t]+|$)"
-# only a bullet or a one may start a list inside a paragraph
-_LATE_ITEM = r"^ {0,3}(?!0*1[.)])[0-9]{1,9}[.)]"
+_QUOTE = r"^ {0,3}> ?"
+_ITEM = r"^ {0,3}([-*+]|[0-9]{1,9}[.)])([ \t]|$)"
+# inside a paragraph only a bullet or a one with text behind it starts a list
+_NO_LATE_ITEM = r"^ {0,3}(?:(?!0*1[.)])[0-9]{1,9}[.)]|(?:[-*+]|[0-9]{1,9}[.)])[ \t]*$)"
+_MARKERS = r"^(?:[ >]|[-*+](?= |$)|[0-9]{1,9}[.)](?= |$))*"
 _DELIM_ROW = r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$"
 _FOOTDEF = r"^ {0,3}\[\^[^\]]+\]:"
-_LINKDEF = r"^ {0,3}\[[^\]^][^\]]*\]:[ \t]*\S+([ \t]+(\"[^\"]*\"|'[^']*'|\([^)]*\)))?[ \t]*$"
+# a line that may start something other than a paragraph
+_STRUCTURE = r"(?m)^[ \t]*(?:[>#`~<=|:*+_\[-]|[0-9]{1,9}[.)])|^(?: {4}| {0,3}\t)|\|"
+# a link reference definition at the start of a paragraph's text
+LINKDEF = (r"\[(?=[^\]]*[^\]\s])((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*+\n?[ \t]*+(?:<(?:[^<>\n\\]|\\.)*>|(?!<)[^\s]+)"
+           r"(?:(?:[ \t]++\n?[ \t]*+|\n[ \t]*+)(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*+(?:\n|$)")
+
+_CONTAINER = "array<struct<k: string, w: int, t: string, lid: int>>"
+_RECORD = ("array<struct<b: string, kind: string, q: int, lid: int, pre: string, it: boolean, pc: boolean,"
+           " info: string, fi: int, fno: int>>")
+_CHUNK = 256
 
 
 def distribute_docs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -55,226 +74,182 @@ def distribute_docs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.repartition(key)
 
 
-def _sql_str(s: str) -> str:
-    """A Python string as a Spark SQL string literal."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _code_marks(text_col: str) -> tuple[str, str]:
-    """SQL for (facts per line, marks): where fenced and indented code begins
-    and ends. One native fold over a document's lines; marks are
-
-    o  opening fence    c  closing fence      x  fence ended by its container
-    i  indented code    j  end of indented code
-
-    A fence closes with the same character, at least as long, without info; or
-    with the quote or list item it stands in. Indents count from the content
-    column of the list item that is open.
-    """
-    fence, marker = _sql_str(_FENCE), _sql_str(_MARKER)
-    quoted = (f"transform(split(`{text_col}`, '\\r?\\n', -1), l -> named_struct('l', l, 'qp',"
-              f" case when contains(l, '>') then regexp_extract(l, {_sql_str(_QUOTE_PREFIX)}, 1) else '' end))")
-    bodies = (f"transform({quoted}, x -> named_struct('line', x.l, 'q', length(x.qp) - length(replace(x.qp, '>', '')),"
-              " 'b', substring(x.l, length(x.qp) + 1)))")
-    facts = (
-        f"transform({bodies}, x -> named_struct('line', x.line, 'q', x.q, 'b', x.b,"
-        " 'blank', ltrim(' \t', x.b) = '', 'ind', length(x.b) - length(ltrim(' \t', x.b)),"
-        f" 'f', case when contains(x.b, '```') or contains(x.b, '~~~') then regexp_extract(x.b, {fence}, 1) else '' end,"
-        f" 'm', case when x.b rlike '^[ \\t]*[-*+0-9]' then length(regexp_extract(x.b, {marker}, 1)) else 0 end))")
-    marks_t = "array<struct<n: int, k: string, w: int, info: string>>"
-    info = "trim(' \t', substring(x.b, locate(x.f, x.b) + length(x.f)))"
-    # d: does the open fence end here; cc: content column that holds for this line
-    ended = "s.fc != '' and (x.q < s.fq or (s.cc > 0 and not x.blank and x.ind < s.cc and x.m = 0))"
-    inside = f"(s.fc != '' and not ({ended}))"
-    closing = (f"({inside} and x.f != '' and substring(x.f, 1, 1) = s.fc and length(x.f) >= s.fl and {info} = ''"
-               " and x.m = 0 and x.ind <= s.cc + 3)")
-    cc = ("case when x.blank then s.cc when x.q != s.pq then x.m"
-          " when x.m > 0 and x.ind <= s.cc + 3 then x.m"
-          " when x.ind < s.cc and (s.pb or x.f != '') then 0 else s.cc end")
-    step = (
-        f"element_at(transform(array(named_struct('in', {inside}, 'cl', {closing}, 'en', {ended}, 'cc', {cc})), d ->"
-        " element_at(transform(array(named_struct("
-        " 'op', not d.in and x.f != '' and (x.m > 0 or (x.ind >= d.cc and x.ind <= d.cc + 3)),"
-        " 'ic', not d.in and not x.blank and x.m = 0 and x.f = '' and x.ind >= d.cc + 4 and (s.pb or s.ic))), e ->"
-        " named_struct("
-        "'fc', case when e.op then substring(x.f, 1, 1) when d.in and not d.cl then s.fc else '' end,"
-        "'fl', case when e.op then length(x.f) else s.fl end, 'fq', case when e.op then x.q else s.fq end,"
-        "'cc', case when d.in then s.cc else d.cc end, 'pq', case when x.blank then s.pq else x.q end,"
-        "'pb', x.blank and not d.in, 'ic', e.ic or (s.ic and x.blank and not d.in), 'i', s.i + 1,"
-        "'marks', case when e.op then concat(s.marks, array(named_struct('n', s.i, 'k', 'o', 'w', case when x.m > 0 then x.m else x.ind end,"
-        f" 'info', {info})))"
-        " when d.cl then concat(s.marks, array(named_struct('n', s.i, 'k', 'c', 'w', 0, 'info', '')))"
-        " when e.ic and not s.ic then concat(s.marks, array(named_struct('n', s.i, 'k', 'i', 'w', 0, 'info', '')))"
-        " when d.en then concat(s.marks, array(named_struct('n', s.i, 'k', 'x', 'w', 0, 'info', '')))"
-        " when s.ic and not x.blank and not e.ic then concat(s.marks, array(named_struct('n', s.i, 'k', 'j', 'w', 0, 'info', '')))"
-        " else s.marks end)), 1)), 1)")
-    start = (f"named_struct('fc', '', 'fl', 0, 'fq', 0, 'cc', 0, 'pq', 0, 'pb', true, 'ic', false, 'i', 0,"
-             f" 'marks', cast(array() as {marks_t}))")
-    return facts, f"aggregate(facts, {start}, (s, x) -> {step}, s -> s.marks)"
+def _rx(x: str, pattern: str) -> str:
+    return f"{x} rlike {_sql_str(pattern)}"
+
+
+def _indent(x: str) -> str:
+    return f"(length({x}) - length(ltrim(' ', {x})))"
+
+
+def _cells(x: str) -> str:
+    """Number of cells of a table line."""
+    inner = f"regexp_replace(regexp_replace({x}, {_sql_str(r'^[ \t]*\|')}, ''), {_sql_str(r'(?<!\\)\|[ \t]*$')}, '')"
+    return f"size(split({inner}, {_sql_str(r'(?<!\\)\|')}, -1))"
+
+
+def _fold(text: str) -> str:
+    """SQL for (line records, ids of loose lists) of a document's text."""
+    prefix = f"regexp_extract(l, {_sql_str(r'^[ \t>]*(?:(?:[-*+]|[0-9]{1,9}[.)])[ \t]+)*')}, 0)"
+    lines = (f"transform(split({text}, '\\r?\\n', -1), l -> if(contains(l, '\\t'),"
+             f" concat(replace({prefix}, '\\t', '    '), substring(l, length({prefix}) + 1)), l))")
+
+    # 1. which open containers go on, and what is left of the line
+    matched = (
+        "if(size(s.st) = 0, named_struct('r', x, 'n', 0, 'q', 0, 'go', true),"
+        " aggregate(s.st, named_struct('r', x, 'n', 0, 'q', 0, 'go', true), (a, c) -> case when not a.go then a"
+        f" when c.k = 'q' then if({_rx('a.r', _QUOTE)}, named_struct('r', regexp_replace(a.r, {_sql_str(_QUOTE)}, ''), 'n', a.n + 1, 'q', a.q + 1, 'go', true),"
+        " named_struct('r', a.r, 'n', a.n, 'q', a.q, 'go', false))"
+        " when trim(' \t', a.r) = '' then if(s.pe and a.n = size(s.st) - 1, named_struct('r', a.r, 'n', a.n, 'q', a.q, 'go', false),"
+        " named_struct('r', '', 'n', a.n + 1, 'q', a.q, 'go', true))"
+        f" when {_indent('a.r')} >= c.w then named_struct('r', substring(a.r, c.w + 1), 'n', a.n + 1, 'q', a.q, 'go', true)"
+        " else named_struct('r', a.r, 'n', a.n, 'q', a.q, 'go', false) end))")
+    # 2. containers that the line opens
+    width = ("case when trim(' \t', substring(a.r, g.m + 1)) = '' or g.sp >= 5 then g.m + 1 else g.m + g.sp end")
+    mark_len = f"length(regexp_extract(a.r, {_sql_str(r'^( {0,3}(?:[-*+]|[0-9]{1,9}[.)]))')}, 1))"
+    spaces = f"length(regexp_extract(a.r, {_sql_str(r'^ {0,3}(?:[-*+]|[0-9]{1,9}[.)])( *)')}, 1))"
+    item = let("g", struct_of(m=mark_len, sp=spaces), struct_of(
+        r=f"substring(a.r, {width} + 1)",
+        nw=f"concat(a.nw, array(named_struct('k', 'l', 'w', {width}, 't', substring(a.r, g.m, 1), 'lid', 0)))", go="true"))
+    opened = (
+        f"if(d.inf or d.inh or not {_rx('m.r', r'^ {0,3}(?:>|[-*+]([ \t]|$)|[0-9]{1,9}[.)]([ \t]|$))')},"
+        f" named_struct('r', m.r, 'nw', cast(array() as {_CONTAINER}), 'go', false),"
+        f" aggregate(sequence(1, greatest(1, length(regexp_extract(m.r, {_sql_str(_MARKERS)}, 0)))),"
+        f" named_struct('r', m.r, 'nw', cast(array() as {_CONTAINER}), 'go', true), (a, i) -> case when not a.go then a"
+        f" when {_rx('a.r', _QUOTE)} then named_struct('r', regexp_replace(a.r, {_sql_str(_QUOTE)}, ''),"
+        f" 'nw', concat(a.nw, array(named_struct('k', 'q', 'w', 0, 't', '', 'lid', 0))), 'go', true)"
+        f" when {_rx('a.r', _ITEM)} and not {_rx('a.r', _HR)} and not (size(a.nw) = 0 and d.al and s.para and {_rx('a.r', _NO_LATE_ITEM)}) then {item}"
+        " else named_struct('r', a.r, 'nw', a.nw, 'go', false) end))")
+    # 3. what the rest of the line is
+    html = "case when e.c0 != '<' or e.ind > 3 then ''" + "".join(
+        f" when {_rx('o.r', start)} then {_sql_str(end)}" for start, end in _HTML_KINDS) + \
+        f" when not (s.para and e.nn = 0) and {_rx('o.r', _HTML_COND_7)} then 'blank' else '' end"
+    leaf = struct_of(
+        fo=f"if(not e.inx and e.c0 in ('`', '~'), regexp_extract(o.r, {_sql_str(_FENCE)}, 1), '')",
+        hs=f"if(e.inx, '', {html})",
+        atx=f"(not e.inx and e.c0 = '#' and {_rx('o.r', _ATX)})",
+        setext=f"(e.cont and e.c0 in ('=', '-') and {_rx('o.r', _SETEXT)})",
+        hr=f"(not e.inx and e.c0 in ('-', '*', '_') and {_rx('o.r', _HR)})",
+        delim=(f"(e.cont and s.pl = 1 and s.pc > 0 and e.c0 in ('|', '-', ':') and contains(o.r, '|') and {_rx('o.r', _DELIM_ROW)}"
+               f" and {_cells('o.r')} = s.pc)"))
+    kind = (
+        "case when d.inf then if(e.cl, 'fence', 'code') when d.inh and not (s.h = 'blank' and e.blank) then 'html' when e.blank then 'blank'"
+        " when y.lazy then 'text' when f.fo != '' then 'fence' when y.ic then 'code' when f.hs != '' then 'html'"
+        " when s.tbl and d.al and e.nn = 0 and not f.atx and not f.hr then 'table_row' when f.delim then 'table_delim' when f.atx then 'heading'"
+        f" when f.setext then 'setext' when f.hr then 'hr' when e.c0 = '[' and not e.cont and {_rx('o.r', _FOOTDEF)} then 'footdef' else 'text' end")
+    again = "(size(s.st) > m.n and element_at(s.st, m.n + 1).k = 'l' and element_at(s.st, m.n + 1).t = c.t)"
+    stack = (
+        "case when y.lazy or (e.nn = 0 and d.al) then s.st else concat(if(m.n = 0, cast(array() as " + _CONTAINER + "), slice(s.st, 1, m.n)),"
+        " transform(o.nw, (c, j) -> named_struct('k', c.k, 'w', c.w, 't', c.t, 'lid', case when c.k = 'q' then 0"
+        f" when j = 0 and {again} then element_at(s.st, m.n + 1).lid else s.nl + 1 + j end))) end")
+    # a blank line between two items, or two blocks of one item, makes their list loose
+    loose = (
+        "case when not s.bl or e.blank or d.inf or d.inh or y.lazy or s.bq != m.q then 0"
+        " when e.nn > 0 and element_at(z.st, m.n + 1).k = 'l' and element_at(z.st, m.n + 1).lid <= s.nl then element_at(z.st, m.n + 1).lid"
+        " when m.n > 0 and element_at(s.st, m.n).k = 'l' then element_at(s.st, m.n).lid else 0 end")
+    record = struct_of(
+        b="o.r", kind="z.kind", q="cast(size(filter(z.st, c -> c.k = 'q')) as int)",
+        lid="if(size(z.st) > 0, element_at(z.st, -1).lid, 0)",
+        pre="if(size(z.st) = 0, '', aggregate(z.st, '', (a, c) -> concat(a, if(c.k = 'q', '> ', repeat(' ', c.w)))))",
+        it="(e.nn > 0 and element_at(o.nw, -1).k = 'l')", pc="(z.kind in ('text', 'setext') and (y.lazy or e.cont))",
+        info="case when z.kind = 'fence' and not d.inf then trim(' \t', substring(o.r, e.ind + length(f.fo) + 1)) when d.inf then s.info end",
+        fi="case when z.kind = 'fence' and not d.inf then e.ind else s.fi end",
+        fno="s.fno + if(z.kind = 'fence' and not d.inf, 1, 0)")
+    after = struct_of(
+        st="z.st", para="z.kind in ('text', 'footdef')", pl="case when z.kind not in ('text', 'footdef') then 0 when v.pc then s.pl + 1 else 1 end",
+        pc=f"if(z.kind = 'text' and contains(o.r, '|'), {_cells('o.r')}, 0)",
+        fc="case when z.kind = 'fence' and not d.inf then substring(f.fo, 1, 1) when d.inf and not e.cl then s.fc else '' end",
+        fl="if(z.kind = 'fence' and not d.inf, length(f.fo), s.fl)", fi="v.fi", fno="v.fno", info="v.info",
+        h=("case when d.inh then if(if(s.h = 'blank', e.blank, o.r rlike s.h), '', s.h)"
+           " when z.kind = 'html' then if(f.hs != 'blank' and o.r rlike f.hs, '', f.hs) else '' end"),
+        tbl="z.kind in ('table_delim', 'table_row')", bl="z.kind = 'blank' and e.nn = 0 and not d.inf", bq="m.q", pe="e.nn > 0 and e.blank",
+        nl="s.nl + e.nn", loose="if(z.lm > 0 and not array_contains(s.loose, z.lm), array_append(s.loose, z.lm), s.loose)",
+        full=f"if(size(s.cur) >= {_CHUNK}, array_append(s.full, s.cur), s.full)",
+        cur=f"if(size(s.cur) >= {_CHUNK}, array(v), array_append(s.cur, v))")
+    step = let("m", matched, let("d", struct_of(
+        al="m.n = size(s.st)", inf="s.fc != '' and m.n = size(s.st)", inh="s.h != '' and m.n = size(s.st)"),
+        let("o", opened, let("e", struct_of(
+            nn="size(o.nw)", ind=_indent("o.r"), c0="substring(ltrim(' \t', o.r), 1, 1)", blank="trim(' \t', o.r) = ''",
+            inx="d.inf or d.inh", cont="(s.para and d.al and size(o.nw) = 0)",
+            cl=(f"(d.inf and substring(ltrim(' ', o.r), 1, 1) = s.fc and {_indent('o.r')} <= 3"
+                " and length(trim(' \t', o.r)) >= s.fl and replace(trim(' \t', o.r), s.fc, '') = '')")),
+            let("f", leaf, let("y", struct_of(
+                lazy="(s.para and not d.al and e.nn = 0 and not e.blank and f.fo = '' and not f.atx and not f.hr and f.hs = '')",
+                ic="(not e.inx and not e.blank and e.ind >= 4 and not (s.para and e.nn = 0))"),
+                let("w", struct_of(kind=kind, st=stack), let("z", struct_of(kind="w.kind", st="w.st", lm=loose.replace("z.st", "w.st")),
+                    let("v", record, after)))))))))
+    start = struct_of(
+        st=f"cast(array() as {_CONTAINER})", para="false", pl="0", pc="0", fc="''", fl="0", fi="0", fno="0", info="cast(null as string)", h="''",
+        tbl="false", bl="false", bq="0", pe="false", nl="0", loose="cast(array() as array<int>)",
+        full=f"cast(array() as array<{_RECORD}>)", cur=f"cast(array() as {_RECORD})")
+    folded = f"aggregate({lines}, {start}, (s, x) -> {step}, s -> named_struct('ls', flatten(array_append(s.full, s.cur)), 'loose', s.loose))"
+    plain = ("named_struct('ls', transform(split({t}, '\\r?\\n', -1), (l, i) -> {rec}), 'loose', cast(array() as array<int>))").format(
+        t=text, rec=struct_of(
+            b="l", kind="if(trim(' \t', l) = '', 'blank', 'text')", q="0", lid="0", pre="''", it="false",
+            pc=f"(trim(' \t', l) != '' and i > 0 and trim(' \t', element_at(split({text}, '\\r?\\n', -1), i)) != '')",
+            info="cast(null as string)", fi="0", fno="0"))
+    plain = plain.replace(f"split({text}, '\\r?\\n', -1)", "p")
+    plain = let("p", f"split({text}, '\\r?\\n', -1)", plain)
+    return f"if({_rx(text, _STRUCTURE)}, {folded}, {plain})"
+
+
+def _definitions() -> str:
+    """SQL for (numbers of the lines that define links, their labels) from ``ls``:
+    definitions stand at the start of a paragraph and may take several lines."""
+    para = "kind in ('text', 'footdef')"
+    ends = (f"filter(sequence(0, size(ls) - 1), i -> element_at(ls, i + 1).{para} and"
+            " not coalesce(try_element_at(ls, i + 2).kind = 'text' and try_element_at(ls, i + 2).pc, false))")
+    starts = f"filter(sequence(0, size(ls) - 1), i -> element_at(ls, i + 1).{para} and not element_at(ls, i + 1).pc)"
+    found = f"filter(zip_with({starts}, {ends}, (a, z) -> named_struct('a', a, 'z', z)), p -> {_rx('ltrim(element_at(ls, p.a + 1).b)', r'^\[[^^\]]')})"
+    texts = (f"transform({found}, p -> named_struct('a', p.a, 'n', p.z - p.a + 1,"
+             " 't', array_join(transform(slice(ls, p.a + 1, p.z - p.a + 1), x -> ltrim(' \t', x.b)), '\\n')))")
+    cut = f"regexp_extract(p.t, {_sql_str('^(?:' + LINKDEF + ')+')}, 0)"
+    cuts = f"transform({texts}, p -> named_struct('a', p.a, 'n', p.n, 't', p.t, 'd', {cut}))"
+    used = "if(length(p.d) = length(p.t), p.n, length(p.d) - length(replace(p.d, '\\n', '')))"
+    none = "named_struct('no', cast(array() as array<int>), 'labels', cast(array() as array<string>))"
+    both = let("c", f"filter({cuts}, p -> p.d != '')", struct_of(
+        no=f"flatten(transform(c, p -> sequence(p.a, p.a + {used} - 1)))",
+        labels=f"array_distinct(flatten(transform(c, p -> transform(regexp_extract_all(p.d, {_sql_str(LINKDEF)}, 1), l -> {label_key('l')}))))"))
+    return f"if(exists(ls, x -> x.kind = 'text' and contains(x.b, ']:')), {both}, {none})"
 
 
 def block_lines(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
                 distribute: bool = True) -> DataFrame:
     """One row per source line with its block classification.
 
-    Output columns: key, line_no, line, fence_ind, info, fence_no, qdepth, body, ind, is_blank, in_list,
-    list_id, item_ind, loose, kind, level, content.
+    Output columns: key, line_no, body (the line behind its container marks),
+    kind, qdepth, prefix (what a further line in the same containers begins
+    with), list_id (of the item that directly holds the line, else 0), loose,
+    first and last (line of its paragraph), info, fence_ind, fence_no, level,
+    content, refs (the document's link labels, where the line may use one).
 
-    kind is one of: blank, fence, code, html, heading, setext, hr, item, text,
+    kind is one of: blank, fence, code, html, heading, setext, hr, text,
     footdef, linkdef, table_head, table_delim, table_row.
-
-    Written as Spark SQL expressions (one ``selectExpr`` per dependency
-    level): the same plan as the Column API, built with a handful of calls.
     """
     src = docs.select(key, text_col)
     if distribute:
         src = distribute_docs(src, key)
     k = f"`{key}`"
-    W = f"over (partition by {k} order by line_no"
-    RUN = f"{W} rows between unbounded preceding and current row)"
-    PREV = f"{W} rows between unbounded preceding and 1 preceding)"
-    NB = f"{W})"
-
-    def rx(chars, pat):
-        cs = ", ".join(_sql_str(c) for c in chars)
-        return f"(c0 in ({cs}) and body rlike {_sql_str(pat)})"
-
-    digits = list("0123456789")
-    facts, marks = _code_marks(text_col)
-    docs_ = src.selectExpr(k, f"{facts} as facts")
-    docs_ = docs_.selectExpr(k, "facts", f"{marks} as marks")
-    # marks travel as extra rows before their line; one running window carries
-    # the last one to every line, then they are dropped
-    rows = docs_.selectExpr(k, "inline(concat("
-        "transform(marks, m -> named_struct('line_no', m.n, 'o', 0, 'line', '', 'q', 0, 'b', '', 'mark', m)),"
-        " transform(facts, (x, i) -> named_struct('line_no', i, 'o', 1, 'line', x.line, 'q', x.q, 'b', x.b,"
-        " 'mark', cast(null as struct<n: int, k: string, w: int, info: string>)))))")
-    MW = f"over (partition by {k} order by line_no, o rows between unbounded preceding and current row)"
-    rows = rows.selectExpr("*", f"last(mark, true) {MW} as m", f"sum(case when mark.k = 'o' then 1 else 0 end) {MW} as fences")
-    lines = rows.filter("o = 1").selectExpr(
-        k, "line_no", "line", "q as qdepth", "b as body", "coalesce(m.k, '') as mk", "coalesce(m.n, -1) as mn",
-        "coalesce(m.w, 0) as fence_ind", "case when m.k = 'o' then m.info end as info", "cast(fences as int) as fence_no")
-    # Every block start is decided by the first non-blank character, so each
-    # block regex only runs on lines whose first character can start that
-    # block; plain prose lines pay one cheap test instead of a dozen scans.
-    lines = lines.selectExpr("*", "substring(ltrim(' \t', body), 1, 1) as c0",
-                             "length(body) - length(ltrim(body)) as ind")
-    lines = lines.selectExpr(
-        k, "line_no", "line", "qdepth", "body", "ind", "fence_ind", "info", "fence_no",
-        "c0 = '' as is_blank",
-        "(mk in ('o', 'c') and mn = line_no) as fence",
-        "(mk = 'o' and mn < line_no) as fodd",
-        "(mk = 'i' and c0 != '') as icode",
-        f"{rx(digits, _LATE_ITEM)} as late_item",
-        f"{rx(['#'], _ATX)} as atx",
-        f"{rx(['-', '*', '_'], _HR)} as hr0",
-        f"{rx(['=', '-'], _SETEXT)} as setext0",
-        f"{rx(['-', '*', '+'] + digits, _ITEM)} as item0",
-        f"({rx(['|', '-', ':'], _DELIM_ROW)} and contains(body, '|')) as delim0",
-        "contains(body, '|') as pipe",
-        f"({rx(['<'], _HTML_COND_1_5)} or {rx(['<'], _HTML_COND_6)}) as html_a",
-        f"{rx(['<'], _HTML_RAW)} as raw_start",
-        f"{rx(['<'], r'^ {0,3}<!--')} as cmt_start",
-        f"(contains(body, '</') and body rlike {_sql_str(_HTML_RAW_END)}) as raw_end",
-        "contains(body, '-->') as cmt_end",
-        f"{rx(['<'], _HTML_COND_7)} as html_b",
-        f"{rx(['['], _FOOTDEF)} as footdef",
-        f"{rx(['['], _LINKDEF)} as linkdef0",
-    )
-    # pass 1: neighbours
-    lines = lines.selectExpr(
-        "*",
-        f"lag(not is_blank and not item0 and not atx and not hr0 and not fence and ind < 2, 1, false) {NB} as prev_plain",
-        f"lag(is_blank, 1, true) {NB} as prev_blank",
-        f"lag(qdepth, 1, 0) {NB} as prev_q",
-        f"lead(delim0, 1, false) {NB} as next_delim",
-    )
-    lines = lines.selectExpr(
-        *[c for c in lines.columns if c != "item0"],
-        "(item0 and not fodd and not icode and not (late_item and prev_plain and qdepth = prev_q)) as item0",
-        "(fodd or fence or icode) as code_f", "((atx or hr0 or fence) and not fodd and not icode) as structural")
-    lines = lines.selectExpr(
-        "*",
-        # table header: pipes on this line, delimiter row on the next
-        "(not code_f and pipe and next_delim and not is_blank) as head",
-        "(not code_f and (html_a or (html_b and prev_blank))) as html_start",
-        "(is_blank or structural or html_a or qdepth != prev_q) as tbl_break",
-        "((not is_blank and not item0 and ind < 2 and prev_blank) or ((structural or html_a) and ind < 2)"
-        " or qdepth != prev_q) as list_break",
-    )
-    lines = lines.selectExpr(
-        "*",
-        f"last(case when head then line_no end, true) {RUN} as last_head",
-        f"last(case when tbl_break then line_no end, true) {RUN} as last_tbrk",
-        f"last(case when html_start then line_no end, true) {RUN} as last_html",
-        f"last(case when is_blank then line_no end, true) {RUN} as last_blank",
-        # raw-text and comment HTML blocks run to their closing marker, across
-        # blank lines: open while no marker was seen since the start
-        f"last(case when raw_start and not code_f then line_no end, true) {RUN} as last_raw",
-        f"last(case when raw_end then line_no end, true) {PREV} as last_raw_end_p",
-        f"last(case when cmt_start and not code_f then line_no end, true) {RUN} as last_cmt",
-        f"last(case when cmt_end then line_no end, true) {PREV} as last_cmt_end_p",
-        f"last(case when item0 and not code_f and not hr0 then line_no end, true) {RUN} as last_item",
-        f"last(case when list_break then line_no end, true) {RUN} as last_lbrk",
-        # the same two, one row earlier: the previous line's list membership
-        # without another window operator over every line
-        f"last(case when item0 and not code_f and not hr0 then line_no end, true) {PREV} as last_item_p",
-        f"last(case when list_break then line_no end, true) {PREV} as last_lbrk_p",
-    )
-    lines = lines.selectExpr(
-        "*",
-        "(last_head is not null and (last_tbrk is null or last_head > last_tbrk)) as in_table",
-        "(not code_f and ((last_html is not null and (last_blank is null or last_html > last_blank))"
-        " or (last_raw is not null and (last_raw_end_p is null or last_raw_end_p < last_raw))"
-        " or (last_cmt is not null and (last_cmt_end_p is null or last_cmt_end_p < last_cmt)))) as in_html",
-        "(last_item is not null and (last_lbrk is null or last_item >= last_lbrk)) as in_list",
-        "(last_item_p is not null and (last_lbrk_p is null or last_item_p >= last_lbrk_p)) as in_list_prev",
-    )
-    # pass 2: list identity and looseness, setext underlines
-    lines = lines.selectExpr(
-        "*",
-        f"lag(not is_blank and not code_f and not in_html and not in_table and not atx and not hr0, 1, false) {NB}"
-        " as prev_para",
-        # a new list also begins where the quote depth changes
-        f"sum(cast(in_list and (not in_list_prev or (item0 and qdepth != prev_q)) as int)) {RUN} as list_id",
-        # a list is loose when a blank line separates its content: some list
-        # line other than its first directly follows a blank line (running
-        # frames only; a frame over all following rows would be quadratic)
-        "(in_list and not is_blank and prev_blank and in_list_prev) as inner_blank",
-    )
-    LW = f"over (partition by {k}, list_id order by line_no"
-    item_w = _sql_str(r"^( {0,3}([-*+]|[0-9]{1,9}[.)])[ \t]*)")
-    lines = lines.selectExpr(
-        "*",
-        f"max(case when in_list then cast(inner_blank as int) end) {LW}"
-        " rows between unbounded preceding and unbounded following) as loose_i",
-        # marker width of the current list item: where its continuation text starts
-        f"case when in_list then last(case when item0 then length(regexp_extract(body, {item_w}, 1)) end, true)"
-        f" {LW} rows between unbounded preceding and current row) end as item_ind",
-    )
-    kind = (
-        "case when fence then 'fence' when fodd or icode then 'code' when is_blank then 'blank'"
-        " when in_html then 'html' when head then 'table_head'"
-        " when in_table and line_no = last_head + 1 then 'table_delim' when in_table then 'table_row'"
-        " when atx then 'heading'"
-        " when setext0 and prev_para and not in_list and qdepth = prev_q then 'setext'"
-        " when hr0 then 'hr' when item0 then 'item' when footdef then 'footdef'"
-        " when linkdef0 and (prev_blank or not prev_para) then 'linkdef' else 'text' end"
-    )
-    lines = lines.selectExpr(
-        k, "line_no", "line", "fence_ind", "info", "fence_no", "qdepth", "body", "ind", "is_blank", "in_list", "list_id", "cast(item_ind as int) as item_ind",
-        "coalesce(loose_i, 0) = 1 as loose", f"{kind} as kind")
+    folded = src.selectExpr(k, f"{_fold(f'`{text_col}`')} as f").selectExpr(k, "f.ls as ls", "f.loose as loose_ids")
+    folded = folded.selectExpr(k, "ls", "loose_ids", f"{_definitions()} as defs")
+    nxt = "try_element_at(ls, i + 2)"
+    is_def = "(size(defs.no) > 0 and array_contains(defs.no, {}))"
+    rows = (
+        "inline(transform(ls, (x, i) -> " + struct_of(
+            line_no="i", body="x.b", qdepth="x.q", prefix="x.pre", list_id="x.lid", it="x.it",
+            loose="(x.lid > 0 and array_contains(loose_ids, x.lid))",
+            first=f"(not x.pc or {is_def.format('i - 1')})", last=f"not coalesce({nxt}.kind in ('text', 'setext') and {nxt}.pc, false)",
+            kind=(f"case when x.kind = 'text' and {nxt}.kind = 'table_delim' then 'table_head' when x.kind = 'text' and {is_def.format('i')}"
+                  " then 'linkdef' else x.kind end"),
+            info="x.info", fence_ind="x.fi", fence_no="x.fno", refs="if(size(defs.labels) > 0 and contains(x.b, '['), defs.labels, null)") + "))")
+    lines = folded.selectExpr(k, rows)
     heading_text = (
         f"regexp_replace(regexp_replace(regexp_replace(body, {_sql_str(r'^ {0,3}#{1,6}[ \t]*')}, ''),"
         f" {_sql_str(r'[ \t]*\{[^{}]*\}[ \t]*$')}, ''), {_sql_str(r'(^|[ \t]+)#+[ \t]*$')}, '')")
-    item_text = (
-        f"regexp_replace(regexp_replace(body, {_sql_str(r'^ {0,3}([-*+]|[0-9]{1,9}[.)])[ \t]*')}, ''),"
-        f" {_sql_str(r'^\[[ xX]\][ \t]+')}, '')")
+    item_text = f"if(it, regexp_replace(body, {_sql_str(r'^[ \t]*\[[ xX]\][ \t]+')}, ''), body)"
     footdef_text = f"regexp_replace(body, {_sql_str(r'^ {0,3}\[\^[^\]]+\]:[ \t]*')}, '')"
-    content = (f"case when kind = 'heading' then {heading_text} when kind = 'item' then {item_text}"
-               f" when kind = 'footdef' then {footdef_text} when kind = 'text' then body end")
+    content = (f"case when kind = 'heading' then {heading_text} when kind = 'footdef' then {footdef_text}"
+               f" when kind = 'text' then {item_text} end")
     level = ("case when kind = 'heading' then length(regexp_extract(body, '^ {0,3}(#{1,6})', 1))"
              " when kind = 'setext' then (case when contains(body, '=') then 1 else 2 end) else 0 end")
-    return lines.selectExpr(
-        "*", f"{level} as level",
-        f"regexp_replace(regexp_replace({content}, '^[ \\t]+', ''), '[ \\t]+$', '') as content")
+    return lines.selectExpr("*", f"{level} as level", f"trim(' \t', {content}) as content").drop("it")

@@ -30,7 +30,7 @@ def code_blocks(docs: DataFrame, key: str = "doc_id", text_col: str = "text") ->
     lines = block_lines(docs, key, text_col).filter("info is not null and kind in ('fence', 'code')")
     g = lines.groupBy(key, "fence_no").agg(
         F.min("info").alias("info"),
-        F.expr("array_sort(collect_list(case when kind = 'code' then struct(line_no, concat(case when ind >= fence_ind"
+        F.expr("array_sort(collect_list(case when kind = 'code' then struct(line_no, concat(case when left(body, fence_ind) = repeat(' ', fence_ind)"
                " then substring(body, fence_ind + 1) else ltrim(' \t', body) end, '\n') as code_line) end))").alias("ls"))
     code = F.array_join(F.transform("ls", lambda x: x["code_line"]), "")
     return g.select(key, (F.col("fence_no") - 1).cast("int").alias("block_no"),

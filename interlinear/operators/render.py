@@ -17,15 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from interlinear.functions import text as T
 from interlinear.operators.blocks import distribute_docs
 from interlinear.session import use_document_partitioning
 
 
-def _prefix(qdepth, item_ind):
-    quote = F.when(qdepth > 0, F.concat(F.repeat(F.lit(">"), qdepth), F.lit(" "))).otherwise(F.lit(""))
-    return F.concat(quote, F.repeat(F.lit(" "), F.coalesce(item_ind, F.lit(0))))
-
-
 def line_inserts(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per source line: rendered lines to append, cell translations, and how
     many of the line's segments lost their translation to a failed batch."""
@@ -35,35 +31,54 @@ def line_inserts(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
     if "reason" not in a.columns:
         a = a.withColumn("reason", F.lit(None).cast("string"))
     has = F.col("translation").isNotNull()
-    pre = _prefix(F.col("qdepth"), F.col("item_ind"))
-    blank = F.when(F.col("qdepth") > 0, F.repeat(F.lit(">"), F.col("qdepth"))).otherwise(F.lit(""))
+    pre, blank = F.col("prefix"), F.rtrim("prefix")
     head = F.concat(pre, F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("translation"))
     body = F.concat(pre, F.col("translation"))
     add = (F.when(~has | (F.col("kind") == "cell"), F.array().cast("array<string>"))
            .when(F.col("kind") == "heading", F.array(blank, head)).otherwise(F.array(blank, body)))
     return a.groupBy(key, F.col("block_no").alias("line_no")).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", add.alias("add")))), lambda x: x["add"])).alias("add"),
-        F.map_from_entries(F.collect_list(F.when((F.col("kind") == "cell") & has, F.struct("sub", "translation")))).alias("cells"),
+        F.array_sort(F.collect_list(F.when((F.col("kind") == "cell") & has, F.struct("sub", "piece", "src", "translation")))).alias("cells"),
         F.count(F.lit(1)).alias("n_seg"),
         F.sum(F.when(F.col("batch_ok"), 0).otherwise(1)).alias("n_failed"),
         F.max("reason").alias("reason"),
     )
 
 
-def _cell_text(c):
-    """A translation as table cell text: pipes escaped, line breaks to spaces."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?<!\\)\|", r"\\|"), r"\r?\n", " ")
+# markup of a cell that is no text: escapes' backslashes, code, tags, link destinations
+_NO_TEXT = rf"\\(?=[!-/:-@\[-`{{-~])|{T.CODE_SPAN}|{T.TAG}|(?<=\]){T.DEST}"
+
+
+def _with_pieces(cell, own):
+    """A cell with a TAB and the translation behind each piece of its text. The
+    pieces are found one after the other, in a copy whose other markup is blanked."""
+    cell = F.replace(cell, F.lit("\\|"), F.lit("|"))
+    masked = F.array_join(F.zip_with(F.split(cell, _NO_TEXT, -1), F.regexp_extract_all(cell, F.lit(_NO_TEXT), F.lit(0)), lambda p, m: F.concat(
+        F.coalesce(p, F.lit("")), F.coalesce(F.repeat(F.lit(T.CARRY), F.char_length(m)), F.lit("")))), "")
+
+    def put(s, c):
+        at = F.call_function("locate", c["src"], s["masked"], s["at"] + 1)
+        end = F.when(at == 0, s["at"]).otherwise(at + F.char_length(c["src"]) - 1)
+        return F.struct(s["cell"].alias("cell"), s["masked"].alias("masked"), end.cast("int").alias("at"), F.concat(
+            s["out"], F.substring(s["cell"], s["at"] + 1, end - s["at"]), F.lit("\t"), F.regexp_replace(c["translation"], r"\r?\n", " ")).alias("out"))
+
+    start = F.struct(cell.alias("cell"), masked.alias("masked"), F.lit(0).alias("at"), F.lit("").alias("out"))
+    built = F.aggregate(own, start, put, lambda s: F.concat(s["out"], F.substring(s["cell"], s["at"] + 1, F.char_length(s["cell"]))))
+    return F.regexp_replace(built, r"(?<!\\)\|", r"\\|")
 
 
 def _rebuild_row(line, cells):
     """The row's cells (split on unescaped pipes) with translations."""
     inner = F.regexp_replace(F.regexp_replace(line, r"^[ \t]*(>[ ]?)*[ \t]*\|", ""), r"(?<!\\)\|[ \t]*$", "")
     parts = F.split(inner, r"(?<!\\)\|", -1)
-    rebuilt = F.transform(parts, lambda c, i: F.concat(
-        F.regexp_replace(c, r"^[ \t]+|[ \t]+$", ""),
-        F.coalesce(F.concat(F.lit("\t"), _cell_text(F.element_at(cells, i + 1))), F.lit(""))))
+
+    def one(c, i):
+        bare = F.regexp_replace(c, r"^[ \t]+|[ \t]+$", "")
+        own = F.filter(cells, lambda x: x["sub"] == i + 1)
+        return F.when(F.size(own) == 0, bare).otherwise(_with_pieces(bare, own))
+
     qp = F.regexp_extract(line, r"^((?: {0,3}>[ ]?)*)", 1)
-    return F.concat(qp, F.lit("|"), F.array_join(rebuilt, "|"), F.lit("|"))
+    return F.concat(qp, F.lit("|"), F.array_join(F.transform(parts, one), "|"), F.lit("|"))
 
 
 def render(docs: DataFrame, aligned: DataFrame, key: str = "doc_id", text_col: str = "text",
@@ -81,7 +96,7 @@ def render(docs: DataFrame, aligned: DataFrame, key: str = "doc_id", text_col: s
     ins = line_inserts(aligned, key)
     # both sides grow with the corpus: never broadcast, co-partitioned merge join
     j = lines.join(ins.hint("merge"), [key, "line_no"], "left")
-    has_cells = F.col("cells").isNotNull() & (F.size(F.map_keys("cells")) > 0)
+    has_cells = F.col("cells").isNotNull() & (F.size("cells") > 0)
     first = F.when(has_cells, _rebuild_row(F.col("line"), F.col("cells"))).otherwise(F.col("line"))
     out = F.concat(F.array(first), F.coalesce(F.col("add"), F.array().cast("array<string>")))
     per_line = j.select(key, "line_no", out.alias("out"), "n_seg", "n_failed", "reason")
