@@ -60,6 +60,32 @@ def struct_of(**fields: str) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
+def fold(xs: str, start: dict[str, str], out: str, step: str, finish: str = "s.cur") -> str:
+    """Left fold of ``step`` over the array ``xs``, whose state has the fields of
+    ``start`` and the list ``cur`` of output records (type ``out``).
+
+    ``step`` sees the state ``s`` and the element ``x`` and gives the next state;
+    ``finish`` sees the last one, ``cur`` holding all records. Spark copies the
+    whole state after each step, so the list is kept short: the fold runs over
+    pieces of pieces of 64 elements and a piece's records leave the inner state
+    at its end. A piece's steps cost the same however long the array is.
+    """
+    empty = f"cast(array() as array<{out}>)"
+    fields = lambda s: ", ".join(f"'{f}', {s}.{f}" for f in start)
+
+    def level(n: int, chunk: str, state: str) -> str:
+        if n == 0:
+            return f"aggregate({chunk}, named_struct({fields(state)}, 'cur', {empty}), (s, x) -> {step}, s -> s)"
+        size, c = 64 ** n, f"c{n}"
+        parts = f"transform(sequence(0, greatest(0, size({chunk}) - 1) div {size}), k{n} -> slice({chunk}, cast(k{n} * {size} + 1 as int), {size}))"
+        inner = let(f"r{n}", level(n - 1, c, f"s{n}"), f"named_struct({fields(f'r{n}')}, 'full', array_append(s{n}.full, r{n}.cur))")
+        return (f"aggregate({parts}, named_struct({fields(state)}, 'full', cast(array() as array<array<{out}>>)), (s{n}, {c}) -> {inner},"
+                f" s{n} -> named_struct({fields(f's{n}')}, 'cur', flatten(s{n}.full)))")
+
+    return let("x0", f"named_struct('a', {xs}, {', '.join(f"'{k}', {v}" for k, v in start.items())})",
+               let("s", level(2, "x0.a", "x0"), finish))
+
+
 # --- Markdown inline text -------------------------------------------------
 # Private-use characters stand for pieces that no rule may touch (open, number,
 # close; a source character equal to ``open`` becomes open + own), for the ends
@@ -87,7 +113,6 @@ def _nested(open_: str, close: str, plain: str, depth: int) -> str:
 # CommonMark bounds nested parentheses of a link destination at 32 levels.
 DEST = r"\(\s*+(?:<[^<>\n]*>|" + _nested(r"\(", r"\)", r"[^()\s]", 32) + r")(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)"
 _BRACKET = rf"!?\[|\](?=({DEST})?)(?=(\[[^\[\]]{{0,999}}\])?)|{CARRY}"
-_CHUNK = 256
 
 
 def label_key(x: str) -> str:
@@ -138,27 +163,19 @@ def _restored(x: str, kept: str) -> str:
             f" ''), {sql_str(_OPEN + _OWN)}, {sql_str(_OPEN)})")
 
 
-def _append(s: str, item: str) -> dict[str, str]:
-    """Fields ``full`` and ``cur`` of state ``s`` with one record more: records go
-    to chunks, so n of them copy about n * sqrt(n) references."""
-    return {"full": f"if(size({s}.cur) >= {_CHUNK}, array_append({s}.full, {s}.cur), {s}.full)",
-            "cur": f"if(size({s}.cur) >= {_CHUNK}, {item}, concat({s}.cur, {item}))"}
-
-
 def _links(t: str, refs: str, kept: str) -> str:
     """Brackets to links: one fold over the brackets with a stack of the open
     ones. A closing bracket makes a link if a destination follows, or a label
     (or its own text, where none follows) that the document defines. Link ends
     become marks and what follows the text of a link is dropped."""
-    b, rec = sql_str(_BRACKET), "array<struct<j: int, act: int, cut: int>>"
+    b, rec = sql_str(_BRACKET), "struct<j: int, act: int, cut: int>"
     marks = (f"zip_with(regexp_extract_all({t}, {b}, 0), zip_with(regexp_extract_all({t}, {b}, 1), regexp_extract_all({t}, {b}, 2),"
              " (d, l) -> named_struct('d', d, 'l', l)), (m, x) -> named_struct('m', m, 'd', x.d, 'l', x.l))")
     r = lambda j, act, cut="0": f"named_struct('j', {j}, 'act', {act}, 'cut', {cut})"
     piece = "length(element_at(ps, x.j + 2))"  # the text behind mark j (from 0)
     top = "element_at(s.bs, -1)"
     inner = (f"array_join(zip_with(slice(ps, {top}.j + 2, x.j - {top}.j), slice(ms, {top}.j + 2, x.j - {top}.j),"
-             " (p, m) -> concat(p, m.m)), '')")
-    own = f"substring({inner}, 1, length({inner}) - 1)"  # without the closing bracket itself
+             " (p, m) -> concat(p, m.m)), '')")  # and the closing bracket itself
     own = let("n", inner, "substring(n, 1, length(n) - 1)")
     own = f"if(x.j - {top}.j > 999, '', {let('n', own, f'if(contains(n, {sql_str(_OPEN)}), {_restored('n', kept)}, n)')})"
     defined = lambda x: f"array_contains({refs}, {label_key(x)})"
@@ -168,8 +185,7 @@ def _links(t: str, refs: str, kept: str) -> str:
              f" when {defined('substring(x.m.l, 2, length(x.m.l) - 2)')} then length(x.m.l) else -1 end")
 
     def state(bs="s.bs", dead="s.dead", skip="0", new=None):
-        add = _append("s", new) if new else {"full": "s.full", "cur": "s.cur"}
-        return struct_of(bs=bs, dead=dead, skip=skip, **add)
+        return struct_of(bs=bs, dead=dead, skip=skip, cur=f"concat(s.cur, {new})" if new else "s.cur")
 
     pop = "slice(s.bs, 1, size(s.bs) - 1)"
     literal = state(bs=pop, dead="least(s.dead, size(s.bs) - 1)", new=f"array({r(f'{top}.j', 0)}, {r('x.j', 0)})")
@@ -182,9 +198,9 @@ def _links(t: str, refs: str, kept: str) -> str:
         f" when size(s.bs) = 0 then {state(new=f'array({r('x.j', 0)})')}"
         f" when not {top}.img and size(s.bs) <= s.dead then {literal}"
         f" else {let('k', found, f'if(k < 0, {literal}, {linked})')} end")
-    start = struct_of(bs="cast(array() as array<struct<j: int, img: boolean>>)", dead="0", skip="0",
-                      full=f"cast(array() as array<{rec}>)", cur=f"cast(array() as {rec})")
-    ends = f"aggregate(transform(ms, (m, j) -> named_struct('j', j, 'm', m)), {start}, (s, x) -> {step}, s -> array_sort(concat(flatten(array_append(s.full, s.cur)), transform(s.bs, e -> {r('e.j', 0)}))))"
+    start = {"bs": "cast(array() as array<struct<j: int, img: boolean>>)", "dead": "0", "skip": "0"}
+    ends = fold("transform(ms, (m, j) -> named_struct('j', j, 'm', m))", start, rec, step,
+                f"array_sort(concat(s.cur, transform(s.bs, e -> {r('e.j', 0)})))")
     built = ("array_join(transform(ps, (p, j) -> concat(if(j = 0, p, substring(p, element_at(rs, j).cut + 1)), if(j >= size(ms), '',"
              f" case element_at(rs, j + 1).act when 0 then element_at(ms, j + 1).m when 1 then {sql_str(_LINK)} when 2 then {sql_str(_LINKED)} else '' end))), '')")
     return let("ps", f"split({t}, {b}, -1)", let("ms", marks, let("rs", ends, built)))
@@ -227,7 +243,7 @@ def _emphasis(t: str) -> str:
     final = lambda n: f"named_struct('j', x.j, 'n', {n})"
 
     def state(st, new, fl="s.fl"):
-        return struct_of(st=st, fl=fl, **_append("s", new))
+        return struct_of(st=st, fl=fl, cur=f"concat(s.cur, {new})")
 
     end_link = f"transform(slice(s.st, {floor} + 1, size(s.st)), e -> {lit('e')})"
     step = (
@@ -237,8 +253,8 @@ def _emphasis(t: str) -> str:
         " else " + let("r", closed, state(
             f"if({opens}, array_append(r.st, named_struct('j', x.j, 'c', x.c, 'n', r.rem, 'orig', x.n, 'both', x.o and x.cl)), r.st)",
             f"concat(r.out, if({opens}, cast(array() as {rec}), array({final('r.rem')})))")) + " end")
-    start = struct_of(st=f"cast(array() as {run})", fl="cast(array() as array<int>)", full=f"cast(array() as array<{rec}>)", cur=f"cast(array() as {rec})")
-    left = f"aggregate(rs, {start}, (s, x) -> {step}, s -> array_sort(concat(flatten(array_append(s.full, s.cur)), transform(s.st, e -> {lit('e')}))))"
+    start = {"st": f"cast(array() as {run})", "fl": "cast(array() as array<int>)"}
+    left = fold("rs", start, "struct<j: int, n: int>", step, f"array_sort(concat(s.cur, transform(s.st, e -> {lit('e')})))")
     built = ("array_join(transform(ps, (p, j) -> if(j >= size(ds), p, concat(p, if(element_at(os, j + 1).n > 0,"
              f" repeat(left(element_at(ds, j + 1), 1), element_at(os, j + 1).n), if(left(element_at(ds, j + 1), 1) in ({sql_str(_LINK)}, {sql_str(_LINKED)}),"
              f" element_at(ds, j + 1), {sql_str(_GONE)}))))), '')")

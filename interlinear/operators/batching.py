@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from interlinear.functions.text import fold, let
 from interlinear.operators.segments import whole_text
 
 
@@ -26,13 +27,10 @@ def _unit_len(unit_col):
     return F.when(unit_col == "bytes", F.col("n_bytes")).otherwise(F.col("n_chars"))
 
 
-GREEDY_SQL = (
-    "aggregate({lens}, named_struct('acc', cast(-1 as bigint), 'starts', cast(array() as array<int>)),"
-    " (s, x) -> named_struct("
-    "'acc', case when s.acc < 0 or s.acc + x.n > {lim} then x.n else s.acc + x.n end,"
-    "'starts', case when s.acc < 0 or s.acc + x.n > {lim} then array_append(s.starts, x.seg_no) else s.starts end"
-    ")).starts"
-)
+# the number of every segment's batch; the state is two numbers
+GREEDY_SQL = fold("{lens}", {"acc": "cast(-1 as bigint)", "b": "-1"}, "int", let(
+    "nb", "if(s.acc < 0 or s.acc + x > {lim}, s.b + 1, s.b)",
+    "named_struct('acc', if(nb > s.b, x, s.acc + x), 'b', nb, 'cur', array_append(s.cur, nb))"))
 
 
 def _gather(segs: DataFrame, keys: list[str]):
@@ -48,19 +46,11 @@ def _number(gathered: DataFrame, keys: list[str], cols: list[str], row_type: str
             limit_col: str, unit_col: str) -> DataFrame:
     """Fold each gathered row into batch openings and number its segments."""
     kl = [f"`{c}`" for c in keys + [limit_col, unit_col]]
-    kk = ", ".join(kl)
-    lens = (f"transform(segs, x -> named_struct('seg_no', x.seg_no, 'n',"
-            f" case when `{unit_col}` = 'bytes' then x.n_bytes else x.n_chars end))")
-    starts = (f"case when `{limit_col}` <= 0 then transform(segs, x -> x.seg_no) else "  # every segment opens a batch
-              + GREEDY_SQL.format(lens=lens, lim=f"`{limit_col}`") + " end")
-    both = gathered.selectExpr(
-        *kl, f"explode(concat("
-             f"transform({starts}, (s, i) -> named_struct('seg_no', s, 'o', 0, 'b', i, 'r', cast(null as {row_type}))),"
-             f"transform(segs, x -> named_struct('seg_no', x.seg_no, 'o', 1, 'b', cast(null as int), 'r', x)))) as e")
-    both = both.selectExpr(
-        "*", f"cast(last(e.b, true) over (partition by {kk} order by e.seg_no, e.o"
-             " rows between unbounded preceding and current row) as int) as batch_no")
-    return both.filter("e.o = 1").selectExpr(*kl, *[f"e.r.`{c}` as `{c}`" for c in cols], "batch_no")
+    lens = f"transform(segs, x -> case when `{unit_col}` = 'bytes' then x.n_bytes else x.n_chars end)"
+    numbers = (f"case when `{limit_col}` <= 0 then transform(segs, (x, i) -> i) else "  # every segment opens a batch
+               + GREEDY_SQL.format(lens=lens, lim=f"`{limit_col}`") + " end")
+    both = gathered.selectExpr(*kl, f"inline(zip_with(segs, {numbers}, (r, b) -> named_struct('r', r, 'batch_no', b)))")
+    return both.selectExpr(*kl, *[f"r.`{c}` as `{c}`" for c in cols], "batch_no")
 
 
 def assign_batches(segs: DataFrame, key: str = "doc_id", extra_keys: list[str] | None = None,
@@ -129,7 +119,7 @@ def batch_text(batched: DataFrame, key: str = "doc_id", extra_keys: list[str] |
     present = set(batched.columns)
     meta = [c for c in ("block_no", "sub", "piece", "kind", "level", "qdepth", "prefix", "src") if c in present]
     g = batched.groupBy(*keys, "limit_unit", "limit_value", "batch_no").agg(
-        F.expr(f"array_sort(collect_list(struct(seg_no, text{''.join(', ' + c for c in meta)})))").alias("parts"),
+        F.expr(f"array_sort(collect_list(struct(seg_no, text, n_bytes, n_chars{''.join(', ' + c for c in meta)})))").alias("parts"),
         F.expr("min(seg_no)").alias("first_seg"),
         F.expr("max(seg_no)").alias("last_seg"),
         F.expr("count(1)").alias("n_segments"),
@@ -160,11 +150,9 @@ def _batch_rows(segs: DataFrame, limits, key: str) -> DataFrame:
     meta = [c for c in ("block_no", "sub", "piece", "kind", "level", "qdepth", "prefix", "src") if c in segs.columns]
     gathered = segs.filter("not is_tail").groupBy(key).agg(F.expr(
         f"array_sort(collect_list(struct(seg_no, text, n_bytes, n_chars{''.join(', ' + c for c in meta)})))").alias("segs"))
-    lens = {u: f"transform(segs, (x, i) -> named_struct('seg_no', i, 'n', x.n_{u}))" for u in ("bytes", "chars")}
-    gathered = gathered.selectExpr(k, "segs", f"{lens['bytes']} as lens_bytes", f"{lens['chars']} as lens_chars")
-    starts = ("case when p.limit_value <= 0 then sequence(0, size(segs) - 1) else "
-              + GREEDY_SQL.format(lens="(case when p.limit_unit = 'bytes' then lens_bytes else lens_chars end)", lim="p.limit_value")
-              + " end")
+    numbers = GREEDY_SQL.format(lens="transform(segs, x -> if(p.limit_unit = 'bytes', x.n_bytes, x.n_chars))", lim="p.limit_value")
+    firsts = let("b", numbers, "filter(sequence(0, size(b) - 1), i -> i = 0 or element_at(b, i + 1) > element_at(b, greatest(i, 1)))")
+    starts = f"case when p.limit_value <= 0 then sequence(0, size(segs) - 1) else {firsts} end"
     cut = (f"flatten(transform(transform({_limits_sql(limits)}, p -> named_struct('p', p, 's', {starts})),"
            " y -> transform(y.s, (f, i) -> named_struct('p', y.p, 'b', i, 'parts',"
            " slice(segs, f + 1, coalesce(try_element_at(y.s, i + 2), size(segs)) - f)))))")
@@ -219,7 +207,7 @@ def plan_summary(batches: DataFrame, providers: DataFrame, group_cols: list[str]
     ``rollup`` over a pre-aggregated input: the partial aggregation runs
     map-side, so even a hot group ships one row per task.
     """
-    q = F.broadcast(providers.select("provider", "qps"))
+    q = providers.select("provider", "qps")  # of any size: the planner knows it
     units = F.when(F.col("limit_unit") == "bytes", F.col("n_bytes")).otherwise(F.col("n_chars"))
     b = batches.withColumn("units", units)
     agg = b.rollup("provider", *group_cols).agg(

@@ -8,16 +8,14 @@ lines and code in containers need no window: the line explode is narrow, and
 the corpus is hash-distributed on the document key once (``distribute_docs``)
 for the island grouping that follows.
 
-The fold appends its line records to chunks, so a document of n lines copies
-about n * sqrt(n) references instead of n * n. Documents without any line that
-could start a block but a paragraph skip it.
+Documents without any line that could start a block but a paragraph skip it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from interlinear.functions.text import label_key, let, sql_str as _sql_str, struct_of
+from interlinear.functions.text import fold, label_key, let, sql_str as _sql_str, struct_of
 
 # CommonMark HTML block start condition 6 tag names.
 HTML_BLOCK_TAGS = (
@@ -60,9 +58,7 @@ LINKDEF = (r"\[(?=[^\]]*[^\]\s])((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*+\n?[ \t]*+(?
            r"(?:(?:[ \t]++\n?[ \t]*+|\n[ \t]*+)(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*+(?:\n|$)")
 
 _CONTAINER = "array<struct<k: string, w: int, t: string, lid: int>>"
-_RECORD = ("array<struct<b: string, kind: string, q: int, lid: int, pre: string, it: boolean, pc: boolean,"
-           " info: string, fi: int, fno: int>>")
-_CHUNK = 256
+_RECORD = "struct<o: int, kind: string, q: int, lid: int, lm: int, pre: string, it: boolean, pc: boolean, info: string, fi: int, fno: int>"
 
 
 def distribute_docs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -148,8 +144,8 @@ def _fold(text: str) -> str:
         " when e.nn > 0 and element_at(z.st, m.n + 1).k = 'l' and element_at(z.st, m.n + 1).lid <= s.nl then element_at(z.st, m.n + 1).lid"
         " when m.n > 0 and element_at(s.st, m.n).k = 'l' then element_at(s.st, m.n).lid else 0 end")
     record = struct_of(
-        b="o.r", kind="z.kind", q="cast(size(filter(z.st, c -> c.k = 'q')) as int)",
-        lid="if(size(z.st) > 0, element_at(z.st, -1).lid, 0)",
+        o="length(x) - length(o.r)", kind="z.kind", q="cast(size(filter(z.st, c -> c.k = 'q')) as int)",
+        lid="if(size(z.st) > 0, element_at(z.st, -1).lid, 0)", lm="z.lm",
         pre="if(size(z.st) = 0, '', aggregate(z.st, '', (a, c) -> concat(a, if(c.k = 'q', '> ', repeat(' ', c.w)))))",
         it="(e.nn > 0 and element_at(o.nw, -1).k = 'l')", pc="(z.kind in ('text', 'setext') and (y.lazy or e.cont))",
         info="case when z.kind = 'fence' and not d.inf then trim(' \t', substring(o.r, e.ind + length(f.fo) + 1)) when d.inf then s.info end",
@@ -163,9 +159,7 @@ def _fold(text: str) -> str:
         h=("case when d.inh then if(if(s.h = 'blank', e.blank, o.r rlike s.h), '', s.h)"
            " when z.kind = 'html' then if(f.hs != 'blank' and o.r rlike f.hs, '', f.hs) else '' end"),
         tbl="z.kind in ('table_delim', 'table_row')", bl="z.kind = 'blank' and e.nn = 0 and not d.inf", bq="m.q", pe="e.nn > 0 and e.blank",
-        nl="s.nl + e.nn", loose="if(z.lm > 0 and not array_contains(s.loose, z.lm), array_append(s.loose, z.lm), s.loose)",
-        full=f"if(size(s.cur) >= {_CHUNK}, array_append(s.full, s.cur), s.full)",
-        cur=f"if(size(s.cur) >= {_CHUNK}, array(v), array_append(s.cur, v))")
+        nl="s.nl + e.nn", cur="array_append(s.cur, v)")
     step = let("m", matched, let("d", struct_of(
         al="m.n = size(s.st)", inf="s.fc != '' and m.n = size(s.st)", inh="s.h != '' and m.n = size(s.st)"),
         let("o", opened, let("e", struct_of(
@@ -178,11 +172,13 @@ def _fold(text: str) -> str:
                 ic="(not e.inx and not e.blank and e.ind >= 4 and not (s.para and e.nn = 0))"),
                 let("w", struct_of(kind=kind, st=stack), let("z", struct_of(kind="w.kind", st="w.st", lm=loose.replace("z.st", "w.st")),
                     let("v", record, after)))))))))
-    start = struct_of(
+    start = dict(
         st=f"cast(array() as {_CONTAINER})", para="false", pl="0", pc="0", fc="''", fl="0", fi="0", fno="0", info="cast(null as string)", h="''",
-        tbl="false", bl="false", bq="0", pe="false", nl="0", loose="cast(array() as array<int>)",
-        full=f"cast(array() as array<{_RECORD}>)", cur=f"cast(array() as {_RECORD})")
-    folded = f"aggregate({lines}, {start}, (s, x) -> {step}, s -> named_struct('ls', flatten(array_append(s.full, s.cur)), 'loose', s.loose))"
+        tbl="false", bl="false", bq="0", pe="false", nl="0")
+    body = "transform(f, (v, i) -> named_struct('b', substring(element_at(lines, i + 1), v.o + 1), {rest}))".format(
+        rest=", ".join(f"'{c}', v.{c}" for c in ("kind", "q", "lid", "pre", "it", "pc", "info", "fi", "fno")))
+    folded = let("lines", lines, let("f", fold("lines", start, _RECORD, step), struct_of(
+        ls=body, loose="array_distinct(filter(transform(f, v -> v.lm), i -> i > 0))")))
     plain = ("named_struct('ls', transform(split({t}, '\\r?\\n', -1), (l, i) -> {rec}), 'loose', cast(array() as array<int>))").format(
         t=text, rec=struct_of(
             b="l", kind="if(trim(' \t', l) = '', 'blank', 'text')", q="0", lid="0", pre="''", it="false",

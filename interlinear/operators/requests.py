@@ -130,11 +130,11 @@ def tc3_signature(reqs: DataFrame, user: SignedJsonUser, timestamp: int) -> Data
 
 
 def region_lookup(reqs: DataFrame, regions: DataFrame, region_col: str = "region") -> DataFrame:
-    """Resolve each row's region against the 16 known names (broadcast
-    equi-join on the bounded dimension); null means the default region, an
+    """Resolve each row's region against the 16 known names (an
+    equi-join, broadcast if small); null means the default region, an
     unknown name resolves to null and is reported by ``region_ok``."""
     r = reqs.withColumn(region_col, F.coalesce(F.col(region_col), F.lit(dims.DEFAULT_REGION)))
-    known = F.broadcast(regions.select(F.col("region").alias("_known_region")))
+    known = regions.select(F.col("region").alias("_known_region"))
     r = r.join(known, r[region_col] == known["_known_region"], "left")
     return r.withColumn("region_ok", F.col("_known_region").isNotNull()).drop("_known_region")
 

@@ -73,9 +73,9 @@ def unify_responses(df: DataFrame, body: str = "body") -> DataFrame:
 
 
 def explain_error(parsed: DataFrame, codes: DataFrame) -> DataFrame:
-    """P5: code -> meaning via a broadcast left join on the bounded code table;
+    """P5: code -> meaning via a left join with the code table, broadcast if small;
     unknown codes read 'unknown error'."""
-    c = F.broadcast(codes.select(F.col("provider").alias("_p"), F.col("code").alias("_c"), F.col("meaning").alias("_m")))
+    c = codes.select(F.col("provider").alias("_p"), F.col("code").alias("_c"), F.col("meaning").alias("_m"))
     j = parsed.drop("meaning").join(c, (parsed["provider"] == c["_p"]) & (parsed["error_code"] == c["_c"]), "left")
     meaning = F.when(F.col("status") == "error", F.coalesce(F.col("_m"), F.lit(dims.UNKNOWN_ERROR)))
     return j.withColumn("meaning", meaning).drop("_p", "_c", "_m")
