@@ -87,7 +87,8 @@ def bigram_counts(texts: DataFrame, numbers, clustered: int) -> DataFrame:
                 words = text.lower().split()
                 seq = np.full(len(words) + 2, border, np.int64)
                 seq[1:-1] = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-                seq[seq > border] = 0
+                inner = seq[1:-1]
+                inner[inner >= border] = 0  # head words beyond the clustered ones
                 codes.append(seq[:-1] * wide + seq[1:])
                 held += len(seq)
                 if held > 4_000_000:

@@ -8,14 +8,18 @@ are then calibrated on labelled rows held out from training and combined by a
 logistic model of the two calibrated log-odds. The same is done for every
 target column of the labels (``quality``, ``toxic``).
 
-What the fit gathers is bounded and documented: at most ``FIT_ROWS`` labelled
-and ``POOL_ROWS`` unlabelled documents, chosen by a hash of their id, and
-``LEXICON`` words a target. Scoring covers every document, in one pass without
-a shuffle.
+The views of every document are computed and written once. Each round then
+scores ALL documents with the present models on Spark; of those that a view is
+sure of, the ``HANDED`` surest of each class (equal views count once) are handed
+over. What the driver fits on is bounded and documented: at most ``FIT_ROWS``
+labelled ids, chosen by a hash of their id and one row each, ``HANDED`` rows a
+round, class and view, and ``LEXICON`` words a target; Newton steps go over blocks
+of rows, so no wide matrix is held.
 
 Defined results: null or empty text has zero statistics; null metadata is a
-value of its own; repeated ids are scored row by row; labels of one id are
-averaged and a tie is no label. A target without labels, or with one class
+value of its own; repeated ids are scored row by row, but a labelled id is
+fitted on one row (the least of its views); labels of one id are averaged and a
+tie is no label. A target without labels, or with one class
 only, scores its smoothed share (1/2 without labels). A document is kept if
 its quality score is at least 1/2 and its toxic score is not above 1/2.
 """
@@ -24,25 +28,29 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
+from hashlib import blake2b
 from math import log2
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_step, utf8
+from .common import arrow_step, materialize, utf8
 from .decontamination import words
 
 TARGETS = ("quality", "toxic")
 FIT_ROWS = 12_000
-POOL_ROWS = 12_000
 LEXICON = 256
 CHI = 30.0  # a word below this chi-squared (one degree of freedom) is noise
 ROUNDS = 4
 SURE = 0.97  # confidence that makes a pseudo-label
-HANDED = 300  # most pseudo-labels a class that a view hands over in a round
+HANDED = 300  # pseudo-labels of a class that a view hands over in a round: the surest of all documents
+BLOCK = 1000  # rows of a wide matrix held at a time
 _PUNCTUATION = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
 _SOURCES, _LANGS, _SIZES = 64, 16, 24
 
@@ -80,13 +88,33 @@ def metadata_view(source: str | None, lang: str | None, n_chars: int | None) ->
     return [slot(source, _SOURCES), _SOURCES + slot(lang, _LANGS), _SOURCES + _LANGS + size]
 
 
-def dense(shares: list[np.ndarray], hits: list[list[int]], n_hits: int) -> np.ndarray:
-    x = np.zeros((len(hits), (len(shares[0]) if shares else 0) + n_hits), np.float32)
-    for i, own in enumerate(hits):
-        if shares:
-            x[i, :-n_hits or None] = shares[i]
-        x[i, [x.shape[1] - n_hits + h for h in own]] = 1
-    return x
+class Views:
+    """One view of many documents: shares (statistics, perhaps none) and the
+    numbers of the indicators that are set; wide only a block at a time."""
+
+    def __init__(self, shares: np.ndarray, hits: list, n_hits: int):
+        self.shares, self.n_hits = shares, n_hits
+        self.ends = np.cumsum([len(h) for h in hits], dtype=np.int64)
+        self.hits = np.fromiter((x for h in hits for x in h), np.int32, int(self.ends[-1]) if len(hits) else 0)
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def dense(self, at: int, to: int) -> np.ndarray:
+        first = self.ends[at - 1] if at else 0
+        sizes = np.diff(self.ends[at:to], prepend=first)
+        x = np.zeros((to - at, self.shares.shape[1] + self.n_hits))
+        x[:, :self.shares.shape[1]] = self.shares[at:to]
+        x[np.repeat(np.arange(to - at), sizes), self.shares.shape[1] + self.hits[first:self.ends[to - 1]]] = 1
+        return x
+
+
+def blocks(parts: list) -> Iterator[np.ndarray]:
+    """Dense rows of several views (or arrays), a block at a time."""
+    for part in parts:
+        for at in range(0, len(part), BLOCK):
+            to = min(len(part), at + BLOCK)
+            yield part.dense(at, to) if isinstance(part, Views) else part[at:to]
 
 
 # -- models ----------------------------------------------------------------
@@ -97,27 +125,41 @@ class Logistic:
     def __init__(self, ridge: float = 1.0, steps: int = 12):
         self.ridge, self.steps, self.weights = ridge, steps, None
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
+    def fit(self, parts: list, y: np.ndarray) -> Logistic:
         self.prior = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
         self.weights = None
         if len(y) == 0 or y.min() == y.max():
             return self
-        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-        z = self._scaled(x)
-        w = np.zeros(z.shape[1])
+        self.mean = sum(x.sum(0) for x in blocks(parts)) / len(y)
+        self.scale = np.maximum(np.sqrt(sum(((x - self.mean) ** 2).sum(0) for x in blocks(parts)) / len(y)), 1e-3)
+        w = np.zeros(len(self.mean) + 1)
         w[-1] = self.prior
-        eye = np.full(z.shape[1], self.ridge)
+        eye = np.full(len(w), self.ridge)
         eye[-1] = 1e-6
-        loss = lambda w: np.logaddexp(0, np.where(y > 0.5, -1, 1) * (z @ w)).sum() + 0.5 * (eye * w * w).sum()
-        now = loss(w)
+
+        def sums(w, hessian=True):
+            """Loss, gradient and curvature, summed over the blocks."""
+            loss, g, h, at = 0.5 * (eye * w * w).sum(), -eye * w, np.diag(eye), 0
+            for x in blocks(parts):
+                z, t = self._scaled(x), y[at:at + len(x)]
+                at += len(x)
+                o = z @ w
+                loss += np.logaddexp(0, np.where(t > 0.5, -1, 1) * o).sum()
+                if hessian:
+                    p = _share(o)
+                    g = g + z.T @ (t - p)
+                    h = h + (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+            return loss, g, h
+
+        now, g, h = sums(w)
         for _ in range(self.steps):
-            p = _share(z @ w)
-            step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(eye), z.T @ (y - p) - eye * w)
-            after = loss(w + step)
+            step = np.linalg.solve(h, g)
+            after = sums(w + step, False)[0]
             while after > now and np.abs(step).max() > 1e-6:
                 step /= 2
-                after = loss(w + step)
-            w, gain, now = w + step, now - after, after
+                after = sums(w + step, False)[0]
+            w, gain = w + step, now - after
+            now, g, h = sums(w)
             if gain < 1e-6 * (1 + now):
                 break
         self.weights = w
@@ -127,10 +169,10 @@ class Logistic:
         z = np.clip((x - self.mean) / self.scale, -10, 10)
         return np.concatenate([z, np.ones((len(z), 1))], axis=1)
 
-    def log_odds(self, x: np.ndarray) -> np.ndarray:
+    def log_odds(self, part) -> np.ndarray:
         if self.weights is None:
-            return np.full(len(x), self.prior)
-        return self._scaled(x) @ self.weights
+            return np.full(len(part), self.prior)
+        return np.concatenate([np.empty(0), *(self._scaled(x) @ self.weights for x in blocks([part]))])
 
 
 def _share(log_odds: np.ndarray) -> np.ndarray:
@@ -140,36 +182,27 @@ def _share(log_odds: np.ndarray) -> np.ndarray:
 class CoTrained:
     """Two views, each taught by the other, calibrated and combined."""
 
-    def fit(self, views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], held: np.ndarray) -> CoTrained:
-        train = ~held
-        own = [[v[train]] for v in views]
-        labels = [[y[train]], [y[train]]]
-        free = np.ones(len(pools[0]), bool)
-        self.handed = 0
-        for turn in range(ROUNDS + 1):
-            self.models = [Logistic().fit(np.concatenate(x), np.concatenate(t)) for x, t in zip(own, labels)]
-            if turn == ROUNDS or not free.any():
-                break
-            moved = 0
-            for teacher in (0, 1):
-                p = _share(self.models[teacher].log_odds(pools[teacher]))
-                for label in (0, 1):
-                    sure = np.flatnonzero(free & ((p if label else 1 - p) >= SURE))
-                    sure = sure[np.argsort(np.abs(p[sure] - label), kind="stable")][:HANDED]
-                    free[sure] = False
-                    own[1 - teacher].append(pools[1 - teacher][sure])
-                    labels[1 - teacher].append(np.full(len(sure), float(label)))
-                    moved += len(sure)
-            self.handed += moved
-            if not moved:
-                break
-        sides = [m.log_odds(v[held]) for m, v in zip(self.models, views)]
-        self.calibrated = [Logistic(0.1).fit(s[:, None], y[held]) for s in sides]
+    def __init__(self, views: list[Views], y: np.ndarray, of: list[Views], held: np.ndarray):
+        """``views``: the labelled rows to train on with classes ``y``; ``of`` and
+        ``held``: the rows and classes kept back for calibration."""
+        self.own, self.labels = [[v] for v in views], [[y], [y]]
+        self.held, self.classes = of, held
+
+    def train(self) -> None:
+        self.models = [Logistic().fit(x, np.concatenate(t)) for x, t in zip(self.own, self.labels)]
+
+    def hand_over(self, to: int, rows: Views, label: int) -> None:
+        self.own[to].append(rows)
+        self.labels[to].append(np.full(len(rows), float(label)))
+
+    def calibrate(self) -> None:
+        sides = [m.log_odds(v) for m, v in zip(self.models, self.held)]
+        self.calibrated = [Logistic(0.1).fit([s[:, None]], self.classes) for s in sides]
         both = np.stack([c.log_odds(s[:, None]) for c, s in zip(self.calibrated, sides)], axis=1)
-        self.joint = Logistic(0.1).fit(both, y[held])
-        return self
+        self.joint = Logistic(0.1).fit([both], self.classes)
+        self.own = self.labels = self.held = self.classes = None
 
-    def score(self, views: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, views: list[Views]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated share of each view and of both together."""
         sides = [c.log_odds(m.log_odds(v)[:, None]) for c, m, v in zip(self.calibrated, self.models, views)]
         return _share(sides[0]), _share(sides[1]), _share(self.joint.log_odds(np.stack(sides, axis=1)))
@@ -198,7 +231,7 @@ def _lexicons(docs: DataFrame, chosen) -> dict[bytes, int]:
                     said = set(words(text))
                     for t, y in enumerate(labels[key]):
                         if y is not None:
-                            counts.update((w, 2 * t + int(y)) for w in said if len(w) <= 64)
+                            counts.update((w, 2 * t + int(y)) for w in said)
                             counts[(b"", 2 * t + int(y))] += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array([w for w, _ in counts], pa.binary()), pa.array([s for _, s in counts], pa.int32()),
@@ -223,47 +256,109 @@ def _lexicons(docs: DataFrame, chosen) -> dict[bytes, int]:
     return out
 
 
-def _sample(docs: DataFrame, chosen, lexicon: dict[bytes, int]) -> tuple:
-    """Views of the labelled sample and of the unlabelled pool, gathered to fit."""
-    cut = docs.count()
+_VIEW = "shares binary, hits array<int>, meta array<int>, view binary"
 
+
+def _with_views(docs: DataFrame, lexicon: dict[bytes, int]) -> DataFrame:
+    """``docs`` (id, text, source, lang, n_chars first) with both views of each
+    row and a digest of them; written once."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = chosen.value
         for b in batches:
-            rows = []
-            for key, text, source, lang, n_chars, h in zip(*(c.to_pylist() for c in b.columns)):
-                if key in labels or h < threshold:
-                    shares, hits = text_view(text, lexicon)
-                    rows.append((key, -1 if key in labels else h, shares.astype("<f4").tobytes(), hits, metadata_view(source, lang, n_chars)))
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())))],
-                names=["id", "h", "shares", "hits", "meta"])
-
-    # share of the hash range that holds about twice the pool; the limit makes it exact
-    threshold = min((1 << 31) - 1, int((1 << 31) * 2 * POOL_ROWS / max(1, cut)))
-    hashed = docs.select("id", "text", "source", "lang", "n_chars", F.pmod(F.xxhash64("id", "n_chars"), F.lit(1 << 31)).alias("h"))
-    rows = arrow_step(hashed, step, "id long, h long, shares binary, hits array<int>, meta array<int>")
-    found = rows.orderBy("h", "id", "shares").limit(FIT_ROWS + POOL_ROWS).collect()
-    return list({r.id: r for r in found if r.h < 0}.values()), [r for r in found if r.h >= 0]
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str):
-    sc = docs.sparkSession.sparkContext
-    chosen = sc.broadcast(_fit_labels(labels, id_col))
-    lexicon = _lexicons(docs, chosen)
-    labelled, pool = _sample(docs, chosen, lexicon)
-    text = lambda rows: dense([np.frombuffer(r.shares, "<f4") for r in rows], [r.hits for r in rows], len(lexicon)) \
-        if rows else np.zeros((0, N_STATISTICS + len(lexicon)), np.float32)
-    meta = lambda rows: dense([], [r.meta for r in rows], _SOURCES + _LANGS + _SIZES)
-    views, pools = [text(labelled), meta(labelled)], [text(pool), meta(pool)]
-    held = np.array([crc32(str(r.id).encode()) % 4 == 0 for r in labelled], bool)
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                text, source, lang, n_chars = (c.to_pylist() for c in part.columns[-4:])
+                own = [text_view(t, lexicon) for t in text]
+                shares = [s.astype("<f4").tobytes() for s, _ in own]
+                meta = [metadata_view(*m) for m in zip(source, lang, n_chars)]
+                digest = [blake2b(s + np.array([*h, -1, *m], "<i4").tobytes(), digest_size=16).digest()
+                          for s, (_, h), m in zip(shares, own, meta)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-4], pa.array(shares, pa.binary()), pa.array([h for _, h in own], pa.list_(pa.int32())),
+                     pa.array(meta, pa.list_(pa.int32())), pa.array(digest, pa.binary())], names=[*kept, "__shares", "__hits", "__meta", "__view"])
+
+    kept = docs.columns[:-4]
+    out = T.StructType(list(docs.schema.fields[:-4]))
+    out.add("__shares", T.BinaryType()).add("__hits", T.ArrayType(T.IntegerType())).add("__meta", T.ArrayType(T.IntegerType())).add("__view", T.BinaryType())
+    return materialize(arrow_step(docs, step, out), "quality-views")
+
+
+def _views(shares: list, hits: list, meta: list, lexicon: dict) -> list[Views]:
+    table = np.frombuffer(b"".join(shares), "<f4").reshape(-1, N_STATISTICS)
+    return [Views(table, hits, len(lexicon)), Views(np.zeros((len(meta), 0), np.float32), meta, _SOURCES + _LANGS + _SIZES)]
+
+
+def _surest(views: DataFrame, models, lexicon, labelled, seen) -> dict[tuple, pa.Table]:
+    """(target, teacher, label) -> the HANDED rows that the teacher is surest
+    of among all documents without a label for the target and not ``seen``."""
+    sc = views.sparkSession.sparkContext
+    shared = sc.broadcast((models, lexicon, labelled, seen))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, lexicon, labelled, seen = shared.value
+        for b in batches:
+            ids, shares, hits, meta, view = (c.to_pylist() for c in b.columns)
+            both = _views(shares, hits, meta, lexicon)
+            for t, model in enumerate(models):
+                free = np.array([labelled.get(i, _NO_LABELS)[t] is None for i in ids], bool)
+                for teacher in (0, 1):
+                    p = _share(model.models[teacher].log_odds(both[teacher]))
+                    for label in (0, 1):
+                        sure = np.flatnonzero(free & ((p if label else 1 - p) >= SURE))
+                        rank, taken = np.abs(p[sure] - label), {}
+                        for n in np.argsort(rank, kind="stable"):
+                            if view[sure[n]] not in seen[t, teacher] and view[sure[n]] not in taken:
+                                taken[view[sure[n]]] = (float(rank[n]), int(sure[n]))
+                                if len(taken) == HANDED:
+                                    break
+                        if taken:
+                            at = pa.array([n for _, n in taken.values()])
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([4 * t + 2 * teacher + label] * len(at), pa.int32()), pa.array([r for r, _ in taken.values()], pa.float64()),
+                                 *[c.take(at) for c in b.columns[1:]]], names=["side", "rank", "shares", "hits", "meta", "view"])
+
+    rows = arrow_step(views.selectExpr("id", "__shares", "__hits", "__meta", "__view"), step, f"side int, rank double, {_VIEW}")
+    first = Window.partitionBy("side").orderBy("rank", "view")  # ranked in each task first, so few rows meet
+    best = rows.dropDuplicates(["side", "view"]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= HANDED).drop("n")
+    found = best.orderBy("side", "rank", "view").toArrow()
+    return {(side // 4, side // 2 % 2, side % 2): found.filter(pc.equal(found["side"], side)) for side in pc.unique(found["side"]).to_pylist()}
+
+
+_NO_LABELS = (None,) * len(TARGETS)
+
+
+def fit(views: DataFrame, chosen: dict[int, tuple], lexicon: dict[bytes, int]) -> list[CoTrained]:
+    """The co-trained model of each target from the views of all documents."""
+    spark = views.sparkSession
+    ids = spark.createDataFrame([(i,) for i in chosen], "id long")  # at most FIT_ROWS
+    one = views.join(F.broadcast(ids), "id").groupBy("id").agg(F.min(F.struct("__view", "__shares", "__hits", "__meta")).alias("v"))
+    rows = one.selectExpr("id", "v.__shares as shares", "v.__hits as hits", "v.__meta as meta").orderBy("id").toArrow()
+    key, shares, hits, meta = (rows.column(c).to_pylist() for c in ("id", "shares", "hits", "meta"))
+    back = [crc32(str(i).encode()) % 4 == 0 for i in key]  # held back for calibration
     models = []
     for t in range(len(TARGETS)):
-        y = np.array([np.nan if (v := chosen.value[r.id][t]) is None else v for r in labelled], float)
-        has = ~np.isnan(y)
-        models.append(CoTrained().fit([v[has] for v in views], y[has], pools, held[has]))
-    return lexicon, models
+        part = {h: [n for n, i in enumerate(key) if chosen[i][t] is not None and back[n] == h] for h in (False, True)}
+        sides = {h: (_views(*[[c[n] for n in at] for c in (shares, hits, meta)], lexicon), np.array([chosen[key[n]][t] for n in at], float))
+                 for h, at in part.items()}
+        models.append(CoTrained(*sides[False], *sides[True]))
+    seen: dict[tuple, set] = {(t, v): set() for t in range(len(TARGETS)) for v in (0, 1)}
+    for turn in range(ROUNDS + 1):
+        for m in models:
+            m.train()
+        if turn == ROUNDS or not any(len(m.labels[0][0]) for m in models):
+            break
+        light = [copy(m) for m in models]
+        for m in light:
+            m.own = m.labels = m.held = m.classes = None
+        found = _surest(views, light, lexicon, chosen, seen)
+        for (t, teacher, label), table in found.items():
+            columns = [table.column(c).to_pylist() for c in ("shares", "hits", "meta")]
+            models[t].hand_over(1 - teacher, _views(*columns, lexicon)[1 - teacher], label)
+            seen[t, teacher].update(table.column("view").to_pylist())
+        if not found:
+            break
+    for m in models:
+        m.calibrate()
+    return models
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -271,32 +366,29 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """``docs`` (without columns of the names added here) with, per target, ``<target>_text``, ``<target>_metadata`` (the
     calibrated views) and ``<target>_score``, and ``keep``."""
     names = docs.columns
+    added = [f"{t}_{what}" for t in TARGETS for what in ("text", "metadata", "score")]
+    kept = [c for c in names if c not in added and c != "keep"]
     meta = [(F.col(c) if c in names else F.lit(None)).cast(k).alias(as_) for c, as_, k in zip(
         meta_cols, ("source", "lang", "n_chars"), ("string", "string", "long"))]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"), *meta)
-    lexicon, models = fit(rows, labels, label_id_col)
-    model = docs.sparkSession.sparkContext.broadcast((lexicon, models))
-    added = [f"{t}_{what}" for t in TARGETS for what in ("text", "metadata", "score")]
+    key, text = F.col(id_col).cast("long"), utf8(text_col)
+    chosen = _fit_labels(labels, label_id_col)
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+    lexicon = _lexicons(docs.select(key.alias("id"), text.alias("text")), shared)
+    wide = docs.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(kept)], key.alias("id"),
+                       text.alias("text"), *meta)
+    views = _with_views(wide, lexicon)
+    model = docs.sparkSession.sparkContext.broadcast((lexicon, fit(views, chosen, lexicon)))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, models = model.value
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                raw, source, lang, n_chars = (c.to_pylist() for c in part.columns[-4:])
-                own = [text_view(t, lexicon) for t in raw]
-                views = [dense([s for s, _ in own], [h for _, h in own], len(lexicon)),
-                         dense([], [metadata_view(*m) for m in zip(source, lang, n_chars)], _SOURCES + _LANGS + _SIZES)]
-                scores = [s for m in models for s in m.score(views)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-4], *[pa.array(s, pa.float64()) for s in scores]],
-                                                 names=[*kept, *added])
-
-    kept = [c for c in names if c not in added and c != "keep"]
-    extra = [utf8(text_col), *meta]
-    wide = docs.select(*[F.col(f"`{c}`") for c in kept], *[e.alias(f"__v{n}") for n, e in enumerate(extra)])
-    from pyspark.sql import types as T
+            both = _views(*(c.to_pylist() for c in b.columns[-3:]), lexicon)
+            scores = [s for m in models for s in m.score(both)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], *[pa.array(s, pa.float64()) for s in scores]],
+                                             names=[*kept, *added])
 
-    out = T.StructType(wide.schema.fields[:len(kept)])
+    out = T.StructType([T.StructField(c, f.dataType, f.nullable, f.metadata) for c, f in zip(kept, wide.schema.fields)])
     for c in added:
         out = out.add(c, "double")
-    return arrow_step(wide, step, out).withColumn("keep", F.expr("quality_score >= 0.5 and toxic_score <= 0.5"))
+    rows = views.select(*[f"c{n}" for n in range(len(kept))], "__shares", "__hits", "__meta")
+    return arrow_step(rows, step, out).withColumn("keep", F.expr("quality_score >= 0.5 and toxic_score <= 0.5"))

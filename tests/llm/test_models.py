@@ -66,3 +66,24 @@ def test_pages_by_their_markup(spark):
         article = r.html[r.html.index("<article>") + 9:r.html.index("</article>")]
         texts = (" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("<h1>|</h1>|<p>|</p>", article))
         assert got[r.page_id] == "\n".join(t for t in texts if t)
+
+
+def test_a_repeated_labelled_id_fills_nothing(spark):
+    """30,000 rows of one labelled id leave the other labelled ids in the fit."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    hot = labels.orderBy("doc_id").limit(1).select("doc_id")
+    many = docs.join(hot, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.lit(30_000))).alias("copy"))
+    many = many.select("doc_id", F.lit("short text").alias("text"), "lang", "source", "n_chars")
+    got = cotraining.score(docs.union(many), labels.where("doc_id % 3 <> 0"))
+    held = got.join(labels.where("doc_id % 3 = 0"), "doc_id").select("quality", "quality_score").collect()
+    assert np.mean([(r.quality_score >= .5) == bool(r.quality) for r in held]) > .9
+
+
+def test_bigrams_keep_borders_apart(spark):
+    texts = spark.createDataFrame([(b"a c d b",)], "text binary")
+    numbers = spark.sparkContext.broadcast({b"a": 1, b"b": 2, b"c": 3, b"d": 4})  # two clustered words
+    got = {r.code: r.n for r in class_lm.bigram_counts(texts, numbers, 2).collect()}
+    path = [3, 1, 0, 0, 2, 3]  # border, a, open class twice, b, border
+    assert got == {4 * a + b: 1 for a, b in zip(path, path[1:])}
