@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from interlinear import dims
 from interlinear.operators import batching as B
 from interlinear.operators import segments as M
+from interlinear.operators.render import render
 from interlinear.operators.translate import Service
 from interlinear.plans import corpora as C
 from interlinear.plans import stub
@@ -160,6 +161,60 @@ def q_whole_text(spark, sf):
     return M.whole_text(_segs_a(spark, sf))
 
 
+def _segment_rows(spark, sf, corpus):
+    return M.extract_segments(corpus(spark, sf)).select("doc_id", "seg_no", "text")
+
+
+@register("reference_links", """SELECT p_partkey AS doc_id, 0 AS seg_no, p_name || ' has ' || p_brand || ' and ' || p_type || ' pic ' || p_partkey
+    || ' but [no]' AS text FROM part
+  UNION ALL SELECT p_partkey, 1, 'Size ' || p_size FROM part""")
+def q_reference_links(spark, sf):
+    return _segment_rows(spark, sf, C.references_corpus)
+
+
+@register("reference_labels", """SELECT p_partkey AS doc_id, 0 AS seg_no, pos,
+  CASE pos WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN p_type ELSE 'pic ' || p_partkey END AS label
+  FROM part, (VALUES (0), (1), (2), (3)) v(pos)""")
+def q_reference_labels(spark, sf):
+    return M.link_labels(C.references_corpus(spark, sf))
+
+
+@register("nested_containers", """SELECT p_partkey AS doc_id, seg_no, CASE seg_no WHEN 0 THEN p_name || p_brand
+  WHEN 1 THEN p_type || ' lazy ' || p_partkey WHEN 2 THEN 'size ' || p_size || 'inner ' || p_partkey ELSE 'end' END AS text
+  FROM part, (VALUES (0), (1), (2), (3)) v(seg_no)""")
+def q_nested_containers(spark, sf):
+    return _segment_rows(spark, sf, C.nested_corpus)
+
+
+@register("split_cells", """SELECT p_partkey AS doc_id, seg_no, CASE seg_no WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN p_name || ' '
+  WHEN 3 THEN '`' || p_brand || '` ' WHEN 4 THEN p_type WHEN 5 THEN ' e' WHEN 6 THEN 'x ' || p_partkey WHEN 7 THEN ' ' WHEN 8 THEN '&'
+  ELSE ' y | z' END AS text FROM part, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) v(seg_no)""")
+def q_split_cells(spark, sf):
+    return _segment_rows(spark, sf, C.cells_corpus)
+
+
+@register("render_split_cells", f"""SELECT p_partkey AS doc_id, '|a' || chr(9) || '<a>|b' || chr(9) || '<b>|' || {NL} || '| --- | --- |' || {NL} || '|'
+  || p_name || ' ' || chr(9) || '<' || p_name || ' >`' || p_brand || '` ' || chr(9) || '<`' || p_brand || '` >**' || p_type || chr(9) || '<' || p_type
+  || '>** e' || chr(9) || '< e>|[x ' || p_partkey || chr(9) || '<x ' || p_partkey || '>](u' || p_partkey || ') ' || chr(9) || '< >&amp;' || chr(9)
+  || '<&> y \\| z' || chr(9) || '< y \\| z>|' || {NL} AS rendered FROM part""")
+def q_render_split_cells(spark, sf):
+    docs = C.cells_corpus(spark, sf)
+    segs = M.extract_segments(docs).withColumn("translation", F.concat(F.lit("<"), "text", F.lit(">")))
+    return render(docs, segs).select("doc_id", "rendered")
+
+
+@register("emphasis_runs", """SELECT p_partkey AS doc_id, 0 AS seg_no, p_name || ' and ' || p_type || ' ' || p_partkey
+  || ' a * b snake_case_x *open ' || p_type || ' in *' || p_partkey || ' foobarbaz' AS text FROM part""")
+def q_emphasis_runs(spark, sf):
+    return M.extract_segments(C.emphasis_corpus(spark, sf)).select("doc_id", "seg_no", "text")
+
+
+@register("html_block_kinds", """SELECT doc_id, CAST(seg_no AS INTEGER) AS seg_no, 'after ' || n || ' of ' || doc_id AS text
+  FROM labels, (VALUES (0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6)) v(seg_no, n)""")
+def q_html_block_kinds(spark, sf):
+    return _segment_rows(spark, sf, C.html_kinds_corpus)
+
+
 @register("corpus_totals", f"""WITH {SEG_A}
 SELECT lang, source, count(DISTINCT doc_id) AS n_docs, count(*) AS n_segments, CAST(sum(n_bytes) AS BIGINT) AS total_bytes,
   CAST(sum(n_chars) AS BIGINT) AS total_chars FROM seg_a_len GROUP BY ROLLUP (lang, source)""")

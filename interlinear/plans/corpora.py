@@ -110,3 +110,58 @@ def html_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "s_name", F.lit("</h1><!-- <script> --><div class='c>d'><p>x b<b>ol</b>d"), F.col("s_nationkey").cast("string"),
         F.lit("<p>it&#8217;s <div>"), "s_name", F.lit("</div></div><div>end"))
     return s.select(F.col("s_suppkey").alias("page_id"), html.alias("html"))
+
+
+def references_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: per part full, collapsed and shortcut reference links and an image by
+    reference, an undefined one, and definitions of which one takes three lines."""
+    p = load(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit("["), "p_name", F.lit("][Ref"), k, F.lit("] has ["), "p_brand", F.lit("][] and ["), "p_type", F.lit("] ![pic "), k, F.lit("][ref"), k,
+        F.lit("] but [no]" + NL + NL + "[ref"), k, F.lit("]:" + NL + "  <https://example.com/part/"), k, F.lit("> 'title" + NL + "on two lines'" + NL + "["),
+        F.upper("p_brand"), F.lit("]: /brand" + NL + "["), "p_type", F.lit('  ]: /type "t"' + NL + "Size "), F.col("p_size").cast("string"), F.lit(NL))
+    return p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+def nested_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: per part a tight list in a quote, in its first item a loose ordered list
+    with two paragraphs and a fence, a lazy line, a quote in a quote."""
+    p = load(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit("> - "), "p_name", F.lit(NL + ">   1. "), "p_brand", F.lit(NL + ">" + NL + ">      "), "p_type", F.lit(NL + "lazy "), k,
+        F.lit(NL + ">      ```" + NL + ">      - no item" + NL + ">      ```" + NL + "> - size "), F.col("p_size").cast("string"),
+        F.lit(NL + ">" + NL + "> > inner "), k, F.lit(NL + NL + "end" + NL))
+    return p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+def cells_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: per part a table whose cells inline markup splits into several pieces."""
+    p = load(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit("| a | b |" + NL + "| --- | --- |" + NL + "| "), "p_name", F.lit(" `"), "p_brand", F.lit("` **"), "p_type", F.lit("** e | [x "), k,
+        F.lit("](u"), k, F.lit(") &amp; y \\| z |" + NL))
+    return p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+def emphasis_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: per part nested, overlapping and unmatched delimiter runs."""
+    p = load(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit("***"), "p_name", F.lit("** and "), "p_type", F.lit("* ~~"), k, F.lit("~~ a * b snake_case_x **open __"), "p_type", F.lit("__ [in *"), k,
+        F.lit("](u)* foo*bar*baz"))
+    return p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+def html_kinds_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: per label row the kinds of HTML block that end by a mark of their own,
+    each across a blank line, with a paragraph behind each."""
+    lb = load(spark, sf_dir, "labels")
+    k = F.col("doc_id").cast("string")
+    blocks = ["<!-- a" + NL + NL + "b -->", "<?php a" + NL + NL + "b ?>", "<!DOCTYPE a" + NL + NL + "b>", "<![CDATA[ a" + NL + NL + "b ]]>",
+              "<pre>" + NL + NL + "b</pre>", "<div>" + NL + "b" + NL, "<x-y a='1'>" + NL + "b" + NL]
+    parts = [c for n, b in enumerate(blocks) for c in (F.lit(b + NL + f"after {n} of "), k, F.lit(NL + NL))]
+    return lb.select("doc_id", F.concat(*parts).alias("text"))
