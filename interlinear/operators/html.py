@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from interlinear.functions.text import col_of, decode_entities
+from interlinear.functions.text import col_of, decode_entities, fold, let
 
 # the rest of a tag: quoted values may hold a closing bracket
 _REST = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>"
@@ -48,6 +48,18 @@ def html_inner_text(pages: DataFrame, key: str = "page_id", html_col: str = "htm
     return pages.select(key, visible_text(html_col, keep_style).alias("text"))
 
 
+# Where every element's text begins and ends, in page order: a fold gives each tag
+# its level and the characters before it, and among the tags of a level, in order,
+# an element's end follows its start.
+_LEVELS = fold(
+    "transform(t, (x, i) -> named_struct('i', i, 'n', char_length(element_at(p, i + 1)), 'ends', startswith(x, '</')))", {"d": "0", "c": "0"},
+    "struct<level: int, i: int, c: int, ends: boolean>",
+    "named_struct('d', if(x.ends, greatest(0, s.d - 1), s.d + 1), 'c', s.c + x.n, 'cur', array_append(s.cur,"
+    " named_struct('level', if(x.ends, s.d, s.d + 1), 'i', x.i, 'c', s.c + x.n, 'ends', x.ends)))", "array_sort(s.cur)")
+_SPANS = let("o", _LEVELS, "array_sort(transform(filter(transform(o, (x, k) -> named_struct('x', x, 'y', try_element_at(o, k + 2))), e -> not e.x.ends),"
+             " e -> named_struct('i', e.x.i, 'a', e.x.c, 'z', if(coalesce(e.y.level = e.x.level and e.y.ends, false), e.y.c, char_length(whole)))))")
+
+
 def html_tag_text(pages: DataFrame, tag: str = "p", key: str = "page_id", html_col: str = "html") -> DataFrame:
     """H2: one row per element ``<tag>`` in page order: its position and its text."""
     names = f"{tag}|{BLOCK.replace(' ', '|')}" if tag == "p" else tag
@@ -58,13 +70,8 @@ def html_tag_text(pages: DataFrame, tag: str = "p", key: str = "page_id", html_c
     if tag in IMPLIED:  # up to the next token
         inner = F.transform(F.filter(F.arrays_zip(F.slice("p", 2, F.size("t")).alias("p"), "t"), lambda x: opens(x["t"])),
                             lambda x: x["p"])
-    else:  # up to the token where the depth falls below the element's own
-        cut = cut.withColumn("d", F.aggregate("t", F.array().cast("array<int>"), lambda d, x: F.concat(d, F.array(
-            F.coalesce(F.try_element_at(d, F.lit(-1)), F.lit(0)) + F.when(x.startswith("</"), -1).otherwise(1)))))
-        end = lambda i: F.coalesce(F.try_element_at(F.filter(F.sequence(F.lit(1), F.size("t")), lambda j: (j > i) & (
-            F.element_at("d", j) < F.element_at("d", i))), F.lit(1)), F.size("t") + 1)
-        starts = F.filter(F.when(F.size("t") > 0, F.sequence(F.lit(1), F.size("t"))).otherwise(F.array().cast("array<int>")),
-                          lambda i: opens(F.element_at("t", i)))
-        inner = F.transform(starts, lambda i: F.array_join(F.slice(F.col("p"), i + 1, end(i) - i), ""))
+    else:  # to its own end tag, else to the end of the page
+        cut = cut.withColumn("whole", F.array_join("p", ""))
+        inner = F.expr(f"transform({_SPANS}, e -> substring(whole, e.a + 1, e.z - e.a))")
     rows = cut.select(key, F.posexplode(inner).alias("pos", "raw"))
     return rows.select(key, "pos", decode_entities(F.regexp_replace("raw", TAG, "")).alias("text"))

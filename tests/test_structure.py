@@ -104,3 +104,14 @@ def test_cell_pieces_go_back_to_their_places(spark):
     assert render(d, segs).first().rendered == (
         "|a\tT(a)|b\tT(b)|\n| --- | --- |\n|x \tT(x )`c` \tT(`c` )**d\tT(d)** e\tT( e)|[l\tT(l)](u) \tT( )&amp;\tT(&) \tT( )\\* z\tT(* z)|\n"
         "|`only`|p\\|q\tT(`only`p\\|q)|\n")
+
+
+def test_elements_end_at_their_own_tag_also_deep_down(spark):
+    from interlinear.operators.html import html_tag_text
+    page = "<div>a<div>b</div>c<div>d</div></div></div>e<div>f"
+    d = spark.createDataFrame([(0, page), (1, None), (2, "")], "page_id long, html string")
+    assert [(r.pos, r.text) for r in html_tag_text(d, "div").orderBy("pos").collect()] == [(0, "abcd"), (1, "b"), (2, "d"), (3, "f")]
+    deep = spark.createDataFrame([(0, "<div>" * 20_000 + "x" + "</div>" * 20_000)], "page_id long, html string")
+    start = time.time()
+    assert {r.text for r in html_tag_text(deep, "div").collect()} == {"x"}
+    assert time.time() - start < 60
