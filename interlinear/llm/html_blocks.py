@@ -28,7 +28,7 @@ from .common import arrow_step
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
             "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p "
             "pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = set("script style title textarea noscript iframe template svg math select button object audio video canvas".split())
+RAW = set("script style title textarea iframe template select button".split())  # no text of the article: scripts, form parts
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = set("nav footer aside form menu dialog".split())
 FURNITURE_WORDS = set(
@@ -38,6 +38,12 @@ FURNITURE_WORDS = set(
     "commentlist reply replies respond disqus footer masthead copyright disclaimer pagination pager tagcloud search "
     "toolbar skip".split())
 HEADER_WORDS = {"header", "topbar"}
+READER_WORDS = set("comment comments commentlist reply replies respond disqus".split())
+# inside an article these name furniture only alone or beside a word for a list or a box
+WEAK_WORDS = set("related recommended search social".split())
+LIST_WORDS = set("post posts article articles story stories link links news box widget bar form results items list icons buttons".split())
+# what a wrapper has or has not is no name of its own
+_STATE = re.compile(r"(?:no|has|with|without|is|hide)[-_]", re.I)
 
 # The labelled table. A block that starts with + is main text.
 TRAINING = [
@@ -80,11 +86,27 @@ FEATURES = ["words", "links", "words before", "links before", "words after", "li
             "furniture name", "heading"]
 
 
+def _named(attributes: str, article: int) -> int:
+    """Whether a class, id or role names furniture: 2 for reader comments."""
+    found = 0
+    for v in _NAMES.finditer(attributes):
+        for token in (v[1] or v[2] or v[3] or "").split():
+            if _STATE.match(token):
+                continue
+            said = {w.lower() for w in _WORD.findall(token)}
+            if said & READER_WORDS:
+                return 2
+            strong = said & (FURNITURE_WORDS - WEAK_WORDS) or (not article and said & HEADER_WORDS)
+            weak = said & WEAK_WORDS and (not article or len(said) == 1 or said & LIST_WORDS)
+            found = 1 if strong or weak else found
+    return found
+
+
 def blocks(page: str) -> list[tuple[str, list[float]]]:
     """(text, own features) of the non-empty blocks of a page; text is decoded,
     its white space single spaces, trimmed."""
     out: list[tuple[str, list[float]]] = []
-    stack: list[tuple[str, int, int, int]] = []  # name, article, furniture by tag, by name
+    stack: list[tuple[str, int, int, int]] = []  # name, article, furniture by tag, by name (2: reader comments)
     pieces: list[tuple[str, bool]] = []
     in_link, heading = False, 0
 
@@ -95,7 +117,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 words = max(1, text.count(" ") + 1)
                 linked = sum(len(p.split()) for p, a in pieces if a)
                 _, article, tag, name = stack[-1] if stack else ("", 0, 0, 0)
-                out.append((text, [words, min(1.0, linked / words), article, tag, name, heading]))
+                out.append((text, [words, min(1.0, linked / words), article, tag, min(name, 1), heading]))
             pieces.clear()
 
     at, end = 0, len(page)
@@ -143,12 +165,12 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                     break
         _, article, tag, named = stack[-1] if stack else ("", 0, 0, 0)
         if name in ("article", "main"):
-            article = 1
+            # a wrapper's name does not mark the article in it; reader comments stay marked
+            article, named = 1, 0 if named == 1 and not article else named
         if name in FURNITURE or (name == "header" and not article):
             tag = 1
-        said = {w.lower() for v in _NAMES.finditer(m[3]) for w in _WORD.findall(v[1] or v[2] or v[3] or "")}
-        if name not in ("html", "body", "article", "main") and (said & FURNITURE_WORDS or (not article and said & HEADER_WORDS)):
-            named = 1
+        if name not in ("html", "body", "article", "main"):
+            named = max(named, _named(m[3], article))
         stack.append((name, article, tag, named))
     flush()
     return out

@@ -87,3 +87,25 @@ def test_bigrams_keep_borders_apart(spark):
     got = {r.code: r.n for r in class_lm.bigram_counts(texts, numbers, 2).collect()}
     path = [3, 1, 0, 0, 2, 3]  # border, a, open class twice, b, border
     assert got == {4 * a + b: 1 for a, b in zip(path, path[1:])}
+
+
+def test_articles_outlive_their_wrappers_names(spark):
+    text = "A first sentence of some length that says what happened there. "
+    pages = {
+        f"<div class='layout has-sidebar'><article><h1>Head</h1><p>{text}</article></div>": f"Head\n{text.strip()}",
+        f"<div class='page with-search no-comments'><article><p>{text}</article></div>": text.strip(),
+        f"<div class='post no-comments'><p>{text}<p>{text}</div>": f"{text.strip()}\n{text.strip()}",
+        f"<main><div class='search-page'><p>{text}</div></main>": text.strip(),
+        f"<article><p>{text}<section id=related-work><h2>Others</h2><p>{text}</section></article>": f"{text.strip()}\nOthers\n{text.strip()}",
+        f"<article><p>{text}<noscript><p>{text}</noscript><p>Let <math>x = 2</math> be given, as we said above.</article>":
+            f"{text.strip()}\n{text.strip()}\nLet x = 2 be given, as we said above.",
+        f"<article><p>{text}</article><div class=comment-list><article><p>Nice words, thank you for them.</article></div>": text.strip(),
+        f"<article><p>{text}<div class=related-posts><a>More of this</a></div></article>": text.strip(),
+    }
+    rows = [(n, "u", p, "clash", 1) for n, p in enumerate(pages)] * 2 + [(99, "u", f"<article><p>{text * 20_000}</article>", "c", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = html_blocks.extract(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = list(pages.values())[r.page_id] if r.page_id < 99 else (text * 20_000).strip()
+        assert (r.text, r.n_chars) == (want, len(want)), r.page_id
