@@ -649,16 +649,25 @@ _CORPUS_SQL = f"""WITH {SEG_A},
 p1 AS (SELECT doc_id, seg_no, text, length(text) + 1 <= 2000 AS ok FROM seg_a)"""
 
 
-@register("translate_corpus", _CORPUS_SQL + f"""
+_TRANSLATED_SQL = _CORPUS_SQL + f"""
 SELECT doc_id, string_agg(text || CASE WHEN ok THEN {NL} || {NL} || '[zh] ' || text ELSE '' END, {NL} || {NL}
   ORDER BY seg_no) AS rendered,
   {_status_sql('sum(CASE WHEN ok THEN 0 ELSE 1 END)', 'count(*)')} AS status
-FROM p1 GROUP BY doc_id""")
+FROM p1 GROUP BY doc_id"""
+
+
+@register("translate_corpus", _TRANSLATED_SQL)
 def q_translate_corpus(spark, sf):
     out = J.translate_corpus(C.lines_corpus(spark, sf), J.JobConfig(), STUB)
     return out.select("doc_id", "rendered", "status")
 
 
+@register("translate_lines_once", _TRANSLATED_SQL)
+def q_translate_lines_once(spark, sf):
+    out = J.translate_each_line_once(C.lines_corpus(spark, sf), J.JobConfig(), STUB)
+    return out.select("doc_id", "rendered", "status")
+
+
 @register("retranslate", _CORPUS_SQL + f""",
 p2 AS (SELECT doc_id, seg_no * 2 AS k, text FROM p1 UNION ALL SELECT doc_id, seg_no * 2 + 1, '[zh] ' || text FROM p1 WHERE ok),
 p2o AS (SELECT *, length(text) + 1 <= 2000 AS ok FROM p2)

@@ -16,10 +16,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from interlinear import dims
+from interlinear.functions.text import utrim
 from interlinear.operators import align as A
 from interlinear.operators import batching as B
 from interlinear.operators import requests as R
@@ -134,6 +135,47 @@ def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=N
     return render(docs, aligned, key, text_col, distribute=False)
 
 
+GROUP_LINES = 10_000  # distinct lines that are planned into requests together
+
+
+def translate_each_line_once(docs: DataFrame, cfg: JobConfig | None = None, translator=None,
+                             key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A12 with every distinct line of the corpus asked once: the same result
+    columns as ``translate_corpus``.
+
+    The distinct segment texts (partially aggregated before their shuffle) are
+    dealt by hash to groups of about ``GROUP_LINES``, a group is batched like a
+    document under the provider's limit, and the answers are joined back to every
+    place of their line; a line that fills many places is split by adaptive
+    execution. A failed request fails its lines wherever they stand. Needs a
+    limit above 0 and keyed alignment: requests do not follow documents here.
+    """
+    if translator is None:
+        raise TypeError("translate_each_line_once needs a translator: a DataFrame, a callable or a translate.Service")
+    cfg = cfg or JobConfig()
+    unit, limit = _limit(cfg)
+    if limit == 0 or cfg.alignment != "keyed":
+        raise ValueError("each line once needs a limit above 0 and keyed alignment")
+    use_document_partitioning(docs.sparkSession)
+    docs = distribute_docs(docs.select(key, text_col), key)
+    segs = _materialize(extract_segments(docs, key, text_col, list_mode=cfg.list_mode, distribute=False).filter("not is_tail"), cfg.materialize)
+    said = segs.filter(utrim("text") != "").groupBy("text").agg(F.min("n_bytes").alias("n_bytes"), F.min("n_chars").alias("n_chars"))
+    said = _materialize(said, cfg.materialize)
+    groups = max(1, -(-said.count() // GROUP_LINES))
+    order = Window.partitionBy("__group").orderBy("text")
+    lines = said.withColumn("__group", F.pmod(F.xxhash64("text"), F.lit(groups))).withColumn("seg_no", F.row_number().over(order) - 1)
+    lines = lines.select(F.col("__group").alias(key), "seg_no", "text", "n_bytes", "n_chars", F.lit(False).alias("is_tail"))
+    bt = B.text_batches(lines, limit, unit, key).withColumn("provider", F.lit(cfg.provider)) \
+        .withColumn("from_lang", F.lit(cfg.from_lang)).withColumn("to_lang", F.lit(cfg.to_lang))
+    resp = _answers(R.build_requests(_materialize(bt, cfg.materialize), cfg.creds, cfg.timestamp), translator, key)
+    usable = F.col("status").isin("ok", "partial")
+    known = A.align_in_batches(resp.withColumn("dst", F.when(usable, F.col("dst")))
+                               .withColumn("reason", F.when(~usable, F.coalesce("error_msg", "status"))), key)
+    known = _materialize(known.select("text", "translation", "batch_ok", "reason"), cfg.materialize)
+    met = segs.join(known.hint("merge"), "text", "left").withColumn("batch_ok", F.coalesce("batch_ok", F.lit(True)))
+    return render(docs, met, key, text_col, distribute=False)
+
+
 def retranslate(docs: DataFrame, cfg: JobConfig | None = None, translator=None,
                 key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Run the job on its own output (original, translation, and the

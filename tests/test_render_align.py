@@ -154,3 +154,19 @@ def test_translation_memory_is_deterministic_and_splits_a_hot_line(spark):
             spark.conf.set(k, v)
     assert all(r.dst[0] == "a" for r in rows) and len(rows) == 3000
     assert "skew=true" in plan
+
+
+def test_each_distinct_line_is_asked_once(spark, tmp_path):
+    log = str(tmp_path / "lines")
+
+    def fn(lines, f, t):
+        with open(log, "a") as out:
+            out.writelines(x + "\n" for x in lines)
+        return [x.upper() for x in lines]
+    d = docs(spark, "one\n\ntwo\n\none\n", "two\n\n![](x.png)\n", *["one\n\nown %d\n" % n for n in range(20)], "", None)
+    cfg = J.JobConfig(limit=40)
+    once = J.translate_each_line_once(d, cfg, fn).collect()
+    asked = open(log).read().split("\n")[:-1]
+    assert sorted(asked) == sorted(["one", "two", *["own %d" % n for n in range(20)]])
+    each = J.translate_corpus(d, cfg, lambda lines, f, t: [x.upper() for x in lines]).collect()
+    assert sorted(map(tuple, once), key=str) == sorted(map(tuple, each), key=str)
