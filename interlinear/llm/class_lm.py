@@ -1,18 +1,19 @@
 """Language-model scoring with Brown class-based bigrams.
 
 1. Word counts over all training documents (counted per task, summed by word).
-2. The ``CLUSTERED`` most frequent words get classes by exchange clustering:
-   bigrams of these words, of "any other word" and of the document border are
-   counted over all training documents (at most (CLUSTERED + 2)^2 numbers,
-   whatever the corpus) and words move to the class that raises the training
-   likelihood most, for at most ``PASSES`` passes or until none moves.
-3. P(word | previous) = P(class | previous class) P(word | class), both with
-   additive smoothing; all other words form one open class whose emission uses
-   their exact corpus counts.
-
-Scoring needs the exact count of every word. At most ``HEAD`` of the most frequent
-words (a bounded table) are looked up in the task; the others travel as one row per
-document and word and meet the counts in an equi-join.
+   The ``HEAD`` most frequent words (a bounded table) get numbers that tasks look
+   up; the texts are written once as numbers, all other words beside them.
+2. Every word seen ``LEAST`` times gets a class, however many there are. The
+   ``SEED`` most frequent ones are clustered by exchange, one move at a time, on
+   their bigram counts over all training documents (at most (SEED + 2)^2 numbers,
+   whatever the corpus). The others follow in ``BATCHED`` exchange passes: Spark
+   counts each word's neighbouring classes, each word moves to the class that
+   raises the likelihood of these counts most, and the class bigrams are counted
+   again. Words outside the head take the last pass as rows of a table and meet
+   their documents in an equi-join.
+3. P(word | previous) = P(class | previous class) P(word | class). Rarer and
+   unseen words form one open class whose emission uses their exact counts;
+   transitions and the open class are smoothed additively.
 
 Words: ASCII letters lower-cased, split at ASCII white space; a document ends
 with one end token. Null text is empty (the end token alone). A null document
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow_step, materialize, utf8
 
-CLUSTERED = 2048
+SEED = 1024
 CLASSES = 64
+LEAST = 3  # rarer words stay in the open class
 HEAD = 100_000
 HEAD_BYTES = 64  # longer words are never looked up in the task
 PASSES = 4
+BATCHED = 2
 FLUSH = 400_000
 END = b" "  # no word: it holds a space
 SMOOTH = 0.1
@@ -70,40 +74,88 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return arrow_step(texts.select("text"), step, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bigram_counts(texts: DataFrame, numbers, clustered: int) -> DataFrame:
-    """(code, n): code = previous * (clustered + 2) + next over class-word numbers
-    (0: any other word, clustered + 1: document border)."""
-    wide, border = clustered + 2, clustered + 1
-
+def encode(rows: DataFrame, numbers) -> DataFrame:
+    """Texts as numbers: ``numbers`` (int32 a word, 0 outside the head), ``rare``
+    (the distinct words outside) and ``spots`` (int32, which of them stands at each 0)."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, codes, held = numbers.value.get, [], 0
+        get = numbers.value.get
+        for b in batches:
+            coded, rare, spots = [], [], []
+            for text in b.column(3).to_pylist():
+                words = text.lower().split()
+                found = np.fromiter(map(get, words, repeat(0)), np.int32, len(words))
+                first: dict = {}
+                at = [first.setdefault(words[i], len(first)) for i in np.flatnonzero(found == 0).tolist()]
+                coded.append(found.tobytes())
+                rare.append(list(first))
+                spots.append(np.array(at, np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(2), pa.array(coded, pa.binary()), pa.array(rare, pa.list_(pa.binary())),
+                 pa.array(spots, pa.binary())], names=["row", "doc_id", "training", "numbers", "rare", "spots"])
+
+    return arrow_step(rows.select("row", "doc_id", "training", "text"), step,
+                      "row long, doc_id long, training boolean, numbers binary, rare array<binary>, spots binary")
 
-        def out():
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
+def _path(numbers: np.ndarray, of: np.ndarray, border: int) -> np.ndarray:
+    path = np.full(len(numbers) + 2, border, np.int64)
+    path[1:-1] = of[numbers]
+    return path
+
+
+def _summed(codes: list[np.ndarray]) -> pa.RecordBatch:
+    code, n = np.unique(np.concatenate(codes), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+
+
+def _code_counts(cells: DataFrame, codes_of) -> DataFrame:
+    """(code, n): occurrences of the codes that ``codes_of`` gives for a binary cell."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, held = [], 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                words = text.lower().split()
-                seq = np.full(len(words) + 2, border, np.int64)
-                seq[1:-1] = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-                inner = seq[1:-1]
-                inner[inner >= border] = 0  # head words beyond the clustered ones
-                codes.append(seq[:-1] * wide + seq[1:])
-                held += len(seq)
+            for cell in b.column(0).to_pylist():
+                codes.append(codes_of(cell))
+                held += len(codes[-1])
                 if held > 4_000_000:
-                    yield out()
+                    yield _summed(codes)
                     codes, held = [], 0
         if codes:
-            yield out()
+            yield _summed(codes)
+
+    return arrow_step(cells, step, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(cells: DataFrame, of, border: int, dtype: str = "<i4") -> np.ndarray:
+    """Counts of neighbours [previous, next] under the broadcast map ``of`` from
+    numbers to 0 .. border - 1; ``border`` stands before and after a document."""
+    wide = border + 1
+
+    def codes_of(cell: bytes) -> np.ndarray:
+        path = _path(np.frombuffer(cell, dtype), of.value, border)
+        return path[:-1] * wide + path[1:]
 
-    return arrow_step(texts.select("text"), step, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = _code_counts(cells, codes_of).toArrow()
+    pairs = np.zeros(wide * wide, np.int64)
+    pairs[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return pairs.reshape(wide, wide)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def _gain(g: np.ndarray, movable: np.ndarray, r: np.ndarray, l: np.ndarray, own: float) -> np.ndarray:
+    """Rise of the likelihood if a word that the class bigrams ``g`` do not count
+    joins each class: r and l count the classes after and before it, own its repeats."""
+    rows, cols = g[movable], g[:, movable].T
+    gain = (_f(rows + r) - _f(rows)).sum(1) + (_f(cols + l) - _f(cols)).sum(1)
+    diag = g[movable, movable]
+    gain += _f(diag + r[movable] + l[movable] + own) - _f(diag)
+    gain -= _f(diag + r[movable]) - _f(diag) + _f(diag + l[movable]) - _f(diag)
+    out_n, in_n = g.sum(1)[movable], g.sum(0)[movable]
+    return gain - (_f(out_n + r.sum() + own) - _f(out_n) + _f(in_n + l.sum() + own) - _f(in_n))
+
+
 def exchange(bigrams: np.ndarray, classes: int, passes: int) -> np.ndarray:
     """Class of every word number. Number 0 (open class) and the last (border)
     keep classes of their own; the others start dealt out by frequency and move,
@@ -129,13 +181,7 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int) -> np.ndarray:
             g[a] -= r
             g[:, a] -= l
             g[a, a] -= self_count
-            rows, cols = g[movable], g[:, movable].T
-            gain = (_f(rows + r) - _f(rows)).sum(1) + (_f(cols + l) - _f(cols)).sum(1)
-            diag = g[movable, movable]
-            gain += _f(diag + r[movable] + l[movable] + self_count) - _f(diag)
-            gain -= _f(diag + r[movable]) - _f(diag) + _f(diag + l[movable]) - _f(diag)
-            out_n, in_n = g.sum(1)[movable], g.sum(0)[movable]
-            gain -= _f(out_n + r.sum() + self_count) - _f(out_n) + _f(in_n + l.sum() + self_count) - _f(in_n)
+            gain = _gain(g, movable, r, l, self_count)
             to = int(movable[np.argmax(gain)])
             if gain[to - 1] <= gain[a - 1] + 1e-9:
                 to = a
@@ -154,43 +200,128 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int) -> np.ndarray:
     return of
 
 
-class ClassModel:
-    """Log10 probabilities, ready for whole documents as head numbers."""
-
-    def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int, ends: int, bigrams: np.ndarray,
-                 classes: int):
-        self.total, self.distinct = total, distinct
-        self.classes = exchange(bigrams, classes, PASSES)
-        self.border = classes + 1
-        k, clustered = classes + 2, len(bigrams) - 2
-        member = np.zeros((len(bigrams), k))
-        member[np.arange(len(bigrams)), self.classes] = 1
-        g = member.T @ bigrams @ member
-        self.move = np.log10((g + SMOOTH) / (g.sum(1, keepdims=True) + SMOOTH * k))
-        counts = np.array([n for _, n in head], np.float64)
-        grouped = counts[:clustered]
-        per_class = np.bincount(self.classes[1:len(grouped) + 1], grouped, minlength=k)
-        open_total = total - ends - grouped.sum()
-        self.open_norm = np.log10(open_total + SMOOTH * (distinct - len(grouped) - (ends > 0) + 1))
+def best_class(g: np.ndarray, a: int, seen: np.ndarray) -> int:
+    """Class (1 .. classes) for one word of class ``a``, which ``g`` counts. ``seen``:
+    counts of the classes after it, before it, and of its own repeats."""
+    k = len(g)
+    r, l, own = seen[:k].copy(), seen[k:2 * k].copy(), seen[2 * k]
+    r[a] -= own
+    l[a] -= own
+    g = g.copy()
+    g[a] -= r
+    g[:, a] -= l
+    g[a, a] -= own
+    gain = _gain(g, np.arange(1, k - 1), r, l, own)
+    to = int(np.argmax(gain)) + 1
+    return a if a and gain[to - 1] <= gain[a - 1] + 1e-9 else to
+
+
+def _around(path: np.ndarray, spots: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
+    """Context codes of the words at ``spots``: class after, k + class before, 2k
+    for a word that follows itself."""
+    spots = spots + 1
+    return np.concatenate([path[spots + 1], k + path[spots - 1], np.full(int(own.sum()), 2 * k)])
+
+
+def head_contexts(cells: DataFrame, of, k: int, first: int, last: int) -> DataFrame:
+    """(word, context, n) of the head words numbered first to last."""
+    def codes_of(cell: bytes) -> np.ndarray:
+        numbers = np.frombuffer(cell, "<i4")
+        spots = np.flatnonzero((numbers >= first) & (numbers <= last))
+        own = np.zeros(len(spots), bool)
+        inner = spots < len(numbers) - 1
+        own[inner] = numbers[spots[inner]] == numbers[spots[inner] + 1]
+        word = numbers[spots].astype(np.int64)
+        return np.concatenate([word, word, word[own]]) * (2 * k + 1) + _around(_path(numbers, of.value, k - 1), spots, k, own)
+
+    wide = 2 * k + 1
+    return _code_counts(cells, codes_of).select(F.expr(f"code div {wide}").alias("word"),
+                                                (F.col("code") % wide).cast("int").alias("context"), "n")
+
+
+def rare_contexts(coded: DataFrame, of, k: int) -> DataFrame:
+    """(word, context, n) of the words outside the head."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.binary()), pa.array([c for _, c in counts], pa.int32()),
+                                               pa.array(counts.values(), pa.int64())], names=["word", "context", "n"])
+
+        for b in batches:
+            for cell, rare, at in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if not rare:
+                    continue
+                numbers, at = np.frombuffer(cell, "<i4"), np.frombuffer(at, "<i4")
+                spots = np.flatnonzero(numbers == 0)
+                own = np.zeros(len(spots), bool)
+                own[:-1] = (at[:-1] == at[1:]) & (spots[:-1] + 1 == spots[1:])
+                context = _around(_path(numbers, of.value, k - 1), spots, k, own)
+                counts.update(zip([rare[i] for i in np.concatenate([at, at, at[own]]).tolist()], context.tolist()))
+                if len(counts) > FLUSH:
+                    yield out()
+                    counts.clear()
+        yield out()
+
+    found = arrow_step(coded.select("numbers", "rare", "spots"), step, "word binary, context int, n long")
+    return found.groupBy("word", "context").agg(F.sum("n").alias("n"))
+
+
+def moved(contexts: DataFrame, word_type: str, g, of, least: int) -> DataFrame:
+    """(word, class, n) after one batched exchange pass; ``of`` gives the present
+    class of a numbered word (None: the open class). A word's contexts are at most
+    2 k + 1 rows; the classes before it add up to its count."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = g.value.astype(np.float64)
+        k = len(table)
+        for b in batches:
+            words, flat = b.column(0), b.column(1).flatten()
+            context, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            stops = np.cumsum(b.column(1).value_lengths().to_numpy())
+            classes, counts = [], []
+            for i, word in enumerate(words.to_pylist()):
+                seen = np.zeros(2 * k + 1)
+                part = slice(stops[i - 1] if i else 0, stops[i])
+                seen[context[part]] = n[part]
+                counts.append(int(seen[k:2 * k].sum()))
+                now = int(of.value[word]) if of is not None else 0
+                classes.append(best_class(table, now, seen) if counts[-1] >= least else 0)
+            yield pa.RecordBatch.from_arrays([words, pa.array(classes, pa.int32()), pa.array(counts, pa.int64())],
+                                             names=["word", "class", "n"])
+
+    grouped = contexts.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("seen"))
+    return arrow_step(grouped, step, f"word {word_type}, class int, n long")
+
+
+class Emissions:
+    """Log10 emissions of words from their classes and counts."""
+
+    def __init__(self, total: int, distinct: int, ends: int, class_n: np.ndarray, open_distinct: int):
+        self.class_n, self.ends = class_n, ends
+        self.open_norm = np.log10(class_n[0] + SMOOTH * (open_distinct + 1))
         self.base_norm = np.log10(total + SMOOTH * (distinct + 1))
-        self.base = np.concatenate([[0], np.log10(counts + SMOOTH)])  # by head number; 0: not in the head
-        emit = self.base[1:] - self.open_norm
-        emit[:len(grouped)] = np.log10(grouped / per_class[self.classes[1:len(grouped) + 1]])
-        self.emit = np.concatenate([[0], emit])
-        self.class_of = np.zeros(len(head) + 1, np.int64)
-        self.class_of[1:len(grouped) + 1] = self.classes[1:len(grouped) + 1]
-        self.end_base = np.log10(ends + SMOOTH)
-        self.known_end = int(ends > 0)
-
-    def document(self, numbers: np.ndarray) -> tuple[float, float, int]:
-        """Base score, model score and known tokens without the counts of words
-        outside the head: each of those still adds log10(count + SMOOTH) to both."""
-        path = np.full(len(numbers) + 2, self.border)
-        path[1:-1] = self.class_of[numbers]
-        outside = int((numbers == 0).sum())
-        base = self.base[numbers].sum() + self.end_base - (len(numbers) + 1) * self.base_norm
-        score = self.move[path[:-1], path[1:]].sum() + self.emit[numbers].sum() - outside * self.open_norm
-        return float(base), float(score), len(numbers) - outside + self.known_end
+        self.end_base = np.log10(ends + SMOOTH) - self.base_norm
+
+    def base(self, n: np.ndarray) -> np.ndarray:
+        return np.log10(n + SMOOTH) - self.base_norm
+
+    def emit(self, classes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        opened = classes == 0
+        closed = np.log10(np.where(opened, 1, n) / np.where(opened, 1, self.class_n[classes]))
+        return np.where(opened, np.log10(n + SMOOTH) - self.open_norm, closed)
+
+
+class Model(NamedTuple):
+    """What training leaves: all texts as class paths (``paths``), the classes of
+    the head words by number (``of``, 0: open), their counts, the table (word,
+    class, n) of the words outside the head, emissions and log10 transitions."""
+
+    paths: DataFrame
+    head: list[tuple[bytes, int]]
+    of: np.ndarray
+    rare: DataFrame
+    emissions: Emissions
+    move: np.ndarray
 
 
 def _head(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -212,63 +343,120 @@ def _head(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist()), key=lambda w: (-w[1], w[0]))
 
 
-def train(texts: DataFrame, counts: DataFrame, clustered: int, classes: int, head_size: int) -> tuple:
-    """Broadcast (head numbers, model) of training texts and their word counts."""
-    sc = texts.sparkSession.sparkContext
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def class_paths(coded: DataFrame, rare: DataFrame, of, head_n, emissions) -> DataFrame:
+    """One row per text: its class path (uint16), summed base and emission
+    probabilities and known words. Words outside the head meet their class and count
+    in an equi-join, one row per text and distinct word."""
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, emissions_ = of.value, emissions.value
+        base, emit = emissions_.base(head_n.value), emissions_.emit(classes, head_n.value)
+        base[0] = emit[0] = 0  # added when the word is met
+        for b in batches:
+            path, bases, emits = [], [], []
+            for cell in b.column(3).to_pylist():
+                numbers = np.frombuffer(cell, "<i4")
+                here = classes[numbers].astype("<u2")
+                here[numbers == 0] = 65535
+                path.append(here.tobytes())
+                bases.append(float(base[numbers].sum()))
+                emits.append(float(emit[numbers].sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(path, pa.binary()), pa.array(bases, pa.float64()),
+                                              pa.array(emits, pa.float64()), b.column(4)],
+                                             names=["row", "doc_id", "training", "path", "base", "emit", "spots"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emissions_ = emissions.value
+        for b in batches:
+            paths, bases, emits, known, tokens = [], [], [], [], []
+            for path, base, emit, spots, met in zip(*(b.column(i).to_pylist() for i in range(3, 8))):
+                path, spots = np.frombuffer(path, "<u2").copy(), np.frombuffer(spots, "<i4")
+                unseen = 0
+                if len(spots):
+                    found = np.array([(m["at"], m["class"], m["n"]) for m in met], np.int64)
+                    found = found[np.argsort(found[:, 0])][spots]
+                    classes, n = found[:, 1], found[:, 2]
+                    path[path == 65535] = classes
+                    base += float(emissions_.base(n).sum())
+                    emit += float(emissions_.emit(classes, n).sum())
+                    unseen = int((n == 0).sum())
+                paths.append(path.tobytes())
+                bases.append(base + emissions_.end_base)
+                emits.append(emit)
+                known.append(len(path) - unseen + int(emissions_.ends > 0))
+                tokens.append(len(path) + 1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(1), b.column(2), pa.array(paths, pa.binary()), pa.array(bases, pa.float64()), pa.array(emits, pa.float64()),
+                 pa.array(known, pa.int64()), pa.array(tokens, pa.int64())],
+                names=["doc_id", "training", "path", "base", "emit", "known", "n_tokens"])
+
+    first = arrow_step(coded.select("row", "doc_id", "training", "numbers", "spots"), ahead,
+                       "row long, doc_id long, training boolean, path binary, base double, emit double, spots binary")
+    met = coded.select("row", F.posexplode("rare").alias("at", "word")).join(rare, "word", "left").groupBy("row").agg(
+        F.collect_list(F.struct("at", F.coalesce("class", F.lit(0)).alias("class"), F.coalesce("n", F.lit(0)).alias("n"))).alias("met"))
+    return arrow_step(first.join(met, "row", "left"), whole, "doc_id long, training boolean, path binary, base double, emit double, "
+                                                             "known long, n_tokens long")
+
+
+def train(rows: DataFrame, seed: int, classes: int, head_size: int, least: int) -> Model:
+    """Classes and probabilities from the rows (row, doc_id, text, training)."""
+    sc = rows.sparkSession.sparkContext
+    counts = materialize(word_counts(rows.where("training")), "word-counts")
+    total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"),
+                                       F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
     head = _head(counts, head_size)
-    numbers = sc.broadcast({w: n for n, (w, _) in enumerate(head, 1)})
-    wide = clustered + 2
-    bigrams = np.zeros(wide * wide, np.int64)
-    found = bigram_counts(texts, numbers, clustered).toArrow()
-    bigrams[found.column("code").to_numpy()] = found.column("n").to_numpy()
-    return numbers, sc.broadcast(ClassModel(head, total, distinct, ends, bigrams.reshape(wide, wide), classes))
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clustered: int = CLUSTERED,
-          classes: int = CLASSES, head_size: int = HEAD) -> DataFrame:
+    coded = materialize(encode(rows, sc.broadcast({w: n for n, (w, _) in enumerate(head, 1)})), "lm-numbers")
+    cells = coded.where("training").select("numbers")
+    k = classes + 2
+    head_n = np.array([0, *(n for _, n in head)], np.int64)
+    last = int((head_n >= least).sum()) if least > 0 else len(head)  # the head falls by count
+    seed = min(seed, last)
+    alone = np.arange(len(head) + 1)
+    alone[seed + 1:] = 0
+    of = np.zeros(len(head) + 1, np.int64)
+    of[1:seed + 1] = exchange(pair_counts(cells, sc.broadcast(alone), seed + 1), classes, PASSES)[1:-1]
+    for _ in range(BATCHED if last > seed else 0):
+        now, g = sc.broadcast(of), sc.broadcast(pair_counts(cells, sc.broadcast(of), k - 1))
+        found = moved(head_contexts(cells, now, k, seed + 1, last), "long", g, now, least).toArrow()
+        of = of.copy()
+        of[found.column("word").to_numpy()] = found.column("class").to_numpy()
+    now, g = sc.broadcast(of), sc.broadcast(pair_counts(cells, sc.broadcast(of), k - 1))
+    rare = materialize(moved(rare_contexts(coded.where("training"), now, k), "binary", g, None, least), "lm-rare")
+    class_n, words = np.bincount(of[1:], head_n[1:], minlength=k), np.bincount(of[1:], minlength=k)
+    for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        class_n[r["class"]] += r["n"]
+        words[r["class"]] += r["words"]
+    emissions = Emissions(total, distinct, ends, class_n, int(words[0]))
+    paths = materialize(class_paths(coded, rare, now, sc.broadcast(head_n), sc.broadcast(emissions)), "lm-paths")
+    g = pair_counts(paths.where("training").select("path"), sc.broadcast(np.arange(k)), k - 1, "<u2")
+    move = np.log10((g + SMOOTH) / (g.sum(1, keepdims=True) + SMOOTH * k))
+    return Model(paths, head, of, rare, emissions, move)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED,
+          classes: int = CLASSES, head_size: int = HEAD, least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score and perplexity (of the class model)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        utf8(text_col).alias("text"), training(id_col).alias("training"))
-    texts = rows.where("training")
-    counts = materialize(word_counts(texts), "word-counts")
-    numbers, model = train(texts, counts, clustered, classes, head_size)
-    train_tokens = model.value.total
+    model = train(rows, seed, classes, head_size, least)
+    move = rows.sparkSession.sparkContext.broadcast(model.move)
+    train_tokens = int(model.emissions.class_n.sum()) + int(model.emissions.ends)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, lm = numbers.value.get, model.value
+        table = move.value
+        same = np.arange(len(table))
         for b in batches:
-            base, scores, known, tokens, rare, times = [], [], [], [], [], []
-            for text in b.column(2).to_pylist():
-                words = text.lower().split()
-                coded = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-                one = lm.document(coded)
-                base.append(one[0])
-                scores.append(one[1])
-                known.append(one[2])
-                tokens.append(len(words) + 1)
-                outside = Counter([words[i] for i in np.flatnonzero(coded == 0).tolist()])
-                rare.append(list(outside.keys()))
-                times.append(list(outside.values()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(3), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.binary())),
-                 pa.array(times, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "training", "n_tokens", "known", "base", "score", "rare", "times"])
-
-    scored = materialize(arrow_step(rows, step, "row long, doc_id long, training boolean, n_tokens long, known long, "
-                                                "base double, score double, rare array<binary>, times array<long>"), "lm")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
-        "row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    found = rare.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("more"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.join(found, "row", "left").select(
-        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
-        F.pow(F.lit(10.0), -(F.col("score") + more) / F.col("n_tokens")).alias("perplexity"))
+            steps = []
+            for cell in b.column(2).to_pylist():
+                path = _path(np.frombuffer(cell, "<u2"), same, len(table) - 1)
+                steps.append(float(table[path[:-1], path[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 3, 4, 5, 6)), pa.array(steps, pa.float64())],
+                                             names=["doc_id", "training", "base", "emit", "known", "n_tokens", "steps"])
+
+    scored = arrow_step(model.paths.select("doc_id", "training", "path", "base", "emit", "known", "n_tokens"), step,
+                        "doc_id long, training boolean, base double, emit double, known long, n_tokens long, steps double")
+    log10 = F.col("emit") + F.col("steps")
+    return scored.select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"),
+        F.lit(train_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), log10.alias("score"),
+        F.pow(F.lit(10.0), -log10 / F.col("n_tokens")).alias("perplexity"))

@@ -112,7 +112,7 @@ def test_repeats(docs, none):
 
 
 def test_class_lm(docs, none):
-    got = class_lm.score(docs, clustered=4, classes=2, head_size=3).collect()
+    got = class_lm.score(docs, seed=4, classes=2, head_size=3, least=1).collect()
     assert len(got) == len(ROWS)
     for r in got:
         assert np.isfinite([r.base_score, r.score, r.perplexity]).all()

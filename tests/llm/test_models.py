@@ -1,36 +1,98 @@
 """Trained models: normalised probabilities, held-out accuracy, whole pages."""
 
 import html
+import math
+import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from interlinear.llm import class_lm, cotraining, html_blocks
 
 SF = "/root/testdata/sf0.01"
 
 
-def _model(words, clustered=6, classes=2):
-    counts = {w: words.count(w) for w in words}
-    head = sorted(counts.items(), key=lambda w: (-w[1], w[0]))
-    numbers = {w: n for n, (w, _) in enumerate(head, 1)}
-    path = [clustered + 1, *[n if (n := numbers[w]) <= clustered else 0 for w in words], clustered + 1]
-    bigrams = np.zeros((clustered + 2, clustered + 2), np.int64)
-    np.add.at(bigrams, (path[:-1], path[1:]), 1)
-    return head, bigrams, class_lm.ClassModel(head, len(words) + 1, len(counts) + 1, 1, bigrams, classes)
-
-
-def test_class_model_is_a_distribution():
-    words = ("the cat sat on the mat and the dog sat on the log while a bird sang to the cat " * 3).encode().split()
-    head, bigrams, lm = _model(words)
-    assert np.allclose((10 ** lm.move).sum(1), 1)
-    emit, mass = 10 ** lm.emit, np.zeros(4)
-    np.add.at(mass, lm.class_of[1:], emit[1:])
-    unseen = class_lm.SMOOTH / 10 ** lm.open_norm
-    assert np.allclose(mass + [unseen, 0, 0, 1], [1, 1, 1, 1])  # open class, two classes, the end
-    base, score, known = lm.document(np.array([1, 2]))
-    a, b = lm.class_of[1], lm.class_of[2]
-    assert np.isclose(score, lm.move[3, a] + lm.emit[1] + lm.move[a, b] + lm.emit[2] + lm.move[b, 3]) and known == 3
+def _by_hand(model, rows):
+    """Counts, base and model scores of (doc_id, text) in plain Python, from the
+    classes that training gave the words."""
+    words = [[*t.encode().lower().split()] for _, t in rows]
+    train = [w for (i, _), w in zip(rows, words) if zlib.crc32(str(i).encode()) % 10]
+    n = Counter(x for w in train for x in w)
+    of = {w: int(c) for (w, _), c in zip(model.head, model.of[1:])} | {bytes(r.word): r["class"] for r in model.rare.collect()}
+    assert set(of) == set(n) and {bytes(r.word): r.n for r in model.rare.collect()}.items() <= n.items()
+    border = len(model.move) - 1
+    total, vocabulary = sum(n.values()) + len(train), len(n) + (len(train) > 0)
+    inside = Counter()
+    for w, m in n.items():
+        inside[of[w]] += m
+    opened = sum(c == 0 for c in of.values())
+
+    def path(w):
+        return [border, *[of.get(x, 0) for x in w], border]
+    pairs = Counter(p for w in train for p in zip(path(w), path(w)[1:]))
+    left = Counter()
+    for (a, _), m in pairs.items():
+        left[a] += m
+
+    def emit(x):
+        c = of.get(x, 0)
+        return n[x] / inside[c] if c else (n[x] + .1) / (inside[0] + .1 * (opened + 1))
+    for (i, _), w in zip(rows, words):
+        p = path(w)
+        yield (i, len(w) + 1, sum(n[x] > 0 for x in w) + (len(train) > 0), total,
+               sum(math.log10((c + .1) / (total + .1 * (vocabulary + 1))) for c in [*(n[x] for x in w), len(train)]),
+               sum(math.log10((pairs[q] + .1) / (left[q[0]] + .1 * (border + 1))) for q in zip(p, p[1:])) + sum(math.log10(emit(x)) for x in w))
+
+
+@pytest.mark.parametrize("seed, head_size", [(8, 40), (1024, 100_000), (3, 0)])
+def test_class_scores_against_brute_force(spark, seed, head_size):
+    """Also with most words outside the head: they get classes and exact counts too."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(150)] + ["long" * 30, "Éa", "X"]
+    rows = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(len(words))], k=rng.randint(0, 60)))) for i in range(120)]
+    rows += [(3, "long" * 30 + " new-word"), (3, "long" * 30 + " new-word"), (7, "rare rare rare\trare only here"), (10, "never seen words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    args = dict(seed=seed, classes=5, head_size=head_size, least=3)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", class_lm.utf8("text").alias("text"),
+                           class_lm.training("doc_id").alias("training"))
+    model = class_lm.train(numbered, **args)
+    in_class = {bytes(r.word): r["class"] for r in model.rare.collect()} | {w: int(c) for (w, _), c in zip(model.head, model.of[1:])}
+    counts = Counter(x for i, t in rows if zlib.crc32(str(i).encode()) % 10 for x in t.encode().lower().split())
+    assert all((in_class[w] > 0) == (n >= 3) for w, n in counts.items())
+    got = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in class_lm.score(docs, **args).collect())
+    want = sorted(_by_hand(model, rows))
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:4] == w[:4] and np.allclose(g[4:], w[4:]), (g, w)
+
+
+def test_class_model_is_a_distribution(spark):
+    """For each previous class, all words, the unseen ones and the end add up to 1."""
+    rows = [(1, "the cat sat on the mat and the dog sat on the log while a bird sang to the cat " * 3 + "once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    numbered = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", class_lm.utf8("text").alias("text"), F.lit(True).alias("training"))
+    model = class_lm.train(numbered, 6, 2, 8, 2)
+    counts = {w: (n, c) for (w, n), c in zip(model.head, model.of[1:])} | {bytes(r.word): (r.n, r["class"]) for r in model.rare.collect()}
+    mass = np.zeros(4)
+    for n, c in counts.values():
+        mass[c] += 10 ** float(model.emissions.emit(np.array([c]), np.array([n]))[0])
+    mass[0] += class_lm.SMOOTH / 10 ** model.emissions.open_norm
+    assert np.allclose((10 ** model.move).sum(1), 1) and np.allclose(mass, [1, 1, 1, 0])
+    assert counts[b"once"] == (1, 0) and all(c > 0 for n, c in counts.values() if n > 1)
+
+
+def test_batched_moves_find_the_class(spark):
+    """A word used like the words of one class joins it."""
+    g = np.array([[0, 0, 0, 0], [0, 0, 50, 0], [0, 0, 0, 50], [0, 60, 0, 0]])
+    seen = np.zeros(9)
+    seen[2], seen[4 + 3] = 10, 10  # class 2 after it, the border before it: like class 1
+    g[0, 2] += 10
+    g[3, 0] += 10
+    assert class_lm.best_class(g.astype(float), 0, seen) == 1
 
 
 def test_exchange_raises_the_likelihood():
@@ -82,11 +144,12 @@ def test_a_repeated_labelled_id_fills_nothing(spark):
 
 
 def test_bigrams_keep_borders_apart(spark):
-    texts = spark.createDataFrame([(b"a c d b",)], "text binary")
-    numbers = spark.sparkContext.broadcast({b"a": 1, b"b": 2, b"c": 3, b"d": 4})  # two clustered words
-    got = {r.code: r.n for r in class_lm.bigram_counts(texts, numbers, 2).collect()}
+    cells = spark.createDataFrame([(np.array([1, 3, 4, 2], np.int32).tobytes(),)], "numbers binary")
+    got = class_lm.pair_counts(cells, spark.sparkContext.broadcast(np.array([0, 1, 2, 0, 0])), 3)  # two words of their own
     path = [3, 1, 0, 0, 2, 3]  # border, a, open class twice, b, border
-    assert got == {4 * a + b: 1 for a, b in zip(path, path[1:])}
+    want = np.zeros((4, 4), int)
+    np.add.at(want, (path[:-1], path[1:]), 1)
+    assert (got == want).all()
 
 
 def test_articles_outlive_their_wrappers_names(spark):
