@@ -103,13 +103,18 @@ def _path(numbers: np.ndarray, of: np.ndarray, border: int) -> np.ndarray:
     return path
 
 
-def _summed(codes: list[np.ndarray]) -> pa.RecordBatch:
-    code, n = np.unique(np.concatenate(codes), return_counts=True)
+def _summed(codes: list[np.ndarray], size: int) -> pa.RecordBatch:
+    if size <= 2_000_000:
+        n = np.bincount(np.concatenate(codes), minlength=1)
+        code = np.flatnonzero(n)
+        n = n[code]
+    else:
+        code, n = np.unique(np.concatenate(codes), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
 
-def _code_counts(cells: DataFrame, codes_of) -> DataFrame:
-    """(code, n): occurrences of the codes that ``codes_of`` gives for a binary cell."""
+def _code_counts(cells: DataFrame, codes_of, size: int) -> DataFrame:
+    """(code, n): occurrences of the codes below ``size`` that ``codes_of`` gives for a binary cell."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, held = [], 0
         for b in batches:
@@ -117,10 +122,10 @@ def _code_counts(cells: DataFrame, codes_of) -> DataFrame:
                 codes.append(codes_of(cell))
                 held += len(codes[-1])
                 if held > 4_000_000:
-                    yield _summed(codes)
+                    yield _summed(codes, size)
                     codes, held = [], 0
         if codes:
-            yield _summed(codes)
+            yield _summed(codes, size)
 
     return arrow_step(cells, step, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -134,7 +139,7 @@ def pair_counts(cells: DataFrame, of, border: int, dtype: str = "<i4") -> np.nda
         path = _path(np.frombuffer(cell, dtype), of.value, border)
         return path[:-1] * wide + path[1:]
 
-    found = _code_counts(cells, codes_of).toArrow()
+    found = _code_counts(cells, codes_of, wide * wide).toArrow()
     pairs = np.zeros(wide * wide, np.int64)
     pairs[found.column("code").to_numpy()] = found.column("n").to_numpy()
     return pairs.reshape(wide, wide)
@@ -152,7 +157,7 @@ def _gain(g: np.ndarray, movable: np.ndarray, r: np.ndarray, l: np.ndarray, own:
     diag = g[movable, movable]
     gain += _f(diag + r[movable] + l[movable] + own) - _f(diag)
     gain -= _f(diag + r[movable]) - _f(diag) + _f(diag + l[movable]) - _f(diag)
-    out_n, in_n = g.sum(1)[movable], g.sum(0)[movable]
+    out_n, in_n = g.sum(1)[movable] + l[movable], g.sum(0)[movable] + r[movable]
     return gain - (_f(out_n + r.sum() + own) - _f(out_n) + _f(in_n + l.sum() + own) - _f(in_n))
 
 
@@ -201,7 +206,7 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int) -> np.ndarray:
 
 
 def best_class(g: np.ndarray, a: int, seen: np.ndarray) -> int:
-    """Class (1 .. classes) for one word of class ``a``, which ``g`` counts. ``seen``:
+    """Class for one word of class ``a``, which ``g`` counts. ``seen``:
     counts of the classes after it, before it, and of its own repeats."""
     k = len(g)
     r, l, own = seen[:k].copy(), seen[k:2 * k].copy(), seen[2 * k]
@@ -213,7 +218,7 @@ def best_class(g: np.ndarray, a: int, seen: np.ndarray) -> int:
     g[a, a] -= own
     gain = _gain(g, np.arange(1, k - 1), r, l, own)
     to = int(np.argmax(gain)) + 1
-    return a if a and gain[to - 1] <= gain[a - 1] + 1e-9 else to
+    return a if gain[to - 1] <= gain[a - 1] + 1e-9 else to
 
 
 def _around(path: np.ndarray, spots: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
@@ -235,12 +240,14 @@ def head_contexts(cells: DataFrame, of, k: int, first: int, last: int) -> DataFr
         return np.concatenate([word, word, word[own]]) * (2 * k + 1) + _around(_path(numbers, of.value, k - 1), spots, k, own)
 
     wide = 2 * k + 1
-    return _code_counts(cells, codes_of).select(F.expr(f"code div {wide}").alias("word"),
-                                                (F.col("code") % wide).cast("int").alias("context"), "n")
+    return _code_counts(cells, codes_of, (last + 1) * wide).select(F.expr(f"code div {wide}").alias("word"),
+                                                                   (F.col("code") % wide).cast("int").alias("context"), "n")
 
 
 def rare_contexts(coded: DataFrame, of, k: int) -> DataFrame:
-    """(word, context, n) of the words outside the head."""
+    """(word, context, n) of the words outside the head, one context per occurrence:
+    (class after * k + class before) * 2, plus 1 where the word follows itself.
+    Summed per task before they move, so one shuffle by word serves both groupings."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
@@ -254,40 +261,75 @@ def rare_contexts(coded: DataFrame, of, k: int) -> DataFrame:
                     continue
                 numbers, at = np.frombuffer(cell, "<i4"), np.frombuffer(at, "<i4")
                 spots = np.flatnonzero(numbers == 0)
-                own = np.zeros(len(spots), bool)
+                own = np.zeros(len(spots), np.int64)
                 own[:-1] = (at[:-1] == at[1:]) & (spots[:-1] + 1 == spots[1:])
-                context = _around(_path(numbers, of.value, k - 1), spots, k, own)
-                counts.update(zip([rare[i] for i in np.concatenate([at, at, at[own]]).tolist()], context.tolist()))
+                path = _path(numbers, of.value, k - 1)
+                context = (path[spots + 2] * k + path[spots]) * 2 + own
+                counts.update(zip([rare[i] for i in at.tolist()], context.tolist()))
                 if len(counts) > FLUSH:
                     yield out()
                     counts.clear()
         yield out()
 
     found = arrow_step(coded.select("numbers", "rare", "spots"), step, "word binary, context int, n long")
-    return found.groupBy("word", "context").agg(F.sum("n").alias("n"))
+    return found.repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
+
+
+def joining(g: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Classes for words of the open class, one row of ``seen`` (as in ``best_class``,
+    but own repeats counted apart only) each, against the class bigrams as they stand."""
+    k = len(g)
+    inner, fg = slice(1, k - 1), _f(g)
+    after, before, own = seen[:, :k], seen[:, k:2 * k], seen[:, 2 * k:]
+    gain = np.zeros((len(seen), k - 2))
+    for side, table, ftable in ((after, g.T, fg.T), (before, g, fg)):
+        word, context = np.nonzero(side)
+        if len(word):
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            rise = _f(table[context, inner] + side[word, context][:, None]) - ftable[context, inner]
+            gain[word[starts]] += np.add.reduceat(rise, starts)
+    d, r, l = np.diag(g)[inner], after[:, inner], before[:, inner]
+    gain += _f(d + r + l + own) + _f(d) - _f(d + r) - _f(d + l)
+    out_n, in_n = g.sum(1)[inner] + l, g.sum(0)[inner] + r
+    return 1 + np.argmax(gain - _f(out_n + after.sum(1, keepdims=True) + own) + _f(out_n)
+                         - _f(in_n + before.sum(1, keepdims=True) + own) + _f(in_n), 1)
 
 
 def moved(contexts: DataFrame, word_type: str, g, of, least: int) -> DataFrame:
-    """(word, class, n) after one batched exchange pass; ``of`` gives the present
-    class of a numbered word (None: the open class). A word's contexts are at most
-    2 k + 1 rows; the classes before it add up to its count."""
+    """(word, class, n) after one batched exchange pass. ``of`` gives the present
+    class of a numbered word; None: words outside the head, of the open class, with
+    the contexts of ``rare_contexts``. A word has at most 2 k + 1 or 2 k^2 contexts;
+    the classes before it add up to its count."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = g.value.astype(np.float64)
         k = len(table)
         for b in batches:
-            words, flat = b.column(0), b.column(1).flatten()
-            context, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            stops = np.cumsum(b.column(1).value_lengths().to_numpy())
-            classes, counts = [], []
-            for i, word in enumerate(words.to_pylist()):
-                seen = np.zeros(2 * k + 1)
-                part = slice(stops[i - 1] if i else 0, stops[i])
-                seen[context[part]] = n[part]
-                counts.append(int(seen[k:2 * k].sum()))
-                now = int(of.value[word]) if of is not None else 0
-                classes.append(best_class(table, now, seen) if counts[-1] >= least else 0)
-            yield pa.RecordBatch.from_arrays([words, pa.array(classes, pa.int32()), pa.array(counts, pa.int64())],
-                                             names=["word", "class", "n"])
+            context, n = (b.column(1).flatten().field(i).to_numpy() for i in (0, 1))
+            word = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+            if of is None:
+                own = context % 2 == 1
+                word, context, n = (np.concatenate([word, word, word[own]]),
+                                    np.concatenate([context // (2 * k), k + context // 2 % k, np.full(int(own.sum()), 2 * k)]),
+                                    np.concatenate([n, n, n[own]]))
+            prior = (context >= k) & (context < 2 * k)
+            counts = np.bincount(word[prior], n[prior], b.num_rows).astype(np.int64)
+            now = np.zeros(b.num_rows, np.int64) if of is None else of.value[b.column(0).to_numpy()]
+            classes = np.zeros(b.num_rows, np.int64)
+            often = np.flatnonzero(counts >= least)
+            at = np.full(b.num_rows, -1)
+            for some in np.split(often, range(1000, len(often), 1000)):
+                at[:] = -1
+                at[some] = np.arange(len(some))
+                mine = at[word] >= 0
+                seen = np.zeros((len(some), 2 * k + 1))
+                np.add.at(seen, (at[word[mine]], context[mine]), n[mine])
+                new = now[some] == 0
+                apart = seen[new]
+                apart[:, [0, k]] -= apart[:, 2 * k:]
+                classes[some[new]] = joining(table, apart)
+                for i in np.flatnonzero(~new).tolist():
+                    classes[some[i]] = best_class(table, int(now[some[i]]), seen[i])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes.astype(np.int32)), pa.array(counts)], names=["word", "class", "n"])
 
     grouped = contexts.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("seen"))
     return arrow_step(grouped, step, f"word {word_type}, class int, n long")
@@ -368,13 +410,15 @@ def class_paths(coded: DataFrame, rare: DataFrame, of, head_n, emissions) -> Dat
         emissions_ = emissions.value
         for b in batches:
             paths, bases, emits, known, tokens = [], [], [], [], []
-            for path, base, emit, spots, met in zip(*(b.column(i).to_pylist() for i in range(3, 8))):
+            met = b.column(7).flatten()
+            place, of_rare, n_rare = (met.field(i).to_numpy() for i in range(3))
+            stops = np.cumsum(b.column(7).value_lengths().fill_null(0).to_numpy()).tolist()
+            for path, base, emit, spots, start, stop in zip(*(b.column(i).to_pylist() for i in range(3, 7)), [0, *stops], stops):
                 path, spots = np.frombuffer(path, "<u2").copy(), np.frombuffer(spots, "<i4")
                 unseen = 0
                 if len(spots):
-                    found = np.array([(m["at"], m["class"], m["n"]) for m in met], np.int64)
-                    found = found[np.argsort(found[:, 0])][spots]
-                    classes, n = found[:, 1], found[:, 2]
+                    order = start + np.argsort(place[start:stop])[spots]
+                    classes, n = of_rare[order], n_rare[order]
                     path[path == 65535] = classes
                     base += float(emissions_.base(n).sum())
                     emit += float(emissions_.emit(classes, n).sum())

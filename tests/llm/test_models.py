@@ -85,14 +85,28 @@ def test_class_model_is_a_distribution(spark):
     assert counts[b"once"] == (1, 0) and all(c > 0 for n, c in counts.values() if n > 1)
 
 
-def test_batched_moves_find_the_class(spark):
-    """A word used like the words of one class joins it."""
-    g = np.array([[0, 0, 0, 0], [0, 0, 50, 0], [0, 0, 0, 50], [0, 60, 0, 0]])
-    seen = np.zeros(9)
-    seen[2], seen[4 + 3] = 10, 10  # class 2 after it, the border before it: like class 1
-    g[0, 2] += 10
-    g[3, 0] += 10
-    assert class_lm.best_class(g.astype(float), 0, seen) == 1
+def test_batched_moves_raise_the_likelihood_most():
+    """The moves of a pass against the likelihood written out, class by class."""
+    rng = np.random.default_rng(8)
+    g = rng.poisson(20, (6, 6)).astype(float)
+
+    def likelihood(g):
+        return class_lm._f(g).sum() - class_lm._f(g.sum(0)).sum() - class_lm._f(g.sum(1)).sum()
+
+    def put(g, c, seen, sign):
+        g = g.copy()
+        g[c] += sign * seen[:6]
+        g[:, c] += sign * seen[6:12]
+        g[c, c] += sign * seen[12]
+        return g
+    seen = rng.poisson(.7, (40, 13)).astype(float)
+    want = [1 + int(np.argmax([likelihood(put(g, c, s, 1)) for c in range(1, 5)])) for s in seen]
+    assert class_lm.joining(g, seen).tolist() == want
+    for a, s in zip(rng.integers(1, 5, 40), seen):
+        counted = s.copy()  # with the word in class a, its repeats stand among its neighbours
+        counted[[a, 6 + a]] += s[12]
+        best = 1 + int(np.argmax([likelihood(put(g, c, s, 1)) for c in range(1, 5)]))
+        assert class_lm.best_class(put(g, a, s, 1), a, counted) == best
 
 
 def test_exchange_raises_the_likelihood():
