@@ -80,18 +80,19 @@ def encode(rows: DataFrame, numbers) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = numbers.value.get
         for b in batches:
-            coded, rare, spots = [], [], []
+            coded, rare, stops, spots = [], [], [0], []
             for text in b.column(3).to_pylist():
                 words = text.lower().split()
                 found = np.fromiter(map(get, words, repeat(0)), np.int32, len(words))
-                first: dict = {}
-                at = [first.setdefault(words[i], len(first)) for i in np.flatnonzero(found == 0).tolist()]
+                outside = [words[i] for i in np.flatnonzero(found == 0).tolist()]
+                place = {w: i for i, w in enumerate(dict.fromkeys(outside))}
                 coded.append(found.tobytes())
-                rare.append(list(first))
-                spots.append(np.array(at, np.int32).tobytes())
+                rare.extend(place)
+                stops.append(len(rare))
+                spots.append(np.fromiter(map(place.__getitem__, outside), np.int32, len(outside)).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(coded, pa.binary()), pa.array(rare, pa.list_(pa.binary())),
-                 pa.array(spots, pa.binary())], names=["row", "doc_id", "training", "numbers", "rare", "spots"])
+                [b.column(0), b.column(1), b.column(2), pa.array(coded, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(rare, pa.binary())), pa.array(spots, pa.binary())], names=["row", "doc_id", "training", "numbers", "rare", "spots"])
 
     return arrow_step(rows.select("row", "doc_id", "training", "text"), step,
                       "row long, doc_id long, training boolean, numbers binary, rare array<binary>, spots binary")
@@ -247,29 +248,27 @@ def head_contexts(cells: DataFrame, of, k: int, first: int, last: int) -> DataFr
 def rare_contexts(coded: DataFrame, of, k: int) -> DataFrame:
     """(word, context, n) of the words outside the head, one context per occurrence:
     (class after * k + class before) * 2, plus 1 where the word follows itself.
-    Summed per task before they move, so one shuffle by word serves both groupings."""
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.binary()), pa.array([c for _, c in counts], pa.int32()),
-                                               pa.array(counts.values(), pa.int64())], names=["word", "context", "n"])
+    Summed per batch before they move; one shuffle by word serves both groupings."""
+    size = 2 * k * k
 
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for cell, rare, at in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if not rare:
+            words = b.column(1).flatten().dictionary_encode()
+            word = words.indices.to_numpy().astype(np.int64)
+            starts = np.cumsum(b.column(1).value_lengths().to_numpy()) - b.column(1).value_lengths().to_numpy()
+            codes = [np.zeros(0, np.int64)]
+            for cell, at, start in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), starts.tolist()):
+                if not at:
                     continue
                 numbers, at = np.frombuffer(cell, "<i4"), np.frombuffer(at, "<i4")
                 spots = np.flatnonzero(numbers == 0)
                 own = np.zeros(len(spots), np.int64)
                 own[:-1] = (at[:-1] == at[1:]) & (spots[:-1] + 1 == spots[1:])
                 path = _path(numbers, of.value, k - 1)
-                context = (path[spots + 2] * k + path[spots]) * 2 + own
-                counts.update(zip([rare[i] for i in at.tolist()], context.tolist()))
-                if len(counts) > FLUSH:
-                    yield out()
-                    counts.clear()
-        yield out()
+                codes.append(word[start + at] * size + (path[spots + 2] * k + path[spots]) * 2 + own)
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code // size)), pa.array((code % size).astype(np.int32)),
+                                              pa.array(n)], names=["word", "context", "n"])
 
     found = arrow_step(coded.select("numbers", "rare", "spots"), step, "word binary, context int, n long")
     return found.repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
