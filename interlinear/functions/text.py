@@ -13,6 +13,10 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from interlinear.functions import inline
+from interlinear.functions.inline import _CLOSE, _GONE, _LINK, _LINKED, _OPEN, _OWN, CARRY, CODE_SPAN, DEST, TAG, _nested  # noqa: F401
+from interlinear.session import ship
+
 # Unicode-aware white space (Java's \s with UNICODE_CHARACTER_CLASS), the same
 # set that a Unicode ``trim`` removes. Spark's ``trim`` only strips ' '.
 _WS = r"(?U)^\s+|\s+$"
@@ -87,38 +91,6 @@ def fold(xs: str, start: dict[str, str], out: str, step: str, finish: str = "s.c
 
 
 # --- Markdown inline text -------------------------------------------------
-# Private-use characters stand for pieces that no rule may touch (open, number,
-# close; a source character equal to ``open`` becomes open + own), for the ends
-# of a link, for markup that was dropped and for the end of a carried paragraph.
-_OPEN, _OWN, _CLOSE, _LINK, _LINKED, _GONE, CARRY = (chr(0xE000 + n) for n in range(7))
-
-# A code span: a backtick run, content, the same run again.
-CODE_SPAN = r"(?<!`)(`+)(?!`)([^" + CARRY + r"]*?[^`" + CARRY + r"])\1(?!`)"
-_AUTOLINK = r"<([a-zA-Z][a-zA-Z0-9+.\-]{1,31}:[^<>\s]*|[^<>\s@]+@[^<>\s@]+\.[^<>\s@]+)>"
-TAG = (r"<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<!\[CDATA\[[\s\S]*?\]\]>|<![A-Za-z][^>]*>|"
-        r"</?[a-zA-Z][a-zA-Z0-9\-]*(?:\s+[a-zA-Z_:][a-zA-Z0-9_.:\-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>")
-_FOOTNOTE = r"\[\^[^\]\s]+\]"
-# What no later rule may touch: escapes, code spans, autolinks, raw HTML, footnote references.
-PROTECTED = r"\\[!-/:-@\[-`{-~]|" + f"{CODE_SPAN}|{_AUTOLINK}|{TAG}|{_FOOTNOTE}"
-
-
-def _nested(open_: str, close: str, plain: str, depth: int) -> str:
-    """Balanced brackets as a regex, nested up to ``depth`` levels."""
-    inner = f"{plain}*+"
-    for _ in range(depth):
-        inner = f"(?:{plain}++|{open_}{inner}{close})*+"
-    return inner
-
-
-# CommonMark bounds nested parentheses of a link destination at 32 levels.
-DEST = r"\(\s*+(?:<[^<>\n]*>|" + _nested(r"\(", r"\)", r"[^()\s]", 32) + r")(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)"
-_BRACKET = rf"!?\[|\](?=({DEST})?)(?=(\[[^\[\]]{{0,999}}\])?)|{CARRY}"
-
-
-def label_key(x: str) -> str:
-    """Link labels match without case, outer white space, runs of it and escapes."""
-    return f"lower(trim(regexp_replace(regexp_replace({x}, {sql_str(r'\\(?=[!-/:-@\[-`{-~])')}, ''), {sql_str(r'\s+')}, ' ')))"
-
 
 def decode_entities(c) -> Column:
     """Decode numeric and named character references."""
@@ -163,123 +135,15 @@ def _restored(x: str, kept: str) -> str:
             f" ''), {sql_str(_OPEN + _OWN)}, {sql_str(_OPEN)})")
 
 
-def _links(t: str, refs: str, kept: str) -> str:
-    """Brackets to links: one fold over the brackets with a stack of the open
-    ones. A closing bracket makes a link if a destination follows, or a label
-    (or its own text, where none follows) that the document defines. Link ends
-    become marks and what follows the text of a link is dropped."""
-    b, rec = sql_str(_BRACKET), "struct<j: int, act: int, cut: int>"
-    marks = (f"zip_with(regexp_extract_all({t}, {b}, 0), zip_with(regexp_extract_all({t}, {b}, 1), regexp_extract_all({t}, {b}, 2),"
-             " (d, l) -> named_struct('d', d, 'l', l)), (m, x) -> named_struct('m', m, 'd', x.d, 'l', x.l))")
-    r = lambda j, act, cut="0": f"named_struct('j', {j}, 'act', {act}, 'cut', {cut})"
-    piece = "length(element_at(ps, x.j + 2))"  # the text behind mark j (from 0)
-    top = "element_at(s.bs, -1)"
-    inner = (f"array_join(zip_with(slice(ps, {top}.j + 2, x.j - {top}.j), slice(ms, {top}.j + 2, x.j - {top}.j),"
-             " (p, m) -> concat(p, m.m)), '')")  # and the closing bracket itself
-    own = let("n", inner, "substring(n, 1, length(n) - 1)")
-    own = f"if(x.j - {top}.j > 999, '', {let('n', own, f'if(contains(n, {sql_str(_OPEN)}), {_restored('n', kept)}, n)')})"
-    defined = lambda x: f"array_contains({refs}, {label_key(x)})"
-    # -1: no link; else the length of what is dropped behind it
-    found = (f"case when x.m.d != '' then length(x.m.d) when {refs} is null then -1"
-             f" when x.m.l in ('', '[]') then if({defined(own)}, length(x.m.l), -1)"
-             f" when {defined('substring(x.m.l, 2, length(x.m.l) - 2)')} then length(x.m.l) else -1 end")
-
-    def state(bs="s.bs", dead="s.dead", skip="0", new=None):
-        return struct_of(bs=bs, dead=dead, skip=skip, cur=f"concat(s.cur, {new})" if new else "s.cur")
-
-    pop = "slice(s.bs, 1, size(s.bs) - 1)"
-    literal = state(bs=pop, dead="least(s.dead, size(s.bs) - 1)", new=f"array({r(f'{top}.j', 0)}, {r('x.j', 0)})")
-    linked = state(bs=pop, dead=f"if({top}.img, least(s.dead, size(s.bs) - 1), size(s.bs) - 1)", skip=f"greatest(0, k - {piece})",
-                   new=f"array({r(f'{top}.j', 1)}, {r('x.j', 2, f'least(k, {piece})')})")
-    step = (
-        f"case when s.skip > 0 then {state(skip=f'greatest(0, s.skip - length(x.m.m) - {piece})', new=f'array({r('x.j', 3, f'greatest(0, least(s.skip - length(x.m.m), {piece}))')})')}"
-        f" when x.m.m = {sql_str(CARRY)} then {state(bs='slice(s.bs, 1, 0)', dead='0', new=f'concat(transform(s.bs, e -> {r('e.j', 0)}), array({r('x.j', 0)}))')}"
-        f" when x.m.m != ']' then {state(bs="array_append(s.bs, named_struct('j', x.j, 'img', x.m.m = '!['))")}"
-        f" when size(s.bs) = 0 then {state(new=f'array({r('x.j', 0)})')}"
-        f" when not {top}.img and size(s.bs) <= s.dead then {literal}"
-        f" else {let('k', found, f'if(k < 0, {literal}, {linked})')} end")
-    start = {"bs": "cast(array() as array<struct<j: int, img: boolean>>)", "dead": "0", "skip": "0"}
-    ends = fold("transform(ms, (m, j) -> named_struct('j', j, 'm', m))", start, rec, step,
-                f"array_sort(concat(s.cur, transform(s.bs, e -> {r('e.j', 0)})))")
-    built = ("array_join(transform(ps, (p, j) -> concat(if(j = 0, p, substring(p, element_at(rs, j).cut + 1)), if(j >= size(ms), '',"
-             f" case element_at(rs, j + 1).act when 0 then element_at(ms, j + 1).m when 1 then {sql_str(_LINK)} when 2 then {sql_str(_LINKED)} else '' end))), '')")
-    return let("ps", f"split({t}, {b}, -1)", let("ms", marks, let("rs", ends, built)))
-
-
-def _emphasis(t: str) -> str:
-    """Matched emphasis and strike markers dropped: one fold over the delimiter
-    runs with a stack of those that may open, by flanking and the rule of three;
-    a link's text is a level of its own. A run that no later one could close
-    is never pushed, and matched ones leave, so the work is linear in the text."""
-    d = sql_str(rf"\*+|_+|~+|[{_LINK}{_LINKED}{CARRY}]")
-    rec, run = "array<struct<j: int, n: int>>", "array<struct<j: int, c: string, n: int, orig: int, both: boolean>>"
-    punct = rf"[\p{{P}}\p{{S}}{_OPEN}-{_GONE}]"
-    space = rf"^[\s\p{{Z}}{CARRY}]?$"
-    before = "if(element_at(ps, j + 1) != '', right(element_at(ps, j + 1), 1), if(j = 0, '', right(element_at(ds, j), 1)))"
-    behind = "if(element_at(ps, j + 2) != '', left(element_at(ps, j + 2), 1), if(j + 1 >= size(ds), '', left(element_at(ds, j + 2), 1)))"
-    flanks = let("g", struct_of(b=before, a=behind), let("f", struct_of(
-        wb=f"g.b rlike {sql_str(space)}", wa=f"g.a rlike {sql_str(space)}", pb=f"g.b rlike {sql_str(punct)}", pa=f"g.a rlike {sql_str(punct)}"),
-        let("h", struct_of(l="(not f.wa and (not f.pa or f.wb or f.pb))", r="(not f.wb and (not f.pb or f.wa or f.pa))", pb="f.pb", pa="f.pa"), struct_of(
-            j="j", c="left(m, 1)", n="length(m)",
-            o="case left(m, 1) when '*' then h.l when '_' then h.l and (not h.r or h.pb) when '~' then h.l and length(m) = 2 else false end",
-            cl="case left(m, 1) when '*' then h.r when '_' then h.r and (not h.l or h.pa) when '~' then h.r and length(m) = 2 else false end"))))
-    last = lambda c: f"coalesce(array_max(transform(filter(rs, x -> x.cl and x.c = '{c}'), x -> x.j)), -1)"
-    lit = lambda e: f"named_struct('j', {e}.j, 'n', {e}.n)"
-    floor = "if(size(s.fl) = 0, 0, element_at(s.fl, -1))"
-    fits = ("(e.c = x.c and (e.c != '~' or e.n = x.n) and not ((e.both or (x.o and x.cl)) and (e.orig + x.n) % 3 = 0"
-            " and not (e.orig % 3 = 0 and x.n % 3 = 0)))")
-    # the opener nearest to the top, -1 if none is left
-    at = f"coalesce(array_max(filter(sequence(q.lo + 1, size(q.st)), i -> {let('e', 'element_at(q.st, i)', fits)})), -1)"
-    taken = let("i", f"if(q.rem = 0 or size(q.st) <= q.lo, -1, {at})", "if(i < 0, named_struct('st', q.st, 'rem', q.rem, 'out', q.out, 'lo', q.lo, 'go', false), " + let(
-        "e", "element_at(q.st, i)", struct_of(
-            st=f"concat(slice(q.st, 1, i - 1), if(e.n > q.rem, array(named_struct('j', e.j, 'c', e.c, 'n', e.n - q.rem, 'orig', e.orig, 'both', e.both)), cast(array() as {run})))",
-            rem="greatest(0, q.rem - e.n)",
-            out=f"concat(q.out, transform(slice(q.st, i + 1, size(q.st)), o -> {lit('o')}), if(e.n > q.rem, cast(array() as {rec}), array(named_struct('j', e.j, 'n', 0))))",
-            lo="q.lo", go="true")) + ")")
-    closed = (f"if(x.cl and exists(s.st, e -> e.c = x.c), aggregate(sequence(1, greatest(1, size(s.st) - {floor})),"
-              f" named_struct('st', s.st, 'rem', x.n, 'out', cast(array() as {rec}), 'lo', {floor}, 'go', true), (q, i) -> if(q.go, {taken}, q)),"
-              f" named_struct('st', s.st, 'rem', x.n, 'out', cast(array() as {rec}), 'lo', 0, 'go', false))")
-    opens = "(r.rem > 0 and x.o and x.j < case x.c when '*' then lc.a when '_' then lc.u else lc.t end)"
-    final = lambda n: f"named_struct('j', x.j, 'n', {n})"
-
-    def state(st, new, fl="s.fl"):
-        return struct_of(st=st, fl=fl, cur=f"concat(s.cur, {new})")
-
-    end_link = f"transform(slice(s.st, {floor} + 1, size(s.st)), e -> {lit('e')})"
-    step = (
-        f"case x.c when {sql_str(_LINK)} then {state('s.st', f'array({final(0)})', 'array_append(s.fl, size(s.st))')}"
-        f" when {sql_str(_LINKED)} then {state(f'slice(s.st, 1, {floor})', f'concat({end_link}, array({final(0)}))', 'slice(s.fl, 1, greatest(0, size(s.fl) - 1))')}"
-        f" when {sql_str(CARRY)} then {state('slice(s.st, 1, 0)', f'concat(transform(s.st, e -> {lit('e')}), array({final(1)}))', 'slice(s.fl, 1, 0)')}"
-        " else " + let("r", closed, state(
-            f"if({opens}, array_append(r.st, named_struct('j', x.j, 'c', x.c, 'n', r.rem, 'orig', x.n, 'both', x.o and x.cl)), r.st)",
-            f"concat(r.out, if({opens}, cast(array() as {rec}), array({final('r.rem')})))")) + " end")
-    start = {"st": f"cast(array() as {run})", "fl": "cast(array() as array<int>)"}
-    left = fold("rs", start, "struct<j: int, n: int>", step, f"array_sort(concat(s.cur, transform(s.st, e -> {lit('e')})))")
-    built = ("array_join(transform(ps, (p, j) -> if(j >= size(ds), p, concat(p, if(element_at(os, j + 1).n > 0,"
-             f" repeat(left(element_at(ds, j + 1), 1), element_at(os, j + 1).n), if(left(element_at(ds, j + 1), 1) in ({sql_str(_LINK)}, {sql_str(_LINKED)}),"
-             f" element_at(ds, j + 1), {sql_str(_GONE)}))))), '')")
-    return let("ps", f"split({t}, {d}, -1)", let("ds", f"regexp_extract_all({t}, {d}, 0)", let(
-        "rs", f"transform(ds, (m, j) -> {flanks})", let("lc", struct_of(a=last("*"), u=last("_"), t=last("~")), let("os", left, built)))))
-
-
 def with_inline_marks(df, src: str, out: str, kept: str, refs: str | None = None):
-    """``out``: the Markdown of ``src`` with its markup read. Protected pieces
-    are numbers into the array column ``kept``; links stand between link marks,
-    and a mark is left where markup was dropped."""
-    q, has = f"`{src}`", f"__has_{kept}"
-    labels = f"`{refs}`" if refs else "cast(null as array<string>)"
-    inner = f"regexp_replace(regexp_replace(x, '^`+|`+$', ''), {sql_str(r'^ ([\s\S]*[^ ][\s\S]*) $')}, '$1')"
-    pieces = (f"transform(regexp_extract_all({q}, {sql_str(PROTECTED)}, 0), x -> case when startswith(x, '`') then concat('`', {inner}, '`')"
-              f" when startswith(x, {sql_str(chr(92))}) then substring(x, 2) when x rlike {sql_str('^' + _AUTOLINK + '$')} then substring(x, 2, length(x) - 2) else '' end)")
-    apart = let("ps", f"split({q}, {sql_str(PROTECTED)}, -1)",
-                f"array_join(transform(ps, (p, i) -> concat(replace(p, {sql_str(_OPEN)}, {sql_str(_OPEN + _OWN)}),"
-                f" case when i < size(ps) - 1 then concat({sql_str(_OPEN)}, cast(i as string), {sql_str(_CLOSE)}) else '' end)), '')")
-    df = df.selectExpr("*", f"{q} rlike {sql_str(r'[`<\\' + _OPEN + r']|\[\^')} as {has}")
-    df = df.selectExpr("*", f"case when {has} then {pieces} end as {kept}", f"case when {has} then {apart} else {q} end as __t0")
-    df = df.selectExpr("*", f"if(contains(__t0, '['), {_links('__t0', labels, kept)}, __t0) as __t1")
-    df = df.selectExpr("*", f"if(__t1 rlike '[*_]|~~', {_emphasis('__t1')}, __t1) as __t2")
-    keep = [f"`{c}`" for c in df.columns if c not in ("__t0", "__t1", "__t2", has, out)]
-    return df.selectExpr(*keep, f"__t2 as `{out}`")
+    """``out``: the Markdown of ``src`` with its markup read (``inline.marked``).
+    Protected pieces are numbers into the array column ``kept``; links stand
+    between link marks, and a mark is left where markup was dropped."""
+    ship(df.sparkSession)
+    labels = F.col(f"`{refs}`") if refs else F.lit(None).cast("array<string>")
+    keep = [c for c in df.columns if c not in (out, kept)]
+    df = df.select(*[F.col(f"`{c}`") for c in keep], inline.marks(F.col(f"`{src}`"), labels).alias("__m"))
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col("__m.kept").alias(kept), F.col("__m.marked").alias(out))
 
 
 _MARKS = f"[{_LINK}-{CARRY}]"
