@@ -17,10 +17,9 @@ from interlinear.functions import inline
 from interlinear.functions.inline import _CLOSE, _GONE, _LINK, _LINKED, _OPEN, _OWN, CARRY, CODE_SPAN, DEST, TAG, _nested  # noqa: F401
 from interlinear.session import ship
 
-# Unicode-aware white space (Java's \s with UNICODE_CHARACTER_CLASS), the same
-# set that a Unicode ``trim`` removes. Spark's ``trim`` only strips ' '.
-_WS = r"(?U)^\s+|\s+$"
-_WS_END = r"(?U)\s+$"
+# Unicode white space (Java's \s with UNICODE_CHARACTER_CLASS): a pattern with
+# it would test every character of a text, a trim by list only the ends.
+_WS = ("\t\n\v\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def col_of(c) -> Column:
@@ -29,12 +28,12 @@ def col_of(c) -> Column:
 
 def utrim(c) -> Column:
     """Strip Unicode white space at both ends."""
-    return F.regexp_replace(col_of(c), _WS, "")
+    return F.trim(col_of(c), F.lit(_WS))
 
 
 def utrim_end(c) -> Column:
     """Strip Unicode white space at the end only."""
-    return F.regexp_replace(col_of(c), _WS_END, "")
+    return F.rtrim(col_of(c), F.lit(_WS))
 
 
 def seg_bytes(c) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from interlinear.functions.text import sql_str, utrim
 
-_UWS = r"(?U)^\s+|\s+$"
+_TEXT = r"(?U)\S"
 
 
 def align_positional(segs: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -52,7 +52,7 @@ def align_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
     of the request, so line j goes to the j-th segment from the first
     non-blank one. One explode per batch gives every segment with its
     ``translation`` (null for trimmed segments and failed batches)."""
-    nb = f"transform(segs, x -> regexp_replace(x.text, {sql_str(_UWS)}, '') != '')"
+    nb = f"transform(segs, x -> x.text rlike {sql_str(_TEXT)})"
     # first/last non-blank position, once per batch (not once per element)
     r = resp.selectExpr("*", f"{nb} as __nb")
     r = r.selectExpr("*", "cast(array_position(__nb, true) as int) as __f",
@@ -72,7 +72,7 @@ def align_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def report_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
     """A5 from batch rows: segments, lines returned, missing, extra, trimmed."""
-    nb = f"transform(segs, x -> regexp_replace(x.text, {sql_str(_UWS)}, '') != '')"
+    nb = f"transform(segs, x -> x.text rlike {sql_str(_TEXT)})"
     first = f"array_position({nb}, true)"
     sent = f"case when {first} > 0 then size(segs) - array_position(reverse({nb}), true) + 2 - {first} else 0 end"
     lines = "coalesce(size(dst), 0)"

@@ -23,53 +23,65 @@ TEXT_SCHEMA = "struct<tgt_text:string,from:string,to:string,error_code:string,er
 RESULT_COLS = ["status", "dst", "error_code", "error_msg"]
 
 
-def _result(ok_dst, code, msg):
-    status = (F.when(ok_dst.isNotNull(), F.lit("ok"))
-              .when(code.isNotNull(), F.lit("error"))
-              .otherwise(F.lit("bad_json")))
-    return [status.alias("status"), ok_dst.alias("dst"),
-            F.when(ok_dst.isNull(), code).alias("error_code"), F.when(ok_dst.isNull(), msg).alias("error_msg")]
+def _found(body: str, schema: str, dst, code, msg):
+    """``body`` parsed once: struct of its lines, error code and message."""
+    one = lambda j: F.struct(dst(j).alias("dst"), code(j).alias("code"), msg(j).alias("msg"))
+    return F.element_at(F.transform(F.array(F.from_json(F.col(body), schema)), one), 1)
+
+
+def _pairs(body: str):
+    return _found(body, PAIRS_SCHEMA, lambda j: F.transform(j["trans_result"], lambda x: x["dst"]),
+                  lambda j: j["error_code"], lambda j: j["error_msg"])
+
+
+def _list(body: str):
+    return _found(body, LIST_SCHEMA, lambda j: j["Response"]["TargetTextList"],
+                  lambda j: j["Response"]["Error"]["Code"], lambda j: j["Response"]["Error"]["Message"])
+
+
+def _text(body: str, code):
+    return _found(body, TEXT_SCHEMA, lambda j: F.when(j["tgt_text"].isNotNull(), F.split(utrim_end(j["tgt_text"]), "\n", -1)),
+                  code, lambda j: j["error_msg"])
+
+
+def _result(df: DataFrame, found) -> DataFrame:
+    """``df`` with the result columns. They leave a generator, not a projection:
+    a filter on them pushed below a projection would build and parse the body
+    again for each place that it names one."""
+    def one(r):
+        status = (F.when(r["dst"].isNotNull(), F.lit("ok"))
+                  .when(r["code"].isNotNull(), F.lit("error"))
+                  .otherwise(F.lit("bad_json")))
+        return F.struct(status.alias("status"), r["dst"].alias("dst"),
+                        F.when(r["dst"].isNull(), r["code"]).alias("error_code"), F.when(r["dst"].isNull(), r["msg"]).alias("error_msg"))
+
+    return df.drop(*RESULT_COLS).select("*", F.inline(F.transform(F.array(found), one)))
 
 
 def parse_pairs(df: DataFrame, body: str = "body") -> DataFrame:
     """``{from,to,trans_result:[{src,dst}]}`` or ``{error_code,error_msg}``."""
-    j = F.from_json(F.col(body), PAIRS_SCHEMA)
-    dst = F.transform(j["trans_result"], lambda x: x["dst"])
-    return df.drop(*RESULT_COLS).select("*", *_result(dst, j["error_code"], j["error_msg"]))
+    return _result(df, _pairs(body))
 
 
 def parse_list(df: DataFrame, body: str = "body") -> DataFrame:
     """``Response.TargetTextList`` or ``Response.Error{Code,Message}``."""
-    j = F.from_json(F.col(body), LIST_SCHEMA)["Response"]
-    return df.drop(*RESULT_COLS).select("*", *_result(j["TargetTextList"], j["Error"]["Code"], j["Error"]["Message"]))
+    return _result(df, _list(body))
 
 
 def parse_text(df: DataFrame, body: str = "body") -> DataFrame:
     """``tgt_text`` right-trimmed then split on newline, or the error."""
-    j = F.from_json(F.col(body), TEXT_SCHEMA)
-    dst = F.when(j["tgt_text"].isNotNull(), F.split(utrim_end(j["tgt_text"]), "\n", -1))
-    code = F.when(j["apikey"].isNotNull() | j["error_msg"].isNotNull(), j["error_code"])
-    return df.drop(*RESULT_COLS).select("*", *_result(dst, code, j["error_msg"]))
+    return _result(df, _text(body, lambda j: F.when(j["apikey"].isNotNull() | j["error_msg"].isNotNull(), j["error_code"])))
 
 
 def unify_responses(df: DataFrame, body: str = "body") -> DataFrame:
     """One result shape for every provider, chosen per row by ``provider``.
 
-    All three decoders run as one projection with CASE on the provider (no
-    union of filtered branches), so responses are scanned once.
+    All three decoders run as one CASE on the provider (no union of filtered
+    branches), so responses are scanned once and each body is parsed once.
     """
     p = F.col("provider")
-    jp = F.from_json(F.col(body), PAIRS_SCHEMA)
-    jl = F.from_json(F.col(body), LIST_SCHEMA)["Response"]
-    jt = F.from_json(F.col(body), TEXT_SCHEMA)
-    dst = (F.when(p == "baidu", F.transform(jp["trans_result"], lambda x: x["dst"]))
-           .when(p == "tencent", jl["TargetTextList"])
-           .when(p == "niutrans", F.when(jt["tgt_text"].isNotNull(), F.split(utrim_end(jt["tgt_text"]), "\n", -1))))
-    code = (F.when(p == "baidu", jp["error_code"]).when(p == "tencent", jl["Error"]["Code"])
-            .when(p == "niutrans", jt["error_code"]))
-    msg = (F.when(p == "baidu", jp["error_msg"]).when(p == "tencent", jl["Error"]["Message"])
-           .when(p == "niutrans", jt["error_msg"]))
-    return df.drop(*RESULT_COLS).select("*", *_result(dst, code, msg))
+    return _result(df, F.when(p == "baidu", _pairs(body)).when(p == "tencent", _list(body))
+                   .when(p == "niutrans", _text(body, lambda j: j["error_code"])))
 
 
 def explain_error(parsed: DataFrame, codes: DataFrame) -> DataFrame:
