@@ -226,7 +226,7 @@ def q_corpus_totals(spark, sf):
 @register("slice_by_range", f"""WITH {SEG_A}
 SELECT doc_id, seg_no, {RANGES} AS byte_start, text || {NL} AS piece, true AS matches FROM seg_a_len""")
 def q_slice_by_range(spark, sf):
-    s = _segs_a(spark, sf)
+    s = J.materialize(_segs_a(spark, sf))  # read twice
     return M.slice_by_range(s, M.whole_text(s)).select("doc_id", "seg_no", "byte_start", "piece", "matches")
 
 
@@ -516,8 +516,9 @@ from interlinear.plans import jobs as J  # noqa: E402
 
 
 def _tencent_pipeline(spark, sf):
-    """Corpus A at the 2000-char provider limit through the stub service."""
-    segs = _segs_a(spark, sf)
+    """Corpus A at the 2000-char provider limit through the stub service. The
+    segments are read twice: for the requests and to put the lines back."""
+    segs = J.materialize(_segs_a(spark, sf))
     batched = B.batch_segments(segs, 2000, "chars")
     bt = B.batch_text(batched).withColumn("provider", F.lit("tencent")) \
           .withColumn("from_lang", F.lit("en")).withColumn("to_lang", F.lit("zh"))

@@ -54,7 +54,7 @@ def _limit(cfg: JobConfig) -> tuple[str, int]:
     raise ValueError(f"unknown provider {cfg.provider!r}")
 
 
-def _materialize(df: DataFrame, how: str) -> DataFrame:
+def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
     if how == "checkpoint":
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
@@ -113,15 +113,15 @@ def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=N
         bt = B.text_batches(segs, limit, unit, key)
         batched = None
         if cfg.alignment == "positional":  # needs the segments again: every segment with its batch
-            batched = _materialize(B.assign_batches(B.with_limit(segs, limit, unit), key), cfg.materialize)
+            batched = materialize(B.assign_batches(B.with_limit(segs, limit, unit), key), cfg.materialize)
             bt = B.batch_text(batched, key)
         elif not service:  # read by the translator and again with its answers
-            bt = _materialize(bt, cfg.materialize)
+            bt = materialize(bt, cfg.materialize)
     bt = bt.withColumn("provider", F.lit(cfg.provider)) \
            .withColumn("from_lang", F.lit(cfg.from_lang)).withColumn("to_lang", F.lit(cfg.to_lang))
     resp = _answers(R.build_requests(bt, cfg.creds, cfg.timestamp), translator, key)
     if not service:
-        resp = _materialize(resp, cfg.materialize)
+        resp = materialize(resp, cfg.materialize)
     # a partial answer keeps the lines it has; only failed batches lose theirs
     usable = F.col("status").isin("ok", "partial")
     if cfg.alignment == "positional":
@@ -158,20 +158,20 @@ def translate_each_line_once(docs: DataFrame, cfg: JobConfig | None = None, tran
         raise ValueError("each line once needs a limit above 0 and keyed alignment")
     use_document_partitioning(docs.sparkSession)
     docs = distribute_docs(docs.select(key, text_col), key)
-    segs = _materialize(extract_segments(docs, key, text_col, list_mode=cfg.list_mode, distribute=False).filter("not is_tail"), cfg.materialize)
+    segs = materialize(extract_segments(docs, key, text_col, list_mode=cfg.list_mode, distribute=False).filter("not is_tail"), cfg.materialize)
     said = segs.filter(utrim("text") != "").groupBy("text").agg(F.min("n_bytes").alias("n_bytes"), F.min("n_chars").alias("n_chars"))
-    said = _materialize(said, cfg.materialize)
+    said = materialize(said, cfg.materialize)
     groups = max(1, -(-said.count() // GROUP_LINES))
     order = Window.partitionBy("__group").orderBy("text")
     lines = said.withColumn("__group", F.pmod(F.xxhash64("text"), F.lit(groups))).withColumn("seg_no", F.row_number().over(order) - 1)
     lines = lines.select(F.col("__group").alias(key), "seg_no", "text", "n_bytes", "n_chars", F.lit(False).alias("is_tail"))
     bt = B.text_batches(lines, limit, unit, key).withColumn("provider", F.lit(cfg.provider)) \
         .withColumn("from_lang", F.lit(cfg.from_lang)).withColumn("to_lang", F.lit(cfg.to_lang))
-    resp = _answers(R.build_requests(_materialize(bt, cfg.materialize), cfg.creds, cfg.timestamp), translator, key)
+    resp = _answers(R.build_requests(materialize(bt, cfg.materialize), cfg.creds, cfg.timestamp), translator, key)
     usable = F.col("status").isin("ok", "partial")
     known = A.align_in_batches(resp.withColumn("dst", F.when(usable, F.col("dst")))
                                .withColumn("reason", F.when(~usable, F.coalesce("error_msg", "status"))), key)
-    known = _materialize(known.select("text", "translation", "batch_ok", "reason"), cfg.materialize)
+    known = materialize(known.select("text", "translation", "batch_ok", "reason"), cfg.materialize)
     met = segs.join(known.hint("merge"), "text", "left").withColumn("batch_ok", F.coalesce("batch_ok", F.lit(True)))
     return render(docs, met, key, text_col, distribute=False)
 
@@ -182,5 +182,5 @@ def retranslate(docs: DataFrame, cfg: JobConfig | None = None, translator=None,
     translation of both). The first pass is materialised: the second reads its
     documents twice and must not translate them again."""
     first = translate_corpus(docs, cfg, translator, key, text_col)
-    again = _materialize(first.select(key, F.col("rendered").alias(text_col)), (cfg or JobConfig()).materialize)
+    again = materialize(first.select(key, F.col("rendered").alias(text_col)), (cfg or JobConfig()).materialize)
     return translate_corpus(again, cfg, translator, key, text_col)
