@@ -4,7 +4,9 @@ Files are read with Spark's ``binaryFile`` source (one row per file, read by
 the executors), checked for valid UTF-8 with a native expression and decoded.
 The ``text`` source with ``wholetext`` would silently turn bad bytes into
 U+FFFD, which is why it is not used for S1. Names are listed on the driver
-(they are the asked work list); contents are read by the executors.
+(they are the asked work list); contents are read by the executors. A file over
+``RANGE`` bytes is checked in ranges, by many tasks; only if all of them are
+valid is it read whole, as its one row needs.
 """
 
 from __future__ import annotations
@@ -12,6 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from interlinear.session import ship
+
+RANGE = 64 << 20  # bytes of a file that one task checks
+BLOCK = 1 << 20   # bytes that it holds
 DOC_COLS = ["path", "doc_kind", "content", "status"]
 
 
@@ -46,24 +52,90 @@ def _listed(spark: SparkSession, paths: list[str], keep=lambda name: True) -> li
     return out
 
 
-def _read_hidden(batches):
+def _open(path: str):
     import re
 
-    import pandas as pd
     from pyarrow import fs
+    system, place = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path))
+    return system.open_input_file(place)
+
+
+def _read_hidden(batches):
+    import pandas as pd
     for names in batches:
         read = []
         for path in names["path"]:
-            system, place = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path))
-            with system.open_input_stream(place) as f:
+            with _open(path) as f:
                 read.append(f.read())
         yield pd.DataFrame({"path": names["path"], "content": read, "length": [len(c) for c in read]})
 
 
+def _valid_range(f, start: int, end: int) -> bool:
+    """Whether the characters that start in a range are valid UTF-8. The bytes
+    that go on a character at the range's start are left to the range before,
+    which reads past its own end for them."""
+    goes_on = lambda at: next((n for n, x in enumerate(f.read_at(4, at)) if x & 0xC0 != 0x80), min(4, f.size() - at))
+    skip, more = goes_on(start) if start else 0, goes_on(end)
+    if max(skip, more) > 3:  # no character has four of them
+        return False
+    from codecs import getincrementaldecoder
+    decoder, at = getincrementaldecoder("utf-8")(), start + skip
+    try:
+        while at < end + more:
+            block = f.read_at(min(BLOCK, end + more - at), at)
+            if not block:
+                raise OSError("file became shorter while it was read")
+            decoder.decode(block)
+            at += len(block)
+        decoder.decode(b"", True)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _check_ranges(batches):
+    import pandas as pd
+    for rows in batches:
+        ok = []
+        for path, start, end in zip(rows["path"], rows["start"], rows["end"]):
+            with _open(path) as f:
+                ok.append(_valid_range(f, int(start), int(end)))
+        yield pd.DataFrame({"asked": rows["asked"], "path": rows["path"], "length": rows["length"], "ok": ok})
+
+
+def _read_valid(batches):
+    import pandas as pd
+    for rows in batches:
+        for path, length, ok in zip(rows["path"], rows["length"], rows["ok"]):
+            content = None
+            if ok:
+                with _open(path) as f:
+                    content = f.read()
+            yield pd.DataFrame({"path": [path], "content": [content], "length": [length], "ok": [ok]})
+
+
+def _load_large(spark: SparkSession, large: list[tuple[str, int]], kind: str) -> DataFrame:
+    ship(spark)
+    n = sum(-(-length // RANGE) for _, length in large)
+    files = [(i, path, length) for i, (path, length) in enumerate(large)]  # a path may be asked twice
+    ranges = spark.createDataFrame(files, "asked bigint, path string, length bigint").selectExpr(
+        "*", f"explode(sequence(0L, length - 1, {RANGE}L)) as start").selectExpr(
+        "*", f"least(start + {RANGE}, length) as end").repartition(min(n, 10_000))
+    checked = ranges.mapInPandas(_check_ranges, "asked bigint, path string, length bigint, ok boolean")
+    checked = checked.groupBy("asked", "path", "length").agg(F.min("ok").alias("ok"))
+    # a valid file is one row; a task of its own for each, as far as that goes
+    read = checked.repartition(min(len(large), 10_000), "asked").mapInPandas(
+        _read_valid, "path string, content binary, length bigint, ok boolean")
+    return read.select(
+        "path", F.lit(kind).alias("doc_kind"), F.decode("content", "UTF-8").alias("content"),
+        F.when(F.col("ok"), F.lit("normal")).otherwise(F.lit("invalid_utf8")).alias("status"), F.col("length").alias("n_bytes"))
+
+
 def _load(spark: SparkSession, found: list[tuple[str, str, int]], kind: str) -> DataFrame:
     """Contents of listed files. Spark's readers skip names that start with a
     dot or an underscore; the executors read those through Arrow's file systems."""
-    full = [p for _, p, n in found if p is not None and n]
+    full = [p for _, p, n in found if p is not None and 0 < n <= RANGE]
+    large = [(p, n) for _, p, n in found if p is not None and n > RANGE]
     rest = [(a if p is None else p, "missing" if p is None else "normal") for a, p, n in found if p is None or not n]
     empty = spark.createDataFrame([(p, kind, "" if s == "normal" else None, s, 0) for p, s in rest], _EMPTY)
     hidden = [p for p in full if p.rsplit("/", 1)[1][:1] in "._"]
@@ -74,6 +146,8 @@ def _load(spark: SparkSession, found: list[tuple[str, str, int]], kind: str) ->
     if hidden:
         names = spark.createDataFrame([(p,) for p in hidden], "path string").repartition(min(len(hidden), 64))
         out = out.unionByName(_decode(names.mapInPandas(_read_hidden, "path string, content binary, length bigint"), kind))
+    if large:
+        out = out.unionByName(_load_large(spark, large, kind))
     return out
 
 
