@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_step, materialize
-from .tokens import encoder, in_slices
+from .tokens import encoder
 
 SIZE = 2048
 OPEN = 64
@@ -104,18 +104,16 @@ def pack_partitions(docs: DataFrame, vocabulary: str, end_id: int, id_col: str,
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer, rows = encoder(vocabulary), Packer(), _Rows(TaskContext.get().partitionId(), 0)
         for b in batches:
-            texts, keys = b.column(1).to_pylist(), b.column(0).to_pylist()
-            for at, to in in_slices(texts):
-                for key, ids in zip(keys[at:to], enc.encode_all(texts[at:to])):
-                    ids += end
-                    tokens, start = len(ids) // 2, 0
-                    while tokens - start >= SIZE:
-                        rows.emit([(key, start, tokens, ids[2 * start:2 * (start + SIZE)])])
-                        start += SIZE
-                    if start < tokens:
-                        full = packer.place((key, start, tokens, ids[2 * start:]), tokens - start)
-                        if full is not None:
-                            rows.emit(full)
+            for key, ids in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1))):
+                ids += end
+                tokens, start = len(ids) // 2, 0
+                while tokens - start >= SIZE:
+                    rows.emit([(key, start, tokens, ids[2 * start:2 * (start + SIZE)])])
+                    start += SIZE
+                if start < tokens:
+                    full = packer.place((key, start, tokens, ids[2 * start:]), tokens - start)
+                    if full is not None:
+                        rows.emit(full)
                 if len(rows.rows) > 5000:
                     yield rows.batch()
         for window in packer.rest():

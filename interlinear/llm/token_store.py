@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_step
-from .tokens import encoder, in_slices
+from .tokens import encoder
 
 PAGE_IDS = 2_000_000
 SAMPLE = 64
@@ -132,15 +132,13 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0,
                 names=["shard", "page", "base", "n_ids", "payload"])
 
         for b in batches:
-            texts, keys = b.column(1).to_pylist(), b.column(0).to_pylist()
-            for at, to in in_slices(texts):
-                for key, ids in zip(keys[at:to], enc.encode_all(texts[at:to])):
-                    doc_ids.append(key)
-                    coded.append(ids + end)
-                    held += len(ids) + 2
-                    if held >= 2 * PAGE_IDS:
-                        yield out()
-                        page, base, doc_ids, coded, held = page + 1, base + held // 2, [], [], 0
+            for key, ids in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1))):
+                doc_ids.append(key)
+                coded.append(ids + end)
+                held += len(ids) + 2
+                if held >= 2 * PAGE_IDS:
+                    yield out()
+                    page, base, doc_ids, coded, held = page + 1, base + held // 2, [], [], 0
         if coded:
             yield out()
 
