@@ -48,14 +48,6 @@ def numbered(df: DataFrame, tag: str) -> DataFrame:
     return materialize(df.withColumn("row", F.monotonically_increasing_id()), tag)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one) for small iterative tables."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
@@ -78,21 +70,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     steps (each one grouped minimum plus one equi-join) until the edge set
     stops changing, which takes a logarithmic number of rounds. A hub's edges
     are never held in one group: the minimum is partially aggregated, and in the
-    join back they stream past the hub's one row (through one task). Each round is
-    checkpointed, so lineage stays short. Vertices without edges are absent.
+    join back they stream past the hub's one row (through one task). Each step is
+    written once, so lineage stays short, and read in as few tasks as its size asks
+    for: the driver keeps track of every task. Vertices without edges are absent.
     """
-    now = checkpointed(edges.where("a <> b")
-                       .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = materialize(edges.where("a <> b")
+                      .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _state(now)
     while seen[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "edges-low")
         large = (both.join(low, "a").where("b > a and b <> m")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")))
-        large = large.union(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large.union(low.where("m < a").select("a", F.col("m").alias("b"))).distinct(), "edges-large")
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "edges-low")
         small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = checkpointed(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        now = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         after = _state(now)
         if after == seen:
             break

@@ -92,10 +92,10 @@ class Views:
     """One view of many documents: shares (statistics, perhaps none) and the
     numbers of the indicators that are set; wide only a block at a time."""
 
-    def __init__(self, shares: np.ndarray, hits: list, n_hits: int):
+    def __init__(self, shares: np.ndarray, hits: pa.ListArray, n_hits: int):
         self.shares, self.n_hits = shares, n_hits
-        self.ends = np.cumsum([len(h) for h in hits], dtype=np.int64)
-        self.hits = np.fromiter((x for h in hits for x in h), np.int32, int(self.ends[-1]) if len(hits) else 0)
+        self.ends = np.cumsum(pc.list_value_length(hits).to_numpy(zero_copy_only=False), dtype=np.int64)
+        self.hits = hits.flatten().to_numpy(zero_copy_only=False)
 
     def __len__(self) -> int:
         return len(self.ends)
@@ -239,6 +239,7 @@ def _lexicons(docs: DataFrame, chosen) -> dict[bytes, int]:
 
     counted = arrow_step(docs.select("id", "text"), step, "word binary, side int, n long").groupBy("word").agg(
         *[F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(f"n{s}") for s in range(2 * n)])
+    counted = materialize(counted, "quality-words")  # or each of the queries below would count anew
     total = counted.where(F.length("word") == 0).first()
     if total is None:
         return {}
@@ -282,11 +283,15 @@ def _with_views(docs: DataFrame, lexicon: dict[bytes, int]) -> DataFrame:
     return materialize(arrow_step(docs, step, out), "quality-views")
 
 
-def _views(shares: list, hits: list, meta: list, lexicon: dict) -> list[Views]:
-    table = np.frombuffer(b"".join(shares), "<f4").reshape(-1, N_STATISTICS)
+def _views(shares: pa.Array, hits: pa.ListArray, meta: pa.ListArray, lexicon: dict) -> list[Views]:
+    table = np.frombuffer(b"".join(shares.to_pylist()), "<f4").reshape(-1, N_STATISTICS)
     return [Views(table, hits, len(lexicon)), Views(np.zeros((len(meta), 0), np.float32), meta, _SOURCES + _LANGS + _SIZES)]
 
 
+def _columns(table: pa.Table) -> list[pa.Array]:
+    return [table.column(c).combine_chunks() for c in ("shares", "hits", "meta")]
+
+
 def _surest(views: DataFrame, models, lexicon, labelled, seen) -> dict[tuple, pa.Table]:
     """(target, teacher, label) -> the HANDED rows that the teacher is surest
     of among all documents without a label for the target and not ``seen``."""
@@ -296,8 +301,8 @@ def _surest(views: DataFrame, models, lexicon, labelled, seen) -> dict[tuple, pa
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, lexicon, labelled, seen = shared.value
         for b in batches:
-            ids, shares, hits, meta, view = (c.to_pylist() for c in b.columns)
-            both = _views(shares, hits, meta, lexicon)
+            ids, view = b.column(0).to_pylist(), b.column(4).to_pylist()
+            both = _views(*b.columns[1:4], lexicon)
             for t, model in enumerate(models):
                 free = np.array([labelled.get(i, _NO_LABELS)[t] is None for i in ids], bool)
                 for teacher in (0, 1):
@@ -319,7 +324,7 @@ def _surest(views: DataFrame, models, lexicon, labelled, seen) -> dict[tuple, pa
     rows = arrow_step(views.selectExpr("id", "__shares", "__hits", "__meta", "__view"), step, f"side int, rank double, {_VIEW}")
     first = Window.partitionBy("side").orderBy("rank", "view")  # ranked in each task first, so few rows meet
     best = rows.dropDuplicates(["side", "view"]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= HANDED).drop("n")
-    found = best.orderBy("side", "rank", "view").toArrow()
+    found = best.toArrow().sort_by([(c, "ascending") for c in ("side", "rank", "view")])  # few rows
     return {(side // 4, side // 2 % 2, side % 2): found.filter(pc.equal(found["side"], side)) for side in pc.unique(found["side"]).to_pylist()}
 
 
@@ -331,13 +336,13 @@ def fit(views: DataFrame, chosen: dict[int, tuple], lexicon: dict[bytes, int]) -
     spark = views.sparkSession
     ids = spark.createDataFrame([(i,) for i in chosen], "id long")  # at most FIT_ROWS
     one = views.join(F.broadcast(ids), "id").groupBy("id").agg(F.min(F.struct("__view", "__shares", "__hits", "__meta")).alias("v"))
-    rows = one.selectExpr("id", "v.__shares as shares", "v.__hits as hits", "v.__meta as meta").orderBy("id").toArrow()
-    key, shares, hits, meta = (rows.column(c).to_pylist() for c in ("id", "shares", "hits", "meta"))
+    rows = one.selectExpr("id", "v.__shares as shares", "v.__hits as hits", "v.__meta as meta").toArrow().sort_by("id")
+    key = rows.column("id").to_pylist()
     back = [crc32(str(i).encode()) % 4 == 0 for i in key]  # held back for calibration
     models = []
     for t in range(len(TARGETS)):
         part = {h: [n for n, i in enumerate(key) if chosen[i][t] is not None and back[n] == h] for h in (False, True)}
-        sides = {h: (_views(*[[c[n] for n in at] for c in (shares, hits, meta)], lexicon), np.array([chosen[key[n]][t] for n in at], float))
+        sides = {h: (_views(*_columns(rows.take(pa.array(at, pa.int64()))), lexicon), np.array([chosen[key[n]][t] for n in at], float))
                  for h, at in part.items()}
         models.append(CoTrained(*sides[False], *sides[True]))
     seen: dict[tuple, set] = {(t, v): set() for t in range(len(TARGETS)) for v in (0, 1)}
@@ -351,8 +356,7 @@ def fit(views: DataFrame, chosen: dict[int, tuple], lexicon: dict[bytes, int]) -
             m.own = m.labels = m.held = m.classes = None
         found = _surest(views, light, lexicon, chosen, seen)
         for (t, teacher, label), table in found.items():
-            columns = [table.column(c).to_pylist() for c in ("shares", "hits", "meta")]
-            models[t].hand_over(1 - teacher, _views(*columns, lexicon)[1 - teacher], label)
+            models[t].hand_over(1 - teacher, _views(*_columns(table), lexicon)[1 - teacher], label)
             seen[t, teacher].update(table.column("view").to_pylist())
         if not found:
             break
@@ -382,7 +386,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, models = model.value
         for b in batches:
-            both = _views(*(c.to_pylist() for c in b.columns[-3:]), lexicon)
+            both = _views(*b.columns[-3:], lexicon)
             scores = [s for m in models for s in m.score(both)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-3], *[pa.array(s, pa.float64()) for s in scores]],
                                              names=[*kept, *added])

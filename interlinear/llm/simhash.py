@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_step, checkpointed, connected_components, materialize, utf8
+from .common import arrow_step, connected_components, materialize, utf8
 
 MAX_BITS = 2
 BUCKET = 256
@@ -193,7 +193,7 @@ def links_in_buckets(keyed: DataFrame, most: int) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """(a, b): stars whose components are those of all links at MAX_BITS bits."""
-    first = checkpointed(links_in_buckets(candidate_keys(fps, 5), BUCKET).distinct())
+    first = materialize(links_in_buckets(candidate_keys(fps, 5), BUCKET).distinct(), "links")
     dense = first.where("later").select(F.col("a").alias("fp")).distinct()
     second = links_in_buckets(candidate_keys(dense, 12), 1 << 16)
     return first.where("not later").select("a", "b").union(second.where("a <> b").select("a", "b"))
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     repeated rows. An empty table gives an empty result.
     """
     marked = materialize(with_fingerprint(docs, shingle, id_col, text_col), "fp")
-    fps = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("low")))
+    fps = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")), "fp-lows")
     classes = connected_components(fingerprint_links(fps))
     named = (fps.join(classes, fps.fp == classes.id, "left")
              .select("fp", "low", F.coalesce("component", "fp").alias("class")))

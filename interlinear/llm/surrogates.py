@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, materialize, numbered
+from .common import materialize, numbered
 
 # Titles and given names by gender and script.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"],
@@ -246,14 +246,14 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     lost = entities.select("type", "canonical").distinct().withColumn("attempt", F.lit(0)).repartition(wide, "type", "canonical")
     table = None
     while True:
-        streams = checkpointed(lost.withColumn("stream", _stream(key)))  # written, or each letter would hash again
+        streams = materialize(lost.withColumn("stream", _stream(key)), "streams")  # written, or each letter would hash again
         hashed = streams.withColumn("surrogate", surrogate(F.col("stream"))).drop("stream")
-        table = checkpointed(hashed if table is None else table.join(lost, ["type", "canonical"], "left_anti").union(hashed))
+        table = materialize(hashed if table is None else table.join(lost, ["type", "canonical"], "left_anti").union(hashed), "surrogates")
         kept = table.groupBy("type", "surrogate").agg(F.min("canonical").alias("kept"))
         real = table.select("type", F.col("canonical").alias("surrogate")).withColumn("real", F.lit(True))
         judged = table.join(kept, ["type", "surrogate"]).join(real, ["type", "surrogate"], "left")
-        lost = checkpointed(judged.where("canonical <> kept or real").select("type", "canonical", (F.col("attempt") + 1).alias("attempt"))
-                            .repartition(wide, "type", "canonical"))
+        lost = materialize(judged.where("canonical <> kept or real").select("type", "canonical", (F.col("attempt") + 1).alias("attempt"))
+                           .repartition(wide, "type", "canonical"), "lost")
         if lost.isEmpty():
             return table
 
@@ -296,7 +296,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     found = rows.select(row, pieces(text_col).alias("p")).where("size(p) > 1")
     found = materialize(found.select(row, F.expr("array_distinct(filter(p, (x, i) -> i % 2 = 1))").alias("mentions")), "mentions")
     each = found.select(row, F.explode("mentions").alias("mention"))
-    cut = parts(checkpointed(each.select("mention").distinct()))
+    cut = parts(materialize(each.select("mention").distinct(), "mentioned"))
     chosen = assign(cut.where("type <> ''"), key).select("type", "canonical", "surrogate")
     new = cut.join(chosen, ["type", "canonical"], "left")
     like = lambda written: written_like(written, F.col("surrogate"), F.col("type"))
