@@ -1,5 +1,5 @@
-"""Column-expression helpers for text: Unicode trimming, lengths, Markdown
-inline cleanup, HTML entities.
+"""Column-expression helpers for text: Unicode trimming, lengths, link labels,
+HTML entities.
 
 Everything here returns a ``Column`` made of native Spark expressions, so it
 stays inside whole-stage codegen (regexp_replace, split, zip_with, ...).
@@ -13,9 +13,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from interlinear.functions import inline
-from interlinear.functions.inline import _CLOSE, _GONE, _LINK, _LINKED, _OPEN, _OWN, CARRY, CODE_SPAN, DEST, TAG, _nested  # noqa: F401
-from interlinear.session import ship
+from interlinear.functions.inline import _CLOSE, _LINK, _LINKED, _OPEN, _OWN, CARRY, TAG, _nested  # noqa: F401
 
 # Unicode white space (Java's \s with UNICODE_CHARACTER_CLASS): a pattern with
 # it would test every character of a text, a trim by list only the ends.
@@ -134,64 +132,9 @@ def _restored(x: str, kept: str) -> str:
             f" ''), {sql_str(_OPEN + _OWN)}, {sql_str(_OPEN)})")
 
 
-def with_inline_marks(df, src: str, out: str, kept: str, refs: str | None = None):
-    """``out``: the Markdown of ``src`` with its markup read (``inline.marked``).
-    Protected pieces are numbers into the array column ``kept``; links stand
-    between link marks, and a mark is left where markup was dropped."""
-    ship(df.sparkSession)
-    labels = F.col(f"`{refs}`") if refs else F.lit(None).cast("array<string>")
-    keep = [c for c in df.columns if c not in (out, kept)]
-    df = df.select(*[F.col(f"`{c}`") for c in keep], inline.marks(F.col(f"`{src}`"), labels).alias("__m"))
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col("__m.kept").alias(kept), F.col("__m.marked").alias(out))
-
-
 _MARKS = f"[{_LINK}-{CARRY}]"
 
 
-def with_inline_text(df, src: str, out: str, refs: str | None = None):
-    """Markdown inline markup to the text a translator should see.
-
-    Links become their label (also reference links that ``refs``, a column of
-    defined labels, knows), images their alt text, emphasis and strike markers
-    are dropped, raw HTML tags are dropped (their inner text stays), footnote
-    references vanish, code spans keep one backtick on each side, backslash
-    escapes become their character, character references are decoded.
-
-    Escapes, code spans, autolinks and tags are set apart first, by number, so
-    no rule touches them. Each step is guarded by a cheap test: plain prose
-    pays a few byte searches.
-    """
-    df = with_inline_marks(df, src, "__marked", "__kept", refs)
-    df = df.selectExpr("*", f"if(__marked rlike {sql_str(_MARKS)}, regexp_replace(__marked, {sql_str(_MARKS)}, ''), __marked) as __bare")
-    df = df.withColumn("__ref", decode_entities("__bare"))
-    keep = [f"`{c}`" for c in df.columns if c not in ("__marked", "__kept", "__bare", "__ref", out)]
-    return df.selectExpr(*keep, f"case when __kept is null then __ref else {_restored('__ref', '__kept')} end as `{out}`")
-
-
-def with_inline_events(df, src: str, out: str, refs: str | None = None):
-    """``out``: ordered array of (code, text) events of ``src``: a code span is
-    one event, and so is every run of text between pieces of markup (emphasis
-    and link ends, code, tags, escapes, character references)."""
-    df = with_inline_marks(df, src, "__marked", "__kept", refs)
-    # an escaped character begins a new run of text
-    token = sql_str(rf"{_OPEN}([0-9]+){_CLOSE}[^{_OPEN}{_LINK}-{CARRY}&]*|&[A-Za-z0-9#]+;|[^{_OPEN}{_LINK}-{CARRY}&]+(?:&(?![A-Za-z0-9#]+;)[^{_OPEN}{_LINK}-{CARRY}&]*)*|&|{_OPEN}{_OWN}")
-    parts = f"regexp_extract_all(__marked, {token}, 0)"
-    number = f"cast(regexp_extract(x, {sql_str(f'^{_OPEN}([0-9]+){_CLOSE}')}, 1) as int)"
-    rest = f"regexp_replace(x, {sql_str(f'^{_OPEN}[0-9]+{_CLOSE}')}, '')"
-    is_own = f"x rlike {sql_str(f'^{_OPEN}[0-9]')}"
-    piece = f"element_at(__kept, {number} + 1)"
-    one = (f"case when not ({is_own}) then array(named_struct('code', false, 'raw', x)) when startswith({piece}, '`') and length({piece}) > 1 then"
-           f" array(named_struct('code', true, 'raw', {piece}), named_struct('code', false, 'raw', {rest}))"
-           f" when length({piece}) = 1 then array(named_struct('code', false, 'raw', concat({piece}, {rest})))"
-           f" else array(named_struct('code', false, 'raw', {piece}), named_struct('code', false, 'raw', {rest})) end")
-    df = df.selectExpr("*", f"case when `{src}` is null then null when __kept is null and not __marked rlike {sql_str(rf'[&{_LINK}-{CARRY}]')}"
-                            f" then array(named_struct('code', false, 'raw', __marked)) else filter(flatten(transform({parts}, x -> {one})), e -> e.raw != '') end as __events")
-    text = F.transform("__events", lambda e: F.struct(e["code"].alias("code"), e["raw"].alias("src"), F.when(e["code"], e["raw"]).otherwise(
-        decode_entities(F.replace(e["raw"], F.lit(_OPEN + _OWN), F.lit(_OPEN)))).alias("text")))
-    keep = [c for c in df.columns if c not in ("__marked", "__kept", "__events", out)]
-    return df.select(*[F.col(f"`{c}`") for c in keep], text.alias(out))
-
-
 def link_labels(marked: str, kept: str) -> str:
     """SQL: the texts between link marks (M17), outermost links and images, as
     Markdown without its links."""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from interlinear.functions.text import sql_str, utrim
+from interlinear.operators.render import item_sql
 
 _TEXT = r"(?U)\S"
 
@@ -45,13 +46,13 @@ def align_keyed(batched: DataFrame, resp_lines: DataFrame, key: str = "doc_id")
     return s.join(t.hint("merge"), [key, "batch_no", "pos"], "left")
 
 
-def align_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A2 without a join: ``resp`` rows are batches carrying their ``segs``
-    (see ``batching.batch_text``) and the parsed ``dst`` lines (null when the
-    batch failed). Blank segments at either end of a batch were trimmed out
-    of the request, so line j goes to the j-th segment from the first
-    non-blank one. One explode per batch gives every segment with its
-    ``translation`` (null for trimmed segments and failed batches)."""
+def _aligned(resp: DataFrame, key: str) -> DataFrame:
+    """``resp`` rows with their segments and translations as the array ``aligned``.
+
+    ``resp`` rows are batches carrying their ``segs`` (see ``batching.batch_text``)
+    and the parsed ``dst`` lines (null when the batch failed). Blank segments at
+    either end of a batch were trimmed out of the request, so line j goes to the
+    j-th segment from the first non-blank one."""
     nb = f"transform(segs, x -> x.text rlike {sql_str(_TEXT)})"
     # first/last non-blank position, once per batch (not once per element)
     r = resp.selectExpr("*", f"{nb} as __nb")
@@ -59,17 +60,30 @@ def align_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
                      "cast(size(segs) - array_position(reverse(__nb), true) + 1 as int) as __l")
     inside = "__f > 0 and i + 1 >= __f and i + 1 <= __l"
     reason = "reason" if "reason" in resp.columns else "cast(null as string) as reason"
-    out = r.selectExpr(
+    return r.selectExpr(
         f"`{key}`", "batch_no", reason,
-        f"explode(transform(segs, (x, i) -> named_struct('seg', x, 'translation',"
+        f"transform(segs, (x, i) -> named_struct('seg', x, 'translation',"
         f" case when dst is not null and {inside} then try_element_at(dst, i + 2 - __f) end,"
-        f" 'pos', case when {inside} then i + 1 - __f end, 'batch_ok', dst is not null))) as e")
+        f" 'pos', case when {inside} then i + 1 - __f end, 'batch_ok', dst is not null)) as aligned")
+
+
+def align_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A2 without a join: one explode per batch gives every segment with its
+    ``translation`` (null for trimmed segments and failed batches)."""
+    out = _aligned(resp, key).selectExpr(f"`{key}`", "batch_no", "reason", "explode(aligned) as e")
     seg_cols = [f.name for f in resp.schema["segs"].dataType.elementType.fields]
     return out.selectExpr(f"`{key}`", "batch_no", *[f"e.seg.`{c}` as `{c}`" for c in seg_cols],
                           "cast(e.pos as int) as pos", "e.translation as translation", "false as is_tail",
                           "e.batch_ok as batch_ok", "reason")
 
 
+def gather_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A2 for rendering: ``(key, items)``, a document's segments with what
+    ``render.assemble`` reads of them, gathered batch by batch."""
+    items = f"transform(aligned, e -> {item_sql('e.seg.', 'e.translation', 'e.batch_ok')}) as items"
+    return _aligned(resp, key).selectExpr(f"`{key}`", items).groupBy(key).agg(F.flatten(F.collect_list("items")).alias("items"))
+
+
 def report_in_batches(resp: DataFrame, key: str = "doc_id") -> DataFrame:
     """A5 from batch rows: segments, lines returned, missing, extra, trimmed."""
     nb = f"transform(segs, x -> x.text rlike {sql_str(_TEXT)})"

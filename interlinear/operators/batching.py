@@ -140,16 +140,24 @@ def _limits_sql(limits) -> str:
         for p, u, v, *_ in limits) + ")"
 
 
+META = ("block_no", "sub", "piece", "kind", "level", "qdepth", "prefix", "src")
+
+
 def _batch_rows(segs: DataFrame, limits, key: str) -> DataFrame:
-    """Batches of every limit straight from the gathered document row: lengths
+    """Batches of every limit straight from the gathered document row."""
+    meta = [c for c in META if c in segs.columns]
+    gathered = segs.filter("not is_tail").groupBy(key).agg(F.expr(
+        f"array_sort(collect_list(struct(seg_no, text, n_bytes, n_chars{''.join(', ' + c for c in meta)})))").alias("segs"))
+    return _cut(gathered, limits, key)
+
+
+def _cut(gathered: DataFrame, limits, key: str) -> DataFrame:
+    """Batches of every limit from rows that hold a document's segments: lengths
     are folded per limit, and each batch is a slice of the row's segments. No
     explode to segments, no window, no second grouping, and a text is copied
     only into the batch that holds it. Below a limit of one every segment opens
     a batch, so nothing is folded."""
     k = f"`{key}`"
-    meta = [c for c in ("block_no", "sub", "piece", "kind", "level", "qdepth", "prefix", "src") if c in segs.columns]
-    gathered = segs.filter("not is_tail").groupBy(key).agg(F.expr(
-        f"array_sort(collect_list(struct(seg_no, text, n_bytes, n_chars{''.join(', ' + c for c in meta)})))").alias("segs"))
     numbers = GREEDY_SQL.format(lens="transform(segs, x -> if(p.limit_unit = 'bytes', x.n_bytes, x.n_chars))", lim="p.limit_value")
     firsts = let("b", numbers, "filter(sequence(0, size(b) - 1), i -> i = 0 or element_at(b, i + 1) > element_at(b, greatest(i, 1)))")
     starts = f"case when p.limit_value <= 0 then sequence(0, size(segs) - 1) else {firsts} end"
@@ -176,6 +184,18 @@ def text_batches(segs: DataFrame, limit: int, unit: str = "bytes", key: str = "d
     return _batch_rows(segs, [("", unit, limit)], key).drop("provider")
 
 
+def document_batches(found: DataFrame, limit: int, unit: str = "bytes", key: str = "doc_id") -> DataFrame:
+    """``text_batches`` of rows ``(key, segs)`` (``segments.document_segments``): a
+    document's segments are one array already and are not gathered again."""
+    if unit not in ("bytes", "chars"):
+        raise ValueError(f"unit must be 'bytes' or 'chars', got {unit!r}")
+    present = {f.name for f in found.schema["segs"].dataType.elementType.fields}
+    fields = ", ".join(f"'{c}', x.{c}" for c in ("seg_no", "text", "n_bytes", "n_chars", *META) if c in present)
+    own = "filter(segs, x -> not x.is_tail)" if "is_tail" in present else "segs"
+    gathered = found.selectExpr(f"`{key}`", f"transform({own}, x -> named_struct({fields})) as segs").filter("size(segs) > 0")
+    return _cut(gathered, [("", unit, limit)], key).drop("provider")
+
+
 def text_batches_by_providers(segs: DataFrame, providers, key: str = "doc_id") -> DataFrame:
     """B7/B8 with B6: one row per provider and batch. ``providers`` as in
     ``batch_by_providers``; a table too long for a literal takes that way."""

@@ -7,105 +7,158 @@ its level with the translation (A7); a table row is rebuilt with
 ``cell<TAB>translation`` in each translated cell (A8). The document is then
 assembled in line order (A10).
 
-Source lines are re-exploded straight from the document text (no block
-classification again) and meet the per-line translation info in an
-equi-join on (key, line_no); both sides are distributed by the document key.
+A document's text meets its gathered segments as one row (an equi-join on the
+key), and one Arrow step splits it into lines (no block classification again)
+and writes it; nothing is exploded to lines and grouped again.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interlinear.functions import text as T
-from interlinear.operators.blocks import distribute_docs
-from interlinear.session import use_document_partitioning
-
-
-def line_inserts(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per source line: rendered lines to append, cell translations, and how
-    many of the line's segments lost their translation to a failed batch."""
-    a = aligned.filter(~F.col("is_tail"))
-    if "batch_ok" not in a.columns:
-        a = a.withColumn("batch_ok", F.col("translation").isNotNull())
-    if "reason" not in a.columns:
-        a = a.withColumn("reason", F.lit(None).cast("string"))
-    has = F.col("translation").isNotNull()
-    pre, blank = F.col("prefix"), F.rtrim("prefix")
-    head = F.concat(pre, F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("translation"))
-    body = F.concat(pre, F.col("translation"))
-    add = (F.when(~has | (F.col("kind") == "cell"), F.array().cast("array<string>"))
-           .when(F.col("kind") == "heading", F.array(blank, head)).otherwise(F.array(blank, body)))
-    return a.groupBy(key, F.col("block_no").alias("line_no")).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", add.alias("add")))), lambda x: x["add"])).alias("add"),
-        F.array_sort(F.collect_list(F.when((F.col("kind") == "cell") & has, F.struct("sub", "piece", "src", "translation")))).alias("cells"),
-        F.count(F.lit(1)).alias("n_seg"),
-        F.sum(F.when(F.col("batch_ok"), 0).otherwise(1)).alias("n_failed"),
-        F.max("reason").alias("reason"),
-    )
+from interlinear.functions.inline import CARRY, CODE_SPAN, DEST, TAG
+from interlinear.functions.java_regex import java
+from interlinear.operators.blocks import _BAR, _LAST_BAR, _cell_texts, _split
+from interlinear.operators.segments import lists, texts_by_key, trimmed
+from interlinear.session import ship, use_document_partitioning
 
+_DOCUMENT = {"rendered": pa.string(), "n_segments": pa.int64(), "n_failed": pa.int64(), "reason": pa.string()}
 
 # markup of a cell that is no text: escapes' backslashes, code, tags, link destinations
-_NO_TEXT = rf"\\(?=[!-/:-@\[-`{{-~])|{T.CODE_SPAN}|{T.TAG}|(?<=\]){T.DEST}"
+_NO_TEXT = java(rf"\\(?=[!-/:-@\[-`{{-~])|{CODE_SPAN}|{TAG}|(?<=\]){DEST}")
+_MAY_BE_NO_TEXT = re.compile(r"[\\`<\]]")
+_LEAD, _QUOTES, _BREAK = java(r"^[ \t]*(>[ ]?)*[ \t]*\|"), java(r"^((?: {0,3}>[ ]?)*)"), re.compile("\r?\n")
 
 
-def _with_pieces(cell, own):
+def _with_pieces(cell: str, own: list[tuple]) -> str:
     """A cell with a TAB and the translation behind each piece of its text. The
     pieces are found one after the other, in a copy whose other markup is blanked."""
-    cell = F.replace(cell, F.lit("\\|"), F.lit("|"))
-    masked = F.array_join(F.zip_with(F.split(cell, _NO_TEXT, -1), F.regexp_extract_all(cell, F.lit(_NO_TEXT), F.lit(0)), lambda p, m: F.concat(
-        F.coalesce(p, F.lit("")), F.coalesce(F.repeat(F.lit(T.CARRY), F.char_length(m)), F.lit("")))), "")
-
-    def put(s, c):
-        at = F.call_function("locate", c["src"], s["masked"], s["at"] + 1)
-        end = F.when(at == 0, s["at"]).otherwise(at + F.char_length(c["src"]) - 1)
-        return F.struct(s["cell"].alias("cell"), s["masked"].alias("masked"), end.cast("int").alias("at"), F.concat(
-            s["out"], F.substring(s["cell"], s["at"] + 1, end - s["at"]), F.lit("\t"), F.regexp_replace(c["translation"], r"\r?\n", " ")).alias("out"))
-
-    start = F.struct(cell.alias("cell"), masked.alias("masked"), F.lit(0).alias("at"), F.lit("").alias("out"))
-    built = F.aggregate(own, start, put, lambda s: F.concat(s["out"], F.substring(s["cell"], s["at"] + 1, F.char_length(s["cell"]))))
-    return F.regexp_replace(built, r"(?<!\\)\|", r"\\|")
-
-
-def _rebuild_row(line, cells):
+    cell = cell.replace("\\|", "|")
+    masked = _NO_TEXT.sub(lambda m: CARRY * len(m[0]), cell) if _MAY_BE_NO_TEXT.search(cell) else cell
+    out, at = [], 0
+    for _, _, src, translation in own:
+        found = masked.find(src, at)
+        end = at if found < 0 else found + len(src)
+        out += cell[at:end], "\t", _BREAK.sub(" ", translation) if "\n" in translation else translation
+        at = end
+    built = "".join(out) + cell[at:]
+    return _BAR.sub(r"\\|", built) if "|" in built else built
+
+
+def _rebuilt(line: str, cells: list[tuple]) -> str:
     """The row's cells (split on unescaped pipes) with translations."""
-    inner = F.regexp_replace(F.regexp_replace(line, r"^[ \t]*(>[ ]?)*[ \t]*\|", ""), r"(?<!\\)\|[ \t]*$", "")
-    parts = F.split(inner, r"(?<!\\)\|", -1)
+    quoted = ">" in line
+    parts = _BAR.split(_LAST_BAR.sub("", _LEAD.sub("", line))) if quoted else _cell_texts(line)
+    for n, cell in enumerate(parts):
+        own = [x for x in cells if x[0] == n + 1]
+        parts[n] = _with_pieces(trimmed(cell), own) if own else trimmed(cell)
+    return f"{_QUOTES.match(line)[1] if quoted else ''}|{'|'.join(parts)}|"
+
+
+def _inserts(own: list[tuple]) -> dict[int, tuple]:
+    """Per source line: what is put behind it, translated cells (sub, piece, src, translation),
+    how many segments end there, how many of them lost their translation to a
+    failed batch, and why."""
+    out: dict[int, tuple] = {}
+    for block_no, seg_no, sub, piece, src, insert, ok, reason in own:
+        here = out.get(block_no)
+        if here is None:
+            here = out[block_no] = ([], [], [], [])
+        if insert is not None:
+            if src is None:
+                here[0].append((seg_no, insert))
+            else:
+                here[1].append((sub, piece, src, insert))
+        here[2].append(ok)
+        if reason is not None:
+            here[3].append(reason)
+    for add, cells, _, _ in out.values():
+        add.sort()
+        cells.sort()
+    return out
+
+
+def _document(texts: list[str], own: list[tuple]) -> tuple:
+    """(rendered, n_segments, n_failed, reason) of a key's texts; the lines of
+    several texts with one key come in turn, each with all that belongs to it."""
+    inserts, out = _inserts(own), []
+    size = failed = 0
+    why = None
+    for text in texts:
+        for n, line in enumerate(_split(text)):
+            here = inserts.get(n)
+            if here is None:
+                out.append((n, [line]))
+                continue
+            add, cells, ok, reasons = here
+            out.append((n, [_rebuilt(line, cells) if cells else line, *[x for _, x in add]]))
+            size, failed = size + len(ok), failed + ok.count(False)
+            why = max([*reasons, why] if why else reasons) if reasons else why
+    if len(texts) > 1:
+        out.sort()
+    return "\n".join([x for _, lines in out for x in lines]), size, failed, why
+
+
+def _values(column: pa.Array) -> list:
+    if column.null_count == len(column):
+        return [None] * len(column)
+    return column.to_numpy(zero_copy_only=False).tolist() if column.null_count == 0 and pa.types.is_integer(column.type) else column.to_pylist()
+
+
+def _tuples(items: pa.StructArray) -> list[tuple]:
+    return list(zip(*map(_values, items.flatten())))
+
+
+def _assembled(texts: pa.Array, items: pa.Array) -> pa.Array:
+    rows = [_document(t, x) for t, x in zip(lists(texts), lists(items, _tuples))]
+    columns = zip(*rows) if rows else [[]] * len(_DOCUMENT)
+    return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _DOCUMENT.values())], names=list(_DOCUMENT))
+
+
+def item_sql(seg: str = "", translation: str = "translation", ok: str = "batch_ok", reason: str = "reason") -> str:
+    """A segment as ``assemble`` reads it; ``seg``: where its columns are. ``src``
+    marks a cell, ``insert`` is its translation or what comes behind the line."""
+    c = lambda name: f"{seg}{name}"
+    insert = (f"case when {c('kind')} = 'cell' then {translation} when {c('kind')} = 'heading' then"
+              f" concat(rtrim({c('prefix')}), '\\n', {c('prefix')}, repeat('#', {c('level')}), ' ', {translation})"
+              f" else concat(rtrim({c('prefix')}), '\\n', {c('prefix')}, {translation}) end")
+    return (f"struct({c('block_no')} as block_no, {c('seg_no')} as seg_no, {c('sub')} as sub, {c('piece')} as piece,"
+            f" case when {c('kind')} = 'cell' then {c('src')} end as src, {insert} as insert, coalesce({ok}, false) as ok, {reason} as reason)")
+
+
+def gather(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, items)``: a document's aligned segments with what ``assemble`` reads of them."""
+    a = aligned.filter(~F.col("is_tail"))
+    item = item_sql(ok="batch_ok" if "batch_ok" in a.columns else "translation is not null",
+                    reason="reason" if "reason" in a.columns else "cast(null as string)")
+    return a.groupBy(key).agg(F.expr(f"collect_list({item})").alias("items"))
 
-    def one(c, i):
-        bare = F.regexp_replace(c, r"^[ \t]+|[ \t]+$", "")
-        own = F.filter(cells, lambda x: x["sub"] == i + 1)
-        return F.when(F.size(own) == 0, bare).otherwise(_with_pieces(bare, own))
 
-    qp = F.regexp_extract(line, r"^((?: {0,3}>[ ]?)*)", 1)
-    return F.concat(qp, F.lit("|"), F.array_join(F.transform(parts, one), "|"), F.lit("|"))
+def assemble(docs: DataFrame, gathered: DataFrame, key: str = "doc_id", text_col: str = "text",
+             distribute: bool = True) -> DataFrame:
+    """Documents and their gathered segments -> one rendered document a key."""
+    use_document_partitioning(docs.sparkSession)
+    ship(docs.sparkSession)
+    # both sides grow with the corpus: never broadcast, co-partitioned merge join
+    both = texts_by_key(docs, key, text_col, distribute).filter("size(texts) > 0").join(gathered.hint("merge"), key, "left")
+    step = F.arrow_udf(_assembled, "struct<rendered: string, n_segments: bigint, n_failed: bigint, reason: string>").asNondeterministic()
+    none = F.array().cast(gathered.schema["items"].dataType)
+    doc = both.select(key, step("texts", F.coalesce("items", none)).alias("d")).select(key, "d.*")
+    status = (F.when(F.col("n_segments") == 0, F.lit("empty")).when(F.col("n_failed") == 0, F.lit("ok"))
+              .when(F.col("n_failed") < F.col("n_segments"), F.lit("partial")).otherwise(F.lit("failed")))
+    return doc.select(key, "rendered", "n_segments", "n_failed", status.alias("status"), "reason")
 
 
 def render(docs: DataFrame, aligned: DataFrame, key: str = "doc_id", text_col: str = "text",
            distribute: bool = True) -> DataFrame:
-    """Documents + aligned segments -> ``(key, rendered)``.
+    """Documents + aligned segments -> ``(key, rendered)`` with the document's
+    ``n_segments``, ``n_failed``, ``status`` and ``reason``.
 
-    The per-document assembly collects one document's lines -- the same
+    The per-document assembly holds one document's segments -- the same
     size as the document row it came from (plus its translation).
     """
-    use_document_partitioning(docs.sparkSession)
-    src = docs.select(key, text_col)
-    if distribute:
-        src = distribute_docs(src, key)
-    lines = src.select(key, F.posexplode(F.split(F.col(text_col), r"\r?\n", -1)).alias("line_no", "line"))
-    ins = line_inserts(aligned, key)
-    # both sides grow with the corpus: never broadcast, co-partitioned merge join
-    j = lines.join(ins.hint("merge"), [key, "line_no"], "left")
-    has_cells = F.col("cells").isNotNull() & (F.size("cells") > 0)
-    first = F.when(has_cells, _rebuild_row(F.col("line"), F.col("cells"))).otherwise(F.col("line"))
-    out = F.concat(F.array(first), F.coalesce(F.col("add"), F.array().cast("array<string>")))
-    per_line = j.select(key, "line_no", out.alias("out"), "n_seg", "n_failed", "reason")
-    doc = per_line.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "out"))).alias("ls"),
-        F.sum(F.coalesce("n_seg", F.lit(0))).cast("bigint").alias("n_segments"),
-        F.sum(F.coalesce("n_failed", F.lit(0))).cast("bigint").alias("n_failed"),
-        F.max("reason").alias("reason"))
-    status = (F.when(F.col("n_segments") == 0, F.lit("empty")).when(F.col("n_failed") == 0, F.lit("ok"))
-              .when(F.col("n_failed") < F.col("n_segments"), F.lit("partial")).otherwise(F.lit("failed")))
-    return doc.select(key, F.array_join(F.flatten(F.transform("ls", lambda x: x["out"])), "\n").alias("rendered"),
-                      "n_segments", "n_failed", status.alias("status"), "reason")
+    return assemble(docs, gather(aligned, key), key, text_col, distribute)

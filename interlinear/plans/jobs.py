@@ -26,8 +26,8 @@ from interlinear.operators import batching as B
 from interlinear.operators import requests as R
 from interlinear.operators import responses as P
 from interlinear.operators import translate as T
-from interlinear.operators.render import render
-from interlinear.operators.segments import extract_segments
+from interlinear.operators.render import assemble, render
+from interlinear.operators.segments import document_segments, extract_segments
 from interlinear.operators.blocks import distribute_docs
 from interlinear.session import checkpoint_dir, use_document_partitioning
 
@@ -103,14 +103,15 @@ def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=N
     use_document_partitioning(docs.sparkSession)
     # one distribution of the documents, read by segmentation and rendering
     docs = distribute_docs(docs.select(key, text_col), key)
-    segs = extract_segments(docs, key, text_col, list_mode=cfg.list_mode, distribute=False)
+    found = document_segments(docs, key, text_col, list_mode=cfg.list_mode, distribute=False)
+    segs = found.select(key, F.inline("segs"))
     service = isinstance(translator, T.Service)
     if limit == 0:
         # Application-level limit 0 = the whole text as one request
         bt = B.whole_batches(segs, key).withColumn("oversize", F.lit(False))
         batched = segs.filter(~F.col("is_tail")).withColumn("batch_no", F.lit(0))
     else:
-        bt = B.text_batches(segs, limit, unit, key)
+        bt = B.document_batches(found, limit, unit, key)
         batched = None
         if cfg.alignment == "positional":  # needs the segments again: every segment with its batch
             batched = materialize(B.assign_batches(B.with_limit(segs, limit, unit), key), cfg.materialize)
@@ -127,12 +128,12 @@ def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=N
     if cfg.alignment == "positional":
         lines = resp.filter(usable).select(key, "batch_no", F.posexplode("dst").alias("pos", "line"))
         aligned = A.align_positional(batched.withColumn("is_tail", F.lit(False)), T.number_lines(lines, key), key)
-    else:
-        aligned = A.align_in_batches(resp.withColumn("dst", F.when(usable, F.col("dst")))
-                                     .withColumn("reason", F.when(~usable, F.coalesce("error_msg", "status"))), key)
-    # status comes out of the renderer's own per-document aggregation
-    # (segments whose batch failed), so the responses are consumed once
-    return render(docs, aligned, key, text_col, distribute=False)
+        return render(docs, aligned, key, text_col, distribute=False)
+    # status comes out of the renderer's own step (segments whose batch failed),
+    # so the responses are consumed once
+    gathered = A.gather_in_batches(resp.withColumn("dst", F.when(usable, F.col("dst")))
+                                   .withColumn("reason", F.when(~usable, F.coalesce("error_msg", "status"))), key)
+    return assemble(docs, gathered, key, text_col, distribute=False)
 
 
 GROUP_LINES = 10_000  # distinct lines that are planned into requests together
