@@ -14,9 +14,12 @@ Nothing passes through the driver.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from interlinear import dims
@@ -26,8 +29,8 @@ from interlinear.operators import batching as B
 from interlinear.operators import requests as R
 from interlinear.operators import responses as P
 from interlinear.operators import translate as T
-from interlinear.operators.render import assemble, render
-from interlinear.operators.segments import document_segments, extract_segments
+from interlinear.operators.render import assemble, item_sql, render
+from interlinear.operators.segments import document_segments
 from interlinear.operators.blocks import distribute_docs
 from interlinear.session import checkpoint_dir, use_document_partitioning
 
@@ -137,6 +140,54 @@ def translate_corpus(docs: DataFrame, cfg: JobConfig | None = None, translator=N
 
 
 GROUP_LINES = 10_000  # distinct lines that are planned into requests together
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class _Kept:
+    """A step's rows, made once, and dropped when the later steps have read them:
+    compressed files in the shared folder, or what else ``materialize`` says."""
+
+    def __init__(self, df: DataFrame, how: str):
+        spark = df.sparkSession
+        self.rows, self.path = df, None
+        if how == "checkpoint":
+            self.path = f"{checkpoint_dir(spark).rstrip('/')}/interlinear-lines-{uuid.uuid4().hex}"
+            with _shuffles_removed(spark):
+                df.write.option("compression", "zstd").parquet(self.path)
+            self.rows = spark.read.schema(df.schema).parquet(self.path)
+        elif how == "persist":
+            self.rows = df.persist()
+
+    def count(self, *cols) -> int:
+        """Number of distinct values that are not null."""
+        with _shuffles_removed(self.rows.sparkSession):
+            return self.rows.select(*cols).dropna().distinct().count()
+
+    def drop(self) -> None:
+        spark = self.rows.sparkSession
+        if self.path:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when a query ends, not when the
+    driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
+def _line_id(text: str):
+    """16 bytes of a line's SHA-256: what stands for the line where its text is not needed."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 def translate_each_line_once(docs: DataFrame, cfg: JobConfig | None = None, translator=None,
@@ -150,6 +201,10 @@ def translate_each_line_once(docs: DataFrame, cfg: JobConfig | None = None, tran
     place of their line; a line that fills many places is split by adaptive
     execution. A failed request fails its lines wherever they stand. Needs a
     limit above 0 and keyed alignment: requests do not follow documents here.
+
+    A text is on disk in few copies at a time: segments, answers and translated
+    places are written compressed, each is dropped when the next is made, and
+    places meet answers by ``_line_id``, without the text.
     """
     if translator is None:
         raise TypeError("translate_each_line_once needs a translator: a DataFrame, a callable or a translate.Service")
@@ -159,22 +214,32 @@ def translate_each_line_once(docs: DataFrame, cfg: JobConfig | None = None, tran
         raise ValueError("each line once needs a limit above 0 and keyed alignment")
     use_document_partitioning(docs.sparkSession)
     docs = distribute_docs(docs.select(key, text_col), key)
-    segs = materialize(extract_segments(docs, key, text_col, list_mode=cfg.list_mode, distribute=False).filter("not is_tail"), cfg.materialize)
-    said = segs.filter(utrim("text") != "").groupBy("text").agg(F.min("n_bytes").alias("n_bytes"), F.min("n_chars").alias("n_chars"))
-    said = materialize(said, cfg.materialize)
-    groups = max(1, -(-said.count() // GROUP_LINES))
-    order = Window.partitionBy("__group").orderBy("text")
-    lines = said.withColumn("__group", F.pmod(F.xxhash64("text"), F.lit(groups))).withColumn("seg_no", F.row_number().over(order) - 1)
-    lines = lines.select(F.col("__group").alias(key), "seg_no", "text", "n_bytes", "n_chars", F.lit(False).alias("is_tail"))
-    bt = B.text_batches(lines, limit, unit, key).withColumn("provider", F.lit(cfg.provider)) \
+    found = document_segments(docs, key, text_col, list_mode=cfg.list_mode, distribute=False)
+    segs = found.select(F.col(key).alias("__key"), F.inline("segs")).filter("not is_tail").drop("is_tail", "n_bytes", "n_chars")
+    segs = _Kept(segs.withColumn("line", F.when(utrim("text") != "", _line_id("text"))), cfg.materialize)
+    groups = max(1, -(-segs.count("line") // GROUP_LINES))
+    lines = segs.rows.filter("line is not null").groupBy(F.pmod(F.xxhash64("text"), F.lit(groups)).alias(key)) \
+        .agg(F.array_sort(F.collect_set("text")).alias("lines"))
+    lines = lines.selectExpr(f"`{key}`", "transform(lines, (x, i) -> named_struct('seg_no', i, 'text', x, 'n_bytes',"
+                             " cast(octet_length(x) + 1 as bigint), 'n_chars', cast(char_length(x) + 1 as bigint))) as segs")
+    bt = B.document_batches(lines, limit, unit, key).withColumn("provider", F.lit(cfg.provider)) \
         .withColumn("from_lang", F.lit(cfg.from_lang)).withColumn("to_lang", F.lit(cfg.to_lang))
-    resp = _answers(R.build_requests(materialize(bt, cfg.materialize), cfg.creds, cfg.timestamp), translator, key)
+    # other translators read the batches and meet them again with their answers
+    asked = _Kept(bt, "none" if isinstance(translator, T.Service) else cfg.materialize)
+    resp = _answers(R.build_requests(asked.rows, cfg.creds, cfg.timestamp), translator, key)
     usable = F.col("status").isin("ok", "partial")
     known = A.align_in_batches(resp.withColumn("dst", F.when(usable, F.col("dst")))
                                .withColumn("reason", F.when(~usable, F.coalesce("error_msg", "status"))), key)
-    known = materialize(known.select("text", "translation", "batch_ok", "reason"), cfg.materialize)
-    met = segs.join(known.hint("merge"), "text", "left").withColumn("batch_ok", F.coalesce("batch_ok", F.lit(True)))
-    return render(docs, met, key, text_col, distribute=False)
+    known = _Kept(known.select(_line_id("text").alias("line"), "translation", "batch_ok", "reason"), cfg.materialize)
+    asked.drop()
+    places = _Kept(segs.rows.drop("text"), cfg.materialize)
+    segs.drop()
+    met = places.rows.join(known.rows.hint("merge"), "line", "left")
+    met = _Kept(met.select(F.col("__key").alias(key), F.expr(item_sql(ok="coalesce(batch_ok, true)")).alias("item")), cfg.materialize)
+    places.drop()
+    known.drop()
+    gathered = met.rows.groupBy(key).agg(F.collect_list("item").alias("items"))
+    return assemble(docs, gathered, key, text_col, distribute=False)
 
 
 def retranslate(docs: DataFrame, cfg: JobConfig | None = None, translator=None,
